@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import labels as L
 from . import calibration as C
+from .common import one_row
 from .ranking import prefix_table
 
 ColumnOrName = Column | str
@@ -208,15 +209,7 @@ def evaluate_multiclass(df: DataFrame, y: ColumnOrName, probs: ColumnOrName,
 
 
 def _one_row(*parts: DataFrame) -> DataFrame:
-    """Side-by-side concatenation of one-row aggregates.
-
-    Each part is a global aggregate (exactly one row), so pairing them on a
-    constant row index is a 1x1 join, not a product of data."""
-    out = None
-    for part in parts:
-        part = part.withColumn("_r", F.lit(0))
-        out = part if out is None else out.join(part, "_r")
-    return out.drop("_r")
+    return one_row(*parts)
 
 
 def brier_binary(df: DataFrame, y: ColumnOrName, p: ColumnOrName) -> DataFrame:
