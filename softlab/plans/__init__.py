@@ -4,5 +4,7 @@ from . import registry  # noqa: F401
 from . import q_calibration  # noqa: F401
 from . import q_metrics  # noqa: F401
 from . import q_text  # noqa: F401
+from . import q_similarity  # noqa: F401
+from . import q_agreement  # noqa: F401
 
 REGISTRY = registry.REGISTRY

@@ -79,7 +79,7 @@ def length_summary(spark, sf_dir):
 @query("length_quantiles", ops="A4", sql=f"""
 WITH n AS (SELECT CAST(len({TOK}) AS DOUBLE) AS n FROM texts)
 """ + "\nUNION ALL\n".join(
-    f"SELECT {a} AS q_lo, {b} AS q_hi, round(quantile_cont(n, {a}), 9) AS lo, "
+    f"SELECT CAST({a} AS DOUBLE) AS q_lo, CAST({b} AS DOUBLE) AS q_hi, round(quantile_cont(n, {a}), 9) AS lo, "
     f"round(quantile_cont(n, {b}), 9) AS hi FROM n" for a, b in QPAIRS))
 def length_quantiles(spark, sf_dir):
     t = X.texts(spark, sf_dir).select(T.token_count("text").alias("n"))
