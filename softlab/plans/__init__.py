@@ -6,5 +6,7 @@ from . import q_metrics  # noqa: F401
 from . import q_text  # noqa: F401
 from . import q_similarity  # noqa: F401
 from . import q_agreement  # noqa: F401
+from . import q_labels  # noqa: F401
+from . import q_filters  # noqa: F401
 
 REGISTRY = registry.REGISTRY
