@@ -8,5 +8,7 @@ from . import q_similarity  # noqa: F401
 from . import q_agreement  # noqa: F401
 from . import q_labels  # noqa: F401
 from . import q_filters  # noqa: F401
+from . import q_sampling  # noqa: F401
+from . import q_reshape  # noqa: F401
 
 REGISTRY = registry.REGISTRY
