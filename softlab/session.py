@@ -70,3 +70,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def scan_parallelism(df, keys):
+    """See ``fixtures.spread``.  Counting the scan's splits only plans the
+    scan (file listing), it runs no job."""
+    from pyspark.sql import functions as F
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - planning failed; leave the scan alone
+        return df
+    if n >= target:
+        return df
+    cols = [F.col(k) for k in keys if k in df.columns]
+    return df.repartition(target, *cols) if cols else df.repartition(target)

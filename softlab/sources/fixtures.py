@@ -33,8 +33,28 @@ K_VECTOR = 6          # classes in the soft_vector fixture
 VALUE_SCALE = 490.02  # max(events.value); maps value onto [0, 1]
 
 
+# row keys of the driver tables: used to spread an under-split scan
+TABLE_KEYS = {
+    "documents": ["doc_id"], "events": ["event_id"], "lineitem": ["l_orderkey", "l_linenumber"],
+    "embeddings": ["vec_id"], "conversations": ["conv_id", "turn"], "labels": ["doc_id"],
+    "pages": ["page_id"], "benchmark": ["item_id"], "orders": ["o_orderkey"],
+    "customer": ["c_custkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df, TABLE_KEYS.get(name, []))
+
+
+def spread(df: DataFrame, keys) -> DataFrame:
+    """Hash-repartition a scan that has fewer splits than the cluster has
+    cores (e.g. one large row group), so per-row work such as tokenising is
+    not confined to one task.  At scale the scan already has thousands of
+    splits and this is a no-op.  Hash (not round-robin) partitioning keeps
+    retries deterministic; Catalyst still prunes columns below it."""
+    from ..session import scan_parallelism
+    return scan_parallelism(df, keys)
 
 
 # ------------------------------------------------------------------ binary
