@@ -10,5 +10,6 @@ from . import q_labels  # noqa: F401
 from . import q_filters  # noqa: F401
 from . import q_sampling  # noqa: F401
 from . import q_reshape  # noqa: F401
+from . import q_models  # noqa: F401
 
 REGISTRY = registry.REGISTRY
