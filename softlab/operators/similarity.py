@@ -65,14 +65,17 @@ def unit(v: ColumnOrName) -> Column:
 
 
 def class_sums(df: DataFrame, emb: str, by: Sequence[ColumnOrName]) -> DataFrame:
-    """Per-group (n, q, S) with S the sum of unit vectors (as an array)."""
-    u = df.select(*by, unit(emb).alias("_u"))
-    u = u.select(*[c for c in u.columns if c != "_u"],
-                 array_to_vector("_u").alias("_v"),
+    """Per-group (n, q, S) with S the sum of unit vectors (as an array).
+
+    Always grouped (a constant key when ``by`` is empty), so an empty input
+    gives an empty table instead of an empty Summarizer."""
+    keys = list(by) if by else [F.lit(0).alias("_all")]
+    u = df.select(*keys, unit(emb).alias("_u"))
+    kcols = [c for c in u.columns if c != "_u"]
+    u = u.select(*kcols, array_to_vector("_u").alias("_v"),
                  (norm2("_u") > 0).cast("long").alias("_nz"))
-    keys = [c for c in u.columns if c not in ("_v", "_nz")]
-    return u.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_nz").alias("q"),
-                                vector_to_array(Summarizer.sum(F.col("_v"))).alias("S"))
+    return u.groupBy(*kcols).agg(F.count(F.lit(1)).alias("n"), F.sum("_nz").alias("q"),
+                                 vector_to_array(Summarizer.sum(F.col("_v"))).alias("S"))
 
 
 def _pair_sum(S: Column, q: Column) -> Column:
@@ -88,29 +91,31 @@ def _mean(sum_col: Column, pairs_col: Column) -> Column:
 
 
 def _total(sums: DataFrame) -> DataFrame:
-    """Whole-corpus (n, q, S) from per-group sums (bounded by group count)."""
-    return sums.agg(F.sum("n").alias("n"), F.sum("q").alias("q"),
-                    vector_to_array(Summarizer.sum(array_to_vector("S"))).alias("S"))
+    """Whole-corpus pair sum from the per-group sums (one row, zeros when
+    empty): ||sum_c S_c||^2 by vector position over a table bounded by
+    groups x D."""
+    pos = sums.select(F.posexplode("S").alias("_i", "_x")).groupBy("_i").agg(F.sum("_x").alias("_s"))
+    s2 = pos.agg(F.coalesce(F.sum(F.col("_s") * F.col("_s")), F.lit(0.0)).alias("s2"))
+    nq = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("q"), F.lit(0)).alias("q"))
+    r = one_row(nq, s2)
+    return r.select("n", ((F.col("s2") - F.col("q")) / 2.0).alias("all_sum"),
+                    _pairs(F.col("n")).alias("all_pairs"))
 
 
 def mean_pairwise_cosine(df: DataFrame, emb: str = "embedding") -> DataFrame:
     """Mean cosine over i<j; fewer than 2 rows gives 0.0."""
-    t = class_sums(df, emb, [])
-    return t.select(F.col("n").alias("n"),
-                    _mean(_pair_sum(F.col("S"), F.col("q")), _pairs(F.col("n"))).alias("mean_cosine"))
+    t = _total(class_sums(df, emb, []))
+    return t.select("n", _mean(F.col("all_sum"), F.col("all_pairs")).alias("mean_cosine"))
 
 
 def cosine_by_class(df: DataFrame, emb: str = "embedding", label: str = "label") -> DataFrame:
     """(inter, intra) mean cosine; class = label equality (a float soft
     label makes each distinct value its own class)."""
     per = class_sums(df, emb, [F.col(label).alias("_cls")])
-    intra = per.agg(F.sum(_pair_sum(F.col("S"), F.col("q"))).alias("intra_sum"),
-                    F.sum(_pairs(F.col("n"))).alias("intra_pairs"),
+    intra = per.agg(F.coalesce(F.sum(_pair_sum(F.col("S"), F.col("q"))), F.lit(0.0)).alias("intra_sum"),
+                    F.coalesce(F.sum(_pairs(F.col("n"))), F.lit(0.0)).alias("intra_pairs"),
                     F.count(F.lit(1)).alias("n_classes"))
-    tot = _total(per).select(F.col("n").alias("n"),
-                             _pair_sum(F.col("S"), F.col("q")).alias("all_sum"),
-                             _pairs(F.col("n")).alias("all_pairs"))
-    r = one_row(intra, tot)
+    r = one_row(intra, _total(per))
     return r.select(
         "n", "n_classes",
         _mean(F.col("all_sum") - F.col("intra_sum"), F.col("all_pairs") - F.col("intra_pairs")).alias("inter"),
@@ -136,10 +141,7 @@ def cosine_multilabel(df: DataFrame, emb: str, classes: Sequence[str]) -> DataFr
     sign = F.when(F.bit_count("A") % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
     intra = t_a.agg(F.coalesce(F.sum(sign * _pair_sum(F.col("S"), F.col("q"))), F.lit(0.0)).alias("intra_sum"),
                     F.coalesce(F.sum(sign * _pairs(F.col("n"))), F.lit(0.0)).alias("intra_pairs"))
-    tot = _total(per).select(F.col("n").alias("n"),
-                             _pair_sum(F.col("S"), F.col("q")).alias("all_sum"),
-                             _pairs(F.col("n")).alias("all_pairs"))
-    r = one_row(intra, tot)
+    r = one_row(intra, _total(per))
     return r.select(
         "n",
         _mean(F.col("all_sum") - F.col("intra_sum"), F.col("all_pairs") - F.col("intra_pairs")).alias("inter"),

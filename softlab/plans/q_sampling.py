@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import sampling as S
 from ..operators.binning import histogram, linspace_edges
+from ..operators.common import scalar_of
 from ..sources import fixtures as X
 from .registry import query, rounded
 
@@ -18,10 +19,14 @@ def _hx(expr: str, digits: int = 15) -> str:
     return f"CAST(('0x' || substr({expr}, 1, {digits})) AS BIGINT)"
 
 
-@query("sample_n", ops="N1", sql=f"""
-SELECT id, p, y FROM soft_binary ORDER BY md5('{SEED}:' || CAST(id AS VARCHAR)), id LIMIT 2500""")
+@query("sample_n", ops="N1 N5", sql=f"""
+SELECT id, p, y FROM soft_binary ORDER BY md5('{SEED}:' || CAST(id AS VARCHAR)), id
+LIMIT (SELECT CAST(floor(count(*) * 0.25) AS BIGINT) FROM soft_binary)""")
 def sample_n(spark, sf_dir):
-    return S.sample_n(X.soft_binary(spark, sf_dir), 2500, SEED)
+    """A quarter of the rows (n = int(N * .25), as the ratio sizes do)."""
+    sb = X.soft_binary(spark, sf_dir)
+    n = scalar_of(sb.agg(F.floor(F.count(F.lit(1)) * 0.25).cast("long").alias("n"))).getField("n")
+    return S.sample_n(sb, n, SEED)
 
 
 @query("auto_limit", ops="N2", sql=f"""
