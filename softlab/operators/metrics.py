@@ -219,3 +219,41 @@ def brier_binary(df: DataFrame, y: ColumnOrName, p: ColumnOrName) -> DataFrame:
 def window_total(col: str) -> Column:
     """Total over a bounded (per-bin / per-class) table."""
     return F.sum(col).over(Window.partitionBy())
+
+
+# Metric registry, name -> builder over a scored DataFrame (y, proba)
+def _m_accuracy(s, y, proba, average):
+    return s.agg(accuracy(y, L.argmax(proba)).alias("accuracy"))
+
+
+def _m_prf(name):
+    def f(s, y, proba, average):
+        return prf(s.withColumn("_yhat", L.argmax(proba)), y, "_yhat", average).select(
+            F.col(name).alias(name if name != "f1" else "f1_score"))
+    return f
+
+
+def _m_roc_auc(s, y, proba, average):
+    return ovr_average(ovr_auc_ap(s, y, proba), "roc_auc", average)
+
+
+def _m_auprc(s, y, proba, average):
+    per = ovr_auc_ap(s, y, proba).withColumnRenamed("average_precision", "auprc")
+    return ovr_average(per, "auprc", average)
+
+
+def _m_ece(s, y, proba, average):
+    return C.ece_per_class_avg(s, y, proba, 10, average)
+
+
+METRIC_REGISTRY = {"accuracy": _m_accuracy, "precision": _m_prf("precision"), "recall": _m_prf("recall"),
+                   "f1_score": _m_prf("f1"), "roc_auc": _m_roc_auc, "auprc": _m_auprc, "ece": _m_ece}
+
+
+def evaluate(scored: DataFrame, y: str, proba: str, metrics=None, average: str = "macro") -> DataFrame:
+    """Any subset of the registered metrics, one row."""
+    names = list(metrics or METRIC_REGISTRY)
+    unknown = [n for n in names if n not in METRIC_REGISTRY]
+    if unknown:
+        raise ValueError(f"unknown metrics {unknown}")
+    return one_row(*[METRIC_REGISTRY[n](scored, y, proba, average) for n in names])

@@ -102,3 +102,31 @@ def pivot_best(df: DataFrame, ids: Sequence[str], var: str, val: str,
         *cols,
         F.max_by(F.col(var), F.struct(F.col(val), -F.col(var).cast("double"))).alias(f"best_{var}"),
         F.max(val).alias(f"best_{val}"))
+
+
+# fixed values: dataset configuration (class names in label order, K)
+DATASETS = [
+    ("imdb", 2, ["negative", "positive"]),
+    ("sst", 2, ["negative", "positive"]),
+    ("subj", 2, ["objective", "subjective"]),
+    ("emotion", 6, ["sadness", "joy", "love", "anger", "fear", "surprise"]),
+    ("agnews", 4, ["World", "Sports", "Business", "Sci/Tech"]),
+]
+
+
+def dataset_config(spark) -> DataFrame:
+    """One row per dataset (name, K, class names); bounded by the number
+    of datasets, so ``lookup_config`` may broadcast it."""
+    return spark.createDataFrame([(n, k, c) for n, k, c in DATASETS],
+                                 "dataset string, k int, class_names array<string>")
+
+
+def rename_drop(df: DataFrame, renames: dict[str, str], drop: Sequence[str] = ()) -> DataFrame:
+    """Rename and drop columns (e.g. sentence -> text, label -> labels)."""
+    return df.withColumnsRenamed(renames).drop(*drop)
+
+
+def rename_by_regex(df: DataFrame, prefix: str) -> DataFrame:
+    """Strip a prefix from column names and lower-case them."""
+    import re
+    return df.toDF(*[re.sub(rf"^{re.escape(prefix)}", "", c).lower() for c in df.columns])

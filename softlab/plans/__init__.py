@@ -12,5 +12,6 @@ from . import q_sampling  # noqa: F401
 from . import q_reshape  # noqa: F401
 from . import q_models  # noqa: F401
 from . import q_io  # noqa: F401
+from . import q_extra  # noqa: F401
 
 REGISTRY = registry.REGISTRY

@@ -19,7 +19,8 @@ SELECT e.vec_id AS id, CAST(e.label AS INTEGER) AS label, CAST(len(f.embedding)
        round(sqrt(list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[]))), 9) AS norm
 FROM embeddings e JOIN embeddings f ON e.vec_id = f.vec_id""")
 def align_embeddings(spark, sf_dir):
-    emb = X.table(spark, sf_dir, "embeddings")
+    from ..sources.readers import read_embeddings
+    emb = X.spread(read_embeddings(spark, f"{sf_dir}/embeddings.parquet"), ["vec_id"])
     labels = emb.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"))
     feats = emb.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     a = RS.align_embeddings(labels, feats, "id")

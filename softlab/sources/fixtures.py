@@ -251,3 +251,15 @@ def with_views(sql: str) -> str:
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
+
+
+def _register_loaders():
+    """The fixture views are the registered synthetic / oracle loaders."""
+    from .readers import register_oracle, register_synthetic
+    for name, fn in SPARK.items():
+        register_synthetic(name, fn)
+    register_oracle("gold_text", gold_text)
+    register_oracle("emb_labeled", emb_labeled)
+
+
+_register_loaders()

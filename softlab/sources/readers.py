@@ -43,11 +43,11 @@ def read_generated(spark: SparkSession, path: str | Sequence[str], kind: str = "
 
 
 def add_row_id(df: DataFrame, col: str = "row_id") -> DataFrame:
-    """Stable 0-based row ids for line-oriented inputs (done once at ingest
-    and stored): ``zipWithIndex`` over the scan's partitions."""
-    spark = df.sparkSession
-    rdd = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return spark.createDataFrame(rdd, df.schema.add(col, "long"))
+    """Unique row ids for line-oriented inputs, computed JVM-side from the
+    scan's (split, position).  Stable for a given file set and split size,
+    so it is assigned once at ingest and stored with the rows (never
+    recomputed on a later read)."""
+    return df.withColumn(col, F.monotonically_increasing_id())
 
 
 def read_embeddings(spark: SparkSession, path: str, feature_col: str = "embedding") -> DataFrame:
@@ -61,12 +61,14 @@ def read_title_content(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("text", null_safe_concat("title", "content"))
 
 
-def read_run_sweep(spark: SparkSession, root: str, pattern: str = "*/data.jsonl",
-                   kind: str = "binary") -> DataFrame:
-    """One folder per setting; the folder name becomes the ``setting``
-    column (from the file path metadata, no per-folder reads)."""
-    df = read_generated(spark, f"{root.rstrip('/')}/{pattern}", kind)
-    return df.withColumn("setting", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
+def read_run_sweep(spark: SparkSession, root: str, kind: str = "binary") -> DataFrame:
+    """One folder per setting under ``root``; the folder name (a
+    ``key=`` prefix is stripped) becomes the ``setting`` column, taken from
+    the file-path metadata, so all settings are read in one scan."""
+    import re
+    df = read_generated(spark, f"{root.rstrip('/')}/*", kind)
+    pat = re.escape(root.rstrip("/").split(":", 1)[-1]) + r"/(?:[^/=]+=)?([^/]+)/"
+    return df.withColumn("setting", F.regexp_extract(F.col("_metadata.file_path"), pat, 1))
 
 
 def read_result_tables(spark: SparkSession, files: dict[str, str], flag: str = "CoT",
