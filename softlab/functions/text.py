@@ -34,7 +34,8 @@ def clean_text(text: ColumnOrName) -> Column:
     t = F.lower(_c(text))
     t = F.regexp_replace(t, F.lit(r"[^a-zA-Z0-9" + WS + "]"), F.lit(""))
     t = F.regexp_replace(t, F.lit("[" + WS + "]+"), F.lit(" "))
-    return strip_text(t)
+    # every whitespace run is now one space, so trimming spaces is exact
+    return F.trim(t)
 
 
 def strip_text(text: ColumnOrName) -> Column:

@@ -168,7 +168,7 @@ def score(scored: DataFrame, y: str, proba: str, metric: str, k: int) -> DataFra
 
 
 # ----------------------------------------------------------- M3, M8 (CV)
-GRID_THREADS = 4
+GRID_THREADS = 8
 
 
 def run_grid(cell, cells, threads: int = GRID_THREADS) -> list:

@@ -5,8 +5,8 @@ two-level instead:
 
 1. pre-aggregate (``groupBy(score)``: heavy ties collapse map-side), or work
    on a hash whose prefix spreads rows uniformly;
-2. cut the ordered domain into at most ``chunks`` contiguous chunks and
-   total each chunk -> a table bounded by the chunk count;
+2. cut the ordered domain into at most 65,536 contiguous chunks and
+   total each chunk -> a table bounded by the chunk count (~1 MB);
 3. chunk offsets from that bounded table, broadcast back (size proven by
    construction), plus a window *inside* one chunk.
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ColumnOrName = Column | str
-DEFAULT_CHUNKS = 4096
-HASH_PREFIX = 3          # hex chars -> 4096 chunks
+DEFAULT_CHUNKS = 65536   # value chunks for scores in [0, 1]
+HASH_PREFIX = 4          # hex chars -> 65,536 chunks (~1.5 GB per chunk at 100 TB)
 BROADCAST_ROWS = 2_000_000
 
 
@@ -117,8 +117,8 @@ def hash_rank(df: DataFrame, h: ColumnOrName, out: str = "rank",
               group_cols: Sequence[str] = (), tie: ColumnOrName | None = None) -> DataFrame:
     """Exact 0-based rank of every row by hex hash ``h`` within each group.
 
-    Chunk counts (<= groups x 4096 rows) give offsets; the window runs inside
-    (group, hash-prefix) partitions, each ~1/4096 of its group."""
+    Chunk counts (<= groups x 65,536 rows) give offsets; the window runs
+    inside (group, hash-prefix) partitions, each ~1/65,536 of its group."""
     gcols = list(group_cols)
     d = df.withColumn("_h", _c(h)).withColumn("_hc", hash_chunk("_h"))
     counts = d.groupBy(*gcols, "_hc").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -146,7 +146,7 @@ def take_smallest(df: DataFrame, h: ColumnOrName, n: int | Column | None = None,
     w_cum = Window.partitionBy(*gcols).orderBy("_hc").rowsBetween(Window.unboundedPreceding, -1)
     plan = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w_cum), F.lit(0)))
     if n_from_min_group:
-        # bounded window: counts has <= groups x 4096 rows
+        # bounded window: counts has <= groups x 65,536 rows
         tot = F.sum("_cnt").over(Window.partitionBy(*gcols))
         plan = plan.withColumn("_gt", tot).withColumn("_n", F.min("_gt").over(Window.partitionBy()))
     else:
