@@ -65,9 +65,9 @@ def influence_scores(train: DataFrame, val: DataFrame, features: str = "embeddin
     b = model.intercepts                # K
     d, k = W.shape
     size = (d + 1) * k
-    tr = train.select(id_col, F.col(features).cast("array<double>").alias("x"),
-                      F.col(probs).alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
-    n = tr.count()
+    n = train.count()
+    tr = MD.right_size(train.select(id_col, F.col(features).cast("array<double>").alias("x"),
+                                    F.col(probs).alias("p")), n).persist(StorageLevel.MEMORY_AND_DISK)
 
     def xq(pdf):
         X = np.stack(pdf["x"].to_numpy())

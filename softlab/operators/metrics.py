@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import labels as L
 from . import calibration as C
-from .common import one_row
+from .common import one_row, scalar_of
 from .ranking import prefix_table
 
 ColumnOrName = Column | str
@@ -180,32 +180,79 @@ def roc_auc_ovo(df: DataFrame, y: ColumnOrName, probs: ColumnOrName, k: int) ->
 
 
 # --------------------------------------------------------------- evaluators
+def _score_table_metrics(pt: DataFrame, group_cols=(), threshold: float | None = 0.5,
+                         n_bins: int = 10) -> DataFrame:
+    """Every binary metric from one distinct-score prefix table
+    (score, tp, nn, *_through, *_before): threshold counts, AUC, AP and the
+    (lo, hi] ECE (bins are a function of the score, so they fold from the
+    same table).  One scan of the data feeds all of them."""
+    from .binning import bin_right_closed, linspace_edges
+    g = list(group_cols)
+    neg = F.col("nn") - F.col("tp")
+    ge = F.col("score") >= F.lit(threshold) if threshold is not None else F.lit(False)
+    main = pt.groupBy(*g).agg(
+        F.sum("tp").alias("P"), F.sum("nn").alias("NA"),
+        F.sum(neg.cast("double") * (F.col("tp_before") + F.col("tp") / 2.0)).alias("_auc"),
+        F.sum(F.col("tp").cast("double") * F.col("tp_through") / F.col("nn_through")).alias("_ap"),
+        F.sum(F.when(ge, F.col("tp")).otherwise(0)).alias("TPt"),
+        F.sum(F.when(ge, F.col("nn")).otherwise(0)).alias("PPt"))
+    b = bin_right_closed("score", linspace_edges(n_bins))
+    bins = pt.groupBy(*g, b.alias("_b")).agg(
+        F.sum("nn").alias("bn"), F.sum("tp").alias("bt"),
+        F.sum(F.col("score") * F.col("nn")).alias("bs")) \
+        .filter((F.col("_b") >= 0) & (F.col("_b") < n_bins)) \
+        .groupBy(*g).agg(F.sum(F.abs(F.col("bt") - F.col("bs"))).alias("_ece"))
+    if g:
+        j = main.join(bins, g, "left")
+        ece_num = F.coalesce(F.col("_ece"), F.lit(0.0))
+    else:
+        ece_num = F.coalesce(scalar_of(bins).getField("_ece"), F.lit(0.0))
+        j = main
+    P, NA = F.col("P").cast("double"), F.col("NA").cast("double")
+    N = NA - P
+    tp, pp = F.col("TPt").cast("double"), F.col("PPt").cast("double")
+    return j.select(
+        *g, F.col("P").cast("long").alias("n_pos"), N.cast("long").alias("n_neg"),
+        _div0(tp + (NA - pp) - (P - tp), NA).alias("accuracy"),
+        _div0(tp, pp).alias("precision"), _div0(tp, P).alias("recall"),
+        _div0(2 * tp, pp + P).alias("f1_score"),
+        F.when((P > 0) & (N > 0), F.col("_auc") / (P * N)).alias("roc_auc"),
+        F.when(P > 0, F.col("_ap") / P).alias("auprc"),
+        F.coalesce(F.when(NA > 0, ece_num / NA), F.lit(0.0)).alias("ece"))
+
+
 def evaluate_binary(df: DataFrame, y: ColumnOrName, p: ColumnOrName,
                     threshold: float = 0.5, n_bins: int = 10) -> DataFrame:
     """A38 (binary): accuracy, precision, recall, f1 at ``p >= t``, ROC AUC,
-    average precision and ECE in one row."""
-    s = df.select(_c(y).cast("int").alias("y"), _c(p).cast("double").alias("p")) \
-        .withColumn("yhat", L.predict_at("p", threshold))
-    cls = prf(s, "y", "yhat", "binary")
-    acc = s.agg(accuracy("y", "yhat").alias("accuracy"))
-    rk = auc_ap_table(s, "y", "p").select("roc_auc", F.col("average_precision").alias("auprc"))
-    ece = C.ece_binary(s, "y", "p", n_bins).select("ece")
-    return _one_row(acc, cls.withColumnRenamed("f1", "f1_score"), rk, ece)
+    average precision and ECE in one row, all folded from one distinct-score
+    prefix table (one scan, one shuffle of distinct scores)."""
+    d = df.select(_c(y).cast("long").alias("_y"), _c(p).cast("double").alias("_s"))
+    pt = prefix_table(d, "_s", {"tp": F.sum("_y"), "nn": F.count(F.lit(1))}, descending=True)
+    return _score_table_metrics(pt, (), threshold, n_bins).select(
+        "accuracy", "precision", "recall", "f1_score", "roc_auc", "auprc", "ece")
 
 
 def evaluate_multiclass(df: DataFrame, y: ColumnOrName, probs: ColumnOrName,
                         average: str = "macro", n_bins: int = 10) -> DataFrame:
-    """A38 (multiclass): accuracy, P/R/F1 (average), OvR ROC AUC, OvR AP and
-    per-class ECE, averaged the same way, in one row."""
+    """A38 (multiclass): accuracy and P/R/F1 (average) from the confusion
+    counts; OvR ROC AUC, OvR AP and per-class ECE from one per-(class,
+    score) prefix table; averaged the same way; one row."""
     s = df.select(_c(y).cast("int").alias("y"), _c(probs).alias("probs")) \
         .withColumn("yhat", L.argmax("probs"))
     acc = s.agg(accuracy("y", "yhat").alias("accuracy"))
     cls = prf(s, "y", "yhat", average).withColumnRenamed("f1", "f1_score")
-    per = ovr_auc_ap(s, "y", "probs")
-    auc = ovr_average(per, "roc_auc", average)
-    ap = ovr_average(per.withColumnRenamed("average_precision", "auprc"), "auprc", average)
-    ece = C.ece_per_class_avg(s, "y", "probs", n_bins, average)
-    return _one_row(acc, cls, auc, ap, ece)
+    ex = explode_ovr(s, "y", "probs")
+    pt = prefix_table(ex.select("cls", F.col("y").cast("long").alias("_y"), F.col("p").alias("_s")), "_s",
+                      {"tp": F.sum("_y"), "nn": F.count(F.lit(1))}, descending=True, group_cols=["cls"])
+    per = _score_table_metrics(pt, ["cls"], None, n_bins)
+    if average == "macro":
+        ovr = per.agg(F.avg("roc_auc").alias("roc_auc"), F.avg("auprc").alias("auprc"), F.avg("ece").alias("ece"))
+    elif average == "weighted":
+        w = F.col("n_pos").cast("double")
+        ovr = per.agg(*[(F.sum(F.col(m) * w) / F.sum(w)).alias(m) for m in ("roc_auc", "auprc", "ece")])
+    else:
+        raise ValueError("average must be 'macro' or 'weighted'")
+    return one_row(acc, cls, ovr)
 
 
 def _one_row(*parts: DataFrame) -> DataFrame:

@@ -40,6 +40,22 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+ROWS_PER_PARTITION = 50_000
+
+
+def right_size(df: DataFrame, n_rows: int, rows_per_part: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Iterative solvers pay one job per iteration; tiny inputs spread over
+    many partitions pay that latency per task.  Coalesce (no shuffle) to
+    ceil(n / rows_per_part) partitions; large inputs keep their partitioning."""
+    import math
+    target = max(1, math.ceil(n_rows / rows_per_part))
+    try:
+        cur = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return df
+    return df.coalesce(target) if cur > target else df
+
+
 def _check_params(C_: float, k: int | None = None):
     if not (C_ > 0 and np.isfinite(C_)):
         raise ValueError("C must be a positive finite number")
@@ -100,12 +116,12 @@ def fit_soft_lr(df: DataFrame, features: str = "embedding", probs: str = "label"
     constant feature instead of a free intercept.  Weights must be >= 0."""
     _check_params(C)
     w = _c(weight).cast("double") if weight else F.lit(1.0)
-    total_w = df.agg(F.sum(w).alias("w"), F.min(w).alias("mn")).first()
+    total_w = df.agg(F.sum(w).alias("w"), F.min(w).alias("mn"), F.count(F.lit(1)).alias("n")).first()
     if total_w["w"] is None or total_w["w"] <= 0:
         raise ValueError("sum of weights must be positive")
     if total_w["mn"] < 0:
         raise ValueError("weights must be >= 0")
-    ex = explode_soft(df, features, probs, weight, constant_feature=penalize_intercept)
+    ex = explode_soft(right_size(df, total_w["n"]), features, probs, weight, constant_feature=penalize_intercept)
     lr = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight",
                             family="multinomial", regParam=1.0 / (C * total_w["w"]),
                             elasticNetParam=0.0, standardization=False,
@@ -115,7 +131,7 @@ def fit_soft_lr(df: DataFrame, features: str = "embedding", probs: str = "label"
 
 
 def fit_standard_lr(df: DataFrame, features: str, label: str, C: float | None = 1.0,
-                    binary: bool | None = None, max_iter: int = 200, tol: float = 1e-6) -> SoftLRModel:
+                    binary: bool | None = None, max_iter: int = 100, tol: float = 1e-6) -> SoftLRModel:
     """Hard-label L2 LR (``C=None`` -> unregularised).  Binary data
     uses one coefficient vector (binomial), as the reference's solver does."""
     n = df.count()
@@ -123,8 +139,8 @@ def fit_standard_lr(df: DataFrame, features: str, label: str, C: float | None =
     if C is not None:
         _check_params(C)
     fam = "auto" if binary is None else ("binomial" if binary else "multinomial")
-    d = df.select(array_to_vector(_c(features).cast("array<double>")).alias("_features"),
-                  _c(label).cast("double").alias("_label"))
+    d = right_size(df, n).select(array_to_vector(_c(features).cast("array<double>")).alias("_features"),
+                                 _c(label).cast("double").alias("_label"))
     lr = LogisticRegression(featuresCol="_features", labelCol="_label", family=fam, regParam=reg,
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
     return SoftLRModel(lr.fit(d), features)
@@ -395,9 +411,11 @@ def fit_gce_lr(df: DataFrame, features: str = "embedding", probs: str = "label",
     _check_params(C)
     if not 0 < q <= 1:
         raise ValueError("q must be in (0, 1]")
-    first = df.select(F.size(features).alias("d"), F.size(probs).alias("k")).first()
+    first = df.agg(F.first(F.size(features)).alias("d"), F.first(F.size(probs)).alias("k"),
+                   F.count(F.lit(1)).alias("n")).first()
     d, k = int(first["d"]), int(first["k"])
-    data = df.select(features, probs, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    data = right_size(df.select(features, probs, *([weight] if weight else [])), first["n"]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     rng = np.random.default_rng(seed)
     x0 = np.concatenate([rng.normal(0.0, 0.01, size=d * k), np.zeros(k)])
 
