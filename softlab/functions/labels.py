@@ -178,7 +178,7 @@ def validate_soft_label_status(v: ColumnOrName, k: int | None = None,
     s = vsum(clipped)
     changed = F.exists(v, lambda x: (x < F.lit(0.0)) | (x > F.lit(1.0)))
     chain = F.when(bad, F.lit(OUT_OF_RANGE)).when(s == 0, F.lit(ZERO_SUM)) \
-        .when(F.abs(s - F.lit(1.0)) > F.lit(2 * atol), F.lit(RENORMALISED)) \
+        .when(F.abs(s - F.lit(1.0)) > F.lit(atol), F.lit(RENORMALISED)) \
         .when(changed, F.lit(CLIPPED)).otherwise(F.lit(VALID))
     if k is not None:
         return F.when(F.size(v) != F.lit(k), F.lit(BAD_LENGTH)).otherwise(chain)
@@ -187,13 +187,15 @@ def validate_soft_label_status(v: ColumnOrName, k: int | None = None,
 
 def validate_soft_label(v: ColumnOrName, atol: float = 1e-5) -> Column:
     """P12 value: clip to [0,1] and renormalise when the sum is off by more
-    than ``2*atol``; out-of-range or zero-sum vectors give null."""
+    than ``atol`` (the reference leaves sums off by atol..2*atol alone and
+    then fails them; these are renormalised here); out-of-range or zero-sum
+    vectors give null."""
     v = _c(v)
     lo, hi = -atol, 1.0 + atol
     bad = F.exists(v, lambda x: (x < F.lit(lo)) | (x > F.lit(hi)) | x.isNull() | F.isnan(x))
     clipped = F.transform(v, lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
     s = vsum(clipped)
-    fixed = F.when(F.abs(s - F.lit(1.0)) > F.lit(2 * atol),
+    fixed = F.when(F.abs(s - F.lit(1.0)) > F.lit(atol),
                    F.transform(clipped, lambda x: x / s)).otherwise(clipped)
     return F.when(~bad & (s != 0), fixed)
 

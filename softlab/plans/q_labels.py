@@ -81,9 +81,9 @@ WITH c AS (SELECT id, v, list_transform(v, lambda x: least(greatest(x, 0.0), 1.0
 s AS (SELECT *, list_reduce(cl, lambda a, b: a + b) AS sm FROM c)
 SELECT id,
        CASE WHEN bad THEN 'out_of_range' WHEN sm = 0 THEN 'zero_sum'
-            WHEN abs(sm - 1.0) > 2e-5 THEN 'renormalised' WHEN changed THEN 'clipped' ELSE 'valid' END AS status,
+            WHEN abs(sm - 1.0) > 1e-5 THEN 'renormalised' WHEN changed THEN 'clipped' ELSE 'valid' END AS status,
        round(CASE WHEN bad OR sm = 0 THEN NULL
-                  WHEN abs(sm - 1.0) > 2e-5 THEN list_reduce(list_transform(cl, lambda x: x / sm), lambda a, b: a + b)
+                  WHEN abs(sm - 1.0) > 1e-5 THEN list_reduce(list_transform(cl, lambda x: x / sm), lambda a, b: a + b)
                   ELSE sm END, 9) AS fixed_sum
 FROM s""")
 def validate_vector(spark, sf_dir):

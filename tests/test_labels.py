@@ -49,6 +49,7 @@ def test_margins(spark):
     ([1.0 - 1e-6 + 1e-6, -1e-6, 0.0], "clipped"),
     ([0.6, -0.1, 0.5], "out_of_range"),
     ([0.5, 0.5], "bad_length"),
+    ([0.2 * 1.000015, 0.3 * 1.000015, 0.5 * 1.000015], "renormalised"),   # reference would raise
 ])
 def test_validate_soft_label(spark, vec, status):
     df = spark.createDataFrame([(vec,)], "v array<double>")
