@@ -44,6 +44,15 @@ def predict_at(p: ColumnOrName, threshold: float = 0.5) -> Column:
 
 
 # ------------------------------------------------------------ vector helpers
+# A per-row scalar referenced inside an array lambda (``transform(v, x -> x /
+# sum(v))``) is re-evaluated for every element once Catalyst inlines it: an
+# O(K^2) expression per row.  ``with_scalar`` passes the scalar as a repeated
+# array next to ``v`` instead, so it is evaluated once per row.
+def with_scalar(v: Column, s: Column, fn) -> Column:
+    """``[fn(x, s) for x in v]`` with ``s`` evaluated once per row."""
+    return F.zip_with(v, F.array_repeat(s, F.size(v)), fn)
+
+
 def vsum(v: ColumnOrName) -> Column:
     """Sum of an ``array<double>`` in index order."""
     return F.aggregate(_c(v), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
@@ -65,7 +74,7 @@ def normalize(v: ColumnOrName) -> Column:
     """Divide by the sum; a zero-sum vector gives null (rejected row)."""
     v = _c(v)
     s = vsum(v)
-    return F.when(s != 0, F.transform(v, lambda x: x / s))
+    return F.when(s != 0, with_scalar(v, s, lambda x, t: x / t))
 
 
 def max_prob(v: ColumnOrName) -> Column:
@@ -90,24 +99,22 @@ def entropy_norm(v: ColumnOrName, eps: float = 1e-10) -> Column:
 def softmax(v: ColumnOrName) -> Column:
     """P20: shift by the max; denominator + 1e-12."""
     v = _c(v)
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - m))
+    e = with_scalar(v, F.array_max(v), lambda x, m: F.exp(x - m))
     d = F.aggregate(e, F.lit(0.0).cast("double"), lambda acc, x: acc + x) + F.lit(1e-12)
-    return F.transform(e, lambda x: x / d)
+    return with_scalar(e, d, lambda x, t: x / t)
 
 
 def one_hot(idx: ColumnOrName, k: int) -> Column:
     """Indicator vector of length k as ``array<double>``."""
-    idx = _c(idx)
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                       lambda i: (i == idx).cast("double"))
+    seq = F.sequence(F.lit(0), F.lit(k - 1))
+    return with_scalar(seq, _c(idx), lambda i, j: (i == j).cast("double"))
 
 
 def probs_to_one_hot(v: ColumnOrName) -> Column:
     """One-hot of the argmax."""
     v = _c(v)
-    a = argmax(v)
-    return F.transform(v, lambda x, i: (i == a).cast("double"))
+    seq = F.sequence(F.lit(0), F.size(v) - 1)
+    return with_scalar(seq, argmax(v), lambda i, a: (i == a).cast("double"))
 
 
 def round_vector(v: ColumnOrName, digits: int = 3) -> Column:
@@ -196,7 +203,7 @@ def validate_soft_label(v: ColumnOrName, atol: float = 1e-5) -> Column:
     clipped = F.transform(v, lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
     s = vsum(clipped)
     fixed = F.when(F.abs(s - F.lit(1.0)) > F.lit(atol),
-                   F.transform(clipped, lambda x: x / s)).otherwise(clipped)
+                   with_scalar(clipped, s, lambda x, t: x / t)).otherwise(clipped)
     return F.when(~bad & (s != 0), fixed)
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -58,10 +59,11 @@ def cosine_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 
 def unit(v: ColumnOrName) -> Column:
-    """Unit vector; the zero vector stays zero."""
+    """Unit vector as an array column; the zero vector stays zero."""
+    from ..functions.labels import with_scalar
     v = _c(v)
     n = F.sqrt(norm2(v))
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x * 0.0))
+    return with_scalar(v, F.when(n > 0, n).otherwise(F.lit(1.0)), lambda x, t: x / t)
 
 
 def class_sums(df: DataFrame, emb: str, by: Sequence[ColumnOrName]) -> DataFrame:
@@ -70,10 +72,12 @@ def class_sums(df: DataFrame, emb: str, by: Sequence[ColumnOrName]) -> DataFrame
     Always grouped (a constant key when ``by`` is empty), so an empty input
     gives an empty table instead of an empty Summarizer."""
     keys = list(by) if by else [F.lit(0).alias("_all")]
-    u = df.select(*keys, unit(emb).alias("_u"))
-    kcols = [c for c in u.columns if c != "_u"]
-    u = u.select(*kcols, array_to_vector("_u").alias("_v"),
-                 (norm2("_u") > 0).cast("long").alias("_nz"))
+    e = F.col(emb).cast("array<double>")
+    v = df.select(*keys, array_to_vector(e).alias("_x"),
+                  F.exists(e, lambda x: x != 0).cast("long").alias("_nz"))
+    kcols = [c for c in v.columns if c not in ("_x", "_nz")]
+    # JVM-side L2 normalisation (a zero vector is returned unchanged)
+    u = Normalizer(inputCol="_x", outputCol="_v", p=2.0).transform(v)
     return u.groupBy(*kcols).agg(F.count(F.lit(1)).alias("n"), F.sum("_nz").alias("q"),
                                  vector_to_array(Summarizer.sum(F.col("_v"))).alias("S"))
 

@@ -73,3 +73,16 @@ SELECT count(*) AS n, round(avg(cos), 9) AS mean_cosine, round(stddev_pop(cos),
 def vector_alignment(spark, sf_dir):
     from ..operators.agreement import vector_alignment as va
     return rounded(va(X.judged_vector(spark, sf_dir), "label", "judged"))
+
+
+def _replicated(spark, sf_dir, times: int = 100):
+    """emb_labeled replicated ``times`` over (derived from the table, so the
+    work grows with it); copies keep their class and get distinct ids."""
+    e = X.emb_labeled(spark, sf_dir)
+    rep = e.select("id", "embedding", "label", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("_c"))
+    return rep.select((F.col("id") * times + F.col("_c")).alias("id"), "embedding", "label")
+
+
+@query("intra_inter_cosine_x100", ops="A26 at 100x replication (no N^2 oracle; closed-form test)")
+def intra_inter_cosine_x100(spark, sf_dir):
+    return rounded(S.cosine_by_class(_replicated(spark, sf_dir), "embedding", "label"))

@@ -97,8 +97,7 @@ def _md5_weights(id_col, salt: str, k: int = K_VECTOR):
 
 
 def _normalised(w):
-    s = L.vsum(w)
-    return F.transform(w, lambda x: x / s)
+    return L.with_scalar(w, L.vsum(w), lambda x, t: x / t)
 
 
 def _vector_truth(id_col, label):

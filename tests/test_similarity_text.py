@@ -88,3 +88,18 @@ def test_distinct_n_demo(spark):
     assert f["the cat"] == (2, 2) and "a dog" not in f
     empty = spark.createDataFrame([(0, "one")], "id int, text string")
     assert D.distinct_n(empty, 2).collect() == [] or D.distinct_n(empty, 2).first()["distinct_2"] == 0.0
+
+
+def test_replication_closed_form(spark):
+    """r copies of each vector: pair sums scale exactly, so the replicated
+    intra mean equals (r^2 * S_intra + pairs of identical copies) / pairs."""
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(12, 3))
+    lab = rng.integers(0, 3, size=12)
+    r = 5
+    rows = [(i * r + c, X[i].tolist(), int(lab[i])) for i in range(12) for c in range(r)]
+    df = spark.createDataFrame(rows, "id long, e array<double>, label int")
+    got = S.cosine_by_class(df, "e", "label").first()
+    Xr = np.repeat(X, r, axis=0)
+    avg, inter, intra = naive(Xr, np.repeat(lab, r))
+    assert abs(got.intra - intra) < 1e-12 and abs(got.inter - inter) < 1e-12
