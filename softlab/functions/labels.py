@@ -93,7 +93,8 @@ def entropy_norm(v: ColumnOrName, eps: float = 1e-10) -> Column:
     v = _c(v)
     h = F.aggregate(v, F.lit(0.0).cast("double"),
                     lambda acc, x: acc - x * F.log(x + F.lit(eps)))
-    return h / F.log(F.size(v).cast("double"))
+    k = F.size(v).cast("double")
+    return F.when(k > 1, h / F.log(k)).otherwise(F.lit(0.0))   # ANSI: no 0/0 for K = 1
 
 
 def softmax(v: ColumnOrName) -> Column:

@@ -85,8 +85,9 @@ def gold_judge_alignment(spark, sf_dir):
 def platt(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     m = MD.fit_standard_lr(train, "embedding", "yb", C=0.01, binary=True)
+    pc = F.least(F.greatest(F.col("p1"), F.lit(1e-15)), F.lit(1 - 1e-15))
     sc = m.predict_proba(test, "proba").withColumn("p1", F.col("proba")[1]) \
-        .withColumn("margin", F.log(F.col("p1") / (F.lit(1.0) - F.col("p1"))))
+        .withColumn("margin", F.log(pc / (F.lit(1.0) - pc)))
     cal = MD.platt_calibrate(sc, "margin", "yb")
     cal_m = MD.SoftLRModel(cal.model, "_m")
     sc2 = cal_m.predict_proba(sc.withColumn("_m", F.array("margin")), "cal").withColumn("pc", F.col("cal")[1])
