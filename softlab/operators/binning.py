@@ -85,7 +85,8 @@ def bin_searchsorted(x: ColumnOrName, n_bins: int) -> Column:
 
 def bin_table(df: DataFrame, bin_col: ColumnOrName, n_bins: int,
               sums: dict[str, Column], group_cols: Sequence[str] = (),
-              extra: dict[str, Column] | None = None) -> DataFrame:
+              extra: dict[str, Column] | None = None,
+              over_bins: dict | None = None) -> DataFrame:
     """Dense per-bin table, one row per (group, bin in 0..n-1).
 
     ``sums`` are additive aggregates (count/sum/min/max) computed per bin.
@@ -93,6 +94,10 @@ def bin_table(df: DataFrame, bin_col: ColumnOrName, n_bins: int,
     no bin (they are merged from the per-bin partials, so they must be sums,
     mins or maxes named ``sum_*``, ``min_*``, ``max_*`` or ``n``).
 
+    ``over_bins`` maps a name to ``fn(values) -> Column`` where ``values``
+    is the array of per-bin structs of the in-range bins; it is evaluated on
+    the folded row (totals over bins without a window or a join).
+
     Rows are reduced map-side by ``groupBy(group, bin)``; the result has at
     most ``groups x (n+2)`` rows, so the second-level fold per group is
     bounded by the bin count, not by the data.
@@ -118,7 +123,12 @@ def bin_table(df: DataFrame, bin_col: ColumnOrName, n_bins: int,
         lambda i: F.struct(i.alias("bin"),
                            *[F.try_element_at(F.col("_m"), i).getField(k).alias(k)
                              for k in names]))
-    out = folded.select(*gcols, *[f"all_{k}" for k in names], F.inline(entries))
+    folds = {}
+    if over_bins:
+        in_range = F.map_values(F.map_filter("_m", lambda k, v: (k >= 0) & (k < F.lit(n_bins))))
+        folds = {name: fn(in_range) for name, fn in over_bins.items()}
+    out = folded.select(*gcols, *[f"all_{k}" for k in names],
+                        *[c.alias(k) for k, c in folds.items()], F.inline(entries))
     if extra:
         out = out.withColumns(extra)
     return out
@@ -129,16 +139,15 @@ def histogram(df: DataFrame, x: ColumnOrName, edges: Sequence[float],
     """A5: counts per [lo, hi) bin, last bin closed; optional per-hue density
     (count / (total in range * width))."""
     n = len(edges) - 1
+    total = {"_in_range": lambda vals: F.aggregate(vals, F.lit(0).cast("long"),
+                                                    lambda a, v: a + v["n"])}
     t = bin_table(df, bin_left_closed(x, edges), n, {"n": F.count(F.lit(1))},
-                  group_cols=hue)
+                  group_cols=hue, over_bins=total)
     lo = F.element_at(F.array(*[F.lit(float(e)) for e in edges[:-1]]), F.col("bin") + 1)
     hi = F.element_at(F.array(*[F.lit(float(e)) for e in edges[1:]]), F.col("bin") + 1)
-    # bin -1/null rows are not in range: total in range = sum over dense bins
     out = t.select(*hue, "bin", lo.alias("bin_lo"), hi.alias("bin_hi"),
-                   F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
+                   F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), "_in_range")
     if density:
-        from pyspark.sql.window import Window
-        # bounded: at most n rows per hue group
-        tot = F.sum("n").over(Window.partitionBy(*hue)) if hue else F.sum("n").over(Window.partitionBy())
+        tot = F.col("_in_range")
         out = out.withColumn("density", F.when(tot > 0, F.col("n") / (tot * (F.col("bin_hi") - F.col("bin_lo")))))
-    return out
+    return out.drop("_in_range")

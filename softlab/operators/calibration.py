@@ -98,24 +98,22 @@ def calibration_table(df: DataFrame, y: ColumnOrName, p: ColumnOrName,
     edges = linspace_edges(n_bins)
     p, y = _c(p).cast("double"), _c(y)
     correct = (L.predict_at(p, threshold) == y).cast("long")
+    ece_num = {"_ece_num": lambda vals: F.aggregate(
+        vals, F.lit(0.0).cast("double"), lambda a, v: a + F.abs(v["sum_y"] - v["sum_p"]))}
     t = bin_table(df, bin_right_closed(p, edges), n_bins,
                   {"n": F.count(F.lit(1)), "sum_p": F.sum(p),
-                   "sum_y": F.sum(y.cast("double")), "sum_ok": F.sum(correct)})
+                   "sum_y": F.sum(y.cast("double")), "sum_ok": F.sum(correct)}, over_bins=ece_num)
     n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
     conf = F.coalesce(_div(F.col("sum_p"), F.col("n").cast("double")), F.lit(0.0))
     acc = F.coalesce(_div(F.col("sum_y"), F.col("n").cast("double")), F.lit(0.0))
-    from pyspark.sql.window import Window
-    whole = Window.partitionBy()   # bounded: exactly n_bins rows
     lo = F.element_at(F.array(*[F.lit(e) for e in edges[:-1]]), F.col("bin") + 1)
     hi = F.element_at(F.array(*[F.lit(e) for e in edges[1:]]), F.col("bin") + 1)
     big_n = F.col("all_n").cast("double")
-    out = t.select("bin", lo.alias("bin_lo"), hi.alias("bin_hi"), n.alias("n"),
-                   conf.alias("confidence"), acc.alias("accuracy"), "all_n",
-                   "all_sum_p", "all_sum_ok")
-    return out.select(
-        "bin", "bin_lo", "bin_hi", "n", "confidence", "accuracy",
-        F.coalesce(_div(F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))).over(whole),
-                        big_n), F.lit(0.0)).alias("ece"),
+    # sum_b n_b |acc_b - conf_b| = sum_b |sum_y_b - sum_p_b|, folded per bin map
+    return t.select(
+        "bin", lo.alias("bin_lo"), hi.alias("bin_hi"), n.alias("n"),
+        conf.alias("confidence"), acc.alias("accuracy"),
+        F.coalesce(_div(F.col("_ece_num"), big_n), F.lit(0.0)).alias("ece"),
         F.coalesce(_div(F.col("all_sum_p"), big_n), F.lit(0.0)).alias("avg_confidence"),
         F.coalesce(_div(F.col("all_sum_ok").cast("double"), big_n), F.lit(0.0)).alias("overall_accuracy"),
         F.coalesce(F.col("all_n"), F.lit(0)).cast("long").alias("n_total"))

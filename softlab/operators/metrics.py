@@ -263,10 +263,6 @@ def brier_binary(df: DataFrame, y: ColumnOrName, p: ColumnOrName) -> DataFrame:
     return df.agg(C.brier_binary(df, y, p).alias("brier"))
 
 
-def window_total(col: str) -> Column:
-    """Total over a bounded (per-bin / per-class) table."""
-    return F.sum(col).over(Window.partitionBy())
-
 
 # Metric registry, name -> builder over a scored DataFrame (y, proba)
 def _m_accuracy(s, y, proba, average):

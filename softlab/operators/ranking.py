@@ -146,9 +146,11 @@ def take_smallest(df: DataFrame, h: ColumnOrName, n: int | Column | None = None,
     w_cum = Window.partitionBy(*gcols).orderBy("_hc").rowsBetween(Window.unboundedPreceding, -1)
     plan = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w_cum), F.lit(0)))
     if n_from_min_group:
-        # bounded window: counts has <= groups x 65,536 rows
-        tot = F.sum("_cnt").over(Window.partitionBy(*gcols))
-        plan = plan.withColumn("_gt", tot).withColumn("_n", F.min("_gt").over(Window.partitionBy()))
+        # the smallest group size, as a scalar subquery over the group totals
+        from .common import scalar_of
+        smallest = scalar_of(counts.groupBy(*gcols).agg(F.sum("_cnt").alias("g"))
+                             .agg(F.min("g").alias("m"))).getField("m")
+        plan = plan.withColumn("_n", smallest)
     else:
         plan = plan.withColumn("_n", n if isinstance(n, Column) else F.lit(int(n)))
     plan = plan.filter(F.col("_before") < F.col("_n")).select(
