@@ -112,17 +112,18 @@ def influence_scores(train: DataFrame, val: DataFrame, features: str = "embeddin
     tr.unpersist()
     S = s.reshape(d + 1, k)
 
-    # per-row score: -(x~^T S) . (Q_i - P_i), all JVM-side with S as literals
-    x = F.concat(F.col(features).cast("array<double>"), F.array(F.lit(1.0)))
-    proj = F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(float(val_)) for val_ in S[:, j]]),
-                                            lambda a, c: a * c), F.lit(0.0).cast("double"), lambda u, w: u + w)
-                     for j in range(k)])
-    lin = MD.LinearSoftmax(W, b, features)
-    scored = lin.predict_proba(train, "_q")
-    infl = -F.aggregate(F.zip_with(proj, F.zip_with(F.col("_q"), F.col(probs), lambda q, p: q - p),
-                                   lambda a, c: a * c), F.lit(0.0).cast("double"), lambda u, w: u + w)
+    # per-row score: -(x~^T S) . (Q_i - P_i); one numpy block per Arrow batch
+    @F.pandas_udf("double")
+    def score(x: pd.Series, p: pd.Series) -> pd.Series:
+        if len(x) == 0:
+            return pd.Series([], dtype="float64")
+        Xt, Q = xq(pd.DataFrame({"x": x}))
+        P = np.stack(p.to_numpy())
+        return pd.Series(-((Xt @ S) * (Q - P)).sum(axis=1))
+
     keep = hash_uniform(hash_key(seed, id_col, F.lit("infl"))) < F.lit(sample_frac)
-    return scored.select(id_col, F.when(keep, infl).otherwise(F.lit(float("-inf"))).alias("influence"))
+    infl = score(F.col(features).cast("array<double>"), F.col(probs))
+    return train.select(id_col, F.when(keep, infl).otherwise(F.lit(float("-inf"))).alias("influence"))
 
 
 def top_influential(scores: DataFrame, k: int, col: str = "influence") -> DataFrame:

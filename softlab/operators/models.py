@@ -313,13 +313,17 @@ class LinearSoftmax:
     features: str
 
     def predict_proba(self, df: DataFrame, out: str = "proba") -> DataFrame:
+        """softmax(x W + b) per row: an Arrow-batched pandas UDF doing one
+        numpy matmul per batch (the model, d x K numbers, travels in the
+        closure; it is not inlined as d*K literals into the plan)."""
         W, b = self.W, self.b
-        logits = F.array(*[
-            F.aggregate(F.zip_with(_c(self.features).cast("array<double>"),
-                                   F.array(*[F.lit(float(v)) for v in W[:, k]]), lambda x, w: x * w),
-                        F.lit(float(b[k])), lambda a, v: a + v)
-            for k in range(W.shape[1])])
-        return df.withColumn(out, L.softmax(logits))
+
+        @F.pandas_udf("array<double>")
+        def proba(x: pd.Series) -> pd.Series:
+            X = np.stack(x.to_numpy()) if len(x) else np.zeros((0, W.shape[0]))
+            return pd.Series(list(_softmax_np(X @ W + b)))
+
+        return df.withColumn(out, proba(F.col(self.features).cast("array<double>")))
 
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
         return self.predict_proba(df, "_p").withColumn(out, L.argmax("_p")).drop("_p")

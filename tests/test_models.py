@@ -84,3 +84,35 @@ def test_best_c_rules():
     assert MD.best_c({0.1: 0.5, 1.0: 0.7, 10.0: 0.7}, cs) == 1.0      # first C on ties
     assert MD.best_c({0.1: float("nan"), 1.0: float("-inf")}, cs) == 0.1
     assert MD.logspace_cs(3) == [1e-4, 1.0, 1e4]
+
+
+def test_influence_matches_explicit_hessian(spark):
+    from softlab.operators import influence as I
+    df, X, P = _data(spark, n=120, d=3, k=3, seed=9)
+    val, Xv, Pv = _data(spark, n=40, d=3, k=3, seed=10)
+    got = {r.id: r.influence for r in I.influence_scores(df, val, "x", "p", C=1.0, damping=0.01).collect()}
+    m = MD.fit_soft_lr(df, "x", "p", C=1.0)
+    W, b = m.coefficients.T, m.intercepts
+
+    def softmax(Z):
+        Z = Z - Z.max(1, keepdims=True)
+        E = np.exp(Z)
+        return E / E.sum(1, keepdims=True)
+
+    Xt = np.hstack([X, np.ones((len(X), 1))])
+    Q = softmax(X @ W + b)
+    d1, k = Xt.shape[1], 3
+    H = np.zeros((d1 * k, d1 * k))
+    for i in range(len(X)):
+        A = np.diag(Q[i]) - np.outer(Q[i], Q[i])
+        H += np.kron(np.outer(Xt[i], Xt[i]), A)
+    H = H / len(X) + 0.01 * np.eye(d1 * k)
+    Xvt = np.hstack([Xv, np.ones((len(Xv), 1))])
+    Qv = softmax(Xv @ W + b)
+    lt = np.log(np.clip(Pv, 1e-7, 1.0))
+    R = -Qv * (lt - (Qv * lt).sum(1, keepdims=True))
+    v = (Xvt.T @ R).ravel()
+    s = np.linalg.solve(H, v).reshape(d1, k)
+    exp = -((Xt @ s) * (Q - P)).sum(1)
+    ids = sorted(got)
+    assert np.allclose([got[i] for i in ids], exp[ids], rtol=1e-6, atol=1e-9)
