@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import agreement as A
 from ..operators import filters as Fi
 from ..sources import fixtures as X

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import labels as L
 from ..operators import filters as Fi
 from ..sources import fixtures as X
 from .registry import query, rounded

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import WS
 from ..operators import prompts as G
 from ..operators import sampling as S
-from ..operators.common import scalar_of
-from ..operators.ranking import hash_rank
 from ..session import scratch_path
 from ..sources import fixtures as X
 from ..sources import readers as RD
