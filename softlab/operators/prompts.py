@@ -38,6 +38,49 @@ IMDB_SYSTEM = "\n".join([
     "{examples_block}",
 ])
 IMDB_HUMAN = "Generate a movie review with a sentiment score of {score}."
+SST_SYSTEM = "\n".join([
+    "You are tasked with generating realistic movie review snippets to train a sentiment classifier.",
+    "Use a sentiment scale from 0 (negative) to 1 (positive)",
+    "Each should generally be between 10 and 50 words, usually a single sentence or a short phrase.",
+    "Use realistic language that one might find in a movie review.",
+    "{chain_of_thought_instructions}",
+    "{examples_block}",
+])
+SST_HUMAN = "Write a movie review with a sentiment score of {score}."
+SUBJ_SYSTEM = "\n".join([
+    "You are tasked with generating realistic text to train a subjectivity classifier.",
+    "Use a subjectivity scale where 0 represents an objective statement (e.g., factual descriptions, neutral "
+    "narration) and 1 represents a subjective statement (e.g., personal opinions, emotional expressions, or "
+    "evaluative language.)",
+    "Use everyday language as if written on some online platform.",
+    "Text that you write should generally be between 10 and 50 words.",
+    "{chain_of_thought_instructions}",
+    "{examples_block}",
+])
+SUBJ_HUMAN = "Generate text with a subjectivity score of {score}."
+EMOTION_SYSTEM = "\n".join([
+    "You are an AI language model assistant trained to generate emotionally nuanced text.",
+    "You will receive an emotion distribution across six emotions (sadness, joy, love, anger, fear, surprise),",
+    "where each value indicates the strength of that emotion and all values sum to 1.",
+    "Your task is to generate text that reflects this emotional distribution.",
+    "{chain_of_thought_instructions}",
+])
+EMOTION_HUMAN = "Generate text that reflects the following emotional distribution: {score}"
+AGNEWS_SYSTEM = "\n".join([
+    "You are an AI language model assistant trained to generate realistic news headlines.",
+    "You will receive a topic distribution across four categories: world, sports, business, and science/technology.",
+    "Each value represents the proportion of relevance for that topic, and all values sum to 1.",
+    "Your task is to write a news headline that reflects this topic distribution.",
+    "Headlines should be written in a style typical of online news sources.",
+    "Headlines should generally be between 30 and 60 words, but this can vary naturally based on the topic.",
+    "Do not mention the categories or percentages directly in the headline.",
+    "Avoid generic or unnatural language. Aim for specificity and realism.",
+])
+AGNEWS_HUMAN = "Generate a realistic and coherent news headline that reflects the following topic distribution: {score}"
+TEMPLATES = {
+    "imdb": (IMDB_SYSTEM, IMDB_HUMAN), "sst": (SST_SYSTEM, SST_HUMAN), "subj": (SUBJ_SYSTEM, SUBJ_HUMAN),
+    "emotion": (EMOTION_SYSTEM, EMOTION_HUMAN), "agnews": (AGNEWS_SYSTEM, AGNEWS_HUMAN),
+}
 # --------------------------------------------------------------------------
 
 
@@ -75,10 +118,7 @@ def shots_per_prompt(shots: DataFrame, prompt_col: str, order_col: str, text_col
 
 def render(template: str, values: dict[str, Column]) -> Column:
     """Substitute ``{name}`` placeholders with column values."""
-    out = F.lit(template)
-    for name, val in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(val.cast("string"), F.lit("")))
-    return out
+    return render_columns(F.lit(template), values)
 
 
 def render_prompts(requests: DataFrame, score: str, system: str = IMDB_SYSTEM, human: str = IMDB_HUMAN,
@@ -90,6 +130,23 @@ def render_prompts(requests: DataFrame, score: str, system: str = IMDB_SYSTEM, h
     return requests.withColumns({"system": render(system, vals), "human": render(human, vals)})
 
 
+def render_columns(template: ColumnOrName, values: dict[str, Column]) -> Column:
+    """G3 with the template itself a column (e.g. joined from the dataset
+    config, J5), so requests of several datasets render in one pass."""
+    out = _c(template)
+    for name, val in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(val.cast("string"), F.lit("")))
+    return out
+
+
+def format_distribution(names: ColumnOrName, probs: ColumnOrName, digits: int = 3) -> Column:
+    """``{'name': p, ...}`` with p rounded half-even to ``digits``,
+    the way a class -> probability mapping prints in a prompt."""
+    pairs = F.zip_with(_c(names), _c(probs), lambda n, p: F.concat(
+        F.lit("'"), n, F.lit("': "), F.bround(p, digits).cast("string")))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
 def merge_messages(system: ColumnOrName, human: ColumnOrName) -> Column:
     """One human message = system and human joined by a space."""
     return F.concat_ws(" ", _c(system), _c(human))

@@ -115,10 +115,13 @@ DATASETS = [
 
 
 def dataset_config(spark) -> DataFrame:
-    """One row per dataset (name, K, class names); bounded by the number
-    of datasets, so ``lookup_config`` may broadcast it."""
-    return spark.createDataFrame([(n, k, c) for n, k, c in DATASETS],
-                                 "dataset string, k int, class_names array<string>")
+    """One row per dataset (name, K, class names, system and human
+    templates); bounded by the number of datasets, so ``lookup_config`` may
+    broadcast it."""
+    from .prompts import TEMPLATES
+    return spark.createDataFrame([(n, k, c, *TEMPLATES[n]) for n, k, c in DATASETS],
+                                 "dataset string, k int, class_names array<string>, "
+                                 "system_template string, human_template string")
 
 
 def rename_drop(df: DataFrame, renames: dict[str, str], drop: Sequence[str] = ()) -> DataFrame:

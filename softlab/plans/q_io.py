@@ -201,3 +201,22 @@ def posthoc_labels(spark, sf_dir):
     g = X.gold_text(spark, sf_dir).withColumnRenamed("y", "label")
     judged = X.texts(spark, sf_dir).select("id", ((F.length("text") % 101) / 100.0).alias("judge_score"))
     return rounded(G.posthoc_soft_labels(g, judged, "id").select("id", "label"))
+
+
+@query("render_prompts_multi", ops="G3 J5 P14 P15 (template and class names from the dataset config)", sql=f"""
+SELECT id,
+       md5(replace({_sql_str(G.EMOTION_HUMAN)}, '{{score}}',
+           '{{' || array_to_string(list_transform(range(1, 7),
+               lambda k: '''' || ['sadness', 'joy', 'love', 'anger', 'fear', 'surprise'][k] || ''': '
+                         || CAST(round_even(label[k], 3) AS VARCHAR)), ', ') || '}}')) AS human_md5,
+       md5(replace({_sql_str(G.EMOTION_SYSTEM)}, '{{chain_of_thought_instructions}}', '')) AS system_md5
+FROM soft_vector""")
+def render_prompts_multi(spark, sf_dir):
+    from ..operators import reshape as RS
+    req = X.soft_vector(spark, sf_dir).withColumn("dataset", F.lit("emotion"))
+    cfg = RS.dataset_config(spark)
+    j = RS.lookup_config(req, cfg, "dataset")
+    vals = {"score": G.format_distribution("class_names", "label"),
+            "chain_of_thought_instructions": F.lit(""), "examples_block": F.lit("")}
+    return j.select("id", F.md5(G.render_columns("human_template", vals)).alias("human_md5"),
+                    F.md5(G.render_columns("system_template", vals)).alias("system_md5"))
