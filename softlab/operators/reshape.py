@@ -58,7 +58,9 @@ def select_by_index(df: DataFrame, idx: DataFrame, row_id: str = "id",
 def lookup_config(df: DataFrame, config: DataFrame, key: str) -> DataFrame:
     """Attach dataset configuration (template, K, class names).  The
     config table has one row per dataset, so its broadcast is bounded by the
-    number of datasets, not by the data."""
+    number of datasets, not by the data.  The key must be a data column: a
+    literal key is constant-folded and would turn the lookup into a
+    nested-loop join."""
     return df.join(F.broadcast(config), key, "left")
 
 

@@ -213,7 +213,9 @@ SELECT id,
 FROM soft_vector""")
 def render_prompts_multi(spark, sf_dir):
     from ..operators import reshape as RS
-    req = X.soft_vector(spark, sf_dir).withColumn("dataset", F.lit("emotion"))
+    # dataset from the class count (a data-derived key keeps the lookup an equi-join)
+    by_k = F.create_map(F.lit(6), F.lit("emotion"), F.lit(4), F.lit("agnews"), F.lit(2), F.lit("imdb"))
+    req = X.soft_vector(spark, sf_dir).withColumn("dataset", F.element_at(by_k, F.size("label")))
     cfg = RS.dataset_config(spark)
     j = RS.lookup_config(req, cfg, "dataset")
     vals = {"score": G.format_distribution("class_names", "label"),
