@@ -132,3 +132,37 @@ def test_classification_report_zero_division(spark):
     rep = {r.label: r for r in M.classification_report(df, "y", "yhat").collect()}
     assert rep["2"].precision == 0.0 and rep["2"].recall == 0.0 and rep["2"].f1 == 0.0
     assert abs(rep["accuracy"].precision - 0.5) < 1e-12
+
+
+def test_hot_key_third_of_rows(spark):
+    """One score / index value holds a third of all rows: ranks, AUC and the
+    index join stay exact (ties collapse map-side; AQE splits the join)."""
+    n = 9000
+    df = spark.range(n).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise((F.col("id") % 97) / 97.0).alias("s"),
+        (F.col("id") % 5 == 0).cast("int").alias("y"))
+    rows = df.collect()
+    y = [r.y for r in rows]
+    s = [r.s for r in rows]
+    # AUC via tie-averaged ranks in numpy
+    order = np.argsort(s, kind="mergesort")
+    sv = np.array(s)[order]
+    ranks = np.empty(n)
+    i = 0
+    while i < n:
+        j = i
+        while j + 1 < n and sv[j + 1] == sv[i]:
+            j += 1
+        ranks[order[i:j + 1]] = (i + j) / 2.0 + 1
+        i = j + 1
+    P = sum(y)
+    auc = (ranks[np.array(y) == 1].sum() - P * (P + 1) / 2) / (P * (n - P))
+    got = M.auc_ap_table(df, "y", "s").first().roc_auc
+    assert abs(got - auc) < 1e-12
+    r = {row.id: row.r for row in R.tie_average_rank(df.select("id", "s"), "s", "r").collect()}
+    assert all(abs(r[k] - ranks[k]) < 1e-9 for k in range(0, n, 37))
+    from softlab.operators import reshape as RS
+    idx = spark.range(n).select(F.col("id").alias("pos"),
+                                F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("idx"))
+    sel = RS.select_by_index(spark.range(100), idx, "id")
+    assert sel.count() == n and sel.filter("id = 7").count() >= n // 3
