@@ -109,13 +109,14 @@ def drop_unlabelled(spark, sf_dir):
     return Fi.drop_unlabelled(sb, "label")
 
 
-@query("judgement_range_check", ops="F11", sql="""
+@query("judgement_range_check", ops="F10 F11", sql="""
 SELECT CASE WHEN q IS NULL OR q < 0 OR q > 1 THEN 'score_out_of_range'
             WHEN p IS NULL OR p < 0 OR p > 1 THEN 'confidence_out_of_range' ELSE 'ok' END AS status,
        count(*) AS n
 FROM (SELECT q * 1.5 - 0.25 AS q, p FROM judged_binary) GROUP BY 1""")
 def judgement_range_check(spark, sf_dir):
     jb = X.judged_binary(spark, sf_dir).select((F.col("q") * 1.5 - 0.25).alias("q"), "p")
+    jb = Fi.numeric_judgement(jb, "q")                       # F10: judged numbers only
     return jb.groupBy(Fi.check_range("q", "p").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 

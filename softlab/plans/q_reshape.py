@@ -71,9 +71,12 @@ def union_splits(spark, sf_dir):
 
 
 def _wide(spark, sf_dir):
-    """Per class y: count kept at every inclusive margin, one column each."""
+    """Per class y: count kept at every inclusive margin, one column each;
+    columns come out as MARGIN_mXXX and are renamed by prefix (P28)."""
     sb = X.soft_binary(spark, sf_dir)
-    return sb.groupBy("y").agg(*[F.count_if(Fi.margin_inclusive("p", m)).alias(f"m{round(m * 100):03d}") for m in MARGINS])
+    w = sb.groupBy("y").agg(*[F.count_if(Fi.margin_inclusive("p", m)).alias(f"MARGIN_m{round(m * 100):03d}")
+                              for m in MARGINS])
+    return RS.rename_by_regex(w.withColumnRenamed("y", "Y"), "MARGIN_")
 
 
 _WIDE_SQL = "SELECT y, " + ", ".join(
