@@ -67,9 +67,8 @@ def run_sweep_roundtrip(spark, sf_dir):
     recs = ev.select("event_type", (F.from_json("props", "k INT").getField("k").cast("double") / 100).alias("label"),
                      F.col("event_id").cast("string").alias("text"))
     root = scratch_path(spark, "sweep")
-    # one folder per setting; the setting list is tiny (one entry per run)
-    for (setting,) in recs.select("event_type").distinct().collect():
-        WR.append_generated(recs.filter(F.col("event_type") == setting), f"{root}/{setting}")
+    # one folder per setting, written in one job (folders named event_type=...)
+    recs.write.partitionBy("event_type").json(root)
     back = RD.read_run_sweep(spark, root)
     return back.groupBy("setting").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("label"), 6).alias("label_sum"))
 
