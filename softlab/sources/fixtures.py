@@ -42,8 +42,12 @@ TABLE_KEYS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = True) -> DataFrame:
+    """Read a driver table.  ``heavy=False`` marks callers whose per-row work
+    is cheap (a few arithmetic ops): they read the scan as it is split."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if not heavy:
+        return df
     return spread(df, TABLE_KEYS.get(name, []))
 
 
@@ -59,7 +63,7 @@ def spread(df: DataFrame, keys) -> DataFrame:
 
 # ------------------------------------------------------------------ binary
 def soft_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", heavy=False)
     k = F.from_json(F.col("props"), "k INT").getField("k")          # P30
     return ev.select(
         F.col("event_id").alias("id"),
@@ -69,7 +73,7 @@ def soft_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", heavy=False)
     k = F.from_json(F.col("props"), "k INT").getField("k")
     return ev.select(
         F.col("event_id").alias("id"),
@@ -80,7 +84,7 @@ def judged_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def soft_binary_big(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", heavy=False)
     return li.select(
         (F.col("l_discount") * 10).alias("p"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
@@ -107,14 +111,14 @@ def _vector_truth(id_col, label):
 
 
 def soft_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+    docs = table(spark, sf_dir, "documents", heavy=False).select("doc_id")
     lab = _normalised(_md5_weights(F.col("doc_id"), ""))
     return docs.select(F.col("doc_id").alias("id"), lab.alias("label")) \
         .withColumn("y", _vector_truth(F.col("id"), F.col("label")).cast("int"))
 
 
 def judged_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+    docs = table(spark, sf_dir, "documents", heavy=False).select("doc_id")
     return docs.select(
         F.col("doc_id").alias("id"),
         _normalised(_md5_weights(F.col("doc_id"), "")).alias("label"),
@@ -166,7 +170,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idx_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", heavy=False)
     return ev.select(F.col("event_id").alias("pos"), F.col("user_id").alias("idx"))
 
 
