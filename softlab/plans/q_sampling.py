@@ -192,3 +192,12 @@ def few_shot_positions(spark, sf_dir):
     n = X.texts(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
     from ..operators.common import scalar_of
     return S.few_shot_positions(r, scalar_of(n).getField("n"), 3, SEED, "prompt_id")
+
+
+@query("bootstrap_poisson", ops="N3 fast mode (approximate size; rows-only)")
+def bootstrap_poisson(spark, sf_dir):
+    sb = X.soft_binary(spark, sf_dir)
+    n = sb.count()
+    w = S.bootstrap_poisson(sb.select("id"), 1000, 5, SEED, n)
+    return w.groupBy("trial").agg(F.sum("weight").alias("total_weight"), F.count(F.lit(1)).alias("n_rows"),
+                                  F.max("weight").alias("max_weight"))

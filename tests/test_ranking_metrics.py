@@ -166,3 +166,15 @@ def test_hot_key_third_of_rows(spark):
                                 F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("idx"))
     sel = RS.select_by_index(spark.range(100), idx, "id")
     assert sel.count() == n and sel.filter("id = 7").count() >= n // 3
+
+
+def test_poisson_bootstrap_moments(spark):
+    w = S.bootstrap_poisson(spark.range(20000), 10000, 2, 5, 20000)        # lambda = 0.5
+    tot = w.groupBy("trial").agg(F.sum("weight").alias("t")).collect()
+    for r in tot:
+        assert abs(r.t - 10000) < 400                                      # ~4 sd
+    zero = 2 * 20000 - w.count()
+    assert abs(zero / 40000 - np.exp(-0.5)) < 0.01                         # P(0) = e^-lambda
+    u = spark.createDataFrame([(0.0,), (0.9999999,)], "u double")
+    ks = [r.k for r in u.select(S.poisson_from_uniform(F.col("u"), 2.0).alias("k")).collect()]
+    assert ks[0] == 0 and 8 <= ks[1] <= 40
