@@ -36,10 +36,11 @@ def confusion(df: DataFrame, y: ColumnOrName, yhat: ColumnOrName) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-def per_class_counts(df: DataFrame, y: ColumnOrName, yhat: ColumnOrName) -> DataFrame:
+def per_class_counts(df: DataFrame | None, y: ColumnOrName, yhat: ColumnOrName,
+                     cm: DataFrame | None = None) -> DataFrame:
     """tp, predicted and support per class over the union of true and
-    predicted labels (<= K rows)."""
-    cm = confusion(df, y, yhat)
+    predicted labels (<= K rows); reuses a confusion table when given."""
+    cm = cm if cm is not None else confusion(df, y, yhat)
     t = cm.select(F.col("y").alias("cls"), F.col("n").alias("support"), F.lit(0).alias("pred"),
                   F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0).alias("tp"))
     p = cm.select(F.col("yhat").alias("cls"), F.lit(0).alias("support"), F.col("n").alias("pred"),
@@ -82,11 +83,11 @@ def classification_report(df: DataFrame, y: ColumnOrName, yhat: ColumnOrName) ->
     return cls_rows.unionByName(summary)
 
 
-def prf(df: DataFrame, y: ColumnOrName, yhat: ColumnOrName, average: str = "macro",
-        pos_label: int = 1) -> DataFrame:
+def prf(df: DataFrame | None, y: ColumnOrName, yhat: ColumnOrName, average: str = "macro",
+        pos_label: int = 1, cm: DataFrame | None = None) -> DataFrame:
     """One row (precision, recall, f1) for binary / macro / weighted /
     micro averaging; zero division gives 0."""
-    per = _prf(per_class_counts(df, y, yhat))
+    per = _prf(per_class_counts(df, y, yhat, cm))
     if average == "binary":
         pos = F.col("cls") == F.lit(pos_label)
         return per.agg(*[F.coalesce(F.max(F.when(pos, F.col(m))), F.lit(0.0)).alias(m)
@@ -238,8 +239,10 @@ def evaluate_multiclass(df: DataFrame, y: ColumnOrName, probs: ColumnOrName,
     score) prefix table; averaged the same way; one row."""
     s = df.select(_c(y).cast("int").alias("y"), _c(probs).alias("probs")) \
         .withColumn("yhat", L.argmax("probs"))
-    acc = s.agg(accuracy("y", "yhat").alias("accuracy"))
-    cls = prf(s, "y", "yhat", average).withColumnRenamed("f1", "f1_score")
+    cm = confusion(s, "y", "yhat")            # accuracy and P/R/F1 share one K x K table
+    acc = cm.agg(_div0(F.sum(F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0)).cast("double"),
+                       F.sum("n").cast("double")).alias("accuracy"))
+    cls = prf(None, "y", "yhat", average, cm=cm).withColumnRenamed("f1", "f1_score")
     ex = explode_ovr(s, "y", "probs")
     pt = prefix_table(ex.select("cls", F.col("y").cast("long").alias("_y"), F.col("p").alias("_s")), "_s",
                       {"tp": F.sum("_y"), "nn": F.count(F.lit(1))}, descending=True, group_cols=["cls"])
