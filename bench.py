@@ -25,7 +25,8 @@ HEADLINE = [
     "evaluate_binary", "evaluate_multiclass", "roc_auc_ovo", "bin_mae", "pearson_spearman",
     "vocab_size_by_lang", "distinct_2", "distinct_3", "ngram_freq_min2", "clean_text",
     "mean_cosine", "intra_inter_cosine", "intra_inter_cosine_x100", "multilabel_cosine",
-    "sample_n", "undersample", "bootstrap_weights", "kfold_assign", "few_shot_positions",
+    "sample_n", "undersample", "bootstrap_weights", "bootstrap_50_trials", "kfold_assign",
+    "few_shot_positions",
     "threshold_sweep", "select_by_index",
     "soft_lr_summary", "standard_lr_cv", "gce_lr_summary", "stream_ingest",
 ]

@@ -201,3 +201,16 @@ def bootstrap_poisson(spark, sf_dir):
     w = S.bootstrap_poisson(sb.select("id"), 1000, 5, SEED, n)
     return w.groupBy("trial").agg(F.sum("weight").alias("total_weight"), F.count(F.lit(1)).alias("n_rows"),
                                   F.max("weight").alias("max_weight"))
+
+
+@query("bootstrap_50_trials", ops="N3 at the reference's 50 trials (with replacement)", sql=f"""
+WITH idx AS (SELECT id, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(id AS VARCHAR)), id) - 1 AS pos FROM soft_binary),
+draws AS (SELECT t.trial, j.j FROM range(0, 50) t(trial), range(0, 2000) j(j)),
+h AS (SELECT trial, {_hx("md5(CAST(" + str(SEED) + " + trial AS VARCHAR) || ':' || CAST(j AS VARCHAR))")}
+                    % (SELECT count(*) FROM soft_binary) AS pos FROM draws)
+SELECT CAST(trial AS BIGINT) AS trial, count(*) AS n_distinct, CAST(sum(w) AS BIGINT) AS total_weight, max(w) AS max_weight
+FROM (SELECT trial, id, count(*) AS w FROM h JOIN idx USING (pos) GROUP BY trial, id) GROUP BY trial""")
+def bootstrap_50_trials(spark, sf_dir):
+    w = S.bootstrap_weights(X.soft_binary(spark, sf_dir), 2000, 50, SEED, replace=True)
+    return w.groupBy("trial").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("weight").alias("total_weight"),
+                                  F.max("weight").alias("max_weight"))
