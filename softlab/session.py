@@ -45,22 +45,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder; use it.  Only
+    On a cluster ``spark.checkpoint.dir`` names a shared folder; use it (it
+    is a core setting, read from the session, never overwritten here).  Only
     when it is unset (local runs, tests) create a fresh scratch folder and
-    register it, so ``DataFrame.checkpoint()`` works.
+    register it with the SparkContext so ``DataFrame.checkpoint()`` works.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if conf_dir:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(conf_dir)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
-    existing = spark.sparkContext.getCheckpointDir()
+    existing = sc.getCheckpointDir()
     if existing:
         return existing
     path = tempfile.mkdtemp(prefix="softlab-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -64,3 +64,17 @@ def test_snapshot_schedule(spark):
 def test_loader_registry():
     with pytest.raises(ValueError):
         RD.load_oracle("no-such-dataset")
+
+
+def test_checkpoint_dir_respects_cluster_setting(spark):
+    """A configured spark.checkpoint.dir is used as is (it cannot and must
+    not be changed at runtime); scratch folders are created under it."""
+    from softlab.session import checkpoint_dir
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    d = checkpoint_dir(spark)
+    if conf:
+        assert d == conf
+    assert spark.sparkContext.getCheckpointDir() is not None
+    base = d[len("file:"):] if d.startswith("file:") else d
+    assert scratch_path(spark, "x").startswith(base)
+    assert spark.range(3).checkpoint(eager=True).count() == 3
