@@ -106,3 +106,14 @@ def test_metric_registry_rejects_unknown(spark):
     df = spark.createDataFrame([(0, [0.9, 0.1])], "y int, p array<double>")
     with pytest.raises(ValueError):
         M.evaluate(df, "y", "p", ["nope"])
+
+
+def test_judge_defaults_vector(spark):
+    from softlab.operators import prompts as G
+    req = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    judged = spark.createDataFrame([(1, [0.1, 0.2, 0.3, 0.4], 0.8, None), (2, None, None, "parse error")],
+                                   "id long, judge_score array<double>, judge_confidence double, error string")
+    out = {r.id: r for r in G.judge_with_defaults(req, judged, ["id"], k=4).collect()}
+    assert out[1].judge_score == [0.1, 0.2, 0.3, 0.4] and out[1].error is None
+    assert out[2].judge_score == [0.25] * 4 and out[2].judge_confidence == 0.0 and out[2].error == "parse error"
+    assert out[3].judge_score == [0.25] * 4 and out[3].error == "no judgement"
