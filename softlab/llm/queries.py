@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint
+from . import bpe, chat, fingerprint, substring
 
 
 @dataclass
@@ -83,3 +83,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                        fingerprint.as_hex(F.col("fp")).alias("fingerprint"),
                        fingerprint.as_hex(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows that start earlier elsewhere."""
+    done = substring.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), n=20)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
