@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, substring
+from . import bpe, chat, decontam, fingerprint, substring
 
 
 @dataclass
@@ -90,3 +90,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of windows that start earlier elsewhere."""
     done = substring.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), n=20)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_decontaminate")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents searched for every window of the benchmark."""
+    done = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
