@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, substring
+from . import bpe, chat, decontam, fingerprint, minhash, substring
 
 
 @dataclass
@@ -98,3 +98,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op4_minhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and the smallest id that links reach."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
