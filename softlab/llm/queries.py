@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, minhash, quality, substring
+from . import bpe, chat, decontam, fingerprint, langid, minhash, quality, substring
 
 
 @dataclass
@@ -110,3 +110,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their posterior of being good and not toxic."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' languages, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(True))
+    model = langid.fit(docs.filter(~out).select("doc_id", "text", "lang"))
+    done = langid.identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", out.alias("held_out"), "lang_pred", "score")
