@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, langid, minhash, quality, substring
+from . import bpe, chat, decontam, fingerprint, langid, lmscore, minhash, packing, quality, substring
 
 
 @dataclass
@@ -120,3 +120,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~out).select("doc_id", "text", "lang"))
     done = langid.identify(docs.select("doc_id", "text"), model)
     return done.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_lm_score")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against good labelled ones and against all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return lmscore.score(docs, lmscore.fit(docs, good))
+
+
+@query("op9_packed_ids")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, packed."""
+    import public_tokenizers
+    return packing.packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
