@@ -138,7 +138,8 @@ def with_next(df: DataFrame, id_col: str, buckets: int | None = None) -> DataFra
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(df[id_col].cast("long"), F.lit(-2**63))
     keyed = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), key.alias("key"))
-    bounds = sorted({int(b) for b in keyed.approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.2 / buckets)})
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    bounds = sorted(set(keyed.agg(F.percentile_approx("key", shares, 5 * buckets)).first()[0] or []))
     dealt = keyed.withColumn("bucket", _rank(F.col("key"), bounds))
     first = {r[0]: r[1] for r in dealt.groupBy("bucket").agg(F.min("key")).collect()}
     order = sorted(first)
