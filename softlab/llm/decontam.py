@@ -19,7 +19,7 @@ shard alike.  The benchmark is sent to every task, in blocks of
 Null and empty texts have no words and no hits; null items have no window.
 Items of one text are searched once; of one id, count once.  Repeated document
 rows give repeated results.  Other columns are carried along (``carry``) under
-any names.
+any names but the results'.
 """
 
 from __future__ import annotations
@@ -166,6 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``matches`` (each item's longest verbatim match: where it is in the document
     and in the item, and its words; the first of equals) and ``contaminated``."""
     spark = docs.sparkSession
+    carry = tuple(c for c in carry if c not in ("n_words", "n_hit", "items", "matches", "contaminated"))
     own = [docs[id_col].alias("_id"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)]]
     names = ["_id", *[f"_c{i}" for i in range(len(carry))]]
     rows = docs.select(*own, docs[text_col].alias("_text"))

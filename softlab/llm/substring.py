@@ -26,8 +26,8 @@ Chunks and buckets grow with the text (``CHUNK_BYTES``), so tasks don't.
 
 Null and empty texts have no words and keep none; texts under ``n`` words lose
 nothing.  A null id comes after all others.  Rows of one id and different texts
-are ordered by text; repeated rows by the deal, so that one stays.  Other columns are
-carried along and may have any names.
+are ordered by text; of repeated rows one stays.  Other columns are carried along and may
+have any names; one that has a result's name is replaced by the result.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ _ANSWER = "chunk int, bucket int, step int, bits binary"
 
 
 def _others(df: DataFrame, id_col: str, text_col: str) -> list[str]:
-    return [c for c in df.columns if c not in (id_col, text_col)]
+    return [c for c in df.columns if c not in (id_col, text_col, "n_words", "n_removed", "removed", "kept")]
 
 
 def deal(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -235,7 +235,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     schema = f"_id long, {rest}n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string"
     done = rows.groupBy("_chunk").cogroup(hits.unionByName(firsts).groupBy("chunk")).applyInArrow(finish, schema)
     back = [F.col("_id").cast(df.schema[c].dataType).alias(c) if c == id_col else F.col(f"_rest{others.index(c)}").alias(c)
-            for c in df.columns if c != text_col]
+            for c in df.columns if c == id_col or c in others]
     return done.select(*back, "n_words", "n_removed", "removed", "kept")
 
 
