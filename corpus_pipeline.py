@@ -39,7 +39,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     0.8), the one of the smallest id; of several rows of it, the first by text."""
     kept = _chosen(docs, minhash.near_duplicates(docs, shingle=5, percent=80))
     one = Window.partitionBy("doc_id").orderBy("text")
-    own = kept.filter("doc_id is not null").withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
+    rows = kept.filter("doc_id is not null").select(F.struct(*kept.columns).alias("row"), F.row_number().over(one).alias("n"))
+    own = rows.filter("n = 1").select("row.*")
     return own.unionByName(docs.filter("doc_id is null"))
 
 
