@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.special import t_two_sided_p_vec
 from .binning import bin_left_closed, bin_table
-from .common import one_row
-from .ranking import tie_average_rank
+from .common import one_row, scalar_of
+from .ranking import value_ranks
 from .similarity import cosine_similarity, l2_distance
 
 ColumnOrName = Column | str
@@ -78,11 +78,22 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman rho = Pearson r of tie-averaged ranks."""
-    d = valid_pairs(df, y).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    rx = tie_average_rank(d, "_x", "_rx")
-    rxy = tie_average_rank(rx, "_y", "_ry")
-    return rxy.agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("spearman_r"))
+    """Spearman rho = Pearson r of tie-averaged ranks.
+
+    Works on the distinct (x, y) pairs and their counts: both marginals are
+    ranked by weight, and ranks are joined to pairs, not rows, so values that
+    many rows share (0 and 1 in soft labels) stay single rows."""
+    pairs = valid_pairs(df, y).groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
+        .agg(F.count(F.lit(1)).alias("_w"))
+    ranked = (pairs.join(value_ranks(pairs, "_x", "_rx", F.col("_w")), "_x")
+              .join(value_ranks(pairs, "_y", "_ry", F.col("_w")), "_y"))
+    n = scalar_of(pairs.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"))).getField("n")
+    w = F.col("_w").cast("double")
+    dx, dy = (F.col(c) - (n + 1) / 2.0 for c in ("_rx", "_ry"))     # ranks have this mean
+    sums = ranked.agg(F.coalesce(F.sum("_w"), F.lit(0)).cast("long").alias("n"), F.sum(w * dx * dy).alias("xy"),
+                      F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+    return sums.select("n", F.when((F.col("xx") > 0) & (F.col("yy") > 0),
+                                   F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman_r"))
 
 
 def correlations(df: DataFrame, x: str, y: str, with_p: bool = True) -> DataFrame:

@@ -164,15 +164,16 @@ def roc_auc_ovo(df: DataFrame, y: ColumnOrName, probs: ColumnOrName, k: int) ->
 
     Each row emits 2(K-1) (direction, score) records: class pairs, not row
     pairs."""
-    yy = _c(y).cast("int")
-    v = _c(probs)
-    pairs = [(c, d) for c in range(k) for d in range(k) if c != d]
-    recs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(d).alias("d"),
-                              F.element_at(v, c + 1).alias("s"),
-                              (yy == F.lit(c)).cast("int").alias("pos"),
-                              ((yy == F.lit(c)) | (yy == F.lit(d))).alias("keep"))
-                     for c, d in pairs])
-    ex = df.select(F.inline(recs)).filter("keep")
+    d = df.select(_c(y).cast("int").alias("_y"), _c(probs).alias("_v"))
+    own = F.col("_y")
+    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: c != own)
+
+    def both(o: Column) -> Column:
+        """The row as a positive of (own, o) and as a negative of (o, own)."""
+        return F.array(
+            F.struct(own.alias("c"), o.alias("d"), F.get("_v", own).alias("s"), F.lit(1).alias("pos")),
+            F.struct(o.alias("c"), own.alias("d"), F.get("_v", o).alias("s"), F.lit(0).alias("pos")))
+    ex = d.filter(own.between(0, k - 1)).select(F.inline(F.flatten(F.transform(others, both))))
     per_dir = auc_ap_table(ex, "pos", "s", group_cols=["c", "d"])
     per_pair = per_dir.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"), "roc_auc") \
         .groupBy("a", "b").agg(F.avg("roc_auc").alias("pair_auc"))

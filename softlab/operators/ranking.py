@@ -5,8 +5,9 @@ two-level instead:
 
 1. pre-aggregate (``groupBy(score)``: heavy ties collapse map-side), or work
    on a hash whose prefix spreads rows uniformly;
-2. cut the ordered domain into at most 65,536 contiguous chunks and
-   total each chunk -> a table bounded by the chunk count (~1 MB);
+2. cut the ordered domain into contiguous chunks (scores: 1,024 ranges at
+   the quantiles of the distinct scores; hashes: 65,536 prefixes) and total
+   each chunk -> a table bounded by the chunk count (~1 MB);
 3. chunk offsets from that bounded table, broadcast back (size proven by
    construction), plus a window *inside* one chunk.
 
@@ -25,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import scalar_of
+
 ColumnOrName = Column | str
-DEFAULT_CHUNKS = 65536   # value chunks for scores in [0, 1]
+SCORE_CHUNKS = 1024      # ranges of distinct scores, cut by the data's quantiles
 HASH_PREFIX = 4          # hex chars -> 65,536 chunks (~1.5 GB per chunk at 100 TB)
-BROADCAST_ROWS = 2_000_000
 
 
 def _c(x: ColumnOrName) -> Column:
@@ -43,28 +45,21 @@ def _bounded(df: DataFrame, grouped: bool) -> DataFrame:
     return df if grouped else F.broadcast(df)
 
 
-def unit_chunk(score: ColumnOrName, chunks: int = DEFAULT_CHUNKS) -> Column:
-    """Chunk id for scores in [0, 1] (values outside are clamped)."""
-    s = _c(score).cast("double")
-    return F.least(F.greatest(F.floor(s * F.lit(chunks)), F.lit(0)),
-                   F.lit(chunks - 1)).cast("int")
-
-
-def bounds_chunk(score: ColumnOrName, bounds: Sequence[float]) -> Column:
-    """Chunk id from sorted split points (e.g. approximate quantiles)."""
-    s = _c(score).cast("double")
-    out = F.lit(0)
-    for b in sorted(set(bounds)):
-        out = out + (s >= F.lit(float(b))).cast("int")
-    return out.cast("int")
+def quantile_chunk(distinct: DataFrame, score: str, out: str, chunks: int = SCORE_CHUNKS) -> DataFrame:
+    """``distinct`` (one row per score) with ``out``: which of ``chunks`` ranges its
+    score falls in.
 
-
-def quantile_bounds(df: DataFrame, score: str, chunks: int = 256,
-                    rel_err: float = 1e-3) -> list[float]:
-    """Split points for ``bounds_chunk`` on scores outside [0, 1].  One
-    pruned scan; returns at most ``chunks`` numbers to the driver."""
-    probs = [i / chunks for i in range(1, chunks)]
-    return sorted(set(df.approxQuantile(score, probs, rel_err)))
+    The ranges are cut at approximate quantiles of the distinct scores
+    themselves, so each holds about 1/chunks of them wherever the scores lie
+    and however they are squeezed.  The cuts are a scalar subquery: no join
+    and no extra action."""
+    cuts = scalar_of(distinct.agg(F.percentile_approx(
+        score, [i / chunks for i in range(1, chunks)], 10 * chunks).alias("c"))).getField("c")
+    halves = [1 << k for k in reversed(range(chunks.bit_length()))]
+    known = F.col("_cuts")
+    place = F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), lambda at, h: F.when(
+        (at + h <= F.size(known)) & (F.get(known, at + h - 1) <= F.col(score)), at + h).otherwise(at))
+    return distinct.withColumn("_cuts", cuts).withColumn(out, place).drop("_cuts")
 
 
 def prefix_table(df: DataFrame, score: str, sums: dict[str, Column],
@@ -73,14 +68,13 @@ def prefix_table(df: DataFrame, score: str, sums: dict[str, Column],
     """Distinct-score table with cumulative sums in score order.
 
     Output: group cols, ``score``, each sum ``k``, ``k_through`` (inclusive
-    cumulative) and ``k_before`` (exclusive).  ``chunk`` must be monotone
-    non-decreasing in the score; default assumes scores in [0, 1].
+    cumulative) and ``k_before`` (exclusive).  Chunks are cut by the scores'
+    quantiles; a ``chunk`` of the caller's must not decrease with the score.
     """
     gcols = list(group_cols)
     names = list(sums)
     g = df.groupBy(*gcols, _c(score).alias("score")).agg(*[v.alias(k) for k, v in sums.items()])
-    ch = (chunk if chunk is not None else unit_chunk("score")).alias("_chunk")
-    g = g.withColumn("_chunk", ch)
+    g = quantile_chunk(g, "score", "_chunk") if chunk is None else g.withColumn("_chunk", chunk)
     totals = g.groupBy(*gcols, "_chunk").agg(*[F.sum(k).alias(f"_t_{k}") for k in names])
     order = F.col("_chunk").desc() if descending else F.col("_chunk").asc()
     # bounded: one row per (group, chunk)
@@ -90,23 +84,24 @@ def prefix_table(df: DataFrame, score: str, sums: dict[str, Column],
     s_order = F.col("score").desc() if descending else F.col("score").asc()
     w_in = Window.partitionBy(*gcols, "_chunk").orderBy(s_order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = g.join(_bounded(offsets, bool(gcols)), [*gcols, "_chunk"])
+    joined = g.join(_bounded(offsets, bool(gcols) or chunk is not None), [*gcols, "_chunk"])
     out = joined.select(*gcols, "score", *names, *[
         (F.col(f"_o_{k}") + F.sum(k).over(w_in)).alias(f"{k}_through") for k in names])
     return out.select(*gcols, "score", *names, *[F.col(f"{k}_through") for k in names],
                       *[(F.col(f"{k}_through") - F.col(k)).alias(f"{k}_before") for k in names])
 
 
-def tie_average_rank(df: DataFrame, col: str, out: str, chunk: Column | None = None) -> DataFrame:
-    """1-based rank with ties averaged, attached to every row.
+def value_ranks(df: DataFrame, col: str, out: str, weight: Column | None = None) -> DataFrame:
+    """(``col``, ``out``): the 1-based tie-averaged rank of every distinct value,
+    rank(v) = n_before + (n_v + 1) / 2.  ``weight``: rows that a row stands for."""
+    pt = prefix_table(df, col, {"_n": F.count(F.lit(1)) if weight is None else F.sum(weight)}, descending=False)
+    return pt.select(F.col("score").alias(col), (F.col("_n_before") + (F.col("_n") + 1) / 2.0).alias(out))
+
 
-    rank(v) = n_before + (n_v + 1) / 2 over distinct values, joined back on
-    the value (a hot value is one row on the small side; AQE splits the big
-    side's skewed partition)."""
-    pt = prefix_table(df, col, {"_n": F.count(F.lit(1))}, descending=False, chunk=chunk)
-    ranks = pt.select(F.col("score").alias(col),
-                      (F.col("_n_before") + (F.col("_n") + 1) / 2.0).alias(out))
-    return df.join(ranks, col)
+def tie_average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
+    """W2 attached to every row: ranks joined back on the value (a hot value is one
+    row on the small side; AQE splits the big side's skewed partition)."""
+    return df.join(value_ranks(df, col, out), col)
 
 
 def hash_chunk(h: ColumnOrName, prefix: int = HASH_PREFIX) -> Column:
@@ -147,7 +142,6 @@ def take_smallest(df: DataFrame, h: ColumnOrName, n: int | Column | None = None,
     plan = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w_cum), F.lit(0)))
     if n_from_min_group:
         # the smallest group size, as a scalar subquery over the group totals
-        from .common import scalar_of
         smallest = scalar_of(counts.groupBy(*gcols).agg(F.sum("_cnt").alias("g"))
                              .agg(F.min("g").alias("m"))).getField("m")
         plan = plan.withColumn("_n", smallest)

@@ -72,6 +72,28 @@ def average_precision_big(spark, sf_dir):
     return _auc_ap(X.soft_binary_big(spark, sf_dir), "y", "p").select("average_precision")
 
 
+# scores that equal-width chunks would put into one: squeezed near 0, far outside [0, 1], one dominant tie
+_ODD_SCORES = {
+    "squeezed": "(p + id * 1e-7) * 1e-9",
+    "wide": "(p - 0.5) * 1e6 + id",
+    "one_tie": "CASE WHEN id % 10 < 8 THEN 1.0 ELSE p END",
+}
+
+
+def _odd_rank_query(kind: str, score: str) -> None:
+    src = f"(SELECT y, CAST({score} AS DOUBLE) AS s FROM soft_binary)"
+
+    @query(f"rank_metrics_{kind}", ops="A11 A14 W1 on skewed scores", sql=f"""
+SELECT n_pos, n_neg, round(roc_auc, 9) AS roc_auc, round(average_precision, 9) AS average_precision
+FROM ({_auc_sql(src, "y", "s")}) a, ({_ap_sql(src, "y", "s")}) b""")
+    def run(spark, sf_dir):
+        return _auc_ap(X.soft_binary(spark, sf_dir).withColumn("s", F.expr(score).cast("double")), "y", "s")
+
+
+for _kind, _score in _ODD_SCORES.items():
+    _odd_rank_query(_kind, _score)
+
+
 _OVR_SRC = f"(SELECT CAST(k - 1 AS INTEGER) AS cls, label[k] AS p, CAST(y = k - 1 AS INTEGER) AS yy FROM soft_vector, range(1, {K + 1}) r(k))"
 
 
