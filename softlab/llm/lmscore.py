@@ -18,7 +18,7 @@ loss (nats): the lower, the more it is like the target.
 Counts cover every word of every document.  Tasks add up their own words,
 send the entries that aren't zero by range of entries, and each range is
 summed as its packets stream in.  The sums are of a size that doesn't depend on
-the data (``UNIGRAMS`` and ``BIGRAMS`` counts of two halves, 84 MB); they pass the
+the data (``UNIGRAMS`` and ``BIGRAMS`` counts of two halves, 42 MB); they pass the
 driver and are broadcast for scoring, which shuffles nothing.
 
 Null and empty texts have no words and scores of 0.  Repeated rows count as often
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from ..session import shared_table
 from . import words as W
 
-UNIGRAMS = 1 << 20
-BIGRAMS = 1 << 22
+UNIGRAMS = 1 << 19
+BIGRAMS = 1 << 21
 RANGES = 256
 K = 5.0
 _ENTRIES = UNIGRAMS + BIGRAMS      # pairs stand after words in one table
@@ -124,7 +124,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     """Models of the documents whose ids are in ``target_ids`` (its first column)
     and of all documents."""
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("id")).dropna().distinct().withColumn("chosen", F.lit(True))
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(ids, "id", "left")
+    # a merge join at every size: a plan that broadcast small id lists would grow unevenly
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(ids.hint("merge"), "id", "left")
     rows = rows.select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"), _half(F.col("id")).alias("half"))
     sums = rows.mapInArrow(_count, _PACKET).repartition("range").mapInArrow(_add, _PACKET)
     sums = shared_table(sums, "lm-counts")
