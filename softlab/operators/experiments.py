@@ -1,10 +1,11 @@
 """Downstream experiments (M12–M15) and trial summaries.
 
-A grid cell = (filter setting, training size, trial).  Every cell samples
-its training rows with the partition-independent hash sampler (seed + trial),
-fits with a distributed estimator and evaluates on the test set with the
-one-row evaluators; the driver only loops over the (small) grid and keeps
-one metric row per cell.  The summary is a Spark ``groupBy``.
+A grid cell = (filter setting, training size, trial).  A trial's training set
+is a bootstrap of the filtered pool: ``size`` draws with replacement, as
+(id, weight) rows from the partition-independent hash sampler (seed +
+trial), so the size holds whatever the pool's.  The fit is weighted and
+distributed; the driver loops over the (small) grid and keeps one metric row
+per cell and split.  The summary is a Spark ``groupBy``.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from ..functions import labels as L
 from . import metrics as M
 from . import models as MD
 from .filters import entropy_at_most, margin_inclusive, top_gap_at_least
-from .sampling import hash_key
-from .ranking import take_smallest
+from .sampling import bootstrap_weights
 
 METRICS = ("accuracy", "precision", "recall", "f1_score", "roc_auc", "auprc", "ece")
 
@@ -35,19 +35,27 @@ def trial_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) ->
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trials"), *aggs)
 
 
-def _fit(variant: str, train: DataFrame, features: str, probs: str, C: float, q: float, k: int):
+def _fit(variant: str, train: DataFrame, features: str, probs: str, C: float | None, q: float, k: int,
+         cs, folds: int, seed: int, id_col: str):
+    """One trial's model; C None: chosen among ``cs`` by cross-validation."""
     if variant == "soft":
-        return MD.fit_soft_lr(train, features, probs, C=C)
+        if C is None:
+            return MD.fit_soft_lr_cv(train, features, probs, cs, folds, seed=seed, k=k, id_col=id_col, weight="_weight")[0]
+        return MD.fit_soft_lr(train, features, probs, C=C, weight="_weight")
     if variant == "gce":
-        return MD.fit_gce_lr(train, features, probs, C=C, q=q, max_iter=50)
+        if C is None:
+            return MD.fit_gce_lr_cv(train, features, probs, cs, folds, q=q, seed=seed, id_col=id_col, weight="_weight")[0]
+        return MD.fit_gce_lr(train, features, probs, C=C, q=q, weight="_weight")
     if variant == "standard":
         hard = train.withColumn("_hard", L.argmax(probs))
-        return MD.fit_standard_lr(hard, features, "_hard", C=C, binary=(k == 2))
+        if C is None:
+            return MD.fit_standard_lr_cv(hard, features, "_hard", cs, folds, seed=seed, k=k, id_col=id_col, weight="_weight")[0]
+        return MD.fit_standard_lr(hard, features, "_hard", C=C, binary=(k == 2), weight="_weight")
     raise ValueError(f"unknown variant {variant!r}")
 
 
-def _evaluate(model, test: DataFrame, y: str, k: int) -> dict:
-    scored = model.predict_proba(test, "_proba")
+def _evaluate(model, rows: DataFrame, y: str, k: int) -> dict:
+    scored = model.predict_proba(rows, "_proba")
     if k == 2:
         r = M.evaluate_binary(scored.withColumn("_p1", F.col("_proba")[1]), y, "_p1").first()
     else:
@@ -55,44 +63,66 @@ def _evaluate(model, test: DataFrame, y: str, k: int) -> dict:
     return {m: (float(r[m]) if r[m] is not None else float("nan")) for m in METRICS}
 
 
+def training_draws(pool: DataFrame, sizes: Sequence[int], trials: int, seed: int, id_col: str = "id") -> DataFrame:
+    """(size, trial, id, weight): the bootstrap draws of every grid cell.  Their
+    weights add up to ``size`` exactly."""
+    parts = [bootstrap_weights(pool, int(s), trials, seed, id_col).withColumn("size", F.lit(int(s)).cast("long")) for s in sizes]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("size", "trial", id_col, "weight")
+
+
 def downstream_experiment(train: DataFrame, test: DataFrame, sizes: Sequence[int], trials: int,
                           variant: str = "soft", features: str = "embedding", probs: str = "label",
-                          y: str = "y", C: float = 1.0, q: float = 0.9, seed: int = 0,
-                          id_col: str = "id", setting: dict | None = None) -> DataFrame:
-    """For every size and trial, sample ``size`` training rows (seed +
-    trial), fit the variant (standard / soft / gce) and evaluate on ``test``.
-    Returns one metric row per (size, trial)."""
+                          y: str = "y", C: float | None = None, q: float = 0.9, seed: int = 0,
+                          id_col: str = "id", setting: dict | None = None, cs: int | Sequence[float] = 10,
+                          folds: int = 5) -> DataFrame:
+    """For every size and trial, bootstrap ``size`` training rows (seed +
+    trial), fit the variant (standard / soft / gce; C by cross-validation
+    unless given) and evaluate on the whole training pool and on ``test``.
+    Returns one metric row per (size, trial, split); an empty pool gives none."""
     spark = train.sparkSession
-    k = len(train.select(probs).first()[0])
+    cols = list((setting or {}).keys())
+    schema = ", ".join([f"{c} double" for c in cols] + ["variant string", "size long", "trial int", "split string"]
+                       + [f"{m} double" for m in METRICS])
+    if train.isEmpty():
+        return spark.createDataFrame([], schema)
+    k = MD.vector_length(train, probs)
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    draws = training_draws(train, sizes, trials, seed, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+
     def cell(size, t):
-        keyed = train.withColumn("_k", hash_key(seed + t, id_col))
-        sub = take_smallest(keyed, "_k", int(size), tie=id_col).drop("_k")
-        if sub.limit(1).count() == 0:
-            return None
-        model = _fit(variant, sub, features, probs, C, q, k)
-        res = _evaluate(model, test, y, k)
-        return {**(setting or {}), "variant": variant, "size": int(size), "trial": t, **res}
+        mine = draws.filter((F.col("size") == int(size)) & (F.col("trial") == t)).select(id_col, F.col("weight").alias("_weight"))
+        model = _fit(variant, train.join(mine, id_col), features, probs, C, q, k, cs, folds, seed + t, id_col)
+        head = {**(setting or {}), "variant": variant, "size": int(size), "trial": t}
+        return [{**head, "split": name, **_evaluate(model, rows, y, k)} for name, rows in (("train", train), ("test", test))]
 
     try:
-        rows = [r for r in MD.run_grid(cell, [(s, t) for s in sizes for t in range(trials)]) if r]
+        rows = [r for two in MD.run_grid(cell, [(s, t) for s in sizes for t in range(trials)]) for r in two]
     finally:
         test.unpersist()
-    cols = list((setting or {}).keys())
-    schema = ", ".join([f"{c} double" for c in cols] + ["variant string", "size long", "trial int"]
-                       + [f"{m} double" for m in METRICS])
-    return spark.createDataFrame([tuple(r[c] for c in cols + ["variant", "size", "trial", *METRICS])
+        train.unpersist()
+        draws.unpersist()
+    return spark.createDataFrame([tuple(r[c] for c in cols + ["variant", "size", "trial", "split", *METRICS])
                                   for r in rows], schema)
 
 
+def pool_sizes(pool: DataFrame, ratios: Sequence[float]) -> list[int]:
+    """The training sizes int(N * r), one row at least."""
+    n = pool.count()
+    return [max(1, int(n * r)) for r in ratios]
+
+
 def gold_subset_curve(train: DataFrame, test: DataFrame, sizes: Sequence[int], trials: int,
-                      features: str = "embedding", label: str = "y", C: float = 1.0,
-                      seed: int = 0, id_col: str = "id", k: int = 2) -> DataFrame:
-    """M12 with hard gold labels (standard variant), summarised."""
+                      features: str = "embedding", label: str = "y", C: float | None = None,
+                      seed: int = 0, id_col: str = "id", k: int = 2, **kw) -> DataFrame:
+    """M12 with hard gold labels (standard variant), summarised by split."""
     tr = train.withColumn("_probs", L.one_hot(F.col(label), k))
     res = downstream_experiment(tr, test, sizes, trials, "standard", features, "_probs", label, C,
-                                seed=seed, id_col=id_col)
-    return trial_summary(res, ["size"], ["accuracy", "f1_score"])
+                                seed=seed, id_col=id_col, **kw)
+    return trial_summary(res, ["size", "split"], ["accuracy", "f1_score"])
 
 
 def sweep(train: DataFrame, test: DataFrame, settings: Sequence[float],

@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_table
 from .filters import quarantine
 
 
@@ -84,7 +85,12 @@ def generate_until(make_requests: Callable[[int], DataFrame], n: int, client: Ca
                    prompt_col: str = "prompt") -> int:
     """Repeat batches until at least ``n`` valid rows were appended (the
     overshoot of the last batch is kept).  Each round is: requests ->
-    infer -> parse -> quarantine -> append (S8).  Returns the valid count."""
+    infer -> parse -> quarantine -> append (S8).  Returns the valid count;
+    raises if ``max_rounds`` rounds don't yield ``n``.
+
+    A round's rows are written to the shared folder once; the count and the
+    appended lines both come from there, so a lost executor calls nothing
+    again and the two can't differ."""
     total = 0
     for i in range(max_rounds):
         if total >= n:
@@ -93,12 +99,13 @@ def generate_until(make_requests: Callable[[int], DataFrame], n: int, client: Ca
         parsed = parse_responses(infer(req, prompt_col, client, keep=tuple(
             c for c in req.columns if c != prompt_col)), response_schema)
         ok, _bad = quarantine(parsed, valid(parsed))
-        ok = ok.drop("response", "error").cache()
+        ok = shared_table(ok.drop("response", "error"), "generated-round")
         cnt = ok.count()
         if cnt:
             ok.write.mode("append").json(out_path)
-        ok.unpersist()
         total += cnt
+    if total < n:
+        raise RuntimeError(f"{total} valid rows after {max_rounds} rounds; {n} were asked for")
     return total
 
 
@@ -107,22 +114,19 @@ def feedback_loop(make_requests: Callable[[int, DataFrame | None], DataFrame], i
                   refresh_pool: Callable[[DataFrame], DataFrame], prompt_col: str = "prompt") -> DataFrame:
     """Generate -> append to the training set (U2) -> every ``interval``
     iterations refresh the helpful-example pool (random, or top-k by
-    influence) -> few-shot the next batch from the pool.  The training set
-    is checkpointed each iteration so the plan stays bounded."""
-    from ..session import checkpoint_dir
+    influence) -> few-shot the next batch from the pool.  Each iteration
+    writes its own rows to the shared folder; the training set is their union,
+    and no row is written twice."""
     from .reshape import append_batch
     train = None
     pool = None
-    from pyspark.sql import SparkSession
-    checkpoint_dir(SparkSession.getActiveSession())
     for i in range(iterations):
         req = make_requests(i, pool)
         parsed = parse_responses(infer(req, prompt_col, client, keep=tuple(
             c for c in req.columns if c != prompt_col)), response_schema)
         ok, _bad = quarantine(parsed, valid(parsed))
-        ok = ok.drop("response", "error")
+        ok = shared_table(ok.drop("response", "error"), "generated-batch")
         train = ok if train is None else append_batch(train, ok)
-        train = train.checkpoint(eager=True)
         if interval > 0 and (i + 1) % interval == 0:
-            pool = refresh_pool(train).checkpoint(eager=True)
+            pool = shared_table(refresh_pool(train), "helpful-pool")
     return train

@@ -14,6 +14,8 @@ sums, added JVM-side).  The driver holds only (d+1) x K vectors.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -36,12 +38,6 @@ def reverse_cross_entropy(q_probs: ColumnOrName, target: ColumnOrName, eps: floa
                         F.lit(0.0).cast("double"), lambda a, b: a + b)
 
 
-def _softmax(Z):
-    Z = Z - Z.max(axis=1, keepdims=True)
-    E = np.exp(Z)
-    return E / E.sum(axis=1, keepdims=True)
-
-
 def _block_sum(df: DataFrame, fn, size: int) -> np.ndarray:
     """Sum a per-partition numpy vector of ``size`` over the DataFrame."""
     def part(it):
@@ -66,13 +62,13 @@ def influence_scores(train: DataFrame, val: DataFrame, features: str = "embeddin
     d, k = W.shape
     size = (d + 1) * k
     n = train.count()
-    tr = MD.right_size(train.select(id_col, F.col(features).cast("array<double>").alias("x"),
-                                    F.col(probs).alias("p")), n).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = train.select(id_col, F.col(features).cast("array<double>").alias("x"), F.col(probs).alias("p")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
     def xq(pdf):
         X = np.stack(pdf["x"].to_numpy())
         Xt = np.hstack([X, np.ones((len(X), 1))])
-        return Xt, _softmax(X @ W + b)
+        return Xt, MD._softmax_np(X @ W + b)
 
     def val_grad(pdf):
         Xt, Q = xq(pdf)
@@ -109,6 +105,8 @@ def influence_scores(train: DataFrame, val: DataFrame, features: str = "embeddin
         rs_new = r @ r
         pdir = r + (rs_new / rs) * pdir
         rs = rs_new
+    else:
+        warnings.warn(f"conjugate gradients stopped at {cg_max_iter or size} steps, residual {np.sqrt(rs):.3g}", stacklevel=2)
     tr.unpersist()
     S = s.reshape(d + 1, k)
 

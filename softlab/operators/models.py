@@ -16,6 +16,7 @@ vectors (d * K numbers), never data.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -40,20 +41,12 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-ROWS_PER_PARTITION = 50_000
-
-
-def right_size(df: DataFrame, n_rows: int, rows_per_part: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Iterative solvers pay one job per iteration; tiny inputs spread over
-    many partitions pay that latency per task.  Coalesce (no shuffle) to
-    ceil(n / rows_per_part) partitions; large inputs keep their partitioning."""
-    import math
-    target = max(1, math.ceil(n_rows / rows_per_part))
-    try:
-        cur = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001
-        return df
-    return df.coalesce(target) if cur > target else df
+def vector_length(df: DataFrame, col: str) -> int:
+    """The one length of ``col``'s arrays; mixed lengths and empty tables raise."""
+    r = df.agg(F.min(F.size(col)).alias("a"), F.max(F.size(col)).alias("b")).first()
+    if r["a"] is None or r["a"] != r["b"] or r["a"] < 1:
+        raise ValueError(f"{col}: vectors of one length are needed, found {r['a']} to {r['b']}")
+    return int(r["a"])
 
 
 def _check_params(C_: float, k: int | None = None):
@@ -82,6 +75,13 @@ class SoftLRModel:
         return scored.withColumn(out, vector_to_array("probability")).drop(
             "_features", "rawPrediction", "probability", "prediction")
 
+    def margin(self, df: DataFrame, out: str = "margin") -> DataFrame:
+        """Log odds of class 1 (binary models): the raw prediction, not clipped."""
+        scored = self.model.transform(df.withColumn("_features", self._vec(df)))
+        raw = vector_to_array("rawPrediction")
+        odds = raw[1] if self.model.coefficientMatrix.numRows == 1 else raw[1] - raw[0]
+        return scored.withColumn(out, odds).drop("_features", "rawPrediction", "probability", "prediction")
+
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
         return self.predict_proba(df, "_p").withColumn(out, L.argmax("_p")).drop("_p")
 
@@ -121,7 +121,7 @@ def fit_soft_lr(df: DataFrame, features: str = "embedding", probs: str = "label"
         raise ValueError("sum of weights must be positive")
     if total_w["mn"] < 0:
         raise ValueError("weights must be >= 0")
-    ex = explode_soft(right_size(df, total_w["n"]), features, probs, weight, constant_feature=penalize_intercept)
+    ex = explode_soft(df, features, probs, weight, constant_feature=penalize_intercept)
     lr = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight",
                             family="multinomial", regParam=1.0 / (C * total_w["w"]),
                             elasticNetParam=0.0, standardization=False,
@@ -131,17 +131,22 @@ def fit_soft_lr(df: DataFrame, features: str = "embedding", probs: str = "label"
 
 
 def fit_standard_lr(df: DataFrame, features: str, label: str, C: float | None = 1.0,
-                    binary: bool | None = None, max_iter: int = 100, tol: float = 1e-6) -> SoftLRModel:
+                    binary: bool | None = None, max_iter: int = 100, tol: float = 1e-6,
+                    weight: str | None = None) -> SoftLRModel:
     """Hard-label L2 LR (``C=None`` -> unregularised).  Binary data
-    uses one coefficient vector (binomial), as the reference's solver does."""
-    n = df.count()
+    uses one coefficient vector (binomial), as the reference's solver does.
+    A row counts ``weight`` times (bootstrap draws)."""
+    w = _c(weight).cast("double") if weight else F.lit(1.0)
+    n = df.agg(F.sum(w)).first()[0] or 0.0
+    if n <= 0:
+        raise ValueError("no rows to fit on")
     reg = 0.0 if C is None else 1.0 / (C * n)
     if C is not None:
         _check_params(C)
     fam = "auto" if binary is None else ("binomial" if binary else "multinomial")
-    d = right_size(df, n).select(array_to_vector(_c(features).cast("array<double>")).alias("_features"),
-                                 _c(label).cast("double").alias("_label"))
-    lr = LogisticRegression(featuresCol="_features", labelCol="_label", family=fam, regParam=reg,
+    d = df.select(array_to_vector(_c(features).cast("array<double>")).alias("_features"),
+                                 _c(label).cast("double").alias("_label"), w.alias("_weight"))
+    lr = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", family=fam, regParam=reg,
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
     return SoftLRModel(lr.fit(d), features)
 
@@ -237,27 +242,33 @@ def cross_validate(df: DataFrame, fit, features: str, probs: str, cs: Sequence[f
     return spark.createDataFrame(rows, "C double, fold int, score double")
 
 
+def cv_means(grid: DataFrame) -> DataFrame:
+    """Mean and population std of each C's fold scores; NaN folds are left out."""
+    s = F.when(~F.isnan("score"), F.col("score"))
+    return grid.groupBy("C").agg(F.avg(s).alias("mean_score"), F.stddev_pop(s).alias("std_score"))
+
+
 def fit_soft_lr_cv(df: DataFrame, features: str = "embedding", probs: str = "label",
                    cs: int | Sequence[float] = 10, folds: int = 5, scoring: str = "neg_log_loss",
                    seed: int = 0, k: int | None = None, id_col: str = "id",
-                   borderline: tuple[float, float] | None = None):
+                   borderline: tuple[float, float] | None = None, weight: str | None = None):
     """M3: CV over Cs, pick the best mean score (first C on ties), refit on
     all rows.  ``borderline=(exponent, min_weight)`` weights binary rows by
     P27.  Returns (model, per-C mean scores DataFrame, best C)."""
     cs_ = logspace_cs(cs)
-    k = k or len(df.select(probs).first()[0])
-    weight = None
+    k = k or vector_length(df, probs)
     if borderline is not None:
         if k != 2:
             raise ValueError("borderline weights need binary labels")
-        df = df.withColumn("_bw", L.borderline_weight(F.col(probs)[1], *borderline))
+        own = F.col(weight).cast("double") if weight else F.lit(1.0)
+        df = df.withColumn("_bw", own * L.borderline_weight(F.col(probs)[1], *borderline))
         weight = "_bw"
 
     def fit(train, c):
         return fit_soft_lr(train, features, probs, C=c, weight=weight)
 
     grid = cross_validate(df, fit, features, probs, cs_, folds, scoring, seed, k, id_col)
-    means = grid.groupBy("C").agg(F.avg(F.when(~F.isnan("score"), F.col("score"))).alias("mean_score"))
+    means = cv_means(grid)
     sc = {r["C"]: r["mean_score"] for r in means.collect()}   # one row per C
     c_best = best_c(sc, cs_)
     return fit_soft_lr(df, features, probs, C=c_best, weight=weight), means, c_best
@@ -265,20 +276,20 @@ def fit_soft_lr_cv(df: DataFrame, features: str = "embedding", probs: str = "lab
 
 def fit_standard_lr_cv(df: DataFrame, features: str, label: str, cs: int | Sequence[float] = 10,
                        folds: int = 5, scoring: str = "neg_log_loss", seed: int = 0,
-                       id_col: str = "id", k: int | None = None):
-    """M9 with CV (hard labels)."""
+                       id_col: str = "id", k: int | None = None, weight: str | None = None):
+    """M9 with CV (hard labels); ``weight`` as in ``fit_standard_lr``."""
     cs_ = logspace_cs(cs)
     k = k or (df.agg(F.max(label)).first()[0] + 1)
     d = df.withColumn("_onehot", L.one_hot(F.col(label), k))
 
     def fit(train, c):
-        return fit_standard_lr(train, features, label, C=c, binary=(k == 2))
+        return fit_standard_lr(train, features, label, C=c, binary=(k == 2), weight=weight)
 
     grid = cross_validate(d, fit, features, "_onehot", cs_, folds, scoring, seed, k, id_col)
-    means = grid.groupBy("C").agg(F.avg(F.when(~F.isnan("score"), F.col("score"))).alias("mean_score"))
+    means = cv_means(grid)
     sc = {r["C"]: r["mean_score"] for r in means.collect()}
     c_best = best_c(sc, cs_)
-    return fit_standard_lr(df, features, label, C=c_best, binary=(k == 2)), means, c_best
+    return fit_standard_lr(df, features, label, C=c_best, binary=(k == 2), weight=weight), means, c_best
 
 
 # --------------------------------------------------------------- M5 / M6
@@ -311,6 +322,9 @@ class LinearSoftmax:
     W: np.ndarray
     b: np.ndarray
     features: str
+    iterations: int = 0
+    gradient_norm: float = float("nan")
+    converged: bool = True
 
     def predict_proba(self, df: DataFrame, out: str = "proba") -> DataFrame:
         """softmax(x W + b) per row: an Arrow-batched pandas UDF doing one
@@ -364,12 +378,16 @@ def _partial_loss_grad(df: DataFrame, features: str, probs: str, weight: str | N
 
 def lbfgs(fun, x0: np.ndarray, max_iter: int = 200, m: int = 10, tol: float = 1e-8):
     """Minimal L-BFGS with Armijo backtracking (scipy is not available).
-    ``fun(x) -> (f, grad)``; each call is one distributed pass."""
+    ``fun(x) -> (f, grad)``; each call is one distributed pass.  Returns
+    (x, f, gradient, iterations, converged); stopping at ``max_iter`` is not
+    convergence."""
     x = x0.copy()
     f, g = fun(x)
     S, Y = [], []
-    for _ in range(max_iter):
+    converged, done = False, 0
+    for done in range(max_iter):
         if np.linalg.norm(g) < tol * max(1.0, abs(f)):
+            converged = True
             break
         qv = g.copy()
         alphas = []
@@ -394,7 +412,7 @@ def lbfgs(fun, x0: np.ndarray, max_iter: int = 200, m: int = 10, tol: float = 1e
             step *= 0.5
         s_k, y_k = x_new - x, g_new - g
         if abs(f - f_new) <= tol * max(1.0, abs(f)):
-            x, f, g = x_new, f_new, g_new
+            x, f, g, converged = x_new, f_new, g_new, True
             break
         if y_k @ s_k > 1e-12:
             S.append(s_k)
@@ -403,11 +421,11 @@ def lbfgs(fun, x0: np.ndarray, max_iter: int = 200, m: int = 10, tol: float = 1e
                 S.pop(0)
                 Y.pop(0)
         x, f, g = x_new, f_new, g_new
-    return x, f, g
+    return x, f, g, done + 1, converged
 
 
 def fit_gce_lr(df: DataFrame, features: str = "embedding", probs: str = "label", C: float = 1.0,
-               q: float = 0.7, weight: str | None = None, seed: int = 0, max_iter: int = 100,
+               q: float = 0.7, weight: str | None = None, seed: int = 0, max_iter: int = 500,
                tol: float = 1e-8) -> LinearSoftmax:
     """M7: sum_i w_i GCE_q(P_i, softmax(W x_i + b)) + ||W||^2 / (2C); the
     intercept is unpenalised.  Non-convex: the start point N(0, .01) comes
@@ -415,11 +433,8 @@ def fit_gce_lr(df: DataFrame, features: str = "embedding", probs: str = "label",
     _check_params(C)
     if not 0 < q <= 1:
         raise ValueError("q must be in (0, 1]")
-    first = df.agg(F.first(F.size(features)).alias("d"), F.first(F.size(probs)).alias("k"),
-                   F.count(F.lit(1)).alias("n")).first()
-    d, k = int(first["d"]), int(first["k"])
-    data = right_size(df.select(features, probs, *([weight] if weight else [])), first["n"]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    d, k = vector_length(df, features), vector_length(df, probs)
+    data = df.select(features, probs, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
     rng = np.random.default_rng(seed)
     x0 = np.concatenate([rng.normal(0.0, 0.01, size=d * k), np.zeros(k)])
 
@@ -431,10 +446,12 @@ def fit_gce_lr(df: DataFrame, features: str = "embedding", probs: str = "label",
         return loss, np.concatenate([gW.ravel(), gb])
 
     try:
-        x, _f, _g = lbfgs(fun, x0, max_iter=max_iter, tol=tol)
+        x, _f, g, iterations, converged = lbfgs(fun, x0, max_iter=max_iter, tol=tol)
     finally:
         data.unpersist()
-    return LinearSoftmax(x[: d * k].reshape(d, k), x[d * k:], features)
+    if not converged:
+        warnings.warn(f"GCE fit stopped at {max_iter} iterations, gradient norm {np.linalg.norm(g):.3g}", stacklevel=2)
+    return LinearSoftmax(x[: d * k].reshape(d, k), x[d * k:], features, iterations, float(np.linalg.norm(g)), converged)
 
 
 def gce_gradient_norm(df: DataFrame, model: LinearSoftmax, probs: str, C: float, q: float,
@@ -448,13 +465,16 @@ def gce_gradient_norm(df: DataFrame, model: LinearSoftmax, probs: str, C: float,
 # --------------------------------------------------------------- M16, M17
 def gold_judge(gold: DataFrame, synthetic: DataFrame, features: str, label: str,
                cs: int | Sequence[float] = 10, folds: int = 5, seed: int = 0):
-    """Fit a standard LR on gold (CV accuracy mean / population std),
-    then score the synthetic rows: p(class 1) for binary, the vector else."""
+    """Fit a standard LR on gold, then score the synthetic rows: p(class 1)
+    for binary, the vector else.  Returns (scored, CV accuracy table with the
+    mean and population std of each C, best C)."""
     model, means, c_best = fit_standard_lr_cv(gold, features, label, cs, folds, "accuracy", seed)
     scored = model.predict_proba(synthetic, "judge_proba")
     k = len(model.intercepts) if model.model.numClasses > 2 else 2
     if k == 2:
         scored = scored.withColumn("judge_score", F.col("judge_proba")[1])
+    else:
+        scored = scored.withColumn("judge_score", F.col("judge_proba"))
     return scored, means, c_best
 
 
@@ -472,17 +492,18 @@ def platt_calibrate(scored: DataFrame, margin: str, y: str, C: float = 1e12) ->
 
 def fit_gce_lr_cv(df: DataFrame, features: str = "embedding", probs: str = "label",
                   cs: int | Sequence[float] = 10, folds: int = 5, scoring: str = "neg_log_loss",
-                  q: float = 0.9, seed: int = 0, id_col: str = "id", max_iter: int = 50):
+                  q: float = 0.9, seed: int = 0, id_col: str = "id", max_iter: int = 500,
+                  weight: str | None = None):
     """M8: as M3 over M7.  Scored like M3 (argmax of the soft fold labels);
     the reference's log-loss on soft targets is not reproduced."""
     cs_ = logspace_cs(cs)
-    k = len(df.select(probs).first()[0])
+    k = vector_length(df, probs)
 
     def fit(train, c):
-        return fit_gce_lr(train, features, probs, C=c, q=q, seed=seed, max_iter=max_iter)
+        return fit_gce_lr(train, features, probs, C=c, q=q, seed=seed, max_iter=max_iter, weight=weight)
 
     grid = cross_validate(df, fit, features, probs, cs_, folds, scoring, seed, k, id_col)
-    means = grid.groupBy("C").agg(F.avg(F.when(~F.isnan("score"), F.col("score"))).alias("mean_score"))
+    means = cv_means(grid)
     sc = {r["C"]: r["mean_score"] for r in means.collect()}
     c_best = best_c(sc, cs_)
     return fit(df, c_best), means, c_best
@@ -496,7 +517,13 @@ class SoftLogisticRegression:
     def __init__(self, C: float = 1.0, q_gce: float | None = None, cv: int | None = None,
                  Cs: int | Sequence[float] = 10, scoring: str = "neg_log_loss",
                  features: str = "embedding", probs: str = "label", weight: str | None = None,
-                 seed: int = 0, id_col: str = "id"):
+                 seed: int = 0, id_col: str = "id", fit_intercept: bool = True,
+                 penalize_intercept: bool = False, borderline: tuple[float, float] | None = None):
+        self.fit_intercept, self.penalize_intercept, self.borderline = fit_intercept, penalize_intercept, borderline
+        if q_gce is not None and (penalize_intercept or not fit_intercept or borderline):
+            raise ValueError("the GCE variant has a free intercept and no borderline weights")
+        if cv and (penalize_intercept or not fit_intercept):
+            raise ValueError("cross-validation fits a free intercept")
         self.C, self.q_gce, self.cv, self.Cs, self.scoring = C, q_gce, cv, Cs, scoring
         self.features, self.probs, self.weight, self.seed, self.id_col = features, probs, weight, seed, id_col
         self.cv_scores_ = None
@@ -509,9 +536,15 @@ class SoftLogisticRegression:
                                                             self.scoring, self.q_gce, self.seed, self.id_col)
             else:
                 m, self.cv_scores_, self.C_ = fit_soft_lr_cv(df, self.features, self.probs, self.Cs, self.cv,
-                                                             self.scoring, self.seed, id_col=self.id_col)
+                                                             self.scoring, self.seed, id_col=self.id_col,
+                                                             borderline=self.borderline, weight=self.weight)
             return m
         if self.q_gce is not None:
             return fit_gce_lr(df, self.features, self.probs, C=self.C, q=self.q_gce, weight=self.weight,
                               seed=self.seed)
-        return fit_soft_lr(df, self.features, self.probs, C=self.C, weight=self.weight)
+        weight = self.weight
+        if self.borderline:
+            own = F.col(weight).cast("double") if weight else F.lit(1.0)
+            df, weight = df.withColumn("_bw", own * L.borderline_weight(F.col(self.probs)[1], *self.borderline)), "_bw"
+        return fit_soft_lr(df, self.features, self.probs, C=self.C, weight=weight, fit_intercept=self.fit_intercept,
+                           penalize_intercept=self.penalize_intercept)

@@ -5,9 +5,9 @@ so results do not depend on partitioning, retries or executor loss (a
 re-run task recomputes the same draws).  ``rand()`` and
 ``monotonically_increasing_id()`` are never used.
 
-Distribution samplers that need gamma/beta draws (Dirichlet, Beta) run in
-an Arrow-batched pandas UDF with a per-row Philox generator keyed by
-``(seed, id)``: vectorised per batch, but still row-deterministic.
+Distribution samplers that need gamma/beta draws (Dirichlet, Beta) transform
+hash uniforms of ``(seed, id, draw)`` with numpy, whole Arrow batches at a
+time: no generator per row, and a row's draw depends on its id only.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from .common import scalar_of
 from .ranking import hash_rank, take_smallest
 
 ColumnOrName = Column | str
-DIRICHLET_ALPHAS = {"very_sparse": 0.1, "sparse": 0.3, "moderate": 0.5, "uniform": 1.0, "dense": 5.0}
+#: The named strategies and their concentration; "mixed" picks one per row.
+DIRICHLET_ALPHAS = {"very spiky": 0.1, "spikier": 0.3, "slightly spiky": 0.5, "flat": 1.0, "very flat": 5.0}
 
 
 def _c(x: ColumnOrName) -> Column:
@@ -168,9 +169,45 @@ def sample_margin_uniform(id_col: ColumnOrName, positive: Column, m: float, seed
 
 
 # ------------------------------------------------------ N8, N10, N11, N16
-def _rng(seed: int, rid: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=np.array([seed & (2**64 - 1), rid & (2**64 - 1)],
-                                                              dtype=np.uint64)))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hash_uniforms(ids: np.ndarray, seed: int, draw: int) -> np.ndarray:
+    """U(0, 1) of each id for one draw."""
+    key = np.uint64((seed * 0x9E3779B97F4A7C15 + draw * 0xD6E8FEB86659FD93 + 1) % 2**64)
+    x = _mixed(_mixed(ids.astype(np.int64).view(np.uint64) + key) ^ key)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def hash_gammas(ids: np.ndarray, shape: np.ndarray, seed: int, stream: int) -> np.ndarray:
+    """Gamma(shape, 1) of each id: Marsaglia and Tsang's method on whole arrays;
+    the ids that reject draw again."""
+    small = shape < 1
+    d = np.where(small, shape + 1, shape) - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out = np.empty(len(ids))
+    left = np.arange(len(ids))
+    draw = stream << 32
+    while len(left):
+        u, w, a = (hash_uniforms(ids[left], seed, draw + k) for k in (1, 2, 3))
+        draw += 3
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * w)
+        v = (1 + c[left] * x) ** 3
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ok = (v > 0) & (np.log(a) < 0.5 * x * x + d[left] * (1 - v + np.log(np.where(v > 0, v, 1))))
+        out[left[ok]] = (d[left] * v)[ok]
+        left = left[~ok]
+    boost = hash_uniforms(ids, seed, stream << 32) ** (1 / np.where(small, shape, 1))
+    return np.where(small, out * boost, out)
+
+
+def hash_betas(ids: np.ndarray, a: np.ndarray, b: np.ndarray, seed: int, stream: int) -> np.ndarray:
+    x, y = hash_gammas(ids, a, seed, stream), hash_gammas(ids, b, seed, stream + 1)
+    return x / (x + y)
 
 
 def sample_dirichlet(df: DataFrame, k: int, alpha: float | str | Sequence[float], seed: int,
@@ -188,60 +225,56 @@ def sample_dirichlet(df: DataFrame, k: int, alpha: float | str | Sequence[float]
         alphas = [float(alpha)]
     else:
         alphas = [float(a) for a in alpha]
+    choices = np.array(alphas)
 
     @F.pandas_udf("array<double>")
     def draw(ids: pd.Series) -> pd.Series:
-        res = []
-        for rid in ids.to_numpy():
-            g = _rng(seed, int(rid))
-            a = alphas[int(g.integers(len(alphas)))] if len(alphas) > 1 else alphas[0]
-            x = g.gamma(a, 1.0, size=k)
-            s = x.sum()
-            res.append((x / s if s > 0 else np.full(k, 1.0 / k)).tolist())
-        return pd.Series(res)
+        i = ids.to_numpy()
+        a = choices[(hash_uniforms(i, seed, 0) * len(choices)).astype(int)]
+        x = np.stack([hash_gammas(i, a, seed, 1 + j) for j in range(k)], axis=1)
+        total = x.sum(axis=1, keepdims=True)
+        return pd.Series(list(np.where(total > 0, x / np.where(total > 0, total, 1), 1.0 / k)))
 
     return df.withColumn(out, draw(F.col(id_col).cast("long")))
 
 
 def sample_margin_beta(df: DataFrame, positive: str, m: float, seed: int,
-                       id_col: str = "id", out: str = "p") -> DataFrame:
-    """Beta(5, 1.5) (positives) or Beta(1.5, 5) (negatives), rescaled to
-    [.5+m, 1] or [0, .5-m]."""
+                       id_col: str = "id", out: str = "p", shape: tuple[float, float] = (5.0, 1.5)) -> DataFrame:
+    """Beta(a, b) (positives) or Beta(b, a) (negatives) for ``shape`` = (a, b),
+    rescaled to [.5+m, 1] or [0, .5-m]."""
     @F.pandas_udf("double")
     def draw(ids: pd.Series, pos: pd.Series) -> pd.Series:
-        vals = []
-        for rid, is_pos in zip(ids.to_numpy(), pos.to_numpy()):
-            g = _rng(seed, int(rid))
-            if is_pos:
-                vals.append(0.5 + m + g.beta(5.0, 1.5) * (0.5 - m))
-            else:
-                vals.append(g.beta(1.5, 5.0) * (0.5 - m))
-        return pd.Series(vals, dtype="float64")
+        yes = pos.to_numpy().astype(bool)
+        a, b = np.where(yes, *shape), np.where(yes, *shape[::-1])
+        x = hash_betas(ids.to_numpy(), a, b, seed, 101)
+        return pd.Series(np.where(yes, 0.5 + m + x * (0.5 - m), x * (0.5 - m)))
 
     return df.withColumn(out, draw(F.col(id_col).cast("long"), F.col(positive).cast("boolean")))
 
 
 def sample_intensity(df: DataFrame, seed: int, beta: bool = False, id_col: str = "id",
-                     out: str = "intensity") -> DataFrame:
-    """U[.8, 1] (column arithmetic) or Beta(5, 1.5) (pandas UDF)."""
+                     out: str = "intensity", shape: tuple[float, float] = (5.0, 1.5)) -> DataFrame:
+    """U[.8, 1] (column arithmetic) or Beta(``shape``)."""
     if not beta:
         return df.withColumn(out, F.lit(0.8) + hash_uniform(hash_key(seed, id_col, F.lit("int"))) * F.lit(0.2))
 
     @F.pandas_udf("double")
     def draw(ids: pd.Series) -> pd.Series:
-        return pd.Series([_rng(seed, int(r)).beta(5.0, 1.5) for r in ids.to_numpy()], dtype="float64")
+        a, b = (np.full(len(ids), x) for x in shape)
+        return pd.Series(hash_betas(ids.to_numpy(), a, b, seed, 103))
 
     return df.withColumn(out, draw(F.col(id_col).cast("long")))
 
 
 # --------------------------------------------------------------------- N12
 def balanced_requests(batches: DataFrame, batch_col: str, k: int, mode: str, seed: int,
-                      group_cols: Sequence[str] = ()) -> DataFrame:
+                      group_cols: Sequence[str] = (), alpha: float | str = 1.0, margin: float = 0.0) -> DataFrame:
     """One request row per slot of each batch.
 
     binary: floor(b/2) positives, the rest (the extra one) negative.
     hard:   b // k per class, the remainder to one class chosen by hash.
-    soft:   Dirichlet(1) label per request (see ``sample_dirichlet``)."""
+    soft:   Dirichlet(``alpha``) label per request (see ``sample_dirichlet``).
+    soft_binary: as binary, with a score of N9 for each side of ``margin``."""
     b = F.col(batch_col)
     rows = batches.select(*group_cols, b.alias("_b"),
                           F.explode(F.sequence(F.lit(0), b - 1)).alias("slot"))
@@ -255,11 +288,15 @@ def balanced_requests(batches: DataFrame, batch_col: str, k: int, mode: str, see
         lab = F.when(F.col("slot") < per * k, (F.col("slot") / per).cast("long") if k else F.lit(0)) \
             .otherwise(extra_cls)
         return rows.select(*group_cols, "slot", lab.cast("int").alias("label"))
+    if mode == "soft_binary":
+        positive = F.col("slot") < (F.col("_b") / 2).cast("long")
+        slot = F.concat_ws("|", *[F.col(c).cast("string") for c in group_cols], F.col("slot").cast("string"))
+        return rows.select(*group_cols, "slot", sample_margin_uniform(slot, positive, margin, seed).alias("label"))
     if mode == "soft":
         keyed = rows.withColumn("_rid", F.conv(F.substring(hash_key(seed, F.concat_ws(
             "|", *[F.col(c).cast("string") for c in group_cols], F.col("slot").cast("string"))), 1, 15), 16, 10)
             .cast("long"))
-        return sample_dirichlet(keyed, k, 1.0, seed, "_rid", "label").drop("_rid", "_b")
+        return sample_dirichlet(keyed, k, alpha, seed, "_rid", "label").drop("_rid", "_b")
     raise ValueError(f"unknown mode {mode!r}")
 
 

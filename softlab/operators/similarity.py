@@ -96,12 +96,11 @@ def _mean(sum_col: Column, pairs_col: Column) -> Column:
 
 def _total(sums: DataFrame) -> DataFrame:
     """Whole-corpus pair sum from the per-group sums (one row, zeros when
-    empty): ||sum_c S_c||^2 by vector position over a table bounded by
-    groups x D."""
-    pos = sums.select(F.posexplode("S").alias("_i", "_x")).groupBy("_i").agg(F.sum("_x").alias("_s"))
-    s2 = pos.agg(F.coalesce(F.sum(F.col("_s") * F.col("_s")), F.lit(0.0)).alias("s2"))
-    nq = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("q"), F.lit(0)).alias("q"))
-    r = one_row(nq, s2)
+    empty): ||sum_c S_c||^2, the vectors added map-side by ``Summarizer``."""
+    all_ = sums.withColumn("_v", array_to_vector("S")).groupBy(F.lit(0).alias("_all")) \
+        .agg(F.sum("n").alias("n"), F.sum("q").alias("q"), vector_to_array(Summarizer.sum(F.col("_v"))).alias("S"))
+    r = all_.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("q"), F.lit(0)).alias("q"),
+                 F.coalesce(F.max(norm2("S")), F.lit(0.0)).alias("s2"))
     return r.select("n", ((F.col("s2") - F.col("q")) / 2.0).alias("all_sum"),
                     _pairs(F.col("n")).alias("all_pairs"))
 
@@ -129,22 +128,24 @@ def cosine_by_class(df: DataFrame, emb: str = "embedding", label: str = "label")
 
 def cosine_multilabel(df: DataFrame, emb: str, classes: Sequence[str]) -> DataFrame:
     """intra = pairs sharing >= 1 class (values cast to int, all-zero
-    rows never intra); inter = the other pairs."""
-    c = len(classes)
-    if c > 16:
-        raise ValueError("multi-label similarity supports at most 16 classes")
-    mask = F.lit(0)
-    for i, name in enumerate(classes):
-        mask = mask + F.when(F.col(name).cast("int") != 0, F.lit(1 << i)).otherwise(F.lit(0))
-    per = class_sums(df, emb, [mask.alias("_m")])
-    subsets = F.filter(F.sequence(F.lit(1), F.lit((1 << c) - 1)),
-                       lambda a: (a.bitwiseAND(F.col("_m"))) == a)
-    sub = per.filter(F.col("_m") != 0).select(F.explode(subsets).alias("A"), "n", "q", "S")
-    t_a = sub.groupBy("A").agg(F.sum("n").alias("n"), F.sum("q").alias("q"),
-                               vector_to_array(Summarizer.sum(array_to_vector("S"))).alias("S"))
-    sign = F.when(F.bit_count("A") % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-    intra = t_a.agg(F.coalesce(F.sum(sign * _pair_sum(F.col("S"), F.col("q"))), F.lit(0.0)).alias("intra_sum"),
-                    F.coalesce(F.sum(sign * _pairs(F.col("n"))), F.lit(0.0)).alias("intra_pairs"))
+    rows never intra); inter = the other pairs.
+
+    Rows are summed by the set of classes they have.  Two sets that share a
+    class meet once, under their smallest common class, so the work follows
+    the sets that occur, not 2^C, and any number of classes will do."""
+    own = F.filter(F.array(*[F.when(F.col(c).cast("int") != 0, F.lit(i)) for i, c in enumerate(classes)]),
+                   lambda x: x.isNotNull())
+    per = class_sums(df, emb, [F.concat_ws(",", own).alias("_m")])
+    some = per.filter(F.col("_m") != "").withColumn("_set", F.split("_m", ",").cast("array<int>"))
+    listed = some.select(F.explode("_set").alias("_c"), "_m", "_set", "n", "S")
+    other = listed.select("_c", F.col("_m").alias("_m2"), F.col("_set").alias("_set2"), F.col("n").alias("n2"), F.col("S").alias("S2"))
+    met = listed.join(other, "_c").filter((F.col("_m") < F.col("_m2"))
+                                          & (F.col("_c") == F.array_min(F.array_intersect("_set", "_set2"))))
+    dot = F.aggregate(F.zip_with("S", "S2", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    between = met.select(dot.alias("s"), (F.col("n") * F.col("n2")).cast("double").alias("p"))
+    inside = some.select(_pair_sum(F.col("S"), F.col("q")).alias("s"), _pairs(F.col("n")).alias("p"))
+    intra = inside.unionByName(between).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("intra_sum"),
+                                            F.coalesce(F.sum("p"), F.lit(0.0)).alias("intra_pairs"))
     r = one_row(intra, _total(per))
     return r.select(
         "n",

@@ -40,7 +40,7 @@ def _stream_lines(spark, sf_dir):
 
 def _write_stream_input(spark, sf_dir):
     d = scratch_path(spark, "stream-in")
-    _stream_lines(spark, sf_dir).repartition(4, "event_id").select("value").write.text(d)
+    _stream_lines(spark, sf_dir).select("value").write.text(d)
     return d
 
 

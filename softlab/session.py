@@ -34,6 +34,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SOFTLAB_DRIVER_MEM", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
+        # local test tables are files of one row group: see fixtures.spread
+        .config("spark.softlab.scanPartitions", str(os.cpu_count() if cores == "*" else cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # broadcast only what we broadcast explicitly after a size check
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
@@ -48,8 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder; use it (it
     is a core setting, read from the session, never overwritten here).  Only
-    when it is unset (local runs, tests) create a fresh scratch folder and
-    register it with the SparkContext so ``DataFrame.checkpoint()`` works.
+    in local mode, where it may be unset (tests), a fresh scratch folder is
+    made and registered; on a cluster a missing setting is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -60,6 +62,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="softlab-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -96,19 +100,3 @@ def shared_table(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def scan_parallelism(df, keys):
-    """See ``fixtures.spread``.  Counting the scan's splits only plans the
-    scan (file listing), it runs no job."""
-    from pyspark.sql import functions as F
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - planning failed; leave the scan alone
-        return df
-    if n >= target:
-        return df
-    cols = [F.col(k) for k in keys if k in df.columns]
-    return df.repartition(target, *cols) if cols else df.repartition(target)

@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..operators.common import scalar_of
 
 K_VECTOR = 6          # classes in the soft_vector fixture
-VALUE_SCALE = 490.02  # max(events.value); maps value onto [0, 1]
 
 
 # row keys of the driver tables: used to spread an under-split scan
@@ -52,13 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = True) -> Da
 
 
 def spread(df: DataFrame, keys) -> DataFrame:
-    """Hash-repartition a scan that has fewer splits than the cluster has
-    cores (e.g. one large row group), so per-row work such as tokenising is
-    not confined to one task.  At scale the scan already has thousands of
-    splits and this is a no-op.  Hash (not round-robin) partitioning keeps
-    retries deterministic; Catalyst still prunes columns below it."""
-    from ..session import scan_parallelism
-    return scan_parallelism(df, keys)
+    """Hash-repartition a scan by ``keys`` into ``spark.softlab.scanPartitions``
+    parts, where that setting is given: for local runs over files of one row
+    group, whose per-row work would be one task.  Without it (a cluster, whose
+    scans have splits enough) the scan is left as it is split."""
+    parts = df.sparkSession.conf.get("spark.softlab.scanPartitions", None)
+    cols = [F.col(k) for k in keys if k in df.columns]
+    return df.repartition(int(parts), *cols) if parts and cols else df
 
 
 # ------------------------------------------------------------------ binary
@@ -79,7 +79,7 @@ def judged_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"),
         (k.cast("double") / 100).alias("p"),
         (F.col("event_type") == "purchase").cast("int").alias("y"),
-        F.least(F.lit(1.0), F.col("value") / F.lit(VALUE_SCALE)).alias("q"),
+        (F.col("value") / scalar_of(ev.agg(F.max("value").alias("m"))).getField("m")).alias("q"),
     )
 
 
@@ -198,7 +198,7 @@ DUCK = {
         SELECT event_id AS id,
                CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS DOUBLE) / 100 AS p,
                CAST(event_type = 'purchase' AS INTEGER) AS y,
-               least(CAST(1 AS DOUBLE), value / CAST('{VALUE_SCALE!r}' AS DOUBLE)) AS q
+               value / (SELECT max(value) FROM events) AS q
         FROM events""",
     "soft_binary_big": """
         SELECT l_discount * 10 AS p, CAST(l_returnflag = 'R' AS INTEGER) AS y

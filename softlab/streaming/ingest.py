@@ -47,10 +47,14 @@ def validated(df: DataFrame, kind: str = "binary", k: int | None = None) -> Data
     return df.withColumn("status", status).withColumn("label", F.when(status == "valid", fixed))
 
 
-def read_stream(spark: SparkSession, in_dir: str, kind: str = "binary", max_files: int = 1) -> DataFrame:
-    return (spark.readStream.schema(RECORD_WITH_ID[kind]).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record")
-            .option("maxFilesPerTrigger", max_files).json(in_dir))
+def read_stream(spark: SparkSession, in_dir: str, kind: str = "binary", max_files: int | None = None) -> DataFrame:
+    """The growing folder as a stream; ``max_files`` limits a micro-batch (by
+    default a batch takes all files that are there)."""
+    reader = (spark.readStream.schema(RECORD_WITH_ID[kind]).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt_record"))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.json(in_dir)
 
 
 def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
