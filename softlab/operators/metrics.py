@@ -296,10 +296,16 @@ METRIC_REGISTRY = {"accuracy": _m_accuracy, "precision": _m_prf("precision"), "r
                    "f1_score": _m_prf("f1"), "roc_auc": _m_roc_auc, "auprc": _m_auprc, "ece": _m_ece}
 
 
-def evaluate(scored: DataFrame, y: str, proba: str, metrics=None, average: str = "macro") -> DataFrame:
-    """Any subset of the registered metrics, one row."""
+def evaluate(scored: DataFrame, y: str, proba: str, metrics=None, average: str = "macro",
+             kind: str = "multiclass", threshold: float = 0.5) -> DataFrame:
+    """Any subset of the registered metrics, one row.  ``kind="binary"``:
+    ``proba`` is the probability of class 1, predicted from ``threshold`` on."""
     names = list(metrics or METRIC_REGISTRY)
     unknown = [n for n in names if n not in METRIC_REGISTRY]
     if unknown:
         raise ValueError(f"unknown metrics {unknown}")
+    if kind == "binary":
+        return evaluate_binary(scored, y, proba, threshold).select(*names)
+    if kind != "multiclass":
+        raise ValueError(f"unknown kind {kind!r}")
     return one_row(*[METRIC_REGISTRY[n](scored, y, proba, average) for n in names])

@@ -194,15 +194,6 @@ def few_shot_positions(spark, sf_dir):
     return S.few_shot_positions(r, scalar_of(n).getField("n"), 3, SEED, "prompt_id")
 
 
-@query("bootstrap_poisson", ops="N3 fast mode (approximate size; rows-only)")
-def bootstrap_poisson(spark, sf_dir):
-    sb = X.soft_binary(spark, sf_dir)
-    n = sb.count()
-    w = S.bootstrap_poisson(sb.select("id"), 1000, 5, SEED, n)
-    return w.groupBy("trial").agg(F.sum("weight").alias("total_weight"), F.count(F.lit(1)).alias("n_rows"),
-                                  F.max("weight").alias("max_weight"))
-
-
 @query("bootstrap_50_trials", ops="N3 at the reference's 50 trials (with replacement)", sql=f"""
 WITH idx AS (SELECT id, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(id AS VARCHAR)), id) - 1 AS pos FROM soft_binary),
 draws AS (SELECT t.trial, j.j FROM range(0, 50) t(trial), range(0, 2000) j(j)),

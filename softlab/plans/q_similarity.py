@@ -81,8 +81,3 @@ def _replicated(spark, sf_dir, times: int = 100):
     e = X.emb_labeled(spark, sf_dir)
     rep = e.select("id", "embedding", "label", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("_c"))
     return rep.select((F.col("id") * times + F.col("_c")).alias("id"), "embedding", "label")
-
-
-@query("intra_inter_cosine_x100", ops="A26 at 100x replication (no N^2 oracle; closed-form test)")
-def intra_inter_cosine_x100(spark, sf_dir):
-    return rounded(S.cosine_by_class(_replicated(spark, sf_dir), "embedding", "label"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import labels as L
 from ..functions.text import null_safe_concat
@@ -17,13 +18,15 @@ TITLE_CONTENT_RECORD = "title STRING, content STRING, label ARRAY<DOUBLE>, _corr
 
 
 def read_labeled_csv(spark: SparkSession, paths: dict[str, str], text_col: str, label_col: str,
-                     mapping: dict[str, int], schema: str | None = None) -> DataFrame:
+                     mapping: dict[str, int], schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """Per-split CSV files with a string label mapped to an int (P2);
-    unmapped strings become null.  Returns (split, text, labels)."""
+    unmapped strings become null.  Returns (split, text, labels).  Quoted
+    texts may hold line ends, so a file is one task; ``multi_line=False``
+    splits files whose texts have none."""
     schema = schema or f"`{text_col}` STRING, `{label_col}` STRING"
     out = None
     for split, path in paths.items():
-        df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+        df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
               .option("escape", '"').csv(path))
         df = df.select(F.lit(split).alias("split"), F.col(text_col).alias("text"),
                        L.map_label(label_col, mapping).cast("int").alias("labels"))
@@ -43,16 +46,31 @@ def read_generated(spark: SparkSession, path: str | Sequence[str], kind: str = "
 
 
 def add_row_id(df: DataFrame, col: str = "row_id") -> DataFrame:
-    """Unique row ids for line-oriented inputs, computed JVM-side from the
-    scan's (split, position).  Stable for a given file set and split size,
-    so it is assigned once at ingest and stored with the rows (never
-    recomputed on a later read)."""
-    return df.withColumn(col, F.monotonically_increasing_id())
-
-
-def read_embeddings(spark: SparkSession, path: str, feature_col: str = "embedding") -> DataFrame:
-    """S3: embeddings as ``array<float>`` plus labels/ids, from Parquet."""
-    return spark.read.parquet(path)
+    """Row ids 0, 1, ... by line position: files in the order of their paths,
+    then lines in the order of the file, whatever the split size.
+
+    Rows are counted by (file, block start), which an ordered scan also knows
+    of every row; each block's offset is the sum of those before it (one row
+    per block, not per line), and rows are numbered within their block."""
+    here = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_at"))      # orders the rows of one block only
+    blocks = here.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
+    return (here.join(offsets, ["_file", "_block"]).withColumn(col, (F.col("_offset") + inside - 1).cast("long"))
+            .drop("_file", "_block", "_at", "_offset"))
+
+
+def read_embeddings(spark: SparkSession, path: str, labels: DataFrame | None = None, split: str | None = None,
+                    feature_col: str = "embedding", id_col: str = "id") -> DataFrame:
+    """S3: embeddings as ``array<float>`` from Parquet, those of ``split`` if the
+    files have such a column, with ``labels`` (by ``id_col``) attached."""
+    df = spark.read.parquet(path)
+    if split is not None:
+        df = df.filter(F.col("split") == split)
+    df = df.withColumn(feature_col, F.col(feature_col).cast("array<float>"))
+    return df.join(labels, id_col) if labels is not None else df
 
 
 def read_title_content(spark: SparkSession, path: str) -> DataFrame:
