@@ -13,13 +13,19 @@ smallest id stays.
    others are; so the longest lists are skipped, and matches in them are
    counted only for pairs found in the short ones, from the signatures.
 3. A posting list is not joined with itself.  First each class meets the
-   list's smallest class only, and the one with which it collides most is
-   confirmed.  What is linked so is one component.  Then only pairs of
-   *different* components meet, and only in lists that hold several; within a
-   component no pair is made, so a group of copies costs its size.  Pairs that
-   can't be in another component's reach are never emitted, those that can
-   are all confirmed: no list is cut and no pair sampled.
-4. Pairs with ``MATCHES`` are confirmed on the full sets of both texts.
+   list's smallest class only; the one with which it collides most is
+   confirmed, and what is linked so is one component.  Pairs that agree in half
+   of ``MATCHES`` make *families*, wider than components.
+4. What may still be linked are different components.  In a family that holds
+   several, every class outside its largest component is compared with all
+   others, in blocks of ``BLOCK`` classes: a task counts the common shingles
+   of two blocks as one product of matrices and returns which components are
+   linked, so no pair is made, and members of the largest component (of a
+   large group of copies, nearly all) aren't compared with each other.
+   Classes of different families that meet in a list are compared by pairs,
+   in lists that hold several families, where they agree in ``MATCHES``.
+   Nothing is left out: no list is cut and no pair sampled.
+5. Every link is confirmed on the full sets of both texts.
 
 Null and empty texts have no shingles and stay alone.  Rows of one id and
 text are one class; rows of one id and different texts count as one document
@@ -28,6 +34,8 @@ for links.  A row without id stays alone.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +47,9 @@ from .graph import components
 
 COORDINATES, MATCHES = 48, 24
 PREFIX = COORDINATES - MATCHES + 1
+BLOCK = 512       # classes of a block, or fewer:
+SHINGLES = 1 << 20    # of about so many shingles
+COLUMNS = 4096    # shingles in a matrix at a time
 SMALL = 10_000    # pairs that may be broadcast: 160 kB
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -125,19 +136,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                           "minhash-signatures")
     classes = signed.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("id").alias("rep"))
     reps = signed.join(classes.select("rep", "a", "b", "n_shingles"), ["a", "b", "n_shingles"]).filter("id = rep")
-    reps = shared_table(reps.groupBy("rep").agg(F.max("keys").alias("keys")), "minhash-classes")
+    reps = shared_table(reps.groupBy("rep").agg(F.max("keys").alias("keys"), F.max("n_shingles").alias("size")), "minhash-classes")
     posted = shared_table(_prefixes(reps), "minhash-postings")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return _linked(pairs, reps, docs, shingle, percent)
-
-    tried = shared_table(_stars(posted), "minhash-stars")
-    first = shared_table(linked(tried), "minhash-links").filter("linked").select("u", "v")
-    found = components(first)
-    rest = _across(posted, found).join(tried, ["x", "y"], "left_anti")
-    rest = shared_table(rest, "minhash-pairs")
-    if not rest.isEmpty():
-        more = shared_table(linked(rest), "minhash-links").filter("linked").select("u", "v")
+    tried = shared_table(_agreeing(_stars(posted), reps, MATCHES // 2), "minhash-stars")
+    links = _confirmed(tried.filter(F.col("n") >= MATCHES), docs, shingle, percent)
+    links = shared_table(links, "minhash-links")
+    found = components(links)
+    families = components(tried.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    places = _places(posted, found, families, reps)
+    within = shared_table(_within(places, docs, shingle, percent), "minhash-links")
+    across = _confirmed(_across(posted, places, reps), docs, shingle, percent)
+    more = within.unionByName(shared_table(across, "minhash-links"))
+    if not more.isEmpty():
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     own = signed.select("id", "n_shingles", "a", "b")
     out = (own.join(classes, ["a", "b", "n_shingles"], "left")
@@ -166,29 +176,103 @@ def _stars(posted: DataFrame) -> DataFrame:
     return best.select(F.col("rep").alias("x"), (-F.col("b.m")).alias("y"))
 
 
-def _across(posted: DataFrame, found: DataFrame) -> DataFrame:
-    """(x, y): all pairs of different components that meet in a list.  In each list
-    the classes outside its largest component meet all the others."""
-    rows = posted.join(found.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("rep", "key", F.coalesce("root", "rep").alias("c"))
-    sizes = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "c")).alias("m")).filter("k > 1")
-    rows = rows.join(mixed.select("key", F.col("m.c").alias("big")), "key")
-    small = rows.filter("c <> big").select("key", F.col("rep").alias("x"), F.col("c").alias("xc"))
-    pairs = small.join(rows, "key").filter((F.col("c") != F.col("xc")) & ((F.col("c") == F.col("big")) | (F.col("x") < F.col("rep"))))
+def _agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """(x, y, n): pairs whose signatures agree in n >= ``least`` coordinates."""
+    one = reps.select(F.col("rep").alias("x"), F.col("keys").alias("x_keys"))
+    two = reps.select(F.col("rep").alias("y"), F.col("keys").alias("y_keys"))
+    n = F.size(F.array_intersect("x_keys", "y_keys"))
+    return pairs.join(one, "x").join(two, "y").select("x", "y", n.alias("n")).filter(F.col("n") >= least)
+
+
+def _places(posted: DataFrame, found: DataFrame, families: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, size, c, g): shingles, component and family of each class that shares a posting."""
+    own = reps.select("rep", "size").join(posted.select("rep").distinct(), "rep")
+    out = (own.join(found.select(F.col("node").alias("rep"), F.col("root").alias("c")), "rep", "left")
+           .join(families.select(F.col("node").alias("rep"), F.col("root").alias("g")), "rep", "left"))
+    return shared_table(out.select("rep", "size", F.coalesce("c", "rep").alias("c"), F.coalesce("g", "rep").alias("g")), "minhash-places")
+
+
+def _within(places: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(u, v): components of one family that are linked."""
+    # a class weighs by its number or its shingles, in blocks
+    weight = F.greatest(F.lit(1 / BLOCK), F.col("size") / F.lit(SHINGLES))
+    sizes = places.groupBy("g", "c").agg(F.sum(weight).alias("k"))
+    open_ = sizes.groupBy("g").agg(F.count("*").alias("cs"), F.sum("k").alias("n"), F.max(F.struct("k", "c")).alias("m")).filter("cs > 1")
+    rows = places.join(open_.select("g", "n", F.col("m.k").alias("top"), F.col("m.c").alias("big")), "g")
+    rows = rows.withColumn("out", F.col("c") != F.col("big"))
+    # families of less than a block share one: they are told apart in the task
+    few = F.col("n") <= 1
+    some = F.lit(max(1, math.ceil(rows.filter(few).agg(F.sum(weight)).first()[0] or 0)))
+    outs, tops = (F.ceil(n).cast("long") for n in (F.greatest(F.lit(0.001), F.col("n") - F.col("top")), F.col("top")))
+    at = F.pmod(F.xxhash64("rep"), F.when(F.col("out"), outs).otherwise(tops))
+    rows = rows.withColumns({"at": at, "outs": outs, "tops": tops})
+
+    def key(kind: str, a, b):
+        return F.struct(F.when(few, F.lit("few")).otherwise(F.lit(kind)).alias("kind"),
+                        F.when(few, F.pmod(F.xxhash64("g"), some)).otherwise(F.col("g")).alias("g"), a.alias("a"), b.alias("b"))
+    zero = F.lit(0).cast("long")
+    with_outs = F.transform(F.sequence(zero, F.col("outs") - 1), lambda b: key("outs", F.least(F.col("at"), b), F.greatest(F.col("at"), b)))
+    with_tops = F.transform(F.sequence(zero, F.col("tops") - 1), lambda b: key("tops", F.col("at"), b))
+    of_tops = F.transform(F.sequence(zero, F.col("outs") - 1), lambda a: key("tops", a, F.col("at")))
+    tasks = F.when(few, F.array(key("few", zero, zero))).when(F.col("out"), F.concat(with_outs, with_tops)).otherwise(of_tops)
+    rows = rows.select("rep", "c", "g", F.explode(tasks).alias("task"))
+    texts = docs.filter("id is not null").withColumnRenamed("id", "rep")
+    rows = rows.join(texts, "rep").select("task.kind", F.col("task.g").alias("family"), "task.a", "task.b", "rep", "c", "g", "text")
+    found = rows.groupBy("kind", "family", "a", "b").applyInArrow(_compare(shingle, percent), "u long, v long")
+    return found.distinct()
+
+
+def _compare(k: int, percent: int):
+    """Links between different components of a family among the classes of one or two blocks."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep").combine_chunks()
+        sets = [shingle_sets(part.column("text"), k) for part in W.slices(table, "text")]
+        h = np.concatenate([x[0] for x in sets])
+        size = np.concatenate([np.diff(x[1]) for x in sets])
+        rep, c, g = (np.asarray(table.column(n)) for n in ("rep", "c", "g"))
+        row = np.repeat(np.arange(len(size)), size)
+        # rows of one id and different texts are one document: their sets are compared one by one
+        order = np.argsort(h, kind="stable")
+        h, row = h[order], row[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])[:len(h)]
+        column = np.cumsum(new) - 1
+        shared = np.bincount(column)[column] > 1 if len(h) else np.empty(0, bool)
+        row, column = row[shared], column[shared]
+        column = np.unique(column, return_inverse=True)[1]
+        both = np.zeros((len(size), len(size)), np.float32)
+        for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+            own = (column >= low) & (column < low + COLUMNS)
+            m = np.zeros((len(size), COLUMNS), np.float32)
+            m[row[own], column[own] - low] = 1
+            both += m @ m.T
+        total = size[:, None] + size[None, :]
+        a, b = np.nonzero((100 * both >= percent * (total - both)) & (c[:, None] > c[None, :]) & (g[:, None] == g[None, :]) & (both > 0))
+        pairs = np.unique(np.stack([c[a], c[b]], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        return pa.table({"u": pa.array(pairs[:, 0].copy(), pa.int64()), "v": pa.array(pairs[:, 1].copy(), pa.int64())})
+    return run
+
+
+def _across(posted: DataFrame, places: DataFrame, reps: DataFrame) -> DataFrame:
+    """(x, y): pairs of different families that meet in a list and agree in
+    ``MATCHES``.  In each list the classes outside its largest family meet all others."""
+    rows = posted.join(places.select("rep", "g"), "rep")
+    sizes = rows.groupBy("key", "g").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "g")).alias("m")).filter("k > 1")
+    rows = rows.join(mixed.select("key", F.col("m.g").alias("big")), "key").join(reps, "rep")
+    small = rows.filter("g <> big").select("key", F.col("rep").alias("x"), F.col("g").alias("xg"), F.col("keys").alias("x_keys"))
+    near = ((F.col("g") != F.col("xg")) & ((F.col("g") == F.col("big")) | (F.col("x") < F.col("rep")))
+            & (F.size(F.array_intersect("x_keys", "keys")) >= MATCHES))
+    pairs = small.join(rows, (small["key"] == rows["key"]) & near)
     return pairs.select(F.greatest("x", "rep").alias("x"), F.least("x", "rep").alias("y")).distinct()
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(u, v, linked) of the pairs that agree in ``MATCHES`` coordinates."""
-    one = reps.select(F.col("rep").alias("x"), F.col("keys").alias("x_keys"))
-    two = reps.select(F.col("rep").alias("y"), F.col("keys").alias("y_keys"))
-    near = pairs.join(one, "x").join(two, "y").filter(
-        F.size(F.array_intersect("x_keys", "y_keys")) >= MATCHES).select("x", "y")
-    near = shared_table(near, "minhash-near")
-    if near.limit(SMALL + 1).count() <= SMALL:
-        near = F.broadcast(near)
+def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(u, v): the pairs that are linked, by their full sets."""
+    pairs = shared_table(pairs.select("x", "y"), "minhash-pairs")
+    if pairs.limit(SMALL + 1).count() <= SMALL:
+        pairs = F.broadcast(pairs)
     texts = docs.filter("id is not null")
-    got = near.join(texts.select(F.col("id").alias("x"), F.col("text").alias("x_text")), "x")
+    got = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("x_text")), "x")
     got = got.join(texts.select(F.col("id").alias("y"), F.col("text").alias("y_text")), "y")
-    return got.select("x", "y", "x_text", "y_text").mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean")
+    return got.select("x", "y", "x_text", "y_text").mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean") \
+        .filter("linked").select("u", "v")
