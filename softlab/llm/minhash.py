@@ -50,7 +50,6 @@ PREFIX = COORDINATES - MATCHES + 1
 BLOCK = 512       # classes of a block, or fewer:
 SHINGLES = 1 << 20    # of about so many shingles
 COLUMNS = 4096    # shingles in a matrix at a time
-SMALL = 10_000    # pairs that may be broadcast: 160 kB
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _XOR = _rng.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -138,14 +137,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = signed.join(classes.select("rep", "a", "b", "n_shingles"), ["a", "b", "n_shingles"]).filter("id = rep")
     reps = shared_table(reps.groupBy("rep").agg(F.max("keys").alias("keys"), F.max("n_shingles").alias("size")), "minhash-classes")
     posted = shared_table(_prefixes(reps), "minhash-postings")
+    # texts of the classes that may be linked: read from here on instead of all
+    # (merge joins at every size: plans that broadcast small tables would grow unevenly)
+    some = posted.select(F.col("rep").alias("id")).distinct().hint("merge")
+    texts = docs.join(some, "id", "left_semi").withColumn("h", F.xxhash64("text"))
+    texts = shared_table(texts.dropDuplicates(["id", "h"]).drop("h"), "minhash-texts")
     tried = shared_table(_agreeing(_stars(posted), reps, MATCHES // 2), "minhash-stars")
-    links = _confirmed(tried.filter(F.col("n") >= MATCHES), docs, shingle, percent)
+    links = _confirmed(tried.filter(F.col("n") >= MATCHES), texts, shingle, percent)
     links = shared_table(links, "minhash-links")
     found = components(links)
     families = components(tried.select(F.col("x").alias("u"), F.col("y").alias("v")))
     places = _places(posted, found, families, reps)
-    within = shared_table(_within(places, docs, shingle, percent), "minhash-links")
-    across = _confirmed(_across(posted, places, reps), docs, shingle, percent)
+    within = shared_table(_within(places, texts, shingle, percent), "minhash-links")
+    across = _confirmed(_across(posted, places, reps), texts, shingle, percent)
     more = within.unionByName(shared_table(across, "minhash-links"))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
@@ -192,7 +196,7 @@ def _places(posted: DataFrame, found: DataFrame, families: DataFrame, reps: Data
     return shared_table(out.select("rep", "size", F.coalesce("c", "rep").alias("c"), F.coalesce("g", "rep").alias("g")), "minhash-places")
 
 
-def _within(places: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _within(places: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(u, v): components of one family that are linked."""
     # a class weighs by its number or its shingles, in blocks
     weight = F.greatest(F.lit(1 / BLOCK), F.col("size") / F.lit(SHINGLES))
@@ -216,8 +220,7 @@ def _within(places: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     of_tops = F.transform(F.sequence(zero, F.col("outs") - 1), lambda a: key("tops", a, F.col("at")))
     tasks = F.when(few, F.array(key("few", zero, zero))).when(F.col("out"), F.concat(with_outs, with_tops)).otherwise(of_tops)
     rows = rows.select("rep", "c", "g", F.explode(tasks).alias("task"))
-    texts = docs.filter("id is not null").withColumnRenamed("id", "rep")
-    rows = rows.join(texts, "rep").select("task.kind", F.col("task.g").alias("family"), "task.a", "task.b", "rep", "c", "g", "text")
+    rows = rows.hint("merge").join(texts.withColumnRenamed("id", "rep"), "rep").select("task.kind", F.col("task.g").alias("family"), "task.a", "task.b", "rep", "c", "g", "text")
     found = rows.groupBy("kind", "family", "a", "b").applyInArrow(_compare(shingle, percent), "u long, v long")
     return found.distinct()
 
@@ -266,13 +269,10 @@ def _across(posted: DataFrame, places: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x", "rep").alias("x"), F.least("x", "rep").alias("y")).distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(u, v): the pairs that are linked, by their full sets."""
-    pairs = shared_table(pairs.select("x", "y"), "minhash-pairs")
-    if pairs.limit(SMALL + 1).count() <= SMALL:
-        pairs = F.broadcast(pairs)
-    texts = docs.filter("id is not null")
-    got = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("x_text")), "x")
-    got = got.join(texts.select(F.col("id").alias("y"), F.col("text").alias("y_text")), "y")
+    one = texts.select(F.col("id").alias("x"), F.col("text").alias("x_text"))
+    two = texts.select(F.col("id").alias("y"), F.col("text").alias("y_text"))
+    got = pairs.select("x", "y").hint("merge").join(one, "x").hint("merge").join(two, "y")
     return got.select("x", "y", "x_text", "y_text").mapInArrow(_confirm(shingle, percent), "u long, v long, linked boolean") \
         .filter("linked").select("u", "v")
