@@ -43,13 +43,12 @@ def bin_mae(df: DataFrame, orig: str, judged: str, edges: Sequence[float] = DEFA
         F.col(orig).cast("double").alias("o"), F.col(judged).cast("double").alias("j"))
     d = d.withColumn("e", F.abs(F.col("o") - F.col("j")))
     t = bin_table(d, bin_left_closed("o", edges), n, {
-        "n": F.count(F.lit(1)), "sum_e": F.sum("e"), "sum_e2": F.sum(F.col("e") * F.col("e")),
+        "n": F.count(F.lit(1)), "sum_e": F.sum("e"), "std_e": F.stddev_pop("e"),
         "sum_o": F.sum("o"), "sum_j": F.sum("j"), "min_e": F.min("e"), "max_e": F.max("e")})
     cnt = F.coalesce(F.col("n"), F.lit(0)).cast("long")
     nd = F.col("n").cast("double")
     nz = F.col("n") > 0
     mean_e = F.col("sum_e") / nd
-    var = F.greatest(F.col("sum_e2") / nd - mean_e * mean_e, F.lit(0.0))
     lo = F.element_at(F.array(*[F.lit(float(e)) for e in edges[:-1]]), F.col("bin") + 1)
     hi = F.element_at(F.array(*[F.lit(float(e)) for e in edges[1:]]), F.col("bin") + 1)
     z = F.lit(0.0)
@@ -58,7 +57,7 @@ def bin_mae(df: DataFrame, orig: str, judged: str, edges: Sequence[float] = DEFA
         F.when(nz, mean_e).otherwise(z).alias("mean_absolute_error"),
         F.when(nz, F.col("sum_o") / nd).otherwise(z).alias("mean_original_label"),
         F.when(nz, F.col("sum_j") / nd).otherwise(z).alias("mean_judged_score"),
-        F.when(nz, F.sqrt(var)).otherwise(z).alias("std_error"),
+        F.when(nz, F.col("std_e")).otherwise(z).alias("std_error"),
         F.when(nz, F.col("min_e")).otherwise(z).alias("min_error"),
         F.when(nz, F.col("max_e")).otherwise(z).alias("max_error"))
 

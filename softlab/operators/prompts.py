@@ -18,10 +18,8 @@ ColumnOrName = Column | str
 # ---- fixed values: prompt strings that must equal the reference's -------
 CHAIN_OF_THOUGHT = ("Before writing your final answer, please think step-by-step.\n"
                     "Ensure that you MUST provide your step-by-step thinking process in the final output.")
-EXAMPLES_HEADER = "Here are {n} examples to take advantage of:\n"
 EXAMPLES_FOOTER = ("\nYou MUST generate text that significantly differs in presentation, style, tone, "
                    "phrasing, content, and vocabulary from the examples above.\n")
-LEARN_HEADER = "Here are {n} examples to learn from:\n\n"
 LEARN_INSTRUCTION = (
     "IMPORTANT: Analyze these examples carefully before generating your response!\n\n"
     "What to learn from the examples:\n"

@@ -55,13 +55,16 @@ def select_by_index(df: DataFrame, idx: DataFrame, row_id: str = "id",
     return idx.join(df, idx[idx_col] == df[row_id]).drop(idx_col).orderBy(pos_col)
 
 
+CONFIG_ROWS = 10_000     # configurations that may be broadcast
+
+
 def lookup_config(df: DataFrame, config: DataFrame, key: str) -> DataFrame:
-    """Attach dataset configuration (template, K, class names).  The
-    config table has one row per dataset, so its broadcast is bounded by the
-    number of datasets, not by the data.  The key must be a data column: a
-    literal key is constant-folded and would turn the lookup into a
-    nested-loop join."""
-    return df.join(F.broadcast(config), key, "left")
+    """Attach dataset configuration (template, K, class names).  A config
+    of at most ``CONFIG_ROWS`` rows is broadcast; a longer one is joined as
+    the planner sees fit.  The key must be a data column: a literal key is
+    constant-folded and would turn the lookup into a nested-loop join."""
+    small = config.limit(CONFIG_ROWS + 1).count() <= CONFIG_ROWS
+    return df.join(F.broadcast(config) if small else config, key, "left")
 
 
 def experiment_grid(base: DataFrame, **axes: Sequence) -> DataFrame:
