@@ -19,7 +19,7 @@ packet's order.  So a passage that a million documents share is one entry per
 chunk, in no list of documents; no pairs are made; and what is shuffled is
 about 2 bytes per word for probes, and 12 per window round a hit.  Probes
 carry 32 bits beside the bucket, as a false hit costs a comparison only; windows
-are compared by 64 bits beside an independent bucket.  The chunks' texts are
+are compared by 64-bit hashes.  The chunks' texts are
 shuffled once and read by all three steps.
 
 Chunks and buckets grow with the text (``CHUNK_BYTES``), so tasks don't.
