@@ -133,8 +133,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     signed = shared_table(docs.mapInArrow(_sign(shingle), "id long, n_shingles long, a long, b long, keys array<long>"),
                           "minhash-signatures")
-    classes = signed.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("id").alias("rep"))
-    reps = signed.join(classes.select("rep", "a", "b", "n_shingles"), ["a", "b", "n_shingles"]).filter("id = rep")
+    # a table of its own, so that joins with it can be split where a class has many copies
+    classes = shared_table(signed.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("id").alias("rep")),
+                           "minhash-copies")
+    reps = signed.withColumn("rep", F.col("id")).join(classes, ["rep", "a", "b", "n_shingles"])
     reps = shared_table(reps.groupBy("rep").agg(F.max("keys").alias("keys"), F.max("n_shingles").alias("size")), "minhash-classes")
     posted = shared_table(_prefixes(reps), "minhash-postings")
     # texts of the classes that may be linked: read from here on instead of all
