@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..session import shared_table
 
 
+ROUNDS = 2    # between two tables: fewer jobs, whose bookkeeping fills the driver
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root``: the smallest node reachable, for every node of the
     edge table (columns ``u``, ``v``) but the roots themselves.
@@ -15,12 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     Every step replaces edges by edges to the smallest neighbour, keeps the
     components, and ends in one star per component.  Smallest neighbours are
     aggregated and joined back, so a node's neighbours are in no list; each
-    step is written to the shared folder.
+    second step is written to the shared folder.
     """
     now = _distinct(edges.filter("u <> v"))
     mark = None
     while True:
-        now = shared_table(_small_star(_large_star(now)), "components")
+        for _ in range(ROUNDS):
+            now = _small_star(_large_star(now))
+        now = shared_table(now, "components")
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -37,7 +37,7 @@ from ..session import shared_table
 from . import words as W
 
 MAX_LABELLED = 20_000
-BUCKETS = 1 << 20         # hashed words and word beginnings
+BUCKETS = 1 << 19         # hashed words and word beginnings
 BEGINNINGS = (3, 4, 5)    # bytes
 SAMPLE_TASKS = 8
 _EDGE = 1e-6
@@ -215,6 +215,22 @@ def _count(batches):
             "counts": pa.array([np.ascontiguousarray(counts[h][:, at]).tobytes()], pa.binary())})
 
 
+def _add(batches):
+    """One packet per half from those of all tasks, as they stream in."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for h, docs, buckets, counts in zip(*(batch.column(c) for c in batch.schema.names), strict=True):
+            total, own = sums.setdefault(h.as_py(), (np.zeros(4, np.int64), np.zeros((4, BUCKETS), np.int32)))
+            total += np.frombuffer(docs.as_py(), np.int64)
+            at = np.frombuffer(buckets.as_py(), np.int32)
+            own[:, at] += np.frombuffer(counts.as_py(), np.int32).reshape(4, -1)
+    for h, (total, own) in sums.items():
+        at = np.flatnonzero(own.any(axis=0)).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({
+            "half": pa.array([h], pa.int32()), "docs": pa.array([total.tobytes()], pa.binary()),
+            "buckets": pa.array([at.tobytes()], pa.binary()), "counts": pa.array([np.ascontiguousarray(own[:, at]).tobytes()], pa.binary())})
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int = MAX_LABELLED) -> Evidence:
     """The document models, from ``max_labelled`` labelled documents at most
     (``labels``: id, quality, toxic; other values than 0 and 1 are left out)."""
@@ -227,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     known = shared_table(texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]).coalesce(SAMPLE_TASKS), "labelled-texts")
     counts, totals = np.zeros((2, 4, BUCKETS), np.int32), np.zeros((2, 4), np.int64)
-    for half, docs_, buckets, found in known.mapInArrow(_count, _COUNTS).collect():
+    packets = known.mapInArrow(_count, _COUNTS).repartition(2, "half").mapInArrow(_add, _COUNTS)
+    for half, docs_, buckets, found in packets.toLocalIterator():
         totals[half] += np.frombuffer(docs_, np.int64)
         at = np.frombuffer(buckets, np.int32)
         counts[half][:, at] += np.frombuffer(found, np.int32).reshape(4, -1)
@@ -250,9 +267,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
     models = []
     for label, x in (("good", "a"), ("toxic", "b")):
         y = np.asarray(got.column(label)).astype(float)
-        z = np.array(got.column(x).to_pylist())
+        z = got.column(x).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
         models.append(Logistic(z, y) if 0 < y.sum() < len(y) else Constant(float((y.sum() + 0.5) / (len(y) + 1))))
     other.unpersist()
+    del got
     return Evidence(Odds(counts.sum(axis=0), totals.sum(axis=0)), *models)
 
 
