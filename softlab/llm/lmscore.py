@@ -1,25 +1,27 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models share one vocabulary: words (of ``[^\\x20\\x09-\\x0D]+``,
-lower-cased) hashed to ``UNIGRAMS`` entries, pairs of neighbours to
-``BIGRAMS``.  The target model counts chosen documents, the background model
-all documents; the background's counts are scaled to the target's number of
-words, so both are smoothed alike:
+Two bigram models count words (of ``[^\\x20\\x09-\\x0D]+``, lower-cased) and
+pairs of neighbours.  The target model counts chosen documents, the background
+model all documents; the background's counts are scaled to the target's number
+of words, so both are smoothed alike:
 
     P(w)   = (c(w) + 1) / (N + UNIGRAMS)
     P(w|v) = (c(v, w) + K * P(w)) / (c(v) + K)
 
-where c(v, w) is at most c(v) and c(w), which undoes most of what pairs that
-share an entry add to each other.  The corpus is counted in two halves (by
-hash of id), and a document is scored by the counts of the other half, so its
-own words don't speak for it.  A document's score is the mean over its words of target loss less background
+The corpus is counted in two halves (by hash of id), and a document is scored by
+the counts of the other half, so its own words don't speak for it.  A
+document's score is the mean over its words of target loss less background
 loss (nats): the lower, the more it is like the target.
 
-Counts cover every word of every document.  Tasks add up their own words,
-send the entries that aren't zero by range of entries, and each range is
-summed as its packets stream in.  The sums are of a size that doesn't depend on
-the data (``UNIGRAMS`` and ``BIGRAMS`` counts of two halves, 42 MB); they pass the
-driver and are broadcast for scoring, which shuffles nothing.
+Every word and pair of every document has its own count (keys of 64 bits).
+Documents are dealt with the target ids to chunks of one half, by hash of id.
+A chunk sends its distinct keys in order, with its own counts, by range of
+keys; each range is summed over all chunks, and every chunk gets the other
+half's sums of the keys it sent, in the same order, with which it scores its
+documents.  A word that is in all documents is one entry per chunk.  Chunks and
+ranges become more with the corpus, not larger; nothing of the models passes
+the driver or is broadcast.  What a chunk sends depends on the set of its rows
+only, not on their order, so a task that runs again sends the same.
 
 Null and empty texts have no words and scores of 0.  Repeated rows count as often
 as they occur.  Target ids that are null or without a document change
@@ -29,140 +31,257 @@ flat and uniform against the background.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_table
 from . import words as W
 
-UNIGRAMS = 1 << 19
-BIGRAMS = 1 << 21
-RANGES = 256
+UNIGRAMS = 1 << 19          # words that smoothing reckons with
 K = 5.0
-_ENTRIES = UNIGRAMS + BIGRAMS      # pairs stand after words in one table
-_WIDTH = _ENTRIES // RANGES
-_PACKET = "half int, range int, at binary, target binary, background binary"
+CHUNK_BYTES = 8 << 20       # text of a chunk, about
+RANGE_BYTES = 16 << 20      # text whose keys are in one range, about
+LEAST_CHUNKS = 64
+LEAST_RANGES = 256
+_START = np.uint64(0x5851F42D4C957F2D)      # stands before a row's first word
+_PAIR_BASE = np.uint64(0xD6E8FEB86659FD93)
+_TOTALS = -1                # the range of the numbers of words
+_ROWS = 1 << 30             # the range of documents, after all others
+_PACKET = "chunk int, range int, wanted boolean, at binary, target binary, background binary"
+_REPLY = "chunk int, range int, target binary, background binary"
 
 
-def entries(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entry of each word, of the word before it (UNIGRAMS - 1 at a row's
-    beginning) and of the pair, and the rows' offsets."""
+def keys(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key of each word, of what is before it (``_START`` at a row's beginning)
+    and of the pair, and the rows' offsets."""
     words = W.Words(buf, offsets, W.NOT_BLANK, lower=True)
-    word = (words.hash % np.uint64(UNIGRAMS - 1)).astype(np.int64)
-    before = np.concatenate([[np.int64(UNIGRAMS - 1)], word[:-1]])[:len(word)]
-    before[words.first[:-1][np.diff(words.first) > 0]] = UNIGRAMS - 1
-    pair = UNIGRAMS + (W.mix(before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) % np.uint64(BIGRAMS)).astype(np.int64)
-    return word, before, pair, words.first
+    before = np.concatenate([[_START], words.hash[:-1]])[:len(words)]
+    before[words.first[:-1][np.diff(words.first) > 0]] = _START
+    return words.hash, before, W.mix(before * _PAIR_BASE + words.hash, 2), words.first
 
 
-def _count(batches):
-    counts = np.zeros((2, 2, _ENTRIES), np.int32)       # half; target, background
+def _groups(batches, name: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows of each value of a column by which they are sorted."""
+    held, own = [], None
     for batch in batches:
-        for part in W.slices(batch, "text", 2 * W.SLICE_BYTES):
-            word, before, pair, first = entries(*W.text_buffer(part.column("text")))
-            chosen, half = (np.repeat(np.asarray(part.column(c)), np.diff(first)) for c in ("chosen", "half"))
-            # the beginning of a row is counted as what stands before its first word
-            opened = before == UNIGRAMS - 1
-            for h in (0, 1):
-                for i, mine in enumerate(((half == h) & chosen, half == h)):
-                    seen = np.concatenate([word[mine], before[mine & opened], pair[mine]])
-                    counts[h, i] += np.bincount(seen, minlength=_ENTRIES).astype(np.int32)
-    for h in (0, 1):
-        for r in range(RANGES):
-            own = counts[h, :, r * _WIDTH:(r + 1) * _WIDTH]
-            at = np.flatnonzero(own[1]).astype(np.uint32)
-            if len(at):
-                yield _packet(h, r, at, own[0, at].astype(np.int64), own[1, at].astype(np.int64))
-
-
-def _packet(half: int, r: int, at: np.ndarray, target: np.ndarray, background: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({
-        "half": pa.array([half], pa.int32()), "range": pa.array([r], pa.int32()), "at": pa.array([W.pack(at)], pa.binary()),
-        "target": pa.array([W.planes(target)], pa.binary()), "background": pa.array([W.planes(background)], pa.binary())})
-
-
-def _add(batches):
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for h, r, at, target, background in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-            own = sums.setdefault((h, r), np.zeros((2, _WIDTH), np.int64))
-            at = W.unpack(at, np.uint32)
-            own[0, at] += W.unplanes(target, np.int64)
-            own[1, at] += W.unplanes(background, np.int64)
-    for (h, r), own in sums.items():
-        at = np.flatnonzero(own[1]).astype(np.uint32)
-        yield _packet(h, r, at, own[0, at], own[1, at])
+        value = np.asarray(batch.column(name))
+        cuts = [0, *(np.flatnonzero(np.diff(value)) + 1).tolist(), len(value)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and value[a] != own:
+                yield own, held
+                held = []
+            own = int(value[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield own, held
 
 
 @dataclass
-class Models:
-    """Counts by half (target, background; the latter scaled) and words of each half's target."""
-
-    counts: np.ndarray
-    words: list[float]
-
-    def losses(self, half: int, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
-        """Nats of each word under the target and background of one half."""
-        out = []
-        for c in self.counts[half]:
-            own = c[word]
-            p = (own + 1.0) / (self.words[half] + UNIGRAMS)
-            both = np.minimum(c[pair], np.minimum(own, c[before]))
-            out.append(-np.log((both + K * p) / (c[before] + K)))
+class Chunk:
+    """Words of the documents of a chunk: positions of each word, of what is before it and of
+    the pair among the distinct keys (``at``), and each row's number of words."""
+
+    at: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    pair: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, batches: list[pa.RecordBatch]) -> Chunk:
+        found = [keys(*W.text_buffer(part.column("text"))) for b in batches for part in W.slices(b, "text", W.SLICE_BYTES // 4)]
+        word, before, pair = (np.concatenate([x[i] for x in found] or [np.empty(0, np.uint64)]) for i in range(3))
+        sizes = np.concatenate([np.diff(x[3]) for x in found] or [np.empty(0, np.int64)])
+        del found
+        opens = before == _START
+        del before
+        ones, word = cls._distinct(word)
+        twos, pair = cls._distinct(pair)
+        at = np.unique(np.concatenate([ones, twos, [_START][:len(word)]]).astype(np.uint64))
+        word = np.searchsorted(at, ones).astype(np.int32)[word]
+        before = np.concatenate([word[:1], word[:-1]])
+        before[opens] = np.searchsorted(at, _START)
+        return cls(at, word, before, np.searchsorted(at, twos).astype(np.int32)[pair], sizes)
+
+    @staticmethod
+    def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct values in order, and the place of each value among them."""
+        order = np.argsort(values).astype(np.int32)
+        values = values[order]
+        new = np.ones(len(values), bool)
+        new[1:] = values[1:] != values[:-1]
+        place = np.empty(len(values), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        return values[new], place
+
+    def counts(self, mine: np.ndarray) -> np.ndarray:
+        """Count of each key in the words chosen; what is before a row's first word counts too."""
+        start = self.before[:1] if len(self.before) else np.empty(0, np.int64)
+        out = np.bincount(self.word[mine], minlength=len(self.at)) + np.bincount(self.pair[mine], minlength=len(self.at))
+        out[start] += (self.before[mine] == start).sum()
         return out
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)      # most bytes of counts are 0 or 1, which Spark's lz4 hardly shrinks
+
+
+def _small(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def _large(data: bytes) -> bytes:
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _numbers(x) -> bytes:
+    return _small(W.planes(np.ascontiguousarray(x, np.int64)))
+
+
+def _read(data: bytes) -> np.ndarray:
+    return W.unplanes(_large(data), np.int64)
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+
+
+def _count(ranges: int):
+    shift = np.uint64(64 - ranges.bit_length() + 1)
+
+    def run(batches):
+        """Distinct keys and counts of each chunk by range, and its numbers of words."""
+        for chunk, parts in _groups(batches, "chunk"):
+            ids = pa.chunked_array([p.filter(pc.equal(p.column("kind"), 0)).column("id") for p in parts])
+            rows = [p.filter(pc.equal(p.column("kind"), 1)) for p in parts]
+            rows = [p for p in rows if p.num_rows]
+            if not rows:
+                continue
+            own = Chunk.of(rows)
+            chosen = np.concatenate([pc.is_in(p.column("id"), value_set=ids.combine_chunks(), skip_nulls=True).to_numpy(zero_copy_only=False)
+                                     for p in rows])
+            counted = np.repeat(np.concatenate([np.asarray(p.column("counted")) for p in rows]), own.sizes)
+            chosen = counted & np.repeat(chosen, own.sizes)
+            wanted = any(pc.any(p.column("scored")).as_py() for p in rows)
+            target, background = own.counts(chosen), own.counts(counted)
+            yield _rows(_PACKET, [(chunk, _TOTALS, wanted, b"", _numbers([chosen.sum()]), _numbers([counted.sum()]))])
+            cuts = np.searchsorted(own.at >> shift, np.arange(ranges + 1, dtype=np.uint64))
+            packets = [(chunk, r, wanted, _small(W.pack(own.at[a:b])), _numbers(target[a:b]), _numbers(background[a:b]))
+                       for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            if packets:
+                yield _rows(_PACKET, packets)
+
+    return run
+
+
+def _reply(batches):
+    """To each chunk, the other half's sums of the keys it sent."""
+    for r, parts in _groups(batches, "range"):
+        packets = [x for p in parts for x in zip(*(p.column(c).to_pylist() for c in ("chunk", "wanted", "at", "target", "background")), strict=True)]
+        # the numbers of words are summed under one key
+        at = [np.zeros(1, np.uint64) if r == _TOTALS else W.unpack(_large(x[2]), np.uint64) for x in packets]
+        ends = np.cumsum([len(x) for x in at])
+        distinct, place = np.unique(np.concatenate(at), return_inverse=True)
+        sums = np.zeros((2, 2, len(distinct)), np.int64)
+        for (chunk, _, _, target, background), end, x in zip(packets, ends, at, strict=True):
+            mine = place[end - len(x):end]      # distinct in a packet
+            sums[chunk % 2, 0, mine] += _read(target)
+            sums[chunk % 2, 1, mine] += _read(background)
+        for (chunk, wanted, *_), end, x in zip(packets, ends, at, strict=True):
+            if wanted:
+                target, background = sums[1 - chunk % 2][:, place[end - len(x):end]]
+                yield _rows(_REPLY, [(chunk, r, _numbers(target), _numbers(background))])
+
+
+def _score(batches):
+    for chunk, parts in _groups(batches, "chunk"):
+        place = [np.asarray(p.column("range")) for p in parts]
+        rows = [p.slice(i) for p, i in zip(parts, (int(np.searchsorted(x, _ROWS)) for x in place), strict=True)]
+        sent = [p.slice(0, p.num_rows - r.num_rows) for p, r in zip(parts, rows, strict=True)]
+        rows = [p for p in rows if p.num_rows]
+        if not rows:
+            continue
+        own, loss = Chunk.of(rows), []
+        counts = [np.concatenate([_read(x) for p in sent for x in p.column(c).to_pylist()]) for c in ("target", "background")]
+        if len(counts[0]) != len(own.at) + 1:
+            raise RuntimeError(f"chunk {chunk} has {len(own.at)} keys and sums of {len(counts[0]) - 1}")
+        words = counts[0][0]
+        for n, c in ((x[0], x[1:]) for x in counts):
+            c = c * (words / n if n else 1.0)
+            p = (c[own.word] + 1.0) / (words + UNIGRAMS)
+            p *= K
+            p += c[own.pair]
+            p /= c[own.before] + K
+            loss.append(-np.log(p))
+        first = np.concatenate([[0], np.cumsum(own.sizes)])
+        sums = np.hstack([np.zeros((2, 1)), np.cumsum(loss, axis=1)])
+        means = (sums[:, first[1:]] - sums[:, first[:-1]]) / np.maximum(own.sizes, 1)
+        done = 0
+        for p in rows:
+            a, b = done, done + p.num_rows
+            yield pa.RecordBatch.from_pydict({
+                "id": p.column("id"), "n_tokens": pa.array(own.sizes[a:b], pa.int64()), "target_loss": pa.array(means[0, a:b]),
+                "background_loss": pa.array(means[1, a:b]), "score": pa.array(means[0, a:b] - means[1, a:b])})
+            done = b
+
+
 def _half(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(id_, F.lit("lm")), F.lit(2)), F.lit(0)).cast("int")
 
 
+@dataclass
+class Models:
+    """What is counted: documents (``id``, ``text``) and ids of the target among them (``id``)."""
+
+    docs: DataFrame
+    target: DataFrame
+
+
 def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
     """Models of the documents whose ids are in ``target_ids`` (its first column)
-    and of all documents."""
-    ids = target_ids.select(F.col(target_ids.columns[0]).alias("id")).dropna().distinct().withColumn("chosen", F.lit(True))
-    # a merge join at every size: a plan that broadcast small id lists would grow unevenly
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(ids.hint("merge"), "id", "left")
-    rows = rows.select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"), _half(F.col("id")).alias("half"))
-    sums = rows.mapInArrow(_count, _PACKET).repartition("range").mapInArrow(_add, _PACKET)
-    sums = shared_table(sums, "lm-counts")
-    counts = np.zeros((2, 2, _ENTRIES), np.float32)
-    for r in range(0, RANGES, 32):      # a few MB at a time
-        for row in sums.filter((F.col("range") >= r) & (F.col("range") < r + 32)).collect():
-            at = W.unpack(row["at"], np.uint32).astype(np.int64) + row["range"] * _WIDTH
-            counts[row["half"], 0, at] = W.unplanes(row["target"], np.int64)
-            counts[row["half"], 1, at] = W.unplanes(row["background"], np.int64)
-    words = counts[:, :, :UNIGRAMS - 1].sum(axis=2, dtype=np.float64)
-    for h in (0, 1):
-        if words[h, 1]:
-            counts[h, 1] *= np.float32(words[h, 0] / words[h, 1])
-    return Models(counts, words[:, 0].tolist())
+    and of all documents; the counts are taken where they are needed."""
+    kind = docs.schema[id_col].dataType
+    ids = target_ids.select(F.col(target_ids.columns[0]).try_cast(kind).alias("id")).dropna().distinct()
+    return Models(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), ids)
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_tokens``, ``target_loss``, ``background_loss`` (means) and ``score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    kind = docs.schema[id_col].dataType
+    docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    same = docs.sameSemantics(models.docs)
+    if same:
+        rows = docs.withColumns({"counted": F.lit(True), "scored": F.lit(True)})
+    else:
+        rows = models.docs.withColumns({"counted": F.lit(True), "scored": F.lit(False)}).unionByName(
+            docs.withColumns({"counted": F.lit(False), "scored": F.lit(True)}))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(LEAST_CHUNKS // 2, -(-size // (2 * CHUNK_BYTES)))
+    ranges = max(LEAST_RANGES, 1 << (size // RANGE_BYTES).bit_length())
 
-    def run(batches):
-        for batch in batches:
-            for part in W.slices(batch, "text"):
-                word, before, pair, first = entries(*W.text_buffer(part.column("text")))
-                n = np.diff(first)
-                half = np.repeat(np.asarray(part.column("half")), n)
-                loss = np.zeros((2, len(word)))
-                for h in (0, 1):
-                    mine = half == h
-                    loss[:, mine] = sent.value.losses(1 - h, word[mine], before[mine], pair[mine])
-                sums = np.hstack([np.zeros((2, 1)), np.cumsum(loss, axis=1)])
-                means = (sums[:, first[1:]] - sums[:, first[:-1]]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_pydict({
-                    "id": part.column("id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(means[0]),
-                    "background_loss": pa.array(means[1]), "score": pa.array(means[0] - means[1])})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), _half(docs[id_col]).alias("half"))
-            .mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    def dealt(x: DataFrame, counted: Column) -> DataFrame:
+        # rows without id are no targets and needn't be together; others than the counted have chunks of their own
+        place = F.pmod(F.xxhash64(F.lit("chunk"), "id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(chunks))
+        place = place + F.when(counted, 0).otherwise(chunks)
+        return x.withColumn("chunk", (2 * place + _half(F.col("id"))).cast("int"))
+
+    ids = models.target.select("id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("counted"), F.lit(False).alias("scored"),
+                               F.lit(0).alias("kind"))
+    sent = (dealt(rows.withColumn("kind", F.lit(1)).unionByName(ids), F.col("counted")).repartition(2 * chunks, "chunk").sortWithinPartitions("chunk")
+            .mapInArrow(_count(ranges), _PACKET))
+    got = shared_table(sent.repartition(ranges // 2, "range").sortWithinPartitions("range").mapInArrow(_reply, _REPLY), "lm-counts")
+    both = (dealt(docs, F.lit(same)).select("chunk", F.lit(_ROWS).alias("range"), "id", "text", F.lit(None).cast("binary").alias("target"),
+                               F.lit(None).cast("binary").alias("background"))
+            .unionByName(got.withColumns({"id": F.lit(None).cast(kind), "text": F.lit(None).cast("string")})))
+    return (both.repartition(2 * chunks, "chunk").sortWithinPartitions("chunk", "range")
+            .mapInArrow(_score, f"id {kind.simpleString()}, n_tokens long, target_loss double, background_loss double, score double")
             .withColumnRenamed("id", id_col))

@@ -45,6 +45,33 @@ def test_losses_against_plain_counts(spark):
                 assert got[i]["score"] == pytest.approx(means[0] - means[1], abs=1e-4)
 
 
+def test_every_word_and_pair_has_its_own_count(spark):
+    """More distinct words and pairs than any fixed table of the size once used could hold apart."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(400_000)}" for _ in range(15_000)) for _ in range(40)]
+    df = docs(spark, [*enumerate(texts), (None, texts[0])])
+    half = {r["doc_id"]: r["h"] for r in df.select("doc_id", lmscore._half(F.col("doc_id")).alias("h")).collect()}
+    ids = spark.createDataFrame([(i,) for i in range(0, 40, 3)], "doc_id long")
+    probe = docs(spark, [(i, " ".join(texts[i].split()[:200] + texts[(i + 7) % 40].split()[:200])) for i in range(6)])
+    got = {r["doc_id"]: r for r in lmscore.score(probe, lmscore.fit(df, ids)).collect()}
+    assert len(got) == 6
+    for i, r in ((r["doc_id"], r) for r in probe.collect()):
+        losses, size = [], []
+        for mine in (lambda d: d is not None and d % 3 == 0, lambda d: True):
+            one, two = Counter(), Counter()
+            for d, t in [*enumerate(texts), (None, texts[0])]:
+                if mine(d) and half[d] == 1 - half[i]:
+                    w = ["", *t.split()]
+                    one.update(w)
+                    two.update(zip(w, w[1:]))
+            size.append(sum(one.values()) - one[""])
+            f, w = size[0] / size[-1], ["", *r["text"].split()]
+            losses.append(sum(math.log(one[a] * f + lmscore.K) - math.log(two[a, b] * f + lmscore.K * (one[b] * f + 1) / (size[0] + lmscore.UNIGRAMS))
+                              for a, b in zip(w, w[1:])) / (len(w) - 1))
+        assert got[i]["target_loss"] == pytest.approx(losses[0], abs=1e-9)
+        assert got[i]["background_loss"] == pytest.approx(losses[1], abs=1e-9)
+
+
 def test_lm_edge_rows(spark):
     ids = spark.createDataFrame([], "doc_id long")
     got = lmscore.score(docs(spark, EDGE), lmscore.fit(docs(spark, EDGE), ids)).collect()
