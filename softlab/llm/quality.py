@@ -6,7 +6,8 @@
    lines, capitals, symbols, repeats, ...) and how strongly its words and word
    beginnings speak for a class: log odds of document counts, taken for each
    half of the sample from the other half, so the models learn how far such
-   odds can be trusted.  A document's evidence is the probability that it is
+   odds can be trusted.  Each feature of the sample has an entry of its own
+   (64-bit keys), and words that aren't in it are unknown.  A document's evidence is the probability that it is
    good and not toxic, from its whole text.
 2. *Sites.*  The evidence of all documents is summed by host and by path.  A
    host's mean is a beta posterior: the prior is the global mean, with the
@@ -37,7 +38,7 @@ from ..session import shared_table
 from . import words as W
 
 MAX_LABELLED = 20_000
-BUCKETS = 1 << 19         # hashed words and word beginnings
+RANGES = 16               # of feature keys, summed apart
 BEGINNINGS = (3, 4, 5)    # bytes
 SAMPLE_TASKS = 8
 _EDGE = 1e-6
@@ -95,22 +96,37 @@ def shape(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word (words x features) and the rows' offsets in them."""
+def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit keys of each distinct word and its beginnings (distinct words x features),
+    each word's place among the distinct, and the rows' offsets in the words."""
     words = W.Words(buf, offsets, W.ALNUM, lower=True)
-    out = np.empty((len(words), 1 + len(BEGINNINGS)), np.int32)
-    out[:, 0] = words.hash % np.uint64(BUCKETS)
+    distinct, at, place = np.unique(words.hash, return_index=True, return_inverse=True)
+    out = np.empty((len(distinct), 1 + len(BEGINNINGS)), np.uint64)
+    out[:, 0] = distinct
+    order = np.argsort(at)      # as they stand in the text
+    start, end = words.start[at[order]], words.end[at[order]]
     for i, k in enumerate(BEGINNINGS, 1):
-        begin = W.hash_ranges(words.buf, words.start, np.minimum(words.end, words.start + k))
-        out[:, i] = W.mix(begin, k) % np.uint64(BUCKETS)
-    return out, words.first
+        out[order, i] = W.mix(W.hash_ranges(words.buf, start, np.minimum(end, start + k)), k)
+    return out, place, words.first
+
+
+def tokens(buf: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each word's features among the sorted keys ``known`` (words x features;
+    ``len(known)`` if unknown) and the rows' offsets in the words."""
+    keys, place, first = features(buf, offsets)
+    at = np.searchsorted(known, keys)
+    if len(known):
+        at[known[np.minimum(at, len(known) - 1)] != keys] = len(known)
+    return at.astype(np.int32)[place], first
 
 
 class Odds:
-    """Log odds of both labels by bucket, from document counts."""
+    """Log odds of both labels by feature, from document counts; the last entry is
+    that of all unknown features (no documents)."""
 
     def __init__(self, counts: np.ndarray, totals: np.ndarray):
-        # counts: (good, bad, toxic, civil) x buckets; totals: documents of each
+        # counts: (good, bad, toxic, civil) x features; totals: documents of each
+        counts = np.hstack([counts, np.zeros((4, 1), counts.dtype)])
         rate = np.log((counts + 0.5) / (totals[:, None] + 1.0))
         self.good = (rate[0] - rate[1]).astype(np.float32)
         self.toxic = (rate[2] - rate[3]).astype(np.float32)
@@ -168,8 +184,8 @@ class Constant:
 class Evidence:
     """Probability that a text is good and not toxic."""
 
-    def __init__(self, odds: Odds | None, good, toxic):
-        self.odds, self.good, self.toxic = odds, good, toxic
+    def __init__(self, known: np.ndarray, odds: Odds | None, good, toxic):
+        self.known, self.odds, self.good, self.toxic = known, odds, good, toxic
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Good writing, toxicity."""
@@ -177,58 +193,60 @@ class Evidence:
         if self.odds is None:
             none = np.zeros((len(offsets) - 1, 1))
             return self.good(none), self.toxic(none)
-        a, b = inputs(buf, offsets, self.odds)
+        (a, b), = inputs(buf, offsets, self.known, [self.odds])
         return self.good(a), self.toxic(b)
 
 
-def inputs(buf: np.ndarray, offsets: np.ndarray, odds: Odds) -> tuple[np.ndarray, np.ndarray]:
-    form = shape(buf, offsets)
-    good, toxic = odds.inputs(*tokens(buf, offsets))
-    return np.hstack([form, good]), np.hstack([form[:, :1], toxic])
+def inputs(buf: np.ndarray, offsets: np.ndarray, known: np.ndarray, odds: list[Odds]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Inputs of both models by each of some odds."""
+    form, (found, first) = shape(buf, offsets), tokens(buf, offsets, known)
+    both = [o.inputs(found, first) for o in odds]
+    return [(np.hstack([form, good]), np.hstack([form[:, :1], toxic])) for good, toxic in both]
+
+
+_COUNTS = "range int, keys binary, counts binary"
 
 
-_COUNTS = "half int, docs binary, buckets binary, counts binary"
+def _packet(r: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()),
+                                       "counts": pa.array([np.ascontiguousarray(counts).tobytes()], pa.binary())})
 
 
 def _count(batches):
-    """Documents with each bucket, by half and label, as one sparse packet per task and half."""
-    counts = np.zeros((2, 4, BUCKETS), np.int32)
-    totals = np.zeros((2, 4), np.int64)
+    """Documents with each feature, by half and label (8 rows of counts), by range of keys;
+    the numbers of documents stand under one key of a range of their own."""
+    shift = np.uint64(64 - RANGES.bit_length() + 1)
     for batch in batches:
         for part in W.slices(batch, "text"):
-            found, first = tokens(*W.text_buffer(part.column("text")))
+            keys, place, first = features(*W.text_buffer(part.column("text")))
+            keys, found = np.unique(keys, return_inverse=True)
+            found = found.reshape(-1, 1 + len(BEGINNINGS))[place]
             row = np.repeat(np.arange(len(first) - 1), np.diff(first) * found.shape[1])
-            key = np.sort(row * BUCKETS + found.reshape(-1))
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-            row, bucket = key // BUCKETS, key % BUCKETS
+            pair = np.unique(row * len(keys) + found.reshape(-1))
+            row, at = np.divmod(pair, max(len(keys), 1))
             half, good, toxic = (np.asarray(part.column(c)) for c in ("half", "good", "toxic"))
-            for h in (0, 1):
-                for i, yes in enumerate((good == 1, good == 0, toxic == 1, toxic == 0)):
-                    mine = yes & (half == h)
-                    totals[h, i] += mine.sum()
-                    counts[h, i] += np.bincount(bucket[mine[row]], minlength=BUCKETS).astype(np.int32)
-    for h in (0, 1):
-        at = np.flatnonzero(counts[h].any(axis=0)).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({
-            "half": pa.array([h], pa.int32()), "docs": pa.array([totals[h].tobytes()], pa.binary()),
-            "buckets": pa.array([at.tobytes()], pa.binary()),
-            "counts": pa.array([np.ascontiguousarray(counts[h][:, at]).tobytes()], pa.binary())})
+            groups = [(half == h) & yes for h in (0, 1) for yes in (good == 1, good == 0, toxic == 1, toxic == 0)]
+            counts = np.stack([np.bincount(at[mine[row]], minlength=len(keys)) for mine in groups]).astype(np.int32)
+            yield _packet(RANGES, np.zeros(1, np.uint64), np.array([[mine.sum()] for mine in groups], np.int32))
+            cuts = np.searchsorted(keys >> shift, np.arange(RANGES + 1, dtype=np.uint64))
+            for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if a < b:
+                    yield _packet(r, keys[a:b], counts[:, a:b])
 
 
 def _add(batches):
-    """One packet per half from those of all tasks, as they stream in."""
-    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """One packet per range: its distinct keys in order and their counts."""
+    sent: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
-        for h, docs, buckets, counts in zip(*(batch.column(c) for c in batch.schema.names), strict=True):
-            total, own = sums.setdefault(h.as_py(), (np.zeros(4, np.int64), np.zeros((4, BUCKETS), np.int32)))
-            total += np.frombuffer(docs.as_py(), np.int64)
-            at = np.frombuffer(buckets.as_py(), np.int32)
-            own[:, at] += np.frombuffer(counts.as_py(), np.int32).reshape(4, -1)
-    for h, (total, own) in sums.items():
-        at = np.flatnonzero(own.any(axis=0)).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({
-            "half": pa.array([h], pa.int32()), "docs": pa.array([total.tobytes()], pa.binary()),
-            "buckets": pa.array([at.tobytes()], pa.binary()), "counts": pa.array([np.ascontiguousarray(own[:, at]).tobytes()], pa.binary())})
+        for r, keys, counts in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+            sent.setdefault(r, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int32).reshape(8, -1)))
+    for r, own in sent.items():
+        keys, place = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
+        sums, done = np.zeros((8, len(keys)), np.int32), 0
+        for x, counts in own:
+            sums[:, place[done:done + len(x)]] += counts       # distinct in a packet
+            done += len(x)
+        yield _packet(r, keys, sums)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int = MAX_LABELLED) -> Evidence:
@@ -242,21 +260,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
     sample = shared_table(chosen.withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int")), "labelled")
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     known = shared_table(texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]).coalesce(SAMPLE_TASKS), "labelled-texts")
-    counts, totals = np.zeros((2, 4, BUCKETS), np.int32), np.zeros((2, 4), np.int64)
-    packets = known.mapInArrow(_count, _COUNTS).repartition(2, "half").mapInArrow(_add, _COUNTS)
-    for half, docs_, buckets, found in packets.toLocalIterator():
-        totals[half] += np.frombuffer(docs_, np.int64)
-        at = np.frombuffer(buckets, np.int32)
-        counts[half][:, at] += np.frombuffer(found, np.int32).reshape(4, -1)
+    packets = known.mapInArrow(_count, _COUNTS).repartition("range").mapInArrow(_add, _COUNTS)
+    got = {r: (np.frombuffer(keys, np.uint64), np.frombuffer(found, np.int32).reshape(2, 4, -1))
+           for r, keys, found in packets.toLocalIterator()}
+    totals = got.pop(RANGES)[1][:, :, 0].astype(np.int64) if got else np.zeros((2, 4), np.int64)
     if not totals.sum():
-        return Evidence(None, Constant(0.5), Constant(0.0))
-    other = spark.sparkContext.broadcast([Odds(counts[1], totals[1]), Odds(counts[0], totals[0])])
+        return Evidence(np.empty(0, np.uint64), None, Constant(0.5), Constant(0.0))
+    keys = np.concatenate([np.empty(0, np.uint64), *(got[r][0] for r in sorted(got))])
+    counts = np.concatenate([np.empty((2, 4, 0), np.int32), *(got[r][1] for r in sorted(got))], axis=2)
+    other = spark.sparkContext.broadcast((keys, [Odds(counts[1], totals[1]), Odds(counts[0], totals[0])]))
 
     def measure(batches):
         for batch in batches:
             for part in W.slices(batch, "text"):
                 buf, offsets = W.text_buffer(part.column("text"))
-                both = [inputs(buf, offsets, o) for o in other.value]
+                both = inputs(buf, offsets, *other.value)
                 half = np.asarray(part.column("half"))
                 x = [np.where((half == 0)[:, None], both[0][k], both[1][k]) for k in (0, 1)]
                 yield pa.RecordBatch.from_pydict({
@@ -271,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
         models.append(Logistic(z, y) if 0 < y.sum() < len(y) else Constant(float((y.sum() + 0.5) / (len(y) + 1))))
     other.unpersist()
     del got
-    return Evidence(Odds(counts.sum(axis=0), totals.sum(axis=0)), *models)
+    return Evidence(keys, Odds(counts.sum(axis=0), totals.sum(axis=0)), *models)
 
 
 def strength(mean: float, spread: float, noise: float) -> float:

@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from llm_cases import EDGE, docs
 from pyspark.sql import functions as F
@@ -102,6 +103,21 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(got[i]["kept"] == want for i, want in hold) >= 0.97 * len(hold)
 
 
+def test_unseen_words_are_unknown_whatever_the_vocabulary(spark):
+    """Texts of one shape, of words whose beginnings no labelled document has, are alike."""
+    rng = random.Random(8)
+    word = lambda letters, k: "".join(rng.choices(letters, k=k))
+    texts = [(i, " ".join(word("abcdefghijklm", rng.randrange(6, 11)) for _ in range(rng.randrange(20, 1200))) + " vile" * (i % 5 == 0))
+             for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 7 > 0), int(i % 5 == 0)) for i, _ in texts], "doc_id long, quality int, toxic int")
+    evidence = quality.fit(docs(spark, texts), labels, "doc_id", "text")
+    probes = [" ".join(word("nopqrstuwxyz", 8) for _ in range(300)) for _ in range(40)]
+    for p in evidence(pa.array(probes)):
+        assert max(p) - min(p) < 1e-9
+    toxic = evidence(pa.array([t for _, t in texts]))[1]
+    assert min(toxic[::5]) > max(toxic[i] for i in range(300) if i % 5)
+
+
 def test_sparse_sites_shrink_to_their_parents(spark):
     rows = [(f"h{h}", f"p{p}", 0.9 if h < 5 else 0.2) for h in range(10) for p in range(3) for _ in range(40)]
     rows += [("h0", "rare", 0.5), ("new", "one", 0.5), (None, None, 0.5), (None, "p", 0.5)]
