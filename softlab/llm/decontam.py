@@ -16,7 +16,8 @@ they are read, so a passage that a third of all documents hold is met in every
 shard alike.  The benchmark is sent to every task, in blocks of
 ``BLOCK_BYTES`` of text, one pass over the documents for each block.
 
-Null and empty texts have no words and no hits; null items have no window.
+Null and empty texts have no words and no hits; items of null text have no
+window.  Items without id are searched like others but not named.
 Items of one text are searched once; of one id, count once.  Repeated document
 rows give repeated results.  Other columns are carried along (``carry``) under
 any names but the results'.
@@ -41,13 +42,13 @@ _STATE = "n_words long, n_hit long, hit binary, items array<string>, matches arr
 class Benchmark:
     """The words of a block of items and their windows' suffixes."""
 
-    def __init__(self, ids: list[str], texts: list[str], window: int):
-        owners: dict[str, set[str]] = {}
+    def __init__(self, ids: list[str | None], texts: list[str], window: int):
+        owners: dict[str, set[str | None]] = {}
         for i, t in zip(ids, texts, strict=True):
             owners.setdefault(t, set()).add(i)
         words = W.Words(*W.text_buffer(pa.array(list(owners), pa.string())), W.ALNUM, lower=True)
         size = np.diff(words.first)
-        self.owners = [sorted(o) for o in owners.values()]
+        self.owners = [sorted(o - {None}) for o in owners.values()]
         self.hash = words.hash
         self.stop = np.repeat(words.first[1:], size)           # end of each word's item
         self.item = words.rows
@@ -150,8 +151,8 @@ def search_shard(text: pa.Array, bench: Benchmark) -> tuple[np.ndarray, np.ndarr
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int):
     """The benchmark on the driver, one block of about ``BLOCK_BYTES`` after another."""
-    rows = benchmark.select(benchmark[item_col].cast("string").alias("i"), benchmark[text_col].alias("t")).dropna()
-    size = rows.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
+    rows = benchmark.select(benchmark[item_col].cast("string").alias("i"), benchmark[text_col].alias("t")).dropna(subset=["t"])
+    size = rows.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(n):
         own = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()

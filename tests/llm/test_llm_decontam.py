@@ -78,3 +78,12 @@ def test_longest_match_and_its_places(spark):
     got = run(spark, [(1, text)], [(9, item)], carry=("lang", "key"))[0]
     assert [tuple(m) for m in got["matches"]] == [("9", 1, 4, 21)]
     assert got["n_hit"] == 21 + 12 and got["lang"] == "en" and got["key"] == "k"
+
+
+def test_items_without_id_are_searched_but_not_named(spark, monkeypatch):
+    bench = [(None, "one two three four"), (5, "five six seven"), (None, "five six seven"), (None, None)]
+    rows = [(1, "x one two three four y"), (2, "five six seven"), (3, "none of them")]
+    for _ in range(2):
+        got = {r["doc_id"]: r for r in run(spark, rows, bench, 3)}
+        assert [(got[i]["n_hit"], list(got[i]["items"]), got[i]["contaminated"]) for i in (1, 2, 3)] == [(4, [], True), (3, ["5"], True), (0, [], False)]
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", 20)
