@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, langid, lmscore, minhash, packing, quality, substring
+from . import bpe, chat, decontam, fingerprint, langid, lmscore, minhash, packing, quality, substring, variants
 
 
 @dataclass
@@ -135,3 +135,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, packed."""
     import public_tokenizers
     return packing.packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents, with the forms they vary."""
+    return variants.variants(table(spark, sf_dir, "documents"))
