@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, langid, lmscore, minhash, packing, quality, substring, variants
+from ..session import scratch_path
+from . import bpe, chat, decontam, exactdedup, fingerprint, langid, lmscore, minhash, packing, quality, substring, variants
 
 
 @dataclass
@@ -141,3 +142,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all documents, with the forms they vary."""
     return variants.variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+  sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)"""
+
+
+@query("op12_exact_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: the first half of the ids as a snapshot, the others screened against it."""
+    done = exactdedup.exact_duplicates(table(spark, sf_dir, "documents"), scratch_path(spark, "exact-store"))
+    return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
