@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, decontam, exactdedup, fingerprint, langid, lmscore, minhash, packing, quality, substring, variants
+from . import bpe, chat, crosstok, decontam, exactdedup, fingerprint, langid, lmscore, minhash, packing, quality, substring, variants
 
 
 @dataclass
@@ -156,3 +156,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: the first half of the ids as a snapshot, the others screened against it."""
     done = exactdedup.exact_duplicates(table(spark, sf_dir, "documents"), scratch_path(spark, "exact-store"))
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op13_cross_tokenizer")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens of two vocabularies, aligned and counted over the corpus."""
+    import public_tokenizers
+    return crosstok.link_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
