@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import t_two_sided_p_vec
+from ..session import shared_table
 from .binning import bin_left_closed, bin_table
 from .common import one_row, scalar_of
 from .ranking import value_ranks
@@ -76,28 +77,48 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
                                                       F.col(y).cast("double")).alias("pearson_r"))
 
 
+def distinct_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(_x, _y, _w): the distinct valid pairs and their numbers of rows, written once."""
+    pairs = valid_pairs(df, y).groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
+        .agg(F.count(F.lit(1)).alias("_w"))
+    return shared_table(pairs, "pairs")
+
+
+def _weighted_r(table: DataFrame, x: str, y: str, mean_x: Column, mean_y: Column, out: str) -> DataFrame:
+    """(n, out): Pearson's r of two columns of pairs that stand for ``_w`` rows each."""
+    w = F.col("_w").cast("double")
+    dx, dy = F.col(x) - mean_x, F.col(y) - mean_y
+    sums = table.agg(F.coalesce(F.sum("_w"), F.lit(0)).cast("long").alias("n"), F.sum(w * dx * dy).alias("xy"),
+                     F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+    return sums.select("n", F.when((F.col("xx") > 0) & (F.col("yy") > 0),
+                                   F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias(out))
+
+
+def _spearman(pairs: DataFrame) -> DataFrame:
+    ranked = (pairs.join(value_ranks(pairs, "_x", "_rx", F.col("_w")), "_x")
+              .join(value_ranks(pairs, "_y", "_ry", F.col("_w")), "_y"))
+    mean = (scalar_of(pairs.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"))).getField("n") + 1) / 2.0     # of both ranks
+    return _weighted_r(ranked, "_rx", "_ry", mean, mean, "spearman_r")
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman rho = Pearson r of tie-averaged ranks.
 
     Works on the distinct (x, y) pairs and their counts: both marginals are
     ranked by weight, and ranks are joined to pairs, not rows, so values that
-    many rows share (0 and 1 in soft labels) stay single rows."""
-    pairs = valid_pairs(df, y).groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
-        .agg(F.count(F.lit(1)).alias("_w"))
-    ranked = (pairs.join(value_ranks(pairs, "_x", "_rx", F.col("_w")), "_x")
-              .join(value_ranks(pairs, "_y", "_ry", F.col("_w")), "_y"))
-    n = scalar_of(pairs.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"))).getField("n")
-    w = F.col("_w").cast("double")
-    dx, dy = (F.col(c) - (n + 1) / 2.0 for c in ("_rx", "_ry"))     # ranks have this mean
-    sums = ranked.agg(F.coalesce(F.sum("_w"), F.lit(0)).cast("long").alias("n"), F.sum(w * dx * dy).alias("xy"),
-                      F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
-    return sums.select("n", F.when((F.col("xx") > 0) & (F.col("yy") > 0),
-                                   F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman_r"))
+    many rows share (0 and 1 in soft labels) stay single rows.  The rows are read
+    once."""
+    return _spearman(distinct_pairs(df, x, y))
 
 
 def correlations(df: DataFrame, x: str, y: str, with_p: bool = True) -> DataFrame:
-    """A30 + A31 with two-sided p-values (t with n - 2 df)."""
-    r = one_row(pearson(df, x, y), spearman(df, x, y).select("spearman_r"))
+    """A30 + A31 with two-sided p-values (t with n - 2 df), both from the distinct
+    pairs; the rows are read once."""
+    pairs = distinct_pairs(df, x, y)
+    w = F.col("_w").cast("double")
+    means = scalar_of(pairs.agg((F.sum(w * F.col("_x")) / F.sum(w)).alias("x"), (F.sum(w * F.col("_y")) / F.sum(w)).alias("y")))
+    p = _weighted_r(pairs, "_x", "_y", means.getField("x"), means.getField("y"), "pearson_r")
+    r = one_row(p, _spearman(pairs).select("spearman_r"))
     if not with_p:
         return r
     pv = _p_value_udf()

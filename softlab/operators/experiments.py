@@ -3,9 +3,9 @@
 A grid cell = (filter setting, training size, trial).  A trial's training set
 is a bootstrap of the filtered pool: ``size`` draws with replacement, as
 (id, weight) rows from the partition-independent hash sampler (seed +
-trial), so the size holds whatever the pool's.  The fit is weighted and
-distributed; the driver loops over the (small) grid and keeps one metric row
-per cell and split.  The summary is a Spark ``groupBy``.
+trial), so the size holds whatever the pool's.  All sizes and trials (and their
+cross-validations) of a setting are fitted together by ``cells`` and evaluated
+by one grouped evaluation of each split.  The summary is a Spark ``groupBy``.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import labels as L
 from . import metrics as M
 from . import models as MD
+from .cells import Blocks, Cell, fit_cells, scored_rows
 from .filters import entropy_at_most, margin_inclusive, top_gap_at_least
-from .sampling import bootstrap_weights
+from .ranking import hash_rank
+from .sampling import bootstrap_weights, hash_key
 
 METRICS = ("accuracy", "precision", "recall", "f1_score", "roc_auc", "auprc", "ece")
 
@@ -35,34 +36,6 @@ def trial_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) ->
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trials"), *aggs)
 
 
-def _fit(variant: str, train: DataFrame, features: str, probs: str, C: float | None, q: float, k: int,
-         cs, folds: int, seed: int, id_col: str):
-    """One trial's model; C None: chosen among ``cs`` by cross-validation."""
-    if variant == "soft":
-        if C is None:
-            return MD.fit_soft_lr_cv(train, features, probs, cs, folds, seed=seed, k=k, id_col=id_col, weight="_weight")[0]
-        return MD.fit_soft_lr(train, features, probs, C=C, weight="_weight")
-    if variant == "gce":
-        if C is None:
-            return MD.fit_gce_lr_cv(train, features, probs, cs, folds, q=q, seed=seed, id_col=id_col, weight="_weight")[0]
-        return MD.fit_gce_lr(train, features, probs, C=C, q=q, weight="_weight")
-    if variant == "standard":
-        hard = train.withColumn("_hard", L.argmax(probs))
-        if C is None:
-            return MD.fit_standard_lr_cv(hard, features, "_hard", cs, folds, seed=seed, k=k, id_col=id_col, weight="_weight")[0]
-        return MD.fit_standard_lr(hard, features, "_hard", C=C, binary=(k == 2), weight="_weight")
-    raise ValueError(f"unknown variant {variant!r}")
-
-
-def _evaluate(model, rows: DataFrame, y: str, k: int) -> dict:
-    scored = model.predict_proba(rows, "_proba")
-    if k == 2:
-        r = M.evaluate_binary(scored.withColumn("_p1", F.col("_proba")[1]), y, "_p1").first()
-    else:
-        r = M.evaluate_multiclass(scored, y, "_proba").first()
-    return {m: (float(r[m]) if r[m] is not None else float("nan")) for m in METRICS}
-
-
 def training_draws(pool: DataFrame, sizes: Sequence[int], trials: int, seed: int, id_col: str = "id") -> DataFrame:
     """(size, trial, id, weight): the bootstrap draws of every grid cell.  Their
     weights add up to ``size`` exactly."""
@@ -88,25 +61,63 @@ def downstream_experiment(train: DataFrame, test: DataFrame, sizes: Sequence[int
                        + [f"{m} double" for m in METRICS])
     if train.isEmpty():
         return spark.createDataFrame([], schema)
+    if variant not in ("soft", "gce", "standard"):
+        raise ValueError(f"unknown variant {variant!r}")
     k = MD.vector_length(train, probs)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    draws = training_draws(train, sizes, trials, seed, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def cell(size, t):
-        mine = draws.filter((F.col("size") == int(size)) & (F.col("trial") == t)).select(id_col, F.col("weight").alias("_weight"))
-        model = _fit(variant, train.join(mine, id_col), features, probs, C, q, k, cs, folds, seed + t, id_col)
-        head = {**(setting or {}), "variant": variant, "size": int(size), "trial": t}
-        return [{**head, "split": name, **_evaluate(model, rows, y, k)} for name, rows in (("train", train), ("test", test))]
-
-    try:
-        rows = [r for two in MD.run_grid(cell, [(s, t) for s in sizes for t in range(trials)]) for r in two]
-    finally:
-        test.unpersist()
-        train.unpersist()
-        draws.unpersist()
-    return spark.createDataFrame([tuple(r[c] for c in cols + ["variant", "size", "trial", "split", *METRICS])
-                                  for r in rows], schema)
+    trials_of = [(int(s), t) for s in sizes for t in range(trials)]
+    rows = with_trials(train, trials_of, training_draws(train, sizes, trials, seed, id_col), seed, folds if C is None else None, id_col)
+    hard = L.argmax(probs)
+    if variant == "gce":
+        target, loss = F.col(probs), "gce"
+    else:
+        target, loss = MD._target(hard, k) if variant == "standard" else MD._soft_target(probs, k)[0], "odds" if k == 2 else "softmax"
+    how = {"loss": loss, "soft": variant == "soft", "q": q}
+    if variant == "gce":
+        how["start"] = MD._gce_start(MD.vector_length(train, features), k, 0 if C is not None else seed)
+    if C is None:
+        models = MD.cross_validate(rows, features, target, hard, F.col("_w"), F.col("_fold"), folds, MD.logspace_cs(cs),
+                                   "neg_log_loss", k, len(trials_of), **how).models
+    else:
+        blocks = Blocks(rows, features, target, F.col("_w"))
+        try:
+            models = fit_cells(blocks, [Cell(t, None, C) for t in range(len(trials_of))], features=features, **how)
+        finally:
+            blocks.close()
+    out = None
+    for split, part in (("train", train), ("test", test)):
+        scored = scored_rows(part, features, F.col(y), models)
+        if k == 2:
+            got = M.evaluate_binary(scored.withColumn("_p1", F.col("proba")[1]), "y", "_p1", group_cols=["cell"])
+        else:
+            got = M.evaluate_multiclass(scored, "y", "proba", group_cols=["cell"])
+        got = got.select(*[F.lit(float(v)).alias(c) for c, v in (setting or {}).items()], F.lit(variant).alias("variant"),
+                         *[F.array(*[F.lit(x[i]).cast(kind) for x in trials_of])[F.col("cell")].alias(name)
+                           for i, (name, kind) in enumerate((("size", "long"), ("trial", "int")))],
+                         F.lit(split).alias("split"), *[F.coalesce(F.col(m).cast("double"), F.lit(float("nan"))).alias(m) for m in METRICS])
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def with_trials(train: DataFrame, trials: Sequence[tuple[int, int]], draws: DataFrame, seed: int, folds: int | None,
+                id_col: str = "id") -> DataFrame:
+    """``train`` with its weight in every trial (``_w``, 0: not drawn) and, with
+    ``folds``, its fold there (``_fold``, -1: none): folds are dealt among the
+    rows of each trial, by the hash of seed + trial."""
+    if folds is not None:
+        draws = hash_rank(draws, hash_key(F.lit(seed) + F.col("trial"), id_col), "_rk", ["size", "trial"], tie=id_col) \
+            .withColumn("_f", (F.col("_rk") % folds).cast("int"))
+    else:
+        draws = draws.withColumn("_f", F.lit(0))
+    number = {x: i for i, x in enumerate(trials)}
+    # at most one entry for each trial
+    of = draws.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws(":", F.col("size").cast("string"), F.col("trial").cast("string")),
+        F.struct(F.col("weight").cast("double").alias("w"), F.col("_f").alias("f"))))).alias("_of"))
+    rows = train.join(of, id_col)
+    keys = F.array(*[F.lit(f"{s}:{t}") for s, t in number])
+    entries = F.transform(keys, lambda key: F.try_element_at("_of", key))
+    return rows.withColumn("_w", F.transform(entries, lambda e: F.coalesce(e["w"], F.lit(0.0)))) \
+        .withColumn("_fold", F.transform(entries, lambda e: F.coalesce(e["f"], F.lit(-1)))).drop("_of")
 
 
 def pool_sizes(pool: DataFrame, ratios: Sequence[float]) -> list[int]:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from . import models as MD
+from .cells import softmax
 from .sampling import hash_key, hash_uniform
 
 ColumnOrName = Column | str
@@ -68,7 +69,7 @@ def influence_scores(train: DataFrame, val: DataFrame, features: str = "embeddin
     def xq(pdf):
         X = np.stack(pdf["x"].to_numpy())
         Xt = np.hstack([X, np.ones((len(X), 1))])
-        return Xt, MD._softmax_np(X @ W + b)
+        return Xt, softmax(X @ W + b)
 
     def val_grad(pdf):
         Xt, Q = xq(pdf)

@@ -5,10 +5,11 @@ M1  Soft-label logistic regression is *exactly* weighted multinomial MLlib
     w_i * P_ik.  The reference objective  sum_i w_i CE(P_i, softmax) +
     ||W||^2 / (2C)  divided by sum_i w_i is MLlib's objective with
     regParam = 1 / (C * sum w), elasticNet 0, no standardisation.
-M9  Standard (hard-label) L2 LR: regParam = 1 / (C * N).
-M7  Generalised cross-entropy has no MLlib counterpart: each iteration is
-    one Spark pass (``mapInPandas`` partial loss and gradient per partition,
-    summed), and a small L-BFGS runs on the driver over the d*K parameters.
+M9  Standard (hard-label) L2 LR, M10, M17: Newton's method on summed normal
+    equations (``cells``).
+M7  Generalised cross-entropy has no MLlib counterpart: ``cells`` with L-BFGS.
+M3, M8, M9 with CV: all (C, fold) cells of the grid, and the refits on all rows,
+    are fitted together by ``cells``; all are scored in one pass.
 
 Every fit is a distributed Spark job; the driver only ever holds model-sized
 vectors (d * K numbers), never data.
@@ -16,22 +17,19 @@ vectors (d * K numbers), never data.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import labels as L
 from . import calibration as C
 from . import metrics as M
+from .cells import Blocks, Cell, LinearSoftmax, evaluate_cells, fit_cells, scored_cells
 from .sampling import kfold
 
 ColumnOrName = Column | str
@@ -130,25 +128,34 @@ def fit_soft_lr(df: DataFrame, features: str = "embedding", probs: str = "label"
     return SoftLRModel(lr.fit(ex), features, penalize_intercept)
 
 
-def fit_standard_lr(df: DataFrame, features: str, label: str, C: float | None = 1.0,
-                    binary: bool | None = None, max_iter: int = 100, tol: float = 1e-6,
-                    weight: str | None = None) -> SoftLRModel:
-    """Hard-label L2 LR (``C=None`` -> unregularised).  Binary data
-    uses one coefficient vector (binomial), as the reference's solver does.
-    A row counts ``weight`` times (bootstrap draws)."""
-    w = _c(weight).cast("double") if weight else F.lit(1.0)
-    n = df.agg(F.sum(w)).first()[0] or 0.0
-    if n <= 0:
+def _classes(df: DataFrame, label: str) -> int:
+    top = df.agg(F.max(label)).first()[0]
+    if top is None:
         raise ValueError("no rows to fit on")
-    reg = 0.0 if C is None else 1.0 / (C * n)
+    return max(2, int(top) + 1)
+
+
+def fit_standard_lr(df: DataFrame, features: str, label: str, C: float | None = 1.0,
+                    binary: bool | None = None, max_iter: int = 200, tol: float | None = None,
+                    weight: str | None = None) -> LinearSoftmax:
+    """Hard-label L2 LR (``C=None`` -> unregularised).  Binary data uses
+    one coefficient vector, as the reference's solver does, and Newton's method.
+    A row counts ``weight`` times (bootstrap draws).  Without a penalty, rows
+    that a plane separates have no optimum: see ``cells``."""
     if C is not None:
         _check_params(C)
-    fam = "auto" if binary is None else ("binomial" if binary else "multinomial")
-    d = df.select(array_to_vector(_c(features).cast("array<double>")).alias("_features"),
-                                 _c(label).cast("double").alias("_label"), w.alias("_weight"))
-    lr = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", family=fam, regParam=reg,
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
-    return SoftLRModel(lr.fit(d), features)
+    k = 2 if binary else _classes(df, label)
+    w = F.array(_c(weight).cast("double") if weight else F.lit(1.0))
+    blocks = Blocks(df, features, _target(F.col(label), k), w)
+    try:
+        return fit_cells(blocks, [Cell(C=C)], "odds" if k == 2 else "softmax", max_iter=max_iter, tol=tol, features=features)[0]
+    finally:
+        blocks.close()
+
+
+def _target(label: Column, k: int) -> Column:
+    """Hard labels as targets: of class 1, or one-hot."""
+    return F.array(label.cast("double")) if k == 2 else L.one_hot(label, k)
 
 
 def fit_linear_probe(df: DataFrame, features: str, probs: str | None = None, label: str | None = None,
@@ -189,19 +196,6 @@ def score(scored: DataFrame, y: str, proba: str, metric: str, k: int) -> DataFra
 
 
 # ----------------------------------------------------------- M3, M8 (CV)
-GRID_THREADS = 8
-
-
-def run_grid(cell, cells, threads: int = GRID_THREADS) -> list:
-    """Run independent grid cells (each one or more Spark jobs) from a small
-    driver thread pool so the scheduler can overlap them; results keep the
-    cell order."""
-    from concurrent.futures import ThreadPoolExecutor
-    if threads <= 1 or len(cells) <= 1:
-        return [cell(*c) for c in cells]
-    with ThreadPoolExecutor(max_workers=threads) as ex:
-        return list(ex.map(lambda c: cell(*c), cells))
-
 def logspace_cs(cs: int | Sequence[float]) -> list[float]:
     """Cs as an int -> logspace(-4, 4, Cs), as the reference."""
     if isinstance(cs, int):
@@ -220,26 +214,64 @@ def best_c(scores: dict[float, float], cs: Sequence[float]) -> float:
     return best
 
 
-def cross_validate(df: DataFrame, fit, features: str, probs: str, cs: Sequence[float], folds: int,
-                   scoring: str, seed: int, k: int, id_col: str = "id") -> DataFrame:
-    """Fold x C grid; every fit and every score is a Spark job.  Scoring
-    uses the argmax of the *soft* fold labels as truth (as the reference).
-    Returns (C, fold, score)."""
-    spark = df.sparkSession
-    folded = kfold(df, folds, seed, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+def score_cells(scored: DataFrame, metric: str, k: int) -> DataFrame:
+    """M4 for many cells at once: (cell, score) of scored rows (cell, y, proba)."""
+    s = scored.withColumn("_yhat", L.argmax("proba"))
+    if metric == "neg_log_loss":
+        return s.groupBy("cell").agg((-C.nll_multiclass("y", "proba")).alias("score"))
+    if metric == "accuracy":
+        return s.groupBy("cell").agg(M.accuracy("y", "_yhat").alias("score"))
+    if metric in ("roc_auc", "roc_auc_ovr", "roc_auc_ovo"):
+        if k == 2 and metric != "roc_auc_ovo":
+            per = M.auc_ap_table(s.withColumn("_p1", F.col("proba")[1]), "y", "_p1", group_cols=["cell"])
+            return per.select("cell", F.col("roc_auc").alias("score"))
+        if metric == "roc_auc_ovo":
+            return M.roc_auc_ovo(s, "y", "proba", k, group_cols=["cell"]).withColumnRenamed("roc_auc_ovo", "score")
+        return M.ovr_auc_ap(s, "y", "proba", group_cols=["cell"]).groupBy("cell").agg(F.avg("roc_auc").alias("score"))
+    base, _, average = metric.partition("_")
+    if metric not in SCORERS:
+        raise ValueError(f"unknown scoring {metric!r}")
+    return M.prf(s, "y", "_yhat", average, group_cols=["cell"]).select("cell", F.col(base).alias("score"))
 
-    def cell(c, f):
-        train = folded.filter(F.col("fold") != f)
-        test = folded.filter(F.col("fold") == f).withColumn("_y", L.argmax(probs))
-        m = fit(train, c)
-        sc = score(m.predict_proba(test, "_proba"), "_y", "_proba", scoring, k).first()["score"]
-        return (float(c), f, float(sc) if sc is not None else float("nan"))
 
+@dataclass
+class CrossValidated:
+    """Scores of every (trial, C, fold), and for every trial the model of its best C."""
+    scores: DataFrame
+    best: list[float]
+    models: list[LinearSoftmax]
+
+
+def cross_validate(df: DataFrame, features: str, target: Column, truth: Column, weights: Column, folds: Column, n_folds: int,
+                   cs: Sequence[float], scoring: str, k: int, trials: int = 1, loss: str = "odds", soft: bool = False,
+                   q: float = 0.7, start: np.ndarray | None = None, max_iter: int = 200) -> CrossValidated:
+    """Every (trial, fold, C) and, for the refits, every (trial, C) in one fit;
+    one job scores all folds.  ``weights`` and ``folds`` are arrays by trial (weight
+    0: the row isn't in the trial)."""
+    spark = df.sparkSession
+    blocks = Blocks(df, features, target, weights, folds, truth)
     try:
-        rows = run_grid(cell, [(c, f) for f in range(folds) for c in cs])
+        held = [Cell(t, f, c) for t in range(trials) for f in range(n_folds) for c in cs]
+        whole = [Cell(t, None, c) for t in range(trials) for c in cs]
+        models = fit_cells(blocks, held + whole, loss, q, soft, start, max_iter, features=features)
+        got = score_cells(scored_cells(blocks, held, models[:len(held)]), scoring, k).collect()    # a row for each cell
     finally:
-        folded.unpersist()
-    return spark.createDataFrame(rows, "C double, fold int, score double")
+        blocks.close()
+    value = {r["cell"]: float("nan") if r["score"] is None else float(r["score"]) for r in got}
+    rows = [(c.trial, float(c.C), c.fold, value.get(i, float("nan"))) for i, c in enumerate(held)]
+    best, chosen = [], []
+    for t in range(trials):
+        mean = {c: [s for u, d, _, s in rows if u == t and d == float(c) and not np.isnan(s)] for c in cs}
+        best.append(best_c({c: float(np.mean(v)) if v else None for c, v in mean.items()}, cs))
+        chosen.append(models[len(held) + t * len(cs) + list(cs).index(best[-1])])
+    return CrossValidated(spark.createDataFrame(rows, "trial int, C double, fold int, score double"), best, chosen)
+
+
+def _cv(df, features, target, truth, cs, folds, scoring, seed, k, id_col, weight, **how):
+    """(model, mean scores of each C, best C) over ``folds`` hash folds of the rows."""
+    w = F.array(_c(weight).cast("double") if weight else F.lit(1.0))
+    done = cross_validate(kfold(df, folds, seed, id_col), features, target, truth, w, F.array("fold"), folds, cs, scoring, k, **how)
+    return done.models[0], cv_means(done.scores.drop("trial")), done.best[0]
 
 
 def cv_means(grid: DataFrame) -> DataFrame:
@@ -254,8 +286,8 @@ def fit_soft_lr_cv(df: DataFrame, features: str = "embedding", probs: str = "lab
                    borderline: tuple[float, float] | None = None, weight: str | None = None):
     """M3: CV over Cs, pick the best mean score (first C on ties), refit on
     all rows.  ``borderline=(exponent, min_weight)`` weights binary rows by
-    P27.  Returns (model, per-C mean scores DataFrame, best C)."""
-    cs_ = logspace_cs(cs)
+    P27.  Fold scores use the argmax of the *soft* labels as truth (as the
+    reference).  Returns (model, per-C mean scores DataFrame, best C)."""
     k = k or vector_length(df, probs)
     if borderline is not None:
         if k != 2:
@@ -263,33 +295,22 @@ def fit_soft_lr_cv(df: DataFrame, features: str = "embedding", probs: str = "lab
         own = F.col(weight).cast("double") if weight else F.lit(1.0)
         df = df.withColumn("_bw", own * L.borderline_weight(F.col(probs)[1], *borderline))
         weight = "_bw"
+    target, loss = _soft_target(probs, k)
+    return _cv(df, features, target, L.argmax(probs), logspace_cs(cs), folds, scoring, seed, k, id_col, weight, loss=loss, soft=True)
 
-    def fit(train, c):
-        return fit_soft_lr(train, features, probs, C=c, weight=weight)
 
-    grid = cross_validate(df, fit, features, probs, cs_, folds, scoring, seed, k, id_col)
-    means = cv_means(grid)
-    sc = {r["C"]: r["mean_score"] for r in means.collect()}   # one row per C
-    c_best = best_c(sc, cs_)
-    return fit_soft_lr(df, features, probs, C=c_best, weight=weight), means, c_best
+def _soft_target(probs: str, k: int) -> tuple[Column, str]:
+    """Targets and loss of soft labels.  Two classes whose labels sum to one have one vector."""
+    return (F.array(F.col(probs)[1]), "odds") if k == 2 else (F.col(probs), "softmax")
 
 
 def fit_standard_lr_cv(df: DataFrame, features: str, label: str, cs: int | Sequence[float] = 10,
                        folds: int = 5, scoring: str = "neg_log_loss", seed: int = 0,
                        id_col: str = "id", k: int | None = None, weight: str | None = None):
     """M9 with CV (hard labels); ``weight`` as in ``fit_standard_lr``."""
-    cs_ = logspace_cs(cs)
-    k = k or (df.agg(F.max(label)).first()[0] + 1)
-    d = df.withColumn("_onehot", L.one_hot(F.col(label), k))
-
-    def fit(train, c):
-        return fit_standard_lr(train, features, label, C=c, binary=(k == 2), weight=weight)
-
-    grid = cross_validate(d, fit, features, "_onehot", cs_, folds, scoring, seed, k, id_col)
-    means = cv_means(grid)
-    sc = {r["C"]: r["mean_score"] for r in means.collect()}
-    c_best = best_c(sc, cs_)
-    return fit_standard_lr(df, features, label, C=c_best, binary=(k == 2), weight=weight), means, c_best
+    k = k or _classes(df, label)
+    return _cv(df, features, _target(F.col(label), k), F.col(label), logspace_cs(cs), folds, scoring, seed, k, id_col, weight,
+               loss="odds" if k == 2 else "softmax")
 
 
 # --------------------------------------------------------------- M5 / M6
@@ -309,119 +330,11 @@ def gce_grad_logits(P: np.ndarray, Q: np.ndarray, q: float) -> np.ndarray:
     return Q * s - P * Qq
 
 
-def _softmax_np(Z: np.ndarray) -> np.ndarray:
-    Z = Z - Z.max(axis=1, keepdims=True)
-    E = np.exp(Z)
-    return E / (E.sum(axis=1, keepdims=True) + 1e-12)
-
-
 # ---------------------------------------------------------------------- M7
-@dataclass
-class LinearSoftmax:
-    """A fitted linear softmax head (W: d x K, b: K) usable in Spark."""
-    W: np.ndarray
-    b: np.ndarray
-    features: str
-    iterations: int = 0
-    gradient_norm: float = float("nan")
-    converged: bool = True
-
-    def predict_proba(self, df: DataFrame, out: str = "proba") -> DataFrame:
-        """softmax(x W + b) per row: an Arrow-batched pandas UDF doing one
-        numpy matmul per batch (the model, d x K numbers, travels in the
-        closure; it is not inlined as d*K literals into the plan)."""
-        W, b = self.W, self.b
-
-        @F.pandas_udf("array<double>")
-        def proba(x: pd.Series) -> pd.Series:
-            X = np.stack(x.to_numpy()) if len(x) else np.zeros((0, W.shape[0]))
-            return pd.Series(list(_softmax_np(X @ W + b)))
-
-        return df.withColumn(out, proba(F.col(self.features).cast("array<double>")))
-
-    def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
-        return self.predict_proba(df, "_p").withColumn(out, L.argmax("_p")).drop("_p")
-
-
-def _partial_loss_grad(df: DataFrame, features: str, probs: str, weight: str | None,
-                       W: np.ndarray, b: np.ndarray, q: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """One Spark pass: per-partition (loss, dW, db) in numpy, then summed."""
-    d, k = W.shape
-    cols = [F.col(features).cast("array<double>").alias("x"), F.col(probs).alias("p")]
-    cols.append((F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-
-    def part(it):
-        loss = 0.0
-        gW = np.zeros((d, k))
-        gb = np.zeros(k)
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["x"].to_numpy())
-            P = np.stack(pdf["p"].to_numpy())
-            w = pdf["w"].to_numpy()[:, None]
-            Q = _softmax_np(X @ W + b)
-            Qq = np.power(np.clip(Q, 1e-12, 1.0), q)
-            loss += float((w * P * (1.0 - Qq) / q).sum())
-            G = w * gce_grad_logits(P, Q, q)
-            gW += X.T @ G
-            gb += G.sum(axis=0)
-        yield pd.DataFrame({"loss": [loss], "g": [np.concatenate([gW.ravel(), gb]).tolist()]})
-
-    parts = df.select(*cols).mapInPandas(part, "loss double, g array<double>")
-    # one model-sized vector per partition, summed JVM-side
-    summed = parts.agg(F.sum("loss").alias("loss"),
-                       vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")).first()
-    g = np.array(summed["g"], dtype=float)
-    return float(summed["loss"]), g[: d * k].reshape(d, k), g[d * k:]
-
-
-def lbfgs(fun, x0: np.ndarray, max_iter: int = 200, m: int = 10, tol: float = 1e-8):
-    """Minimal L-BFGS with Armijo backtracking (scipy is not available).
-    ``fun(x) -> (f, grad)``; each call is one distributed pass.  Returns
-    (x, f, gradient, iterations, converged); stopping at ``max_iter`` is not
-    convergence."""
-    x = x0.copy()
-    f, g = fun(x)
-    S, Y = [], []
-    converged, done = False, 0
-    for done in range(max_iter):
-        if np.linalg.norm(g) < tol * max(1.0, abs(f)):
-            converged = True
-            break
-        qv = g.copy()
-        alphas = []
-        for s, y in reversed(list(zip(S, Y))):
-            a = s @ qv / (y @ s)
-            alphas.append(a)
-            qv -= a * y
-        if S:
-            qv *= (S[-1] @ Y[-1]) / (Y[-1] @ Y[-1])
-        for (s, y), a in zip(zip(S, Y), reversed(alphas)):
-            bta = y @ qv / (y @ s)
-            qv += s * (a - bta)
-        direction = -qv
-        if g @ direction >= 0:
-            direction = -g
-        step, f_new, g_new = 1.0, None, None
-        for _ls in range(40):
-            x_new = x + step * direction
-            f_new, g_new = fun(x_new)
-            if f_new <= f + 1e-4 * step * (g @ direction):
-                break
-            step *= 0.5
-        s_k, y_k = x_new - x, g_new - g
-        if abs(f - f_new) <= tol * max(1.0, abs(f)):
-            x, f, g, converged = x_new, f_new, g_new, True
-            break
-        if y_k @ s_k > 1e-12:
-            S.append(s_k)
-            Y.append(y_k)
-            if len(S) > m:
-                S.pop(0)
-                Y.pop(0)
-        x, f, g = x_new, f_new, g_new
-    return x, f, g, done + 1, converged
+def _gce_start(d: int, k: int, seed: int) -> np.ndarray:
+    """(d + 1) x k: weights N(0, .01) from the seed, intercepts 0."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.normal(0.0, 0.01, size=(d, k)), np.zeros((1, k))])
 
 
 def fit_gce_lr(df: DataFrame, features: str = "embedding", probs: str = "label", C: float = 1.0,
@@ -433,33 +346,24 @@ def fit_gce_lr(df: DataFrame, features: str = "embedding", probs: str = "label",
     _check_params(C)
     if not 0 < q <= 1:
         raise ValueError("q must be in (0, 1]")
-    d, k = vector_length(df, features), vector_length(df, probs)
-    data = df.select(features, probs, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
-    rng = np.random.default_rng(seed)
-    x0 = np.concatenate([rng.normal(0.0, 0.01, size=d * k), np.zeros(k)])
-
-    def fun(x):
-        W, b = x[: d * k].reshape(d, k), x[d * k:]
-        loss, gW, gb = _partial_loss_grad(data, features, probs, weight, W, b, q)
-        loss += float((W * W).sum()) / (2 * C)
-        gW = gW + W / C
-        return loss, np.concatenate([gW.ravel(), gb])
-
+    blocks = Blocks(df, features, F.col(probs), F.array(_c(weight).cast("double") if weight else F.lit(1.0)))
     try:
-        x, _f, g, iterations, converged = lbfgs(fun, x0, max_iter=max_iter, tol=tol)
+        return fit_cells(blocks, [Cell(C=C)], "gce", q, start=_gce_start(blocks.d, blocks.k, seed), max_iter=max_iter, tol=tol,
+                         features=features)[0]
     finally:
-        data.unpersist()
-    if not converged:
-        warnings.warn(f"GCE fit stopped at {max_iter} iterations, gradient norm {np.linalg.norm(g):.3g}", stacklevel=2)
-    return LinearSoftmax(x[: d * k].reshape(d, k), x[d * k:], features, iterations, float(np.linalg.norm(g)), converged)
+        blocks.close()
 
 
 def gce_gradient_norm(df: DataFrame, model: LinearSoftmax, probs: str, C: float, q: float,
                       weight: str | None = None) -> float:
     """Optimality check for M7: norm of the full objective's gradient."""
-    _l, gW, gb = _partial_loss_grad(df, model.features, probs, weight, model.W, model.b, q)
-    gW = gW + model.W / C
-    return float(np.linalg.norm(np.concatenate([gW.ravel(), gb])))
+    blocks = Blocks(df, model.features, F.col(probs), F.array(_c(weight).cast("double") if weight else F.lit(1.0)))
+    try:
+        theta = np.concatenate([model.W, model.b[None]])
+        _f, g, _h = evaluate_cells(blocks, [Cell(C=C)], {0: theta.ravel()}, "gce", q, False)[0]
+    finally:
+        blocks.close()
+    return float(np.linalg.norm(g + np.concatenate([model.W / C, np.zeros((1, len(model.b)))]).ravel()))
 
 
 # --------------------------------------------------------------- M16, M17
@@ -470,24 +374,25 @@ def gold_judge(gold: DataFrame, synthetic: DataFrame, features: str, label: str,
     mean and population std of each C, best C)."""
     model, means, c_best = fit_standard_lr_cv(gold, features, label, cs, folds, "accuracy", seed)
     scored = model.predict_proba(synthetic, "judge_proba")
-    k = len(model.intercepts) if model.model.numClasses > 2 else 2
-    if k == 2:
-        scored = scored.withColumn("judge_score", F.col("judge_proba")[1])
-    else:
-        scored = scored.withColumn("judge_score", F.col("judge_proba"))
-    return scored, means, c_best
+    own = F.col("judge_proba")
+    return scored.withColumn("judge_score", own[1] if len(model.b) == 2 else own), means, c_best
 
 
-def platt_calibrate(scored: DataFrame, margin: str, y: str, C: float = 1e12) -> SoftLRModel:
+def platt_calibrate(scored: DataFrame, margin: str, y: str, C: float | None = None) -> LinearSoftmax:
     """Sigmoid calibration of a frozen model's margin with Platt's
-    targets t+ = (N+ + 1)/(N+ + 2), t- = 1/(N- + 2), as a K=2 soft LR on
-    the one margin feature."""
+    targets t+ = (N+ + 1)/(N+ + 2), t- = 1/(N- + 2): two parameters, by Newton's
+    method, not penalised unless ``C`` is given (the targets lie inside (0, 1),
+    so there is always an optimum)."""
     cnt = scored.agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n")).first()
-    npos, nneg = cnt["pos"], cnt["n"] - cnt["pos"]
+    npos, nneg = cnt["pos"] or 0.0, cnt["n"] - (cnt["pos"] or 0.0)
     tp, tn = (npos + 1.0) / (npos + 2.0), 1.0 / (nneg + 2.0)
     t = F.when(F.col(y) == 1, F.lit(tp)).otherwise(F.lit(tn))
-    d = scored.select(F.array(F.col(margin).cast("double")).alias("_m"), L.to_binary_vector(t).alias("_t"))
-    return fit_soft_lr(d, "_m", "_t", C=C)
+    d = scored.select(F.array(F.col(margin).cast("double")).alias("_m"), t.alias("_t"))
+    blocks = Blocks(d, "_m", F.array("_t"), F.array(F.lit(1.0)))
+    try:
+        return fit_cells(blocks, [Cell(C=C)], features="_m")[0]
+    finally:
+        blocks.close()
 
 
 def fit_gce_lr_cv(df: DataFrame, features: str = "embedding", probs: str = "label",
@@ -496,17 +401,9 @@ def fit_gce_lr_cv(df: DataFrame, features: str = "embedding", probs: str = "labe
                   weight: str | None = None):
     """M8: as M3 over M7.  Scored like M3 (argmax of the soft fold labels);
     the reference's log-loss on soft targets is not reproduced."""
-    cs_ = logspace_cs(cs)
-    k = vector_length(df, probs)
-
-    def fit(train, c):
-        return fit_gce_lr(train, features, probs, C=c, q=q, seed=seed, max_iter=max_iter, weight=weight)
-
-    grid = cross_validate(df, fit, features, probs, cs_, folds, scoring, seed, k, id_col)
-    means = cv_means(grid)
-    sc = {r["C"]: r["mean_score"] for r in means.collect()}
-    c_best = best_c(sc, cs_)
-    return fit(df, c_best), means, c_best
+    k, d = vector_length(df, probs), vector_length(df, features)
+    return _cv(df, features, F.col(probs), L.argmax(probs), logspace_cs(cs), folds, scoring, seed, k, id_col, weight, loss="gce", q=q,
+               start=_gce_start(d, k, seed), max_iter=max_iter)
 
 
 class SoftLogisticRegression:

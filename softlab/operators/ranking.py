@@ -5,9 +5,10 @@ two-level instead:
 
 1. pre-aggregate (``groupBy(score)``: heavy ties collapse map-side), or work
    on a hash whose prefix spreads rows uniformly;
-2. cut the ordered domain into contiguous chunks (scores: 1,024 ranges at
-   the quantiles of the distinct scores; hashes: 65,536 prefixes) and total
-   each chunk -> a table bounded by the chunk count (~1 MB);
+2. cut the ordered domain into contiguous chunks and total each chunk.  Scores:
+   the distinct scores are dealt by range (Spark samples the cuts), so chunks
+   follow the data wherever scores lie; they are written once with their
+   chunk's number, and the input is read once.  Hashes: 65,536 prefixes;
 3. chunk offsets from that bounded table, broadcast back (size proven by
    construction), plus a window *inside* one chunk.
 
@@ -16,20 +17,24 @@ two-level instead:
 ``take_smallest``  the n smallest hashes per group; only the boundary chunk
                    of each group is ranked, every other row is kept or
                    dropped by a chunk-level decision.
+
+A null group is a group like others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_table
 from .common import scalar_of
 
 ColumnOrName = Column | str
-SCORE_CHUNKS = 1024      # ranges of distinct scores, cut by the data's quantiles
 HASH_PREFIX = 4          # hex chars -> 65,536 chunks (~1.5 GB per chunk at 100 TB)
 
 
@@ -45,52 +50,50 @@ def _bounded(df: DataFrame, grouped: bool) -> DataFrame:
     return df if grouped else F.broadcast(df)
 
 
-def quantile_chunk(distinct: DataFrame, score: str, out: str, chunks: int = SCORE_CHUNKS) -> DataFrame:
-    """``distinct`` (one row per score) with ``out``: which of ``chunks`` ranges its
-    score falls in.
+def by_range(distinct: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """``distinct`` dealt to ranges of ``order``, written to the shared folder with the
+    number of the range in ``out``: a chunk each for the prefix scan.
 
-    The ranges are cut at approximate quantiles of the distinct scores
-    themselves, so each holds about 1/chunks of them wherever the scores lie
-    and however they are squeezed.  The cuts are a scalar subquery: no join
-    and no extra action."""
-    cuts = scalar_of(distinct.agg(F.percentile_approx(
-        score, [i / chunks for i in range(1, chunks)], 10 * chunks).alias("c"))).getField("c")
-    halves = [1 << k for k in reversed(range(chunks.bit_length()))]
-    known = F.col("_cuts")
-    place = F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), lambda at, h: F.when(
-        (at + h <= F.size(known)) & (F.get(known, at + h - 1) <= F.col(score)), at + h).otherwise(at))
-    return distinct.withColumn("_cuts", cuts).withColumn(out, place).drop("_cuts")
+    As many ranges as shuffle partitions; numbers rise with the order, and as
+    they are in the table, no later plan or retry can see other ranges."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shared_table(distinct.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()), "scores")
 
 
-def prefix_table(df: DataFrame, score: str, sums: dict[str, Column],
-                 descending: bool = True, chunk: Column | None = None,
-                 group_cols: Sequence[str] = ()) -> DataFrame:
+def prefix_table(df: DataFrame, score: str, sums: dict[str, Column], descending: bool = True,
+                 group_cols: Sequence[str] = (), carried: dict[str, Column] | None = None) -> DataFrame:
     """Distinct-score table with cumulative sums in score order.
 
     Output: group cols, ``score``, each sum ``k``, ``k_through`` (inclusive
-    cumulative) and ``k_before`` (exclusive).  Chunks are cut by the scores'
-    quantiles; a ``chunk`` of the caller's must not decrease with the score.
-    """
+    cumulative) and ``k_before`` (exclusive), and ``carried`` aggregates of the
+    score that aren't accumulated.  The input is read once."""
     gcols = list(group_cols)
-    names = list(sums)
-    g = df.groupBy(*gcols, _c(score).alias("score")).agg(*[v.alias(k) for k, v in sums.items()])
-    g = quantile_chunk(g, "score", "_chunk") if chunk is None else g.withColumn("_chunk", chunk)
+    names, others = list(sums), list(carried or {})
+    g = df.groupBy(*gcols, _c(score).alias("score")).agg(*[v.alias(k) for k, v in {**sums, **(carried or {})}.items()])
+    g = by_range(g, [*gcols, "score"], "_chunk")
     totals = g.groupBy(*gcols, "_chunk").agg(*[F.sum(k).alias(f"_t_{k}") for k in names])
     order = F.col("_chunk").desc() if descending else F.col("_chunk").asc()
-    # bounded: one row per (group, chunk)
+    # bounded: a row per chunk, and one more for every group
     w_off = Window.partitionBy(*gcols).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*gcols, "_chunk", *[
+    offsets = totals.select(*[F.col(c).alias(f"_g_{c}") for c in gcols], F.col("_chunk").alias("_g__chunk"), *[
         F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0)).alias(f"_o_{k}") for k in names])
     s_order = F.col("score").desc() if descending else F.col("score").asc()
     w_in = Window.partitionBy(*gcols, "_chunk").orderBy(s_order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = g.join(_bounded(offsets, bool(gcols) or chunk is not None), [*gcols, "_chunk"])
-    out = joined.select(*gcols, "score", *names, *[
+    joined = _on_group(g, _bounded(offsets, bool(gcols)), [*gcols, "_chunk"])
+    out = joined.select(*gcols, "score", *names, *others, *[
         (F.col(f"_o_{k}") + F.sum(k).over(w_in)).alias(f"{k}_through") for k in names])
-    return out.select(*gcols, "score", *names, *[F.col(f"{k}_through") for k in names],
+    return out.select(*gcols, "score", *names, *others, *[F.col(f"{k}_through") for k in names],
                       *[(F.col(f"{k}_through") - F.col(k)).alias(f"{k}_before") for k in names])
 
 
+def _on_group(rows: DataFrame, table: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, whose columns ``_g_<col>`` name the
+    group (null is a group too) and go."""
+    same = reduce(and_, [rows[c].eqNullSafe(table[f"_g_{c}"]) for c in cols])
+    return rows.join(table, same).drop(*[f"_g_{c}" for c in cols])
+
+
 def value_ranks(df: DataFrame, col: str, out: str, weight: Column | None = None) -> DataFrame:
     """(``col``, ``out``): the 1-based tie-averaged rank of every distinct value,
     rank(v) = n_before + (n_v + 1) / 2.  ``weight``: rows that a row stands for."""
@@ -118,10 +121,10 @@ def hash_rank(df: DataFrame, h: ColumnOrName, out: str = "rank",
     d = df.withColumn("_h", _c(h)).withColumn("_hc", hash_chunk("_h"))
     counts = d.groupBy(*gcols, "_hc").agg(F.count(F.lit(1)).alias("_cnt"))
     w_off = Window.partitionBy(*gcols).orderBy("_hc").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*gcols, "_hc", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"))
+    offs = counts.select(*[F.col(c).alias(f"_g_{c}") for c in (*gcols, "_hc")], F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"))
     order = [F.col("_h")] + ([_c(tie)] if tie is not None else [])
     w_in = Window.partitionBy(*gcols, "_hc").orderBy(*order)
-    return (d.join(_bounded(offs, bool(gcols)), [*gcols, "_hc"])
+    return (_on_group(d, _bounded(offs, bool(gcols)), [*gcols, "_hc"])
             .withColumn(out, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long"))
             .drop("_h", "_hc", "_off"))
 
@@ -148,9 +151,9 @@ def take_smallest(df: DataFrame, h: ColumnOrName, n: int | Column | None = None,
     else:
         plan = plan.withColumn("_n", n if isinstance(n, Column) else F.lit(int(n)))
     plan = plan.filter(F.col("_before") < F.col("_n")).select(
-        *gcols, "_hc", (F.col("_before") + F.col("_cnt") <= F.col("_n")).alias("_full"),
+        *[F.col(c).alias(f"_g_{c}") for c in (*gcols, "_hc")], (F.col("_before") + F.col("_cnt") <= F.col("_n")).alias("_full"),
         (F.col("_n") - F.col("_before")).alias("_need"))
-    j = d.join(_bounded(plan, bool(gcols)), [*gcols, "_hc"])
+    j = _on_group(d, _bounded(plan, bool(gcols)), [*gcols, "_hc"])
     full = j.filter(F.col("_full"))
     order = [F.col("_h")] + ([_c(tie)] if tie is not None else [])
     edge = j.filter(~F.col("_full")).withColumn(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from softlab.operators import agreement as A
 from softlab.operators import metrics as M
-from softlab.operators.ranking import quantile_chunk
+from softlab.operators.ranking import by_range
 
 N = 20_000
 
@@ -12,9 +12,11 @@ N = 20_000
 @pytest.mark.parametrize("score", ["id * 1e-12", "id * 50.0 - 3e5", "pow(id, 3.0)", "1 - id * 1e-13", "CASE WHEN id > 500 THEN 1.0 ELSE id / 1e9 END"])
 def test_no_chunk_holds_much_more_than_its_share(spark, score):
     g = spark.range(N).select(F.expr(f"CAST({score} AS DOUBLE)").alias("score")).distinct()
-    sizes = [r["count"] for r in quantile_chunk(g, "score", "c", chunks=64).groupBy("c").count().collect()]
-    assert max(sizes) <= 4 * max(1, sum(sizes) / 64)
-    rows = quantile_chunk(g, "score", "c", chunks=64).groupBy("c").agg(F.min("score").alias("a"), F.max("score").alias("b")).orderBy("c").collect()
+    dealt = by_range(g, ["score"], "c")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.groupBy("c").agg(F.min("score").alias("a"), F.max("score").alias("b"), F.count("*").alias("n")).orderBy("c").collect()
+    total = sum(r["n"] for r in rows)
+    assert total == g.count() and max(r["n"] for r in rows) <= 4 * max(1, total / n)
     assert all(p["b"] < q["a"] for p, q in zip(rows, rows[1:]))
 
 
