@@ -18,7 +18,7 @@ more rows than the vocabulary and is the only one broadcast.
 Tokens repeat as words do: a text is cut before single spaces between
 characters that surely aren't blank; neither tokenizer joins what such a cut
 parts (for B this is checked in the vocabulary, and texts are whole otherwise),
-and each distinct segment of a sub-batch is encoded once.
+and a segment that a worker has met is not encoded again.
 
 Texts that are null, empty or whose bytes one side doesn't give back have no
 tokens.  The strings of special tokens are ordinary text.  Texts are whole,
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,20 +45,58 @@ from . import words as W
 from .bpe import ByteBpe, binary_rows, byte_alphabet, segments
 
 SPACE = "▁"           # how pieces write a space
-TEXT_SLICE = 6 << 20       # text of a chunk, about
+TEXT_SLICE = 1 << 20       # text of a chunk, about
+KNOWN = 1 << 18            # segments whose tokens a worker keeps, about
 
 
-class Pool:
-    """Bytes of a vocabulary's entries."""
+class Side:
+    """One tokenizer: its entries' bytes, and the tokens of the segments it has met."""
+
+    by_segment = True
 
     def _hold(self, table: dict[int, bytes]) -> None:
         size = max(table) + 1
         self.length = np.array([len(table.get(i, b"")) for i in range(size)], np.int64)
         self.begin = np.cumsum(self.length) - self.length
         self.pool = np.frombuffer(b"".join(table.get(i, b"") for i in range(size)), np.uint8)
+        self._forget()
 
+    def _forget(self) -> None:
+        self.known, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.tokens = np.empty(0, np.uint32)
 
-class ByteLevel(Pool, ByteBpe):
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows (which begin with the space) and the n + 1 offsets of the rows in them."""
+        if not self.by_segment:
+            return self.fresh(buf, offsets)
+        start, end, first = segments(buf, offsets)
+        h, one, which = np.unique(W.hash_ranges(buf, start, end), return_index=True, return_inverse=True)
+        if len(self.known) > KNOWN:
+            self._forget()
+        place = np.searchsorted(self.known, h)
+        new = np.append(self.known, 0)[place] != h
+        new |= place == len(self.known)
+        s, size = start[one[new]], (end - start)[one[new]]
+        ids, rows = self.fresh(buf[W.ranges(s, size)], np.concatenate([[0], np.cumsum(size)]))
+        at = place[new]
+        self.known = np.insert(self.known, at, h[new])
+        self.at = np.insert(self.at, at, len(self.tokens) + rows[:-1])
+        self.size = np.insert(self.size, at, np.diff(rows))
+        self.tokens = np.concatenate([self.tokens, ids])
+        which = np.searchsorted(self.known, h)[which]
+        size = self.size[which]
+        return self.tokens[W.ranges(self.at[which], size)], np.concatenate([[0], np.cumsum(size)])[first]
+
+    def same_bytes(self, ids: np.ndarray, rows: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which rows' tokens give back the rows' bytes."""
+        back = ByteBpe.decode(self, ids) if len(ids) else np.empty(0, np.uint8)
+        at = np.concatenate([[0], np.cumsum(self.length[ids])])[rows]
+        if np.array_equal(at, offsets) and np.array_equal(back, buf):
+            return np.ones(len(rows) - 1, bool)
+        return np.array([np.array_equal(back[at[i]:at[i + 1]], buf[offsets[i]:offsets[i + 1]]) for i in range(len(rows) - 1)], bool)
+
+
+class ByteLevel(Side):
     """Side A, from the library's own file."""
 
     def __init__(self, data: bytes):
@@ -67,9 +106,20 @@ class ByteLevel(Pool, ByteBpe):
         self.library.encode_special_tokens = True
         back = {c: b for b, c in enumerate(byte_alphabet())}
         self._hold({i: bytes(back[c] for c in s) for s, i in self.library.get_vocab(with_added_tokens=False).items()})
+        self.joined = _Joined(self)
+
+    def fresh(self, buf, offsets):
+        return self.joined.encode(buf, offsets)
 
 
-class Pieces(Pool, ByteBpe):
+class _Joined(ByteBpe):
+    """Segments in long strings for the library."""
+
+    def __init__(self, side: ByteLevel):
+        self.library, self.length, self.begin, self.pool = side.library, side.length, side.begin, side.pool
+
+
+class Pieces(Side):
     """Side B."""
 
     def __init__(self, data: bytes):
@@ -79,21 +129,11 @@ class Pieces(Pool, ByteBpe):
         self._hold({i: bytes([int(p[3:5], 16)]) if s.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(name)})
         self.by_segment = not any(SPACE in p.lstrip(SPACE) for p in name)
 
-    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows (which begin with the space) and the n + 1 offsets of the rows in them."""
-        if self.by_segment:
-            start, end, first = segments(buf, offsets)
-        else:
-            start, end, first = offsets[:-1], offsets[1:], np.arange(len(offsets))
-        _, at, which = np.unique(W.hash_ranges(buf, start, end), return_index=True, return_inverse=True)
-        whole = buf.tobytes()
-        found = self.library.encode([whole[a + 1:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)],
-                                    num_threads=1)
-        size = np.array([len(f) for f in found], np.int64)
-        ids = np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))
-        begin = np.cumsum(size) - size
-        out = ids[W.ranges(begin[which], size[which])]
-        return out, np.concatenate([[0], np.cumsum(size[which])])[first]
+    def fresh(self, buf, offsets):
+        whole, at = buf.tobytes(), offsets.tolist()
+        found = self.library.encode([whole[a + 1:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)], num_threads=1)
+        rows = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(rows[-1])), rows
 
 
 class Aligned:
@@ -114,8 +154,12 @@ class Aligned:
         good = np.ones(len(some), bool)
         for side in (one, two):
             ids, rows = side.encode(buf, offsets) if len(some) else (np.empty(0, np.uint32), np.zeros(1, np.int64))
+            same = side.same_bytes(ids, rows, buf, offsets)
+            if not same.all():      # as the library has them from the whole text
+                ids, rows = _replaced(side, ids, rows, buf, offsets, same)
+                same = side.same_bytes(ids, rows, buf, offsets)
             sides.append((ids, rows))
-            good &= _same_bytes(side, ids, rows, buf, offsets)
+            good &= same
         self.rows = some[good]
         (self.a, self.a_row), (self.b, self.b_row) = (_of_rows(ids, rows, good) for ids, rows in sides)
         self.a_end, self.b_end = np.cumsum(one.length[self.a]), np.cumsum(two.length[self.b])
@@ -135,7 +179,10 @@ class Aligned:
         new = a["at"].to_numpy()[x] != b["at"].to_numpy()[y]
         x = np.concatenate([starts_a["a"].to_numpy(np.int64), x[new]])
         y = np.concatenate([starts_a["b"].to_numpy(np.int64), y[new]])
-        order = np.argsort(x + y, kind="stable")     # one of two successive pairs goes on with one side or both
+        # of two successive pairs the second is further on one side or both: x + y orders them
+        place = np.full(int((x + y).max()) + 1, -1)
+        place[x + y] = np.arange(len(x))
+        order = place[place >= 0]
         return x[order], y[order]
 
     def per_row(self, values: np.ndarray) -> np.ndarray:
@@ -148,40 +195,42 @@ class Aligned:
         """Bytes of ``a1,a2|b1;a3|b2,b3`` for each text, and their offsets."""
         link = np.flatnonzero(self.together)
         a_last, b_last = self.x[link], self.y[link]
-        before_a = np.concatenate([[0], b_last + 1])[np.searchsorted(a_last, np.arange(len(self.a)))]
-        before_b = (a_last + 1)[np.searchsorted(b_last, np.arange(len(self.b)))]
-        place_a, place_b = np.arange(len(self.a)) + before_a, np.arange(len(self.b)) + before_b
+        ended = [np.bincount(last + 1, minlength=len(side) + 1)[:len(side)].cumsum() for last, side in ((a_last, self.a), (b_last, self.b))]
+        place_a = np.arange(len(self.a)) + np.concatenate([[0], b_last + 1])[ended[0]]
+        place_b = np.arange(len(self.b)) + np.concatenate([a_last + 1, [0]])[ended[1]]
         ids = np.empty(len(self.a) + len(self.b), np.int64)
         ids[place_a], ids[place_b] = self.a, self.b
+        text, digits = _decimals(int(ids.max(initial=0)) + 1)
+        text, size = text[ids], digits[ids]
         mark = np.full(len(ids), ord(","), np.uint8)
         mark[place_a[a_last]] = ord("|")
         mark[place_b[b_last]] = ord(";")
+        text[np.arange(len(ids)), size] = mark
         row = self.a_row + self.b_row
-        last = row[1:] - 1
-        mark[last] = 0
-        digits = np.ones(len(ids), np.int64)
-        for k in range(1, 10):
-            digits += ids >= 10 ** k
-        size = digits + (mark > 0)
-        stop = np.cumsum(size)
-        out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint8)
-        at, left = stop - size + digits - 1, ids.copy()
-        for k in range(int(digits.max(initial=0))):
-            own = digits > k
-            out[at[own] - k] = 48 + left[own] % 10
-            left //= 10
-        marked = mark > 0
-        out[stop[marked] - 1] = mark[marked]
-        return out, np.concatenate([[0], stop])[row]
-
-
-def _same_bytes(side: Pool, ids: np.ndarray, rows: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which rows' tokens give back the rows' bytes."""
-    back = ByteBpe.decode(side, ids) if len(ids) else np.empty(0, np.uint8)
-    at = np.concatenate([[0], np.cumsum(side.length[ids])])[rows]
-    if np.array_equal(at, offsets) and np.array_equal(back, buf):
-        return np.ones(len(rows) - 1, bool)
-    return np.array([np.array_equal(back[at[i]:at[i + 1]], buf[offsets[i]:offsets[i + 1]]) for i in range(len(rows) - 1)], bool)
+        size += 1
+        size[row[1:] - 1] -= 1       # nothing after a text's last
+        out = text[np.arange(text.shape[1]) < size[:, None]]
+        return out, np.concatenate([[0], np.cumsum(size)])[row]
+
+
+_numbers: list = [np.zeros((0, 1), np.uint8), np.zeros(0, np.int64)]
+
+
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of the numbers below ``n`` (with room for one more byte), and how many."""
+    if len(_numbers[1]) < n:
+        names = [str(i).encode() for i in range(n)]
+        _numbers[1] = np.array([len(x) for x in names], np.int64)
+        width = len(names[-1]) + 1
+        _numbers[0] = np.frombuffer(b"".join(x.ljust(width) for x in names), np.uint8).reshape(n, width)
+    return _numbers[0], _numbers[1]
+
+
+def _replaced(side: Side, ids, rows, buf, offsets, same) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` and ``rows`` with the rows that aren't the ``same`` encoded by themselves."""
+    parts = [ids[rows[i]:rows[i + 1]] if same[i] else side.fresh(buf[offsets[i]:offsets[i + 1]], offsets[i:i + 2] - offsets[i])[0]
+             for i in range(len(same))]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def _of_rows(ids: np.ndarray, rows: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,8 +317,9 @@ def _chunks(one, two, id_type: pa.DataType):
                 pairs, place, counts = np.unique((t.b[y] << 32) | t.a[x], return_inverse=True, return_counts=True)
                 links = t.per_row(t.together.astype(np.int64))
                 # the order of a document's links doesn't matter: places ascend
-                row = np.repeat(np.arange(len(links)), links)
-                place = place[np.lexsort((place, row))]
+                both = np.repeat(np.arange(len(links)), links) * max(len(pairs), 1) + place.astype(np.int64)
+                both.sort()
+                place = both % max(len(pairs), 1)
                 numbers = {"n_a": np.diff(t.a_row), "n_b": np.diff(t.b_row), "n_groups": links, "links": links,
                            "n_overlaps": t.per_row(np.ones(len(t.x), np.int64))}
                 out = {"ids": pa.array([part.column("_id").to_pylist()], pa.list_(id_type)), "groups": pa.array([digests], pa.list_(pa.string()))}
