@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..session import shared_table
 from . import words as W
 
 KEYS = 1 << 15           # digests of a filter, about
@@ -266,7 +267,9 @@ class ExactStore:
         for p in parts[1:]:
             every = every.unionByName(p)
         own = F.struct(F.col("id").isNull().alias("last"), "id", "snapshot", "row")
-        groups = every.groupBy("home", "digest", "ord").agg(F.count("*").alias("group_size"), F.min(own).alias("keeper"))
+        # a table of its own, so that the join can be split where a text has many copies
+        groups = shared_table(every.groupBy("home", "digest", "ord").agg(F.count("*").alias("group_size"), F.min(own).alias("keeper")),
+                              "exact-groups")
         out = every.hint("merge").join(groups.hint("merge"), ["home", "digest", "ord"])
         kept = (F.col("keeper.snapshot") == F.col("snapshot")) & (F.col("keeper.row") == F.col("row"))
         return out.select("id", "digest", F.col("keeper.id").alias("keep_id"), "group_size", kept.alias("kept"))
