@@ -2,31 +2,67 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_table
 
+CONTRACTED = 1 << 18    # edges that a task contracts together
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root``: the smallest node reachable, for every node of the
     edge table (columns ``u``, ``v``) but the roots themselves.
 
-    Every step replaces edges by edges to the smallest neighbour, keeps the
-    components, and ends in one star per component.  Smallest neighbours are
-    aggregated and joined back, so a node's neighbours are in no list; each
-    step is written to the shared folder.
+    Every step first contracts the edges that a task has (to one star for each
+    part that they connect), then replaces edges by edges to the smallest
+    neighbour, keeps the components, and ends in one star per component.  Smallest
+    neighbours are aggregated and joined back, so a node's neighbours are in no
+    list; each step is written to the shared folder.
     """
-    now = _distinct(edges.filter("u <> v"))
+    now = edges.filter("u <> v")
     mark = None
     while True:
-        now = shared_table(_small_star(_large_star(now)), "components")
+        now = shared_table(_small_star(_large_star(_distinct(now.mapInArrow(_contract, "u long, v long")))), "components")
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen
 
 
+def _contract(batches):
+    """Edges of what these connect, from each node to the smallest: some rows at a
+    time, so memory is bounded."""
+    held, n = [], 0
+    for batch in batches:
+        held.append((np.asarray(batch.column("u")), np.asarray(batch.column("v"))))
+        n += batch.num_rows
+        if n >= CONTRACTED:
+            yield _stars(held)
+            held, n = [], 0
+    if n:
+        yield _stars(held)
+
+
+def _stars(held) -> pa.RecordBatch:
+    u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    root = np.arange(len(nodes))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = np.minimum(low, low[low])
+        if np.array_equal(low, root):
+            break
+        root = low
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_pydict({"u": pa.array(nodes[own]), "v": pa.array(nodes[root[own]])})
+
+
 def _distinct(edges: DataFrame) -> DataFrame:
     """Each edge once, from the larger node ``u`` to the smaller ``v``."""
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -5,7 +5,8 @@ with fewer words, the whole sequence as one; without words, none.  Documents
 are linked where 100 * intersection >= ``percent`` * union, and a component's
 smallest id stays.
 
-1. Documents of one set are one class; its smallest id stands for it.
+1. Documents of one set are one class, with a number and the text of its
+   smallest id.
 2. A class has a signature of ``COORDINATES`` minima, and is posted under each
    coordinate-value pair.  Sets of similarity 0.8 agree in ``MATCHES`` of 48
    coordinates or more but for one pair in two million.  Such a pair also
@@ -28,8 +29,9 @@ smallest id stays.
 5. Every link is confirmed on the full sets of both texts.
 
 Null and empty texts have no shingles and stay alone.  Rows of one id and
-text are one class; rows of one id and different texts count as one document
-for links.  A row without id stays alone.  Other columns are ignored.
+different texts are different classes that are linked as one document.  A row
+without id stays alone.  Ids of any type that has an order.  Very long texts
+are compared whole.  Other columns are ignored; an empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def _sign(k: int):
                     keys[some], sums[some] = signatures(h, first)
                 at = pa.array(np.arange(len(size) + 1, dtype=np.int32) * COORDINATES)
                 yield pa.RecordBatch.from_pydict({
-                    "id": part.column("id"), "n_shingles": pa.array(size, pa.int64()), "a": pa.array(sums[:, 0].copy()),
+                    "id": part.column("id"), "h": part.column("h"), "n_shingles": pa.array(size, pa.int64()), "a": pa.array(sums[:, 0].copy()),
                     "b": pa.array(sums[:, 1].copy()), "keys": pa.ListArray.from_arrays(at, pa.array(keys.reshape(-1)))})
     return run
 
@@ -130,39 +132,61 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``kept`` (whether that is the row's own)."""
     if percent < 80:
         raise ValueError("COORDINATES and MATCHES are chosen for similarities of 0.8 and more")
-    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    signed = shared_table(docs.mapInArrow(_sign(shingle), "id long, n_shingles long, a long, b long, keys array<long>"),
+    docs = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("h"), df[text_col].alias("text"))
+    kind = df.schema[id_col].dataType.simpleString()
+    signed = shared_table(docs.mapInArrow(_sign(shingle), f"id {kind}, h long, n_shingles long, a long, b long, keys array<long>"),
                           "minhash-signatures")
-    # a table of its own, so that joins with it can be split where a class has many copies
-    classes = shared_table(signed.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("id").alias("rep")),
-                           "minhash-copies")
-    reps = signed.withColumn("rep", F.col("id")).join(classes, ["rep", "a", "b", "n_shingles"])
-    reps = shared_table(reps.groupBy("rep").agg(F.max("keys").alias("keys"), F.max("n_shingles").alias("size")), "minhash-classes")
+    # classes and their numbers: a table of its own, so that joins with it can be split where a class has many copies
+    full = signed.filter("n_shingles > 0 and id is not null")
+    made = full.groupBy("a", "b", "n_shingles").agg(F.min(F.struct("id", "h")).alias("m"), F.first("keys").alias("keys"))
+    reps = shared_table(made.select(F.monotonically_increasing_id().alias("rep"), "a", "b", F.col("n_shingles").alias("size"),
+                                    F.col("m.id").alias("least"), F.col("m.h").alias("h"), "keys"), "minhash-classes")
     posted = shared_table(_prefixes(reps), "minhash-postings")
     # texts of the classes that may be linked: read from here on instead of all
     # (merge joins at every size: plans that broadcast small tables would grow unevenly)
-    some = posted.select(F.col("rep").alias("id")).distinct().hint("merge")
-    texts = docs.join(some, "id", "left_semi").withColumn("h", F.xxhash64("text"))
-    texts = shared_table(texts.dropDuplicates(["id", "h"]).drop("h"), "minhash-texts")
+    some = reps.select("rep", F.col("least").alias("id"), "h").join(posted.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    texts = docs.join(some.hint("merge"), ["id", "h"]).select(F.col("rep").alias("id"), "text")
+    texts = shared_table(texts.dropDuplicates(["id"]), "minhash-texts")
     tried = shared_table(_agreeing(_stars(posted), reps, MATCHES // 2), "minhash-stars")
-    links = _confirmed(tried.filter(F.col("n") >= MATCHES), texts, shingle, percent)
-    links = shared_table(links, "minhash-links")
-    found = components(links)
-    families = components(tried.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    links = _confirmed(tried.filter(F.col("n") >= MATCHES), texts, shingle, percent).unionByName(_one_document(full, reps))
+    # components (even nodes) and families (odd nodes) are found in one pass
+    wide = tried.select((F.col("x") * 2 + 1).alias("u"), (F.col("y") * 2 + 1).alias("v"))
+    both = components(shared_table(links.select((F.col("u") * 2).alias("u"), (F.col("v") * 2).alias("v")).unionByName(wide), "minhash-links"))
+    both = both.select(F.shiftright("node", 1).alias("node"), F.shiftright("root", 1).alias("root"), (F.col("node") % 2).alias("wide"))
+    found, families = both.filter("wide = 0").drop("wide"), both.filter("wide = 1").drop("wide")
     places = _places(posted, found, families, reps)
-    within = shared_table(_within(places, texts, shingle, percent), "minhash-links")
     across = _confirmed(_across(posted, places, reps), texts, shingle, percent)
-    more = within.unionByName(shared_table(across, "minhash-links"))
+    more = shared_table(_within(places, texts, shingle, percent).unionByName(across), "minhash-links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    names = shared_table(_components(found, reps), "minhash-components")
     own = signed.select("id", "n_shingles", "a", "b")
-    out = (own.join(classes, ["a", "b", "n_shingles"], "left")
-           .join(found.withColumnRenamed("node", "rep"), "rep", "left"))
-    component = F.coalesce("root", "rep", "id")
+    out = own.hint("merge").join(names.hint("merge"), ["a", "b", "n_shingles"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _one_document(full: DataFrame, reps: DataFrame) -> DataFrame:
+    """(u, v): classes of one id, to the first of them."""
+    kind = F.struct("a", "b", "n_shingles")
+    several = full.groupBy("id").agg(F.min(kind).alias("x"), F.max(kind).alias("y")).filter("x <> y").select("id")
+    classes = reps.select("rep", "a", "b", F.col("size").alias("n_shingles"))
+    own = full.select("id", "a", "b", "n_shingles").join(several, "id").distinct().join(classes, ["a", "b", "n_shingles"])
+    first = own.groupBy("id").agg(F.min("rep").alias("v"))
+    return own.select("id", F.col("rep").alias("u")).join(first, "id").filter("u <> v").select("u", "v")
+
+
+def _components(found: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b, n_shingles, component): every class with the smallest id of its component."""
+    least = reps.select(F.col("rep").alias("node"), "least")
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    of = members.join(least, "node").groupBy("root").agg(F.min("least").alias("component"))
+    named = members.join(of, "root").select(F.col("node").alias("rep"), "component")
+    return reps.select("rep", "a", "b", F.col("size").alias("n_shingles"), "least").join(named, "rep", "left") \
+        .select("a", "b", "n_shingles", F.coalesce("component", "least").alias("component"))
+
+
 def _prefixes(reps: DataFrame) -> DataFrame:
     """(rep, key): the postings in each class's ``PREFIX`` rarest that others share."""
     postings = reps.select("rep", F.explode("keys").alias("key"))
@@ -204,7 +228,9 @@ def _within(places: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     weight = F.greatest(F.lit(1 / BLOCK), F.col("size") / F.lit(SHINGLES))
     sizes = places.groupBy("g", "c").agg(F.sum(weight).alias("k"))
     open_ = sizes.groupBy("g").agg(F.count("*").alias("cs"), F.sum("k").alias("n"), F.max(F.struct("k", "c")).alias("m")).filter("cs > 1")
-    rows = places.join(open_.select("g", "n", F.col("m.k").alias("top"), F.col("m.c").alias("big")), "g")
+    # a table of its own, so that the join can be split where a family has many classes
+    open_ = shared_table(open_.select("g", "n", F.col("m.k").alias("top"), F.col("m.c").alias("big")), "minhash-families")
+    rows = places.hint("merge").join(open_.hint("merge"), "g")
     rows = rows.withColumn("out", F.col("c") != F.col("big"))
     # families of less than a block share one: they are told apart in the task
     few = F.col("n") <= 1

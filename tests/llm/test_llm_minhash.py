@@ -57,3 +57,33 @@ def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 5000)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100, 5000: 200}
+
+
+def test_rows_of_one_id_and_different_texts_are_one_document(spark):
+    rng = random.Random(2)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (5, a + " tail"), (6, b + " tail"), (7, b + " other"), (9, " ".join(f"c{i}" for i in range(40)))]
+    assert {(r[0], r[2], r[3]) for r in run(spark, rows)} == {(1, 1, True), (5, 1, False), (6, 1, False), (7, 1, False), (9, 9, True)}
+
+
+def test_ids_of_any_type(spark):
+    t = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([("b", t), ("a", t + " x"), ("c", "something else"), (None, t)], "doc_id string, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True), None: (None, True)}
+
+
+def test_random_components_against_union_find(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    root = list(range(400))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for u, v in edges:
+        x, y = sorted((find(u), find(v)))
+        root[y] = x
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
+    assert got == {i: find(i) for i in range(400) if find(i) != i}
