@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -37,6 +37,8 @@ MAX_DOCS, PER_DOC, SEQUENCE = 4000, 2, 40
 BUCKETS = 1 << 17
 AFFIXES = (1, 2, 3, 4)
 LEXICON = 300            # most telling words of each language
+LEAST_DOCS = 200         # labelled documents of a language that are learned from, if it has them
+MAX_LANGS = 500          # languages, the most frequent ones, in a sample
 LANES = 1024
 STEPS = 60
 UNKNOWN = "und"
@@ -236,8 +238,17 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         max_docs: int = MAX_DOCS, per_doc: int = PER_DOC) -> Crf:
     """A model from rows with a language and a text."""
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang")).dropna()
-    chosen = rows.select("id").distinct().orderBy(F.xxhash64("id", F.lit("crf")), "id").limit(max_docs)
-    known = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    # by language: its share of the sample, and LEAST_DOCS at least (or all it has)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    total = sum(r["n"] for r in sizes)
+    share = [(r["lang"], r["n"], max(LEAST_DOCS, round(max_docs * r["n"] / total))) for r in sizes]
+    quota = df.sparkSession.createDataFrame(share, "lang string, n long, most int")
+    h = F.xxhash64("id", F.lit("crf"))
+    # four times the share by hash, of which the first are ranked: no language is sorted whole
+    some = rows.select("id", "lang").join(F.broadcast(quota), "lang").filter(F.pmod(h, F.lit(1 << 20)) / float(1 << 20) <= 4.0 * F.col("most") / F.col("n"))
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(h, "id")))
+    chosen = ranked.filter("rank <= most").select("id", "lang").distinct()
+    known = rows.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["id"])
 
     def cut(batches):
         for batch in batches:

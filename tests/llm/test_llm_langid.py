@@ -57,3 +57,13 @@ def test_learns_languages_switches_and_edges(spark):
 def test_nothing_to_learn_from(spark):
     model = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r["lang_pred"] for r in langid.identify(docs(spark, EDGE), model).collect()} == {"und"}
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, f"the house and the garden of number {i} was very old", "en") for i in range(3000)]
+    rows += [(5000 + i, f"talo ja puutarha numero {i} oli hyvin vanha", "fi") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, max_docs=100)
+    assert set(model.labels) == {"en", "fi"}
+    ask = spark.createDataFrame([(1, "puutarha oli vanha")], "doc_id long, text string")
+    assert langid.identify(ask, model).first()["lang_pred"] == "fi"
