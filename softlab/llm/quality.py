@@ -338,8 +338,9 @@ def posteriors(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return rows.select(*scored.columns, "prior", "posterior", (F.col("posterior") >= threshold).alias("kept"))
 
 
-def score(docs: DataFrame, evidence: Evidence, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
-    """(id, host, path, quality, toxic, evidence) of every whole text."""
+def score(docs: DataFrame, evidence: Evidence, id_col: str, text_col: str, host: Column, path: Column,
+          carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, host, path, quality, toxic, evidence) of every whole text, and the columns ``carry``."""
     model = docs.sparkSession.sparkContext.broadcast(evidence)
 
     def run(batches):
@@ -348,24 +349,26 @@ def score(docs: DataFrame, evidence: Evidence, id_col: str, text_col: str, host:
                 good, toxic = model.value(part.column("text"))
                 yield pa.RecordBatch.from_pydict({
                     "id": part.column("id"), "host": part.column("host"), "path": part.column("path"),
-                    "quality": pa.array(good), "toxic": pa.array(toxic), "evidence": pa.array(good * (1 - toxic))})
+                    "quality": pa.array(good), "toxic": pa.array(toxic), "evidence": pa.array(good * (1 - toxic)),
+                    **{c: part.column(c) for c in carry}})
 
     rows = docs.select(docs[id_col].alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"),
-                       docs[text_col].alias("text"))
+                       docs[text_col].alias("text"), *[docs[c] for c in carry])
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, host string, path string, quality double, toxic double, evidence double")
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"id {kind}, host string, path string, quality double, toxic double, evidence double{more}")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              host: Column | None = None, path: Column | None = None, threshold: float = 0.5,
-             max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """id, ``host``, ``path``, ``quality``, ``toxic``, ``evidence``, ``prior``,
-    ``posterior`` and ``kept``.  By default a document's host is its ``source``,
+             max_labelled: int = MAX_LABELLED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, ``host``, ``path``, ``quality``, ``toxic``, ``evidence``, the columns ``carry``
+    as they are, ``prior``, ``posterior`` and ``kept``.  By default a document's host is its ``source``,
     and its path the ``lang`` below it."""
     host = docs["source"] if host is None else host
     path = docs["lang"] if path is None else path
     evidence = fit(docs, labels, id_col, text_col, max_labelled)
-    scored = shared_table(score(docs, evidence, id_col, text_col, host, path), "evidence")
+    scored = shared_table(score(docs, evidence, id_col, text_col, host, path, carry), "evidence")
     return posteriors(scored, threshold).withColumnRenamed("id", id_col)
 
 

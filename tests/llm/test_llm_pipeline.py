@@ -11,7 +11,7 @@ def test_every_operator_and_stage_is_registered():
     import __spark_entry__ as E
     names = set(E.queries())
     assert "pipeline" in names and len(C.STAGES) == 5
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
 
 
@@ -59,3 +59,21 @@ def test_small_tables_and_null_rows(spark):
         for _, stage in C.STAGES:
             rows = C.shared_table(stage(spark, rows, SF_SMALL), "stage")
         rows.count()
+
+
+def test_decisions_belong_to_rows(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_CHECK}/labels.parquet")
+    good = docs.join(labels.filter("quality = 1 and toxic = 0"), "doc_id", "left_semi").orderBy("doc_id").limit(1)
+    bad = docs.join(labels.filter("toxic = 1"), "doc_id", "left_semi").orderBy("doc_id").limit(1)
+    from pyspark.sql import functions as F
+    for same in (None, 10**7):
+        both = good.unionByName(bad).withColumn("doc_id", F.lit(same).cast(docs.schema["doc_id"].dataType))
+        kept = C.quality_stage(spark, docs.unionByName(both), SF_CHECK)
+        back = kept.filter(F.col("doc_id").eqNullSafe(F.lit(same))).select("text").collect()
+        assert back == good.select("text").collect()
+    words = [" ".join(f"{x}{i * 7919 % 997}" for i in range(80)) for x in "pqr"]
+    rows = [(5, words[0]), (5, words[1]), (5, words[1]), (6, words[1] + " end"), (None, words[2]), (None, words[2]), (7, words[2])]
+    made = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    got = sorted(((r["doc_id"], r["text"]) for r in C.near_dedup_stage(spark, made, SF_CHECK).collect()), key=str)
+    assert got == sorted([(5, words[0]), (5, words[1]), (7, words[2]), (None, words[2]), (None, words[2])], key=str)
