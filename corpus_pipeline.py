@@ -4,9 +4,11 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
 writes each result to the shared folder as Parquet and reads it again as the
 next stage's ``docs``.  All but the last return the columns of ``documents``.
 
-Rows without id are kept or dropped by their own text where a stage judges
-rows, and stay where it joins decisions by id (near-dedup).  Empty tables give
-empty results; null texts pass as texts without words.
+Decisions belong to rows, not to ids: rows of one id with different texts, and
+rows without id, are judged by their own text.  Near-dedup keeps rows without
+id.  Equal rows have equal decisions (near-dedup keeps one of them).  Empty
+tables give empty results; null texts pass as texts without words; texts are
+whole, however long; columns beside those of ``documents`` stay as they are.
 """
 
 from __future__ import annotations
@@ -21,27 +23,25 @@ from softlab.session import shared_table
 #: Words of a repeated passage; passages of over 50 words are to go, and their ends may touch other text.
 PASSAGE_WORDS = 40
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-
-
-def _chosen(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is kept."""
-    ids = decisions.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+ROW = "_pipeline_row"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps (good and not toxic)."""
-    return _chosen(docs, quality.classify(docs, table(spark, sf_dir, "labels")))
+    marked = docs.withColumn(ROW, F.xxhash64(*docs.columns))
+    done = quality.classify(marked, table(spark, sf_dir, "labels"), carry=(ROW,))
+    kept = done.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col(ROW).alias("_kept_row")).distinct()
+    own = marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked[ROW] == kept["_kept_row"])
+    return marked.join(kept, own, "left_semi").drop(ROW)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity
-    0.8), the one of the smallest id; of several rows of it, the first by text."""
-    kept = _chosen(docs, minhash.near_duplicates(docs, shingle=5, percent=80))
-    one = Window.partitionBy("doc_id").orderBy("text")
-    rows = kept.filter("doc_id is not null").select(F.struct(*kept.columns).alias("row"), F.row_number().over(one).alias("n"))
-    own = rows.filter("n = 1").select("row.*")
-    return own.unionByName(docs.filter("doc_id is null"))
+    0.8), the one of the smallest id; a document is an id with a text."""
+    marked = docs.withColumn(ROW, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h"))))
+    kept = minhash.near_duplicates(marked, id_col=ROW, shingle=5, percent=80).filter("kept").select(ROW).dropna().distinct()
+    rows = marked.join(kept, ROW, "left_semi").groupBy(ROW).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
