@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import t_two_sided_p_vec
+from ..functions.special import correlation_p
 from ..session import shared_table
 from .binning import bin_left_closed, bin_table
 from .common import one_row, scalar_of
@@ -63,13 +62,6 @@ def bin_mae(df: DataFrame, orig: str, judged: str, edges: Sequence[float] = DEFA
         F.when(nz, F.col("max_e")).otherwise(z).alias("max_error"))
 
 
-def _p_value_udf():
-    @F.pandas_udf("double")
-    def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(t_two_sided_p_vec(r.to_numpy(), n.to_numpy()))
-    return p_value
-
-
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson r over valid pairs and n."""
     d = valid_pairs(df, y)
@@ -121,9 +113,9 @@ def correlations(df: DataFrame, x: str, y: str, with_p: bool = True) -> DataFram
     r = one_row(p, _spearman(pairs).select("spearman_r"))
     if not with_p:
         return r
-    pv = _p_value_udf()
-    return r.select("n", "pearson_r", pv("pearson_r", F.col("n").cast("double")).alias("pearson_p"),
-                    "spearman_r", pv("spearman_r", F.col("n").cast("double")).alias("spearman_p"))
+    r = r.select(F.inline(F.array(F.struct("*"))))     # so that the p-values' expressions don't repeat the subqueries
+    return r.select("n", "pearson_r", correlation_p(F.col("pearson_r"), F.col("n")).alias("pearson_p"),
+                    "spearman_r", correlation_p(F.col("spearman_r"), F.col("n")).alias("spearman_p"))
 
 
 def error_summary(df: DataFrame, orig: str, judged: str) -> DataFrame:

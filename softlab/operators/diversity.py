@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, token_count, tokenize
 from .common import scalar_of
+from .ranking import exact_quantiles
 
 ColumnOrName = Column | str
 
@@ -79,12 +80,17 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
 
 
 def describe_by(df: DataFrame, key: str, x: ColumnOrName) -> DataFrame:
-    """A2: count, mean, sample std, min, quartiles (linear), max per key."""
+    """A2: count, mean, sample std, min, quartiles (linear), max per key.  The
+    quartiles are order statistics of the distinct values and their counts; no
+    task holds the values of a key."""
     v = _c(x).cast("double")
-    return df.groupBy(key).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.percentile(v, 0.25).alias("q25"), F.percentile(v, 0.5).alias("q50"),
-        F.percentile(v, 0.75).alias("q75"), F.max(v).alias("max"))
+    rows = df.select(key, v.alias("_v"))
+    plain = rows.groupBy(F.col(key).alias("_key")).agg(
+        F.count("_v").alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    quartiles = exact_quantiles(rows, "_v", (0.25, 0.5, 0.75), "_q", [key])
+    both = plain.join(quartiles, F.col("_key").eqNullSafe(F.col(key)), "left")
+    return both.select(F.col("_key").alias(key), "count", "mean", "std", "min",
+                       *[F.col("_q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def length_summary(df: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
@@ -100,8 +106,7 @@ def quantile_range(df: DataFrame, x: ColumnOrName, pairs: Sequence[tuple[float,
     """A4: linearly interpolated (lo, hi) quantiles, one row per pair."""
     v = _c(x).cast("double")
     qs = sorted({q for pr in pairs for q in pr})
-    agg = (F.percentile_approx(v, qs, 100000) if approx else F.percentile(v, qs)).alias("_q")
-    a = df.agg(agg)
+    a = df.agg(F.percentile_approx(v, qs, 100000).alias("_q")) if approx else exact_quantiles(df, v, qs, "_q")
     idx = {q: i + 1 for i, q in enumerate(qs)}
     rows = F.array(*[F.struct(F.lit(lo).alias("q_lo"), F.lit(hi).alias("q_hi"),
                               F.element_at("_q", idx[lo]).cast("double").alias("lo"),

@@ -13,6 +13,7 @@ two-level instead:
    construction), plus a window *inside* one chunk.
 
 ``prefix_table``   cumulative sums over distinct scores (AUC, AP, ranks).
+``exact_quantiles``  order statistics from the running counts.
 ``hash_rank``      exact 0-based row rank by a hex hash, per group.
 ``take_smallest``  the n smallest hashes per group; only the boundary chunk
                    of each group is ranked, every other row is kept or
@@ -94,6 +95,36 @@ def _on_group(rows: DataFrame, table: DataFrame, cols: Sequence[str]) -> DataFra
     return rows.join(table, same).drop(*[f"_g_{c}" for c in cols])
 
 
+def exact_quantiles(df: DataFrame, value: ColumnOrName, qs: Sequence[float], out: str = "q",
+                    group_cols: Sequence[str] = ()) -> DataFrame:
+    """A row (a group) with ``out``: the exact linearly interpolated quantiles ``qs``
+    of a number, several at once (all null for a group without numbers).
+
+    A quantile lies between the order statistics floor and ceil of q (n - 1);
+    these are the distinct values whose running counts hold them, so all that
+    any task holds is a range of the distinct values."""
+    gcols = list(group_cols)
+    v = _c(value).cast("double")
+    pt = prefix_table(df.filter(v.isNotNull()), v, {"_n": F.count(F.lit(1))}, descending=False, group_cols=gcols)
+    total = df.groupBy(*gcols).agg(F.count(v).alias("_total"))
+    if gcols:
+        total = total.select(*[F.col(c).alias(f"_g_{c}") for c in gcols], "_total")
+        rows = _on_group(pt, total, gcols)
+    else:
+        rows = pt.withColumn("_total", scalar_of(total).getField("_total"))
+
+    def place(q: float) -> Column:
+        return F.lit(float(q)) * (F.col("_total") - 1)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_n_before") <= rank) & (rank < F.col("_n_through")), F.col("score")))
+
+    ends = [at(to(place(q))).alias(f"_{k}{i}") for i, q in enumerate(qs) for k, to in (("l", F.floor), ("h", F.ceil))]
+    got = rows.groupBy(*gcols).agg(F.max("_total").alias("_total"), *ends)
+    values = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (place(q) - F.floor(place(q))) for i, q in enumerate(qs)]
+    return got.select(*gcols, F.array(*values).alias(out))
+
+
 def value_ranks(df: DataFrame, col: str, out: str, weight: Column | None = None) -> DataFrame:
     """(``col``, ``out``): the 1-based tie-averaged rank of every distinct value,
     rank(v) = n_before + (n_v + 1) / 2.  ``weight``: rows that a row stands for."""
@@ -145,8 +176,8 @@ def take_smallest(df: DataFrame, h: ColumnOrName, n: int | Column | None = None,
     plan = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w_cum), F.lit(0)))
     if n_from_min_group:
         # the smallest group size, as a scalar subquery over the group totals
-        smallest = scalar_of(counts.groupBy(*gcols).agg(F.sum("_cnt").alias("g"))
-                             .agg(F.min("g").alias("m"))).getField("m")
+        smallest = scalar_of(counts.groupBy(*gcols).agg(F.sum("_cnt").alias("_gs"))
+                             .agg(F.min("_gs").alias("m"))).getField("m")
         plan = plan.withColumn("_n", smallest)
     else:
         plan = plan.withColumn("_n", n if isinstance(n, Column) else F.lit(int(n)))

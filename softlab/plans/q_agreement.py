@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import agreement as A
 from ..operators import filters as Fi
 from ..sources import fixtures as X
@@ -41,7 +43,18 @@ def pearson_spearman(spark, sf_dir):
     return rounded(A.correlations(X.judged_binary(spark, sf_dir), "p", "q", with_p=False))
 
 
-@query("correlation_pvalues", ops="A30 A31 p-values (incomplete beta; no SQL oracle)")
+def _p_sql(r: str) -> str:
+    """Two-sided p-value: 1 - I_y(1/2, (n - 2) / 2) at y = r^2, by the power series of the incomplete beta function."""
+    a, b, y = "0.5", "((n - 2) / 2.0)", f"({r} * {r})"
+    term = (f"exp((0.5 + k) * ln({y}) + {b} * ln(1 - {y}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b} + k) "
+            f"+ lgamma({a} + 1) - lgamma({a} + 1 + k))")
+    return f"round(greatest(1 - (SELECT sum({term}) FROM range(0, 200000) t(k)), 0), 9)"
+
+
+@query("correlation_pvalues", ops="A30 A31 p-values", sql=_SPEARMAN + f""", c AS (
+SELECT (SELECT count(*) FROM judged_binary WHERE q IS NOT NULL) AS n,
+       (SELECT corr(p, q) FROM judged_binary WHERE q IS NOT NULL) AS pr, corr(rp, rq) AS sr FROM r)
+SELECT n, round(pr, 9) AS pearson_r, {_p_sql('pr')} AS pearson_p, round(sr, 9) AS spearman_r, {_p_sql('sr')} AS spearman_p FROM c""")
 def correlation_pvalues(spark, sf_dir):
     return rounded(A.correlations(X.judged_binary(spark, sf_dir), "p", "q", with_p=True))
 
@@ -83,3 +96,15 @@ SELECT round(avg(abs(q - p)), 9) AS mean_change,
 FROM judged_binary""")
 def label_change(spark, sf_dir):
     return rounded(A.label_change(X.judged_binary(spark, sf_dir), "p", "q", 0.2))
+
+
+@query("correlation_pvalues_weak", ops="A30 A31 p-values", sql=f"""
+WITH d AS (SELECT CAST(label AS DOUBLE) AS x, CAST(embedding[1] AS DOUBLE) AS y FROM emb_labeled WHERE label < 3),
+k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
+             rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM d),
+c AS (SELECT (SELECT count(*) FROM d) AS n, (SELECT corr(x, y) FROM d) AS pr, (SELECT corr(rx, ry) FROM k) AS sr)
+SELECT n, round(pr, 9) AS pearson_r, {_p_sql('pr')} AS pearson_p, round(sr, 9) AS spearman_r, {_p_sql('sr')} AS spearman_p FROM c""")
+def correlation_pvalues_weak(spark, sf_dir):
+    """Three classes of the labelled embeddings against one feature: p-values inside (0, 1)."""
+    d = X.emb_labeled(spark, sf_dir).filter("label < 3")
+    return rounded(A.correlations(d.select(F.col("label").cast("double").alias("x"), F.col("embedding")[0].alias("y")), "x", "y"))
