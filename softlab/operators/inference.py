@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_table
+from ..sources.published import publish, published, read_published
 from .filters import quarantine
 
 
@@ -56,20 +57,21 @@ def infer(df: DataFrame, prompt_col: str, client: Callable, batch: int = 32, ret
     return df.select(*cols).mapInPandas(run, schema)
 
 
-def embed(df: DataFrame, text_col: str, client: Callable, batch: int = 64, retries: int = 2,
+def embed(df: DataFrame, text_col: str, client: Callable, batch: int = 64, retries: int = 2, backoff: float = 0.5,
           keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Keep columns + ``embedding array<float>`` (null on failure)."""
+    """Keep columns + ``embedding array<float>`` (null on failure) + ``error``."""
     def run(it):
         for pdf in it:
             for start in range(0, len(pdf), batch):
                 chunk = pdf.iloc[start:start + batch]
-                res, _err = _call_with_retries(client, chunk[text_col].tolist(), retries, 0.5)
+                res, err = _call_with_retries(client, chunk[text_col].tolist(), retries, backoff)
                 out = chunk[list(keep)].copy()
                 out["embedding"] = [None if r is None else [float(x) for x in r] for r in res]
+                out["error"] = [err if r is None else None for r in res]
                 yield out
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-                       + ["embedding array<float>"])
+                       + ["embedding array<float>", "error string"])
     return df.select(*keep, text_col).mapInPandas(run, schema)
 
 
@@ -80,9 +82,26 @@ def parse_responses(df: DataFrame, schema: str, response: str = "response") -> D
     return df.withColumn("_parsed", parsed).select("*", "_parsed.*").drop("_parsed")
 
 
+def _round(req: DataFrame, client: Callable, response_schema: str, valid: Callable, prompt_col: str, log: str | None,
+           name: str) -> DataFrame:
+    """The valid rows of one round, written once: to the shared folder, or published
+    in ``log`` under ``name``, from where a later run takes them."""
+    spark = req.sparkSession
+    if log is not None and name in published(spark, log):
+        return read_published(spark, log, name)
+    parsed = parse_responses(infer(req, prompt_col, client, keep=tuple(
+        c for c in req.columns if c != prompt_col)), response_schema)
+    ok, _bad = quarantine(parsed, valid(parsed))
+    ok = ok.drop("response", "error")
+    if log is None:
+        return shared_table(ok, "generated-round")
+    publish(ok, log, name)
+    return read_published(spark, log, name)
+
+
 def generate_until(make_requests: Callable[[int], DataFrame], n: int, client: Callable,
                    out_path: str, response_schema: str, valid: Callable, max_rounds: int = 100,
-                   prompt_col: str = "prompt") -> int:
+                   prompt_col: str = "prompt", log: str | None = None) -> int:
     """Repeat batches until at least ``n`` valid rows were appended (the
     overshoot of the last batch is kept).  Each round is: requests ->
     infer -> parse -> quarantine -> append (S8).  Returns the valid count;
@@ -90,18 +109,19 @@ def generate_until(make_requests: Callable[[int], DataFrame], n: int, client: Ca
 
     A round's rows are written to the shared folder once; the count and the
     appended lines both come from there, so a lost executor calls nothing
-    again and the two can't differ."""
+    again and the two can't differ.  With ``log`` (a shared folder) each round is
+    published there and its lines replace folder ``round=<i>`` of ``out_path``: a
+    driver that starts again goes on where it stopped, repeats no client call of
+    a published round and appends no line twice."""
     total = 0
     for i in range(max_rounds):
         if total >= n:
             break
-        req = make_requests(i)
-        parsed = parse_responses(infer(req, prompt_col, client, keep=tuple(
-            c for c in req.columns if c != prompt_col)), response_schema)
-        ok, _bad = quarantine(parsed, valid(parsed))
-        ok = shared_table(ok.drop("response", "error"), "generated-round")
+        ok = _round(make_requests(i), client, response_schema, valid, prompt_col, log, f"round-{i:05d}")
         cnt = ok.count()
-        if cnt:
+        if log is not None:
+            ok.write.mode("overwrite").json(f"{out_path.rstrip('/')}/round={i}")
+        elif cnt:
             ok.write.mode("append").json(out_path)
         total += cnt
     if total < n:
@@ -111,22 +131,28 @@ def generate_until(make_requests: Callable[[int], DataFrame], n: int, client: Ca
 
 def feedback_loop(make_requests: Callable[[int, DataFrame | None], DataFrame], iterations: int,
                   client: Callable, response_schema: str, valid: Callable, interval: int,
-                  refresh_pool: Callable[[DataFrame], DataFrame], prompt_col: str = "prompt") -> DataFrame:
+                  refresh_pool: Callable[[DataFrame], DataFrame], prompt_col: str = "prompt", log: str | None = None) -> DataFrame:
     """Generate -> append to the training set (U2) -> every ``interval``
     iterations refresh the helpful-example pool (random, or top-k by
     influence) -> few-shot the next batch from the pool.  Each iteration
     writes its own rows to the shared folder; the training set is their union,
-    and no row is written twice."""
+    and no row is written twice.  With ``log`` iterations and pools are published
+    there, and a driver that starts again goes on after the last of them."""
     from .reshape import append_batch
     train = None
     pool = None
     for i in range(iterations):
-        req = make_requests(i, pool)
-        parsed = parse_responses(infer(req, prompt_col, client, keep=tuple(
-            c for c in req.columns if c != prompt_col)), response_schema)
-        ok, _bad = quarantine(parsed, valid(parsed))
-        ok = shared_table(ok.drop("response", "error"), "generated-batch")
+        ok = _round(make_requests(i, pool), client, response_schema, valid, prompt_col, log, f"iteration-{i:05d}")
         train = ok if train is None else append_batch(train, ok)
         if interval > 0 and (i + 1) % interval == 0:
-            pool = shared_table(refresh_pool(train), "helpful-pool")
+            pool = _pool(refresh_pool, train, log, f"pool-{i:05d}")
     return train
+
+
+def _pool(refresh_pool: Callable, train: DataFrame, log: str | None, name: str) -> DataFrame:
+    if log is None:
+        return shared_table(refresh_pool(train), "helpful-pool")
+    spark = train.sparkSession
+    if name not in published(spark, log):
+        publish(refresh_pool(train), log, name)
+    return read_published(spark, log, name)

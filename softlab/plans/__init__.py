@@ -15,5 +15,6 @@ from . import q_io  # noqa: F401
 from . import q_extra  # noqa: F401
 from . import q_exact  # noqa: F401
 from . import q_fits  # noqa: F401
+from . import q_loops  # noqa: F401
 
 REGISTRY = registry.REGISTRY

@@ -115,7 +115,7 @@ def metrics_sink_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "metrics")
     for run in ("run-a", "run-b", "run-a"):      # a re-run replaces only its own partition
         WR.write_metrics(res, path, run)
-    return spark.read.parquet(path).select("run_id", "n_total", "ece")
+    return WR.read_metrics(spark, path).select("run_id", "n_total", "ece")
 
 
 @query("head_rows", ops="W6", sql="SELECT id, p, y FROM soft_binary ORDER BY id LIMIT 20")

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import labels as L
 from ..functions.text import null_safe_concat
+from .published import read_published
+from .writers import EMBEDDINGS
 
 BINARY_RECORD = "label DOUBLE, text STRING, reasoning STRING, _corrupt_record STRING"
 VECTOR_RECORD = "label ARRAY<DOUBLE>, text STRING, reasoning STRING, _corrupt_record STRING"
@@ -65,8 +67,10 @@ def add_row_id(df: DataFrame, col: str = "row_id") -> DataFrame:
 def read_embeddings(spark: SparkSession, path: str, labels: DataFrame | None = None, split: str | None = None,
                     feature_col: str = "embedding", id_col: str = "id") -> DataFrame:
     """S3: embeddings as ``array<float>`` from Parquet, those of ``split`` if the
-    files have such a column, with ``labels`` (by ``id_col``) attached."""
-    df = spark.read.parquet(path)
+    files have such a column, with ``labels`` (by ``id_col``) attached; the
+    published table, if the path has one."""
+    own = read_published(spark, path, EMBEDDINGS)
+    df = spark.read.parquet(path) if own is None else own
     if split is not None:
         df = df.filter(F.col("split") == split)
     df = df.withColumn(feature_col, F.col(feature_col).cast("array<float>"))
