@@ -22,6 +22,7 @@ from ..sources import readers as RD
 from .q_sampling import SEED, TWO52, _hx
 from .q_similarity import _replicated
 from .registry import query, rounded
+from .sqlhelp import gamma_ctes
 
 TIMES = 100
 
@@ -158,7 +159,13 @@ def requests_soft_binary(spark, sf_dir):
                    .select("run", F.col("slot").cast("long").alias("slot"), "label"))
 
 
-@query("dirichlet_requests", ops="N12 (soft) N8 (rows-only)")
+@query("dirichlet_requests", ops="N12 (soft) N8", sql=f"""
+WITH b AS (SELECT run, count(*) AS b FROM texts GROUP BY run),
+slots AS (SELECT run, slot FROM b, range(0, (SELECT max(b) FROM b)) s(slot) WHERE slot < b),
+rid AS (SELECT CAST(('0x' || substr(md5('{SEED}:' || run || '|' || CAST(slot AS VARCHAR)), 1, 15)) AS BIGINT) AS id FROM slots),
+{gamma_ctes('rid', SEED, dict.fromkeys(range(1, 7), '0.5'))}
+SELECT CAST(k AS INTEGER) AS k, round(avg(v), 4) AS mean, count(*) AS n
+FROM (SELECT id, stream - 1 AS k, g / sum(g) OVER (PARTITION BY id) AS v FROM gamma) GROUP BY k""")
 def dirichlet_requests(spark, sf_dir):
     batches = X.texts(spark, sf_dir).groupBy("run").agg(F.count(F.lit(1)).alias("b"))
     r = S.balanced_requests(batches, "b", 6, "soft", SEED, ["run"], alpha="slightly spiky")

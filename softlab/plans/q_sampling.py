@@ -10,6 +10,7 @@ from ..operators.binning import histogram, linspace_edges
 from ..operators.common import scalar_of
 from ..sources import fixtures as X
 from .registry import query, rounded
+from .sqlhelp import bin_lc, edge_values, gamma_ctes
 
 SEED = 42
 TWO52 = "CAST(4503599627370496 AS DOUBLE)"
@@ -134,7 +135,14 @@ def intensity_uniform(spark, sf_dir):
     return rounded(S.sample_intensity(X.soft_binary(spark, sf_dir).select("id"), SEED))
 
 
-@query("dirichlet_moments", ops="N8 (distributional; rows-only)")
+_STREAMS = range(1, 7)
+_PARTS = "SELECT id, stream - 1 AS k, g / sum(g) OVER (PARTITION BY id) AS v FROM gamma"
+_STRATEGIES = "CASE CAST(floor(c.u * 5) AS INT) WHEN 0 THEN 0.1 WHEN 1 THEN 0.3 WHEN 2 THEN 0.5 WHEN 3 THEN 1.0 ELSE 5.0 END"
+
+
+@query("dirichlet_moments", ops="N8", sql=f"""
+WITH {gamma_ctes('texts', SEED, dict.fromkeys(_STREAMS, _STRATEGIES), choices=True)}
+SELECT CAST(k AS INTEGER) AS k, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, count(*) AS n FROM ({_PARTS}) GROUP BY k""")
 def dirichlet_moments(spark, sf_dir):
     d = S.sample_dirichlet(X.texts(spark, sf_dir).select("id"), 6, "mixed", SEED)
     ex = d.select(F.posexplode("label").alias("k", "v"))
@@ -142,13 +150,24 @@ def dirichlet_moments(spark, sf_dir):
                                        F.count(F.lit(1)).alias("n")), 4)
 
 
-@query("dirichlet_max_hist", ops="N16 N8 P19 A5 (rows-only)")
+@query("dirichlet_max_hist", ops="N16 N8 P19 A5", sql=f"""
+WITH {gamma_ctes('texts', SEED, dict.fromkeys(_STREAMS, '0.3'))},
+m AS (SELECT id, max(v) AS mx FROM ({_PARTS}) GROUP BY id),
+b AS (SELECT {bin_lc('mx', linspace_edges(20))} AS bin FROM m),
+spine(bin, lo, hi) AS (VALUES {edge_values(20)})
+SELECT CAST(s.bin AS INTEGER) AS bin, lo AS bin_lo, hi AS bin_hi, count(b.bin) AS n FROM spine s LEFT JOIN b ON b.bin = s.bin GROUP BY ALL""")
 def dirichlet_max_hist(spark, sf_dir):
     d = S.sample_dirichlet(X.texts(spark, sf_dir).select("id"), 6, 0.3, SEED)
     return histogram(d.withColumn("mx", L.max_prob("label")), "mx", linspace_edges(20))
 
 
-@query("beta_moments", ops="N10 N11 (distributional; rows-only)")
+@query("beta_moments", ops="N10 N11", sql=f"""
+WITH {gamma_ctes('soft_binary', SEED, {101: "CASE WHEN i.y = 1 THEN 5.0 ELSE 1.5 END", 102: "CASE WHEN i.y = 1 THEN 1.5 ELSE 5.0 END", 103: "5.0", 104: "1.5"})},
+w AS (SELECT id, max(g) FILTER (stream = 101) AS a, max(g) FILTER (stream = 102) AS b, max(g) FILTER (stream = 103) AS c,
+  max(g) FILTER (stream = 104) AS d FROM gamma GROUP BY id),
+s AS (SELECT y, CASE WHEN y = 1 THEN 0.6 + a / (a + b) * 0.4 ELSE a / (a + b) * 0.4 END AS b, c / (c + d) AS intensity FROM w JOIN soft_binary USING (id))
+SELECT y, round(avg(b), 4) AS mean, round(min(b), 4) AS min, round(max(b), 4) AS max, round(avg(intensity), 4) AS mean_intensity, count(*) AS n
+FROM s GROUP BY y""")
 def beta_moments(spark, sf_dir):
     sb = S.sample_margin_beta(X.soft_binary(spark, sf_dir), "y", 0.1, SEED, out="b")
     sb = S.sample_intensity(sb, SEED, beta=True)
