@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from . import models as MD
-from .cells import softmax
+from .cells import HESSIANS, LinearSoftmax, softmax
 from .sampling import hash_key, hash_uniform
 
 ColumnOrName = Column | str
@@ -52,17 +52,48 @@ def _block_sum(df: DataFrame, fn, size: int) -> np.ndarray:
     return np.array(out["g"], dtype=float)
 
 
+def _block_inverse(rows: DataFrame, xq, n: int, d1: int, k: int, damping: float):
+    """Product with the inverse of the damped Hessian's diagonal blocks (one a class;
+    one Gram matrix of all classes' mean where blocks would be too large).  The
+    right side and the Hessian's range have no sum over classes (a softmax doesn't
+    see a common shift), so the product is taken and left without one."""
+    one = k * d1 * d1 > HESSIANS
+
+    def grams(pdf):
+        Xt, Q = xq(pdf)
+        curve = Q * (1 - Q)
+        if one:
+            curve = curve.mean(axis=1, keepdims=True)
+        return np.stack([(Xt * curve[:, [c]]).T @ Xt for c in range(curve.shape[1])]).ravel()
+
+    blocks = _block_sum(rows, grams, (1 if one else k) * d1 * d1).reshape(-1, d1, d1) / n
+    inverse = np.linalg.inv(blocks + damping * np.eye(d1))
+    inverse = np.broadcast_to(inverse, (k, d1, d1))
+
+    def product(v: np.ndarray) -> np.ndarray:
+        v = v.reshape(d1, k)
+        z = np.einsum("kij,jk->ik", inverse, v - v.mean(axis=1, keepdims=True))
+        return (z - z.mean(axis=1, keepdims=True)).ravel()
+    return product
+
+
 def influence_scores(train: DataFrame, val: DataFrame, features: str = "embedding", probs: str = "label",
                      C: float = 1.0, damping: float = 0.01, sample_frac: float = 1.0, seed: int = 0,
-                     id_col: str = "id", cg_tol: float = 1e-10, cg_max_iter: int | None = None) -> DataFrame:
+                     id_col: str = "id", cg_tol: float = 1e-10, cg_max_iter: int | None = None,
+                     model: LinearSoftmax | None = None) -> DataFrame:
     """(id, influence) for every training row; rows outside the
-    sample get -inf (as the reference)."""
-    model = MD.fit_soft_lr(train, features, probs, C=C)
-    W = model.coefficients.T            # d x K
-    b = model.intercepts                # K
+    sample get -inf (as the reference).  ``model``: a fitted one instead of M1's.
+
+    Conjugate gradients on the damped Hessian, preconditioned by its diagonal
+    blocks: one pass sums a Gram matrix for each class, then each step is a pass."""
+    if model is None:
+        fitted = MD.fit_soft_lr(train, features, probs, C=C)
+        W, b = fitted.coefficients.T, fitted.intercepts      # d x K, K
+    else:
+        W, b = model.W, model.b
     d, k = W.shape
-    size = (d + 1) * k
     n = train.count()
+    size = (d + 1) * k
     tr = train.select(id_col, F.col(features).cast("array<double>").alias("x"), F.col(probs).alias("p")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -91,23 +122,27 @@ def influence_scores(train: DataFrame, val: DataFrame, features: str = "embeddin
             return (Xt.T @ U).ravel()
         return _block_sum(tr, f, size) / n + damping * vec
 
-    # conjugate gradients on the damped (positive definite) system H s = v
+    scaled = _block_inverse(tr, xq, n, d + 1, k, damping)
     s = np.zeros(size)
     r = v.copy()
-    pdir = r.copy()
-    rs = r @ r
-    for _ in range(cg_max_iter or size):
-        if np.sqrt(rs) <= cg_tol * max(1.0, np.linalg.norm(v)):
+    z = scaled(r)
+    step = z.copy()
+    rz = r @ z
+    limit = cg_max_iter or size
+    for _ in range(limit):
+        if np.linalg.norm(r) <= cg_tol * max(1.0, np.linalg.norm(v)):
             break
-        Hp = hvp(pdir)
-        a = rs / (pdir @ Hp)
-        s += a * pdir
+        Hp = hvp(step)
+        a = rz / (step @ Hp)
+        s += a * step
         r -= a * Hp
-        rs_new = r @ r
-        pdir = r + (rs_new / rs) * pdir
-        rs = rs_new
+        z = scaled(r)
+        rz_new = r @ z
+        step = z + (rz_new / rz) * step
+        rz = rz_new
     else:
-        warnings.warn(f"conjugate gradients stopped at {cg_max_iter or size} steps, residual {np.sqrt(rs):.3g}", stacklevel=2)
+        if np.linalg.norm(r) > cg_tol * max(1.0, np.linalg.norm(v)):
+            warnings.warn(f"conjugate gradients stopped at {limit} steps, residual {np.linalg.norm(r):.3g}", stacklevel=2)
     tr.unpersist()
     S = s.reshape(d + 1, k)
 

@@ -116,3 +116,13 @@ def test_influence_matches_explicit_hessian(spark):
     exp = -((Xt @ s) * (Q - P)).sum(1)
     ids = sorted(got)
     assert np.allclose([got[i] for i in ids], exp[ids], rtol=1e-6, atol=1e-9)
+
+
+def test_influence_takes_few_passes(spark, monkeypatch):
+    from softlab.operators import influence as I
+    df, _X, _P = _data(spark, n=400, d=12, k=6, seed=4)
+    scaled = df.withColumn("x", F.transform("x", lambda v, i: v * (i + 1)))      # badly scaled features
+    passes, plain = [], I._block_sum
+    monkeypatch.setattr(I, "_block_sum", lambda *a: passes.append(1) or plain(*a))
+    I.influence_scores(scaled, scaled, "x", "p", C=1.0, damping=0.01, cg_tol=1e-8).count()
+    assert len(passes) <= 22     # two of them for the right side and the blocks
