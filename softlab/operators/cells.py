@@ -42,6 +42,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions import labels as L
 
 TOLERANCE = 1e-12
+BOUNDED_TOLERANCE = 1e-7     # of L-BFGS: the expected gain of a step, relative to the loss
 HESSIANS = 1 << 22     # numbers of all cells' Hessians (32 MB a task); beyond, Gram matrices bound them
 MEMORY = 10            # steps that L-BFGS remembers
 
@@ -358,7 +359,7 @@ def fit_cells(blocks: Blocks, cells: Sequence[Cell], loss: str = "odds", q: floa
         searches = [_Lbfgs(x0, tol=tol or 1e-8) for _ in cells]
     else:
         grams = _grams(blocks, cells)
-        searches = [_Lbfgs(x0, _bound(grams[c.trial, -1 if c.fold is None else c.fold], lam[i], logits), tol or TOLERANCE)
+        searches = [_Lbfgs(x0, _bound(grams[c.trial, -1 if c.fold is None else c.fold], lam[i], logits), tol or BOUNDED_TOLERANCE)
                     for i, c in enumerate(cells)]
     for _ in range(max_iter):
         open_ = {i: s.point for i, s in enumerate(searches) if not s.done}

@@ -88,9 +88,8 @@ def platt(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     m = MD.fit_standard_lr(train, "embedding", "yb", C=0.01, binary=True)
     cal = MD.platt_calibrate(m.margin(train), "margin", "yb")
-    cal_m = MD.SoftLRModel(cal.model, "_m")
     sc = m.margin(m.predict_proba(test, "proba")).withColumn("p1", F.col("proba")[1])
-    sc = cal_m.predict_proba(sc.withColumn("_m", F.array("margin")), "cal").withColumn("pc", F.col("cal")[1])
+    sc = cal.predict_proba(sc.withColumn("_m", F.array("margin")), "cal").withColumn("pc", F.col("cal")[1])
     before = C.ece_binary(sc, "yb", "p1").select(F.col("ece").alias("ece_before"))
     after = C.ece_binary(sc, "yb", "pc").select(F.col("ece").alias("ece_after"))
     from ..operators.common import one_row
