@@ -42,7 +42,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions import labels as L
 
 TOLERANCE = 1e-12
-BOUNDED_TOLERANCE = 1e-7     # of L-BFGS: the expected gain of a step, relative to the loss
+BOUNDED_TOLERANCE = 1e-9     # of L-BFGS: the expected gain of a step, relative to the loss
 HESSIANS = 1 << 22     # numbers of all cells' Hessians (32 MB a task); beyond, Gram matrices bound them
 MEMORY = 10            # steps that L-BFGS remembers
 
