@@ -20,16 +20,23 @@ def components(edges: DataFrame) -> DataFrame:
     part that they connect), then replaces edges by edges to the smallest
     neighbour, keeps the components, and ends in one star per component.  Smallest
     neighbours are aggregated and joined back, so a node's neighbours are in no
-    list; each step is written to the shared folder.
+    list; each step is written to the shared folder.  Steps end when what they
+    wrote are stars.
     """
     now = edges.filter("u <> v")
-    mark = None
     while True:
         now = shared_table(_small_star(_large_star(_distinct(now.mapInArrow(_contract, "u long, v long")))), "components")
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if seen == mark:
+        if _unfinished(now).isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
+
+
+def _unfinished(edges: DataFrame) -> DataFrame:
+    """Nodes with two smaller neighbours, or with both smaller and larger ones:
+    without any, each component is one star round its smallest node."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")),
+                   F.struct(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return nodes.filter((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0)))
 
 
 def _contract(batches):
