@@ -8,6 +8,7 @@ scratch folder when the setting is absent (local runs, tests).
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -94,6 +95,14 @@ def ship_package(spark: SparkSession) -> None:
     sc._softlab_shipped = True
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished steps left: plans that nobody holds any
+    more, and with them their shuffles and broadcasts (Spark's cleaner waits for a
+    collection, which a large heap puts off), and give free heap back."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_table(df, name: str):
     """``df`` written to the shared checkpoint folder and read again: its
     lineage ends there, and a lost executor loses nothing."""
