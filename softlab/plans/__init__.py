@@ -16,5 +16,6 @@ from . import q_extra  # noqa: F401
 from . import q_exact  # noqa: F401
 from . import q_fits  # noqa: F401
 from . import q_loops  # noqa: F401
+from . import q_prompts  # noqa: F401
 
 REGISTRY = registry.REGISTRY
