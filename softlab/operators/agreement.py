@@ -135,6 +135,14 @@ def vector_alignment(df: DataFrame, orig: str, judged: str) -> DataFrame:
                  F.stddev_pop("l2").alias("std_l2"))
 
 
+def vector_alignment_rows(df: DataFrame, key: str, orig: str, judged: str) -> DataFrame:
+    """(key, cosine_similarity, l2_distance) of every pair; pairs without a
+    judged vector of numbers as long as the original go."""
+    o, j = F.col(orig), F.col(judged)
+    ok = (F.size(j) == F.size(o)) & F.forall(j, lambda x: x.isNotNull() & ~F.isnan(x))
+    return df.filter(ok).select(key, cosine_similarity(orig, judged).alias("cosine_similarity"), l2_distance(orig, judged).alias("l2_distance"))
+
+
 def alignment(df: DataFrame, orig: str, judged: str, kind: str) -> DataFrame:
     """Scalar alignment for binary sets, vector alignment otherwise."""
     if kind == "binary":
@@ -149,6 +157,15 @@ def judge_summary(df: DataFrame, status: ColumnOrName) -> DataFrame:
                   F.count_if(~ok | _c(status).isNull()).alias("failed"))
 
 
+def judge_metadata(df: DataFrame, status: ColumnOrName, settings: dict, timestamp: str | None = None) -> DataFrame:
+    """One row with a judging run's settings (a column each), its time and
+    its numbers of texts, successful and failed judgements."""
+    at = F.lit(timestamp) if timestamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    s = judge_summary(df, status)
+    return s.select(*[F.lit(v).alias(k) for k, v in settings.items()], at.alias("timestamp"), F.col("total").alias("total_texts"),
+                    F.col("successful").alias("successful_judgments"), F.col("failed").alias("failed_judgments"))
+
+
 def label_change(df: DataFrame, before: str, after: str, margin: float) -> DataFrame:
     """Mean |after - before| overall, in the ambiguous region (strictly
     inside .5 +- m) and in the confident region."""

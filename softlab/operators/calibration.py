@@ -50,8 +50,21 @@ def ece_binary(df: DataFrame, y: ColumnOrName, p: ColumnOrName, n_bins: int = 10
 
 def ece_top_label(df: DataFrame, y: ColumnOrName, probs: ColumnOrName,
                   n_bins: int = 10) -> DataFrame:
-    """Top-label ECE; confidence = max prob, hit = (argmax == y)."""
-    conf = L.max_prob(probs)
+    """Top-label ECE; confidence = max prob, hit = (argmax == y).
+
+    A row whose probabilities aren't in [0, 1], don't sum to 1 (within 1e-6) or
+    are null, and one whose label is null or no class, is an error, raised while the
+    data is read (no pass of its own)."""
+    p = _c(probs)
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    inside = F.coalesce(F.forall(p, lambda x: (x >= 0) & (x <= 1) & ~F.isnan(x)), F.lit(False))
+    sums = F.coalesce(F.abs(total - 1.0) <= 1e-6 + 1e-5, F.lit(False))     # the tolerances of numpy's allclose
+    known = F.coalesce((_c(y) >= 0) & (_c(y) < F.size(p)), F.lit(False))
+
+    def error(text: str) -> Column:
+        return F.raise_error(F.lit(text)).cast("double")
+    conf = (F.when(~inside, error("probabilities must be in [0, 1]")).when(~sums, error("probabilities must sum to 1"))
+            .when(~known, error("labels must be classes from 0 to K - 1")).otherwise(L.max_prob(probs)))
     hit = (L.argmax(probs) == _c(y)).cast("double")
     s = df.select(conf.alias("_conf"), hit.alias("_hit"))
     return ece_binary(s, "_hit", "_conf", n_bins)

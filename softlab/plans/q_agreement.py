@@ -88,6 +88,27 @@ def judge_summary(spark, sf_dir):
     return A.judge_summary(jb, "status")
 
 
+@query("judge_metadata", ops="A35 (run metadata) F11", sql="""
+SELECT 'binary' AS data_type, 'judge' AS model, 0.7::DOUBLE AS temperature, 16 AS batch_size, '2024-01-01 00:00:00' AS timestamp,
+       count(*) AS total_texts, count(*) FILTER (WHERE q >= 0 AND q <= 1) AS successful_judgments,
+       count(*) - count(*) FILTER (WHERE q >= 0 AND q <= 1) AS failed_judgments FROM judged_binary""")
+def judge_metadata(spark, sf_dir):
+    jb = X.judged_binary(spark, sf_dir).withColumn("status", Fi.check_range("q"))
+    settings = {"data_type": "binary", "model": "judge", "temperature": 0.7, "batch_size": 16}
+    return A.judge_metadata(jb, "status", settings, "2024-01-01 00:00:00")
+
+
+@query("vector_alignment_rows", ops="A33 (a row per pair) P21 P22", sql="""
+SELECT id, round(list_dot_product(label, judged) / sqrt(list_dot_product(label, label) * list_dot_product(judged, judged)), 9) AS cosine_similarity,
+       round(sqrt(list_sum(list_transform(list_zip(label, judged), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS l2_distance
+FROM judged_vector WHERE id % 11 <> 0 AND id % 13 <> 0""")
+def vector_alignment_rows(spark, sf_dir):
+    """Failed judgements (a short vector, none at all) are among the rows."""
+    jv = X.judged_vector(spark, sf_dir)
+    judged = F.when(F.col("id") % 11 == 0, F.slice("judged", 1, 5)).when(F.col("id") % 13 != 0, F.col("judged"))
+    return rounded(A.vector_alignment_rows(jv.withColumn("judged", judged), "id", "label", "judged"))
+
+
 @query("label_change", ops="A37", sql="""
 SELECT round(avg(abs(q - p)), 9) AS mean_change,
        round(avg(abs(q - p)) FILTER (WHERE p > 0.3 AND p < 0.7), 9) AS mean_change_ambiguous,

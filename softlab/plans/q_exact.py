@@ -61,14 +61,15 @@ def bootstrap_poisson(spark, sf_dir):
 
 
 @query("trial_summary", ops="A36", sql="""
-SELECT CAST(id % 7 AS BIGINT) AS setting, count(*) AS n_trials, round(avg(m), 9) AS m_mean, round(stddev_samp(m), 9) AS m_std
-FROM (SELECT id, CASE WHEN id % 7 = 3 OR id % 5 = 0 THEN NULL ELSE p END AS m FROM soft_binary WHERE id % 7 <> 6 OR id < 7)
+SELECT CAST(CASE WHEN id % 7 = 6 AND id >= 7 THEN 7 ELSE id % 7 END AS BIGINT) AS setting, count(*) AS n_trials, round(avg(m), 9) AS m_mean, round(stddev_samp(m), 9) AS m_std
+FROM (SELECT id, CASE WHEN id % 7 = 3 OR id % 5 = 0 THEN NULL ELSE p END AS m FROM soft_binary)
 GROUP BY 1""")
 def trial_summary(spark, sf_dir):
     """NaN trials are left out; a setting of NaN only and one of a single trial are among the rows."""
-    sb = X.soft_binary(spark, sf_dir).filter("id % 7 <> 6 or id < 7")
+    sb = X.soft_binary(spark, sf_dir)
+    setting = F.when((F.col("id") % 7 == 6) & (F.col("id") >= 7), F.lit(7)).otherwise(F.col("id") % 7)
     m = F.when((F.col("id") % 7 == 3) | (F.col("id") % 5 == 0), F.lit(float("nan"))).otherwise(F.col("p"))
-    return rounded(E.trial_summary(sb.select((F.col("id") % 7).cast("long").alias("setting"), m.alias("m")), ["setting"], ["m"]))
+    return rounded(E.trial_summary(sb.select(setting.cast("long").alias("setting"), m.alias("m")), ["setting"], ["m"]))
 
 
 @query("gce_loss", ops="M5", sql="""
@@ -228,15 +229,17 @@ def load_emotion(spark, sf_dir):
 
 
 @query("load_yahoo", ops="S4 S5 J4 P4", sql="""
-SELECT 'test' AS split, CAST(y AS INTEGER) AS labels, count(*) AS n, CAST(sum(length('q' || id || ' ')) AS BIGINT) AS chars
-FROM soft_vector WHERE id % 5 = 0 GROUP BY 2
-UNION ALL SELECT 'train', CAST(y AS INTEGER), count(*), CAST(sum(length('q' || id || ' ')) AS BIGINT)
-FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM soft_vector WHERE id % 5 <> 0) WHERE pos % 3 = 0 GROUP BY 2""")
+WITH d AS (SELECT v.id, y, length(coalesce(CASE WHEN v.id % 3 > 0 THEN source END, '') || ' ' || coalesce(CASE WHEN v.id % 4 > 0 THEN text END, '')) AS c
+           FROM soft_vector v JOIN documents ON doc_id = v.id)
+SELECT 'test' AS split, CAST(y AS INTEGER) AS labels, count(*) AS n, CAST(sum(c) AS BIGINT) AS chars FROM d WHERE id % 5 = 0 GROUP BY 2
+UNION ALL SELECT 'train', CAST(y AS INTEGER), count(*), CAST(sum(c) AS BIGINT)
+FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM d WHERE id % 5 <> 0) WHERE pos % 3 = 0 GROUP BY 2""")
 def load_yahoo(spark, sf_dir):
-    """Training rows by listed position; contents are null."""
+    """Training rows by listed position; some titles and contents are null."""
     root = scratch_path(spark, "yahoo")
-    d = X.soft_vector(spark, sf_dir).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("question_title"),
-                                            F.lit(None).cast("string").alias("question_content"), (F.col("y") + 1).alias("class_index"), "id")
+    d = X.soft_vector(spark, sf_dir).join(X.texts(spark, sf_dir).select("id", "run", "text"), "id")
+    d = d.select(F.when(F.col("id") % 3 > 0, F.col("run")).alias("question_title"), F.when(F.col("id") % 4 > 0, F.col("text")).alias("question_content"),
+                 (F.col("y") + 1).alias("class_index"), "id")
     train = d.filter("id % 5 <> 0")
     train.orderBy("id").drop("id").write.parquet(f"{root}/train.parquet")
     d.filter("id % 5 = 0").drop("id").write.parquet(f"{root}/test.parquet")

@@ -37,40 +37,40 @@ def _nib(col, i=1):
 @query("vector_jsonl_roundtrip", ops="S2 F12 F7 P12", sql="""
 SELECT CASE WHEN substr(md5(CAST(id AS VARCHAR) || ':shape'), 1, 1) = '0' THEN 'not_list'
             WHEN substr(md5(CAST(id AS VARCHAR) || ':shape'), 1, 1) = '1' THEN 'bad_length'
-            ELSE 'valid' END AS status, count(*) AS n
-FROM soft_vector GROUP BY 1""")
+            ELSE 'valid' END AS status, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM soft_vector JOIN texts USING (id) GROUP BY 1""")
 def vector_jsonl_roundtrip(spark, sf_dir):
-    sv = RD.load_synthetic("soft_vector", spark, sf_dir)
+    sv = RD.load_synthetic("soft_vector", spark, sf_dir).join(X.texts(spark, sf_dir).select("id", "text"), "id")
     nib = _nib(F.col("id"))
-    as_list = F.to_json(F.struct(F.when(nib == "1", F.slice("label", 1, K - 1)).otherwise(F.col("label")).alias("label"),
-                                 F.concat(F.lit("doc "), F.col("id").cast("string")).alias("text")))
-    as_scalar = F.to_json(F.struct(F.col("label")[0].alias("label"),
-                                   F.concat(F.lit("doc "), F.col("id").cast("string")).alias("text")))
+    as_list = F.to_json(F.struct(F.when(nib == "1", F.slice("label", 1, K - 1)).otherwise(F.col("label")).alias("label"), "text"))
+    as_scalar = F.to_json(F.struct(F.col("label")[0].alias("label"), "text"))
     path = scratch_path(spark, "vec-jsonl")
     sv.select(F.when(nib == "0", as_scalar).otherwise(as_list).alias("value")).write.text(path)
     back = RD.read_generated(spark, path, "vector")
     lists = Fi.require_list_label(back)
     status = F.when(Fi.valid_vector("label", K) & L.validate_soft_label("label").isNotNull(), F.lit("valid")) \
         .otherwise(F.lit("bad_length"))
-    kept = lists.select(status.alias("status"))
+    kept = lists.select(status.alias("status"), "text")
     dropped = back.filter(F.col("label").isNull() | F.col("_corrupt_record").isNotNull()) \
-        .select(F.lit("not_list").alias("status"))
-    return kept.unionByName(dropped).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit("not_list").alias("status"), "text")
+    return kept.unionByName(dropped).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("run_sweep_roundtrip", ops="S6 S8", sql="""
 SELECT event_type AS setting, count(*) AS n,
-       round(sum(CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS DOUBLE) / 100), 6) AS label_sum
+       round(sum(CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS DOUBLE) / 100), 6) AS label_sum,
+       CAST(sum(length(props)) AS BIGINT) AS chars
 FROM events GROUP BY 1""")
 def run_sweep_roundtrip(spark, sf_dir):
     ev = X.table(spark, sf_dir, "events")
     recs = ev.select("event_type", (F.from_json("props", "k INT").getField("k").cast("double") / 100).alias("label"),
-                     F.col("event_id").cast("string").alias("text"))
+                     F.col("props").alias("text"))
     root = scratch_path(spark, "sweep")
     # one folder per setting, written in one job (folders named event_type=...)
     recs.write.partitionBy("event_type").json(root)
     back = RD.read_run_sweep(spark, root)
-    return back.groupBy("setting").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("label"), 6).alias("label_sum"))
+    return back.groupBy("setting").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("label"), 6).alias("label_sum"),
+                                       F.sum(F.length("text")).alias("chars"))
 
 
 MARGINS = [0.0, 0.1, 0.2, 0.3]

@@ -59,3 +59,15 @@ def test_bin_mae_population_std(spark):
     assert t[0]["count"] == 2 and abs(t[0].std_error - np.std([0.1, 0.2])) < 1e-12
     assert t[9]["count"] == 2                              # 1.0 is in the closed last bin
     assert t[5]["count"] == 0 and t[5].mean_absolute_error == 0.0
+
+
+def test_top_label_ece_rejects_what_is_no_distribution(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    schema = "y int, p array<double>"
+    good = [(0, [0.7, 0.3]), (1, [0.2, 0.8])]
+    assert C.ece_top_label(spark.createDataFrame(good, schema), "y", "p").first()["n_total"] == 2
+    for bad, text in (((0, [1.2, -0.2]), "in \\[0, 1\\]"), ((0, [0.5, 0.4]), "sum to 1"), ((2, [0.5, 0.5]), "classes"),
+                      ((None, [0.5, 0.5]), "classes"), ((0, None), "in \\[0, 1\\]"), ((0, [float("nan"), 0.5]), "in \\[0, 1\\]")):
+        with pytest.raises(PySparkException, match=text):
+            C.ece_top_label(spark.createDataFrame([*good, bad], schema), "y", "p").collect()
