@@ -248,14 +248,15 @@ def load_yahoo(spark, sf_dir):
 
 
 @query("load_generated_agnews", ops="S4 S2 F8 P9 P11", sql="""
-SELECT id, CAST(list_position(label, list_max(label)) - 1 AS INTEGER) AS labels, round(label[1] / (label[1] + label[2] + label[3] + label[4]), 9) AS first_soft
-FROM (SELECT id, label[1:4] AS label FROM soft_vector) WHERE id % 7 <> 0 AND id % 11 <> 0""")
+SELECT md5(text) AS digest, CAST(list_position(label, list_max(label)) - 1 AS INTEGER) AS labels, round(label[1] / (label[1] + label[2] + label[3] + label[4]), 9) AS first_soft
+FROM (SELECT id, label[1:4] AS label, text FROM soft_vector JOIN texts USING (id))
+WHERE id % 7 <> 0 AND id % 11 <> 0 AND regexp_matches(coalesce(text, ''), '\\S')""")
 def load_generated_agnews(spark, sf_dir):
     """Vectors of four, some short, and some blank texts, as JSON lines."""
     root = scratch_path(spark, "agnews")
-    d = X.soft_vector(spark, sf_dir)
+    d = X.soft_vector(spark, sf_dir).join(X.texts(spark, sf_dir).select("id", "text"), "id")
     size = F.when(F.col("id") % 7 == 0, F.lit(3)).otherwise(F.lit(4))
-    text = F.when(F.col("id") % 11 == 0, F.lit(" \t ")).otherwise(F.col("id").cast("string"))
+    text = F.when(F.col("id") % 11 == 0, F.lit(" \t ")).otherwise(F.col("text"))
     d.select(F.slice("label", F.lit(1), size).alias("label"), text.alias("text"), F.lit("r").alias("reasoning")).write.json(f"{root}/data.jsonl")
     out = DS.load_synthetic("agnews", spark, root)
-    return rounded(out.select(F.col("text").cast("long").alias("id"), "labels", F.col("soft_labels")[0].alias("first_soft")))
+    return rounded(out.select(F.md5("text").alias("digest"), "labels", F.col("soft_labels")[0].alias("first_soft")))
