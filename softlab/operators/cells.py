@@ -4,7 +4,7 @@ A grid of fits (C x fold, size x trial, or all of these) differs in the rows'
 weights and in C only.  So all *cells* of a grid are fitted together: each row is
 kept with its weight and fold in every trial, and every pass over the rows
 returns loss, gradient and (two classes) Hessian of all cells that aren't done,
-added up by cell in one aggregation.  The number of Spark jobs is the number of iterations of the slowest
+added up in one reduction.  The number of Spark jobs is the number of iterations of the slowest
 cell, whatever the number of cells.  The driver holds model-sized vectors.
 
 * Two classes: one vector of log odds, by Newton's method (iteratively
@@ -118,23 +118,58 @@ def _matrix(column: pa.Array, name: str) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+_BLOCK = "x binary, t binary, w binary, fold binary, y binary, n long, x_min int, x_max int, t_min int, t_max int, least double, total array<double>"
+BLOCK_NUMBERS = 1 << 17     # features in a block (1 MB)
+DIRECT = 64                 # tasks whose sums the driver adds up; of more, tasks do first
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+
+
+def _packed(batches):
+    """Rows as blocks of numbers, with what tells whether they can be fitted."""
+    for batch in batches:
+        size = {c: _lengths(batch.column(c)) for c in ("x", "t")}
+        step = max(16, BLOCK_NUMBERS // max(int(size["x"].max(initial=1)), 1))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            own = {c: n[at:at + step] for c, n in size.items()}
+            block = {"n": part.num_rows, **{f"{c}_min": int(n.min()) for c, n in own.items()}, **{f"{c}_max": int(n.max()) for c, n in own.items()}}
+            if all(block[f"{c}_min"] == block[f"{c}_max"] >= 1 for c in own):     # others raise in the driver
+                numbers = {c: _matrix(part.column(c), c) for c in ("x", "t", "w")}
+                block |= {c: v.tobytes() for c, v in numbers.items()}
+                block |= {"fold": _matrix(part.column("fold"), "fold").astype(np.int32).tobytes(), "y": np.asarray(part.column("y"), np.int32).tobytes(),
+                          "least": float(numbers["w"].min()), "total": numbers["w"].sum(axis=0).tolist()}
+            yield pa.RecordBatch.from_pylist([block], _BLOCK_ARROW)
+
+
+_BLOCK_ARROW = pa.schema([(c.split()[0], {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}.get(
+    c.split()[1], pa.list_(pa.float64()))) for c in _BLOCK.split(", ")])
+
+
 class Blocks:
     """Rows for fits: features ``x``, soft targets ``t`` (K numbers; two classes may
-    give the one of class 1), true class ``y``, and by trial the weight ``w`` and the ``fold``."""
+    give the one of class 1), true class ``y``, and by trial the weight ``w`` and the ``fold``.
+
+    A fit reads them in every pass, so they are kept as blocks of numbers: a row each
+    for about a MB, which a task takes as they are."""
 
     def __init__(self, df: DataFrame, features: str, probs: Column, weights: Column, folds: Column | None = None,
                  y: Column | None = None):
         w = weights.cast("array<double>")
-        self.table = df.select(
+        rows = df.select(
             F.col(features).cast("array<double>").alias("x"), probs.cast("array<double>").alias("t"), w.alias("w"),
             (F.transform(w, lambda _: F.lit(0)) if folds is None else folds).cast("array<int>").alias("fold"),
-            (F.lit(0) if y is None else y).cast("int").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+            (F.lit(0) if y is None else y).cast("int").alias("y"))
+        # an RDD: a pass is then one small job, without a plan of its own
+        self.blocks = rows.mapInArrow(_packed, _BLOCK).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
         self.spark = df.sparkSession
+        self.table = self.spark.createDataFrame(self.blocks, _BLOCK, verifySchema=False)
         try:
             whole = self.table.agg(
-                F.count(F.lit(1)).alias("n"), F.min(F.array_min("w")).alias("least"),
-                *[f(F.coalesce(F.size(c), F.lit(-1))).alias(f"{c}_{f.__name__}") for c in ("x", "t") for f in (F.min, F.max)],
-                vector_to_array(Summarizer.sum(array_to_vector("w"))).alias("total")).first()
+                F.sum("n").alias("n"), F.min("least").alias("least"), *[f(f"{c}_{f.__name__}").alias(f"{c}_{f.__name__}") for c in ("x", "t") for f in (F.min, F.max)],
+                vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")).first()
             if not whole["n"]:
                 raise ValueError("no rows to fit on")
             for c in ("x", "t"):
@@ -149,24 +184,37 @@ class Blocks:
         self.n, self.d, self.k = whole["n"], whole["x_min"], whole["t_min"]
 
     def close(self) -> None:
-        self.table.unpersist()
+        self.blocks.unpersist()
+
+    def summed(self, run) -> np.ndarray:
+        """The arrays that ``run`` yields for the blocks of each task, added up."""
+        few = self.blocks.getNumPartitions() <= DIRECT
+        return self.blocks.mapPartitions(lambda rows: run(map(_numbers, rows))).treeReduce(np.add, 1 if few else 2)
 
-    def summed(self, run, schema: str = "key int, v array<double>") -> dict[int, np.ndarray]:
-        """What ``run`` returns for the blocks of each task, added up by key."""
-        parts = self.table.mapInArrow(run, schema)
-        got = parts.groupBy("key").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-        return {r["key"]: np.array(r["v"]) for r in got.collect()}
 
+def _numbers(block) -> tuple[np.ndarray, ...]:
+    """x, t, w, fold and y of a block."""
+    return tuple(np.frombuffer(b, np.int32 if i > 2 else np.float64).reshape(block[5], -1) for i, b in enumerate(block[:5]))
 
-def matrices(batches, width: int):
+
+def _of_blocks(batches):
+    for batch in batches:
+        yield from map(_numbers, zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
+
+
+def _of_rows(batches):
+    for batch in batches:
+        yield *(_matrix(batch.column(name), name) for name in ("x", "t", "w", "fold")), np.asarray(batch.column("y"))
+
+
+def matrices(parts, width: int):
     """(x with a last column of ones, t, w, fold, y) of some rows at a time, so
     many that ``width`` numbers of each take 8 MB at most."""
     step = max(16, (1 << 20) // max(width, 1))
-    for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            x, t, w, fold = (_matrix(part.column(name), name) for name in ("x", "t", "w", "fold"))
-            yield np.concatenate([x, np.ones((len(x), 1))], axis=1), t, w, fold, np.asarray(part.column("y"))
+    for rows in parts:
+        for at in range(0, len(rows[0]), step):
+            x, t, w, fold, y = (v[at:at + step] for v in rows)
+            yield np.concatenate([x, np.ones((len(x), 1))], axis=1), t, w, fold, y.ravel()
 
 
 def cell_weights(cells: Sequence[Cell], w: np.ndarray, fold: np.ndarray) -> np.ndarray:
@@ -220,22 +268,21 @@ def evaluate_cells(blocks: Blocks, cells, points: dict[int, np.ndarray], loss: s
     own = [cells[i] for i in numbers]
     width = len(own) * shipped.value.shape[2] + d1
 
-    def run(batches):
+    def run(parts):
         done = None
-        for x, t, w, fold, _ in matrices(batches, width):
+        for x, t, w, fold, _ in matrices(parts, width):
             got = _sums(x, t, cell_weights(own, w, fold), shipped.value, loss, q, hessian)
             done = got if done is None else tuple(None if a is None else a + b for a, b in zip(done, got, strict=True))
         if done is not None:
             value, g, h = done
-            rows = [np.concatenate([[value[c]], g[c], h[c].ravel() if hessian else []]) for c in range(len(own))]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(numbers, pa.int32()), "v": pa.array(rows, pa.list_(pa.float64()))})
+            yield np.stack([np.concatenate([[value[c]], g[c], h[c].ravel() if hessian else []]) for c in range(len(own))])
 
     try:
         got = blocks.summed(run)
     finally:
         shipped.destroy()
     p = len(points[numbers[0]])
-    return {i: (v[0], v[1:1 + p], v[1 + p:].reshape(d1, d1) if hessian else None) for i, v in got.items()}
+    return {i: (v[0], v[1:1 + p], v[1 + p:].reshape(d1, d1) if hessian else None) for i, v in zip(numbers, got, strict=True)}
 
 
 def _grams(blocks: Blocks, cells) -> dict[tuple, np.ndarray]:
@@ -244,16 +291,15 @@ def _grams(blocks: Blocks, cells) -> dict[tuple, np.ndarray]:
     own = [Cell(t, None if f < 0 else f) for t, f in kinds]
     d1 = blocks.d + 1
 
-    def run(batches):
+    def run(parts):
         done = 0
-        for x, _, w, fold, _ in matrices(batches, len(own) + d1):
+        for x, _, w, fold, _ in matrices(parts, len(own) + d1):
             weight = cell_weights(own, w, fold)
             done = done + np.stack([(x * weight[:, c:c + 1]).T @ x for c in range(len(own))])
         if not isinstance(done, int):
-            yield pa.RecordBatch.from_pydict({"key": pa.array(range(len(own)), pa.int32()),
-                                              "v": pa.array(list(done.reshape(len(own), -1)), pa.list_(pa.float64()))})
+            yield done
 
-    return {kinds[i]: v.reshape(d1, d1) for i, v in blocks.summed(run).items()}
+    return dict(zip(kinds, blocks.summed(run), strict=True))
 
 
 # ------------------------------------------------------------------- methods
@@ -400,13 +446,13 @@ def scored_cells(blocks: Blocks, cells: Sequence[Cell], models: Sequence[LinearS
     return _scored(blocks.table, cells, models)
 
 
-def _scored(table: DataFrame, cells, models) -> DataFrame:
+def _scored(table: DataFrame, cells, models, read=_of_blocks) -> DataFrame:
     theta = np.stack([np.concatenate([m.W, m.b[None]]) for m in models])
     shipped = table.sparkSession.sparkContext.broadcast(theta)
     own, width = list(cells), theta.shape[1] + theta.shape[2]
 
     def run(batches):
-        for x, _, w, fold, y in matrices(batches, width):
+        for x, _, w, fold, y in matrices(read(batches), width):
             for i, c in enumerate(own):
                 rows = slice(None) if c.fold is None else np.flatnonzero((fold[:, c.trial] == c.fold) & (w[:, c.trial] > 0))
                 p = softmax(x[rows] @ shipped.value[i])
@@ -421,4 +467,4 @@ def scored_rows(df: DataFrame, features: str, y: Column, models: Sequence[Linear
     """(cell, y, proba): every row of ``df`` under every model."""
     rows = df.select(F.col(features).cast("array<double>").alias("x"), F.array().cast("array<double>").alias("t"),
                      F.array(F.lit(1.0)).alias("w"), F.array(F.lit(0)).alias("fold"), y.cast("int").alias("y"))
-    return _scored(rows, [Cell() for _ in models], models)
+    return _scored(rows, [Cell() for _ in models], models, _of_rows)
