@@ -20,7 +20,7 @@ from . import calibration as C_
 from . import metrics as M
 from . import models as MD
 from .agreement import label_change
-from .common import one_row
+from .cells import scored_rows
 
 TEST_METRICS = ("accuracy", "log_loss", "roc_auc", "brier")
 
@@ -37,17 +37,25 @@ def relabel_with_oracle(gold: DataFrame, synthetic: DataFrame, features: str, go
 
 def test_metrics(model, test: DataFrame, y: str) -> dict[str, float]:
     """Accuracy, log loss, ROC AUC and Brier score of a binary model on ``test``."""
-    scored = model.predict_proba(test, "_proba").withColumn("_p1", F.col("_proba")[1])
-    binary = M.evaluate_binary(scored, y, "_p1").select("accuracy", "roc_auc")
-    rest = scored.agg(C_.nll_multiclass(y, "_proba").alias("log_loss"),
-                      F.avg((F.col("_p1") - F.col(y)) * (F.col("_p1") - F.col(y))).alias("brier"))
-    r = one_row(binary, rest).first()
-    return {m: float("nan") if r[m] is None else float(r[m]) for m in TEST_METRICS}
+    return tests_metrics([model], test, y)[0]
 
 
 test_metrics.__test__ = False
 
 
+def tests_metrics(models: Sequence, test: DataFrame, y: str) -> list[dict[str, float]]:
+    """``test_metrics`` of several models of the same features, from one pass over ``test``."""
+    scored = scored_rows(test, models[0].features, F.col(y), models).withColumn("_p1", F.col("proba")[1])
+    binary = M.evaluate_binary(scored, "y", "_p1", group_cols=["cell"]).select("cell", "accuracy", "roc_auc")
+    rest = scored.groupBy("cell").agg(C_.nll_multiclass("y", "proba").alias("log_loss"),
+                                      F.avg((F.col("_p1") - F.col("y")) * (F.col("_p1") - F.col("y"))).alias("brier"))
+    got = {r["cell"]: r for r in binary.join(rest, "cell").collect()}     # a row for each model
+    return [{m: float("nan") if i not in got or got[i][m] is None else float(got[i][m]) for m in TEST_METRICS} for i in range(len(models))]
+
+
+tests_metrics.__test__ = False
+
+
 def _step(df: DataFrame, labels: DataFrame, features: str, p: str, m: float, alpha: float, cs, folds: int, seed: int):
     """(new labels, model), or (labels, None) where a class has fewer rows than folds."""
     rows = df.drop(p).join(labels, "id")
@@ -93,9 +101,10 @@ def refine_labels_converge(df: DataFrame, m_schedule: Sequence[float], alpha: fl
     """M20 (and M21 with ``ambiguous_tol``): per margin, repeat the step until the
     mean change < tol (or the ambiguous-region change < ambiguous_tol, or
     nothing is ambiguous), ``max_inner`` times at most (status ``stopped``).
-    With ``test``, every step's model is scored on it (label ``y``)."""
+    With ``test``, every step's model is scored on it (label ``y``), all after the
+    last step and together."""
     labels = shared_table(df.select("id", p), "refined-labels")
-    hist = []
+    hist, models = [], {}
     none = (float("nan"),) * len(TEST_METRICS) if test is not None else ()
     for i, m in enumerate(m_schedule):
         for j in range(max_inner):
@@ -111,7 +120,11 @@ def refine_labels_converge(df: DataFrame, m_schedule: Sequence[float], alpha: fl
             labels = new
             status = ("converged" if mc < tol else "ambiguous_converged" if ambiguous_tol is not None and ma < ambiguous_tol
                       else "stopped" if j == max_inner - 1 else "continue")
-            hist.append((i, j, float(m), mc, ma, status, *(test_metrics(model, test, y).values() if test is not None else ())))
+            hist.append((i, j, float(m), mc, ma, status, *none))
+            models[len(hist) - 1] = model
             if status != "continue":
                 break
+    if test is not None and models:
+        of = dict(zip(models, tests_metrics(list(models.values()), test, y), strict=True))
+        hist = [(*h[:6], *of[i].values()) if i in of else h for i, h in enumerate(hist)]
     return df.drop(p).join(labels, "id"), _history(df.sparkSession, hist, test is not None)
