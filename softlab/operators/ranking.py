@@ -162,13 +162,15 @@ def hash_rank(df: DataFrame, h: ColumnOrName, out: str = "rank",
 
 def take_smallest(df: DataFrame, h: ColumnOrName, n: int | Column | None = None,
                   group_cols: Sequence[str] = (), n_from_min_group: bool = False,
-                  tie: ColumnOrName | None = None) -> DataFrame:
+                  tie: ColumnOrName | None = None, few_groups: bool = False) -> DataFrame:
     """Rows with the ``n`` smallest hashes per group (n may be a literal, or
     the smallest group size when ``n_from_min_group``: undersampling).
 
     Whole chunks below the boundary are kept without ranking; only the one
     boundary chunk per group is ranked.  Rows of chunks past the boundary
-    are dropped by the chunk-level decision."""
+    are dropped by the chunk-level decision.  ``few_groups``: the groups are so
+    few that their boundaries, a row each, are broadcast: rows past them go
+    before any shuffle."""
     gcols = list(group_cols)
     d = df.withColumn("_h", _c(h)).withColumn("_hc", hash_chunk("_h"))
     counts = d.groupBy(*gcols, "_hc").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -184,7 +186,12 @@ def take_smallest(df: DataFrame, h: ColumnOrName, n: int | Column | None = None,
     plan = plan.filter(F.col("_before") < F.col("_n")).select(
         *[F.col(c).alias(f"_g_{c}") for c in (*gcols, "_hc")], (F.col("_before") + F.col("_cnt") <= F.col("_n")).alias("_full"),
         (F.col("_n") - F.col("_before")).alias("_need"))
-    j = _on_group(d, _bounded(plan, bool(gcols)), [*gcols, "_hc"])
+    if few_groups:
+        last = plan.groupBy(*[f"_g_{c}" for c in gcols]).agg(F.max(F.struct("_g__hc", "_full", "_need")).alias("_last"))
+        j = _on_group(d, F.broadcast(last), gcols).filter(F.col("_hc") <= F.col("_last._g__hc"))
+        j = j.withColumns({"_full": (F.col("_hc") < F.col("_last._g__hc")) | F.col("_last._full"), "_need": F.col("_last._need")}).drop("_last")
+    else:
+        j = _on_group(d, _bounded(plan, bool(gcols)), [*gcols, "_hc"])
     full = j.filter(F.col("_full"))
     order = [F.col("_h")] + ([_c(tie)] if tie is not None else [])
     edge = j.filter(~F.col("_full")).withColumn(

@@ -98,7 +98,7 @@ def bootstrap_weights(df: DataFrame, size: int, trials: int, seed: int,
         return w.join(idx, "_pos").select("trial", id_col, "weight")
     rows = df.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     keyed = rows.withColumn("_k", hash_key(F.lit(seed) + F.col("trial"), id_col))
-    picked = take_smallest(keyed, "_k", size, group_cols=["trial"], tie=id_col)
+    picked = take_smallest(keyed, "_k", size, group_cols=["trial"], tie=id_col, few_groups=True)
     return picked.select(F.col("trial").cast("long").alias("trial"), id_col, F.lit(1).cast("long").alias("weight"))
 
 
