@@ -37,6 +37,17 @@ def _call_with_retries(client, items, retries: int, backoff: float):
     return [None] * len(items), last
 
 
+def _in_batches(client, items: list, batch: int, retries: int, backoff: float) -> tuple[list, list]:
+    """Results and errors of all items, from calls of ``batch`` each; they leave a
+    task as one frame, since a frame for every call costs more than a short call."""
+    got, errors = [], []
+    for start in range(0, len(items), batch):
+        res, err = _call_with_retries(client, items[start:start + batch], retries, backoff)
+        got += res
+        errors += [err if r is None else None for r in res]
+    return got, errors
+
+
 def infer(df: DataFrame, prompt_col: str, client: Callable, batch: int = 32, retries: int = 2,
           backoff: float = 0.5, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """Keep columns + ``response`` (JSON string or null) + ``error``."""
@@ -44,13 +55,10 @@ def infer(df: DataFrame, prompt_col: str, client: Callable, batch: int = 32, ret
 
     def run(it):
         for pdf in it:
-            for start in range(0, len(pdf), batch):
-                chunk = pdf.iloc[start:start + batch]
-                res, err = _call_with_retries(client, chunk[prompt_col].tolist(), retries, backoff)
-                out = chunk[list(keep)].copy()
-                out["response"] = [None if r is None else json.dumps(r) for r in res]
-                out["error"] = [err if r is None else None for r in res]
-                yield out
+            out, (got, errors) = pdf[list(keep)].copy(), _in_batches(client, pdf[prompt_col].tolist(), batch, retries, backoff)
+            out["response"] = [None if r is None else json.dumps(r) for r in got]
+            out["error"] = errors
+            yield out
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
                        + ["response string", "error string"])
@@ -62,13 +70,10 @@ def embed(df: DataFrame, text_col: str, client: Callable, batch: int = 64, retri
     """Keep columns + ``embedding array<float>`` (null on failure) + ``error``."""
     def run(it):
         for pdf in it:
-            for start in range(0, len(pdf), batch):
-                chunk = pdf.iloc[start:start + batch]
-                res, err = _call_with_retries(client, chunk[text_col].tolist(), retries, backoff)
-                out = chunk[list(keep)].copy()
-                out["embedding"] = [None if r is None else [float(x) for x in r] for r in res]
-                out["error"] = [err if r is None else None for r in res]
-                yield out
+            out, (got, errors) = pdf[list(keep)].copy(), _in_batches(client, pdf[text_col].tolist(), batch, retries, backoff)
+            out["embedding"] = [None if r is None else [float(x) for x in r] for r in got]
+            out["error"] = errors
+            yield out
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
                        + ["embedding array<float>", "error string"])
