@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, token_count, tokenize
+from ..functions.text import NGRAM_SEP, ngrams, token_count, tokenize
 from .common import scalar_of
 from .ranking import exact_quantiles
 
@@ -35,6 +38,35 @@ def ngram_rows(df: DataFrame, n: int, text: str = "text", keep: Sequence[str] =
     return t.select(*keep, F.explode(ngrams("tokens", n)).alias("gram"))
 
 
+GRAM_TOKENS = 1 << 19     # tokens whose n-grams are counted together
+
+
+def ngram_counts(df: DataFrame, n: int, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """keep cols + ``gram`` + ``n``: the n-grams of some rows at a time, each once with
+    its count, so that those that repeat are few rows before they are aggregated."""
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return tokens_of(df, text, keep).mapInArrow(_counted(n, list(keep)), f"{kinds}{', ' if keep else ''}gram string, n long")
+
+
+def _counted(n: int, keep: list[str]):
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            first = np.asarray(tokens.offsets)
+            cuts = np.unique(np.searchsorted(first, np.arange(first[0], first[-1], GRAM_TOKENS)))
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                words = part.column("tokens").flatten()
+                row = np.repeat(np.arange(b - a), np.diff(first[a:b + 1]))
+                at = np.flatnonzero(row[:len(row) - n + 1] == row[n - 1:]) if len(row) >= n else np.empty(0, np.int64)
+                parts = [words.take(pa.array(at + i)) for i in range(n)]
+                gram = pc.binary_join_element_wise(*parts, NGRAM_SEP) if n > 1 else parts[0]
+                table = pa.table([*(part.column(c).take(pa.array(row[at])) for c in keep), gram], names=[*keep, "gram"])
+                out = table.group_by([*keep, "gram"], use_threads=False).aggregate([([], "count_all")])
+                yield from out.rename_columns([*keep, "gram", "n"]).to_batches()
+    return run
+
+
 def vocab_size(df: DataFrame, text: str = "text", by: Sequence[str] = (),
                approx: bool = False) -> DataFrame:
     """Distinct tokens (per group).  ``approx`` uses HyperLogLog++."""
@@ -46,9 +78,8 @@ def vocab_size(df: DataFrame, text: str = "text", by: Sequence[str] = (),
 
 def distinct_n(df: DataFrame, n: int, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """Unique n-grams / total n-grams over the corpus (0.0 if none)."""
-    g = ngram_rows(df, n, text, by)
-    a = g.groupBy(*by).agg(F.count_distinct("gram").alias("n_unique"),
-                           F.count(F.lit(1)).alias("n_total"))
+    g = ngram_counts(df, n, text, by).groupBy(*by, "gram").agg(F.sum("n").alias("n"))
+    a = g.groupBy(*by).agg(F.count(F.lit(1)).alias("n_unique"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_total"))
     out = a.withColumn(f"distinct_{n}", F.when(F.col("n_total") > 0,
                                                F.col("n_unique") / F.col("n_total")).otherwise(0.0))
     if by:
@@ -61,9 +92,9 @@ def ngram_freq(df: DataFrame, n: int, id_col: str = "id", text: str = "text",
                min_docs: int = 1) -> DataFrame:
     """Per n-gram (total count, number of documents containing it).
 
-    Two map-side-combined aggregations: (doc, gram) then gram; a document
-    contributes at most one row per distinct n-gram to the second shuffle."""
-    g = ngram_rows(df, n, text, [id_col])
+    Texts are dealt by document, so that (doc, gram) is aggregated where the
+    text is; a task sends each distinct n-gram once, with its counts."""
+    g = ngram_rows(df.select(id_col, text).repartition(id_col), n, text, [id_col])
     per_doc = g.groupBy("gram", id_col).agg(F.count(F.lit(1)).alias("c"))
     out = per_doc.groupBy("gram").agg(F.sum("c").alias("total_count"),
                                       F.count(F.lit(1)).alias("doc_count"))
