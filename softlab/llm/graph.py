@@ -47,13 +47,14 @@ def _contract(batches):
         held.append((np.asarray(batch.column("u")), np.asarray(batch.column("v"))))
         n += batch.num_rows
         if n >= CONTRACTED:
-            yield _stars(held)
+            yield stars(held)
             held, n = [], 0
     if n:
-        yield _stars(held)
+        yield stars(held)
 
 
-def _stars(held) -> pa.RecordBatch:
+def stars(held) -> pa.RecordBatch:
+    """(u, v): every node of the edges, (u, v) arrays, but the smallest of its part, to that."""
     u, v = (np.concatenate(x) for x in zip(*held, strict=True))
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[:len(u)], at[len(u):]

@@ -20,8 +20,8 @@ smallest id stays.
 4. What may still be linked are different components.  In a family that holds
    several, every class outside its largest component is compared with all
    others, in blocks of ``BLOCK`` classes: a task counts the common shingles
-   of two blocks as one product of matrices and returns which components are
-   linked, so no pair is made, and members of the largest component (of a
+   of two blocks as one product of matrices and returns links that connect the
+   same components, fewer than it has classes, so no pair is made, and members of the largest component (of a
    large group of copies, nearly all) aren't compared with each other.
    Classes of different families that meet in a list are compared by pairs,
    in lists that hold several families, where they agree in ``MATCHES``.
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_table
 from . import words as W
-from .graph import components
+from .graph import components, stars
 
 COORDINATES, MATCHES = 48, 24
 PREFIX = COORDINATES - MATCHES + 1
@@ -278,8 +278,7 @@ def _compare(k: int, percent: int):
             both += m @ m.T
         total = size[:, None] + size[None, :]
         a, b = np.nonzero((100 * both >= percent * (total - both)) & (c[:, None] > c[None, :]) & (g[:, None] == g[None, :]) & (both > 0))
-        pairs = np.unique(np.stack([c[a], c[b]], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return pa.table({"u": pa.array(pairs[:, 0].copy(), pa.int64()), "v": pa.array(pairs[:, 1].copy(), pa.int64())})
+        return pa.Table.from_batches([stars([(c[a], c[b])])])     # as many links as connect the same, not one per pair
     return run
 
 
