@@ -136,11 +136,11 @@ def _packed(batches):
             part = batch.slice(at, step)
             own = {c: n[at:at + step] for c, n in size.items()}
             block = {"n": part.num_rows, **{f"{c}_min": int(n.min()) for c, n in own.items()}, **{f"{c}_max": int(n.max()) for c, n in own.items()}}
+            w = _matrix(part.column("w"), "w")
+            block |= {"least": float(w.min()), "total": w.sum(axis=0).tolist()}
             if all(block[f"{c}_min"] == block[f"{c}_max"] >= 1 for c in own):     # others raise in the driver
-                numbers = {c: _matrix(part.column(c), c) for c in ("x", "t", "w")}
-                block |= {c: v.tobytes() for c, v in numbers.items()}
-                block |= {"fold": _matrix(part.column("fold"), "fold").astype(np.int32).tobytes(), "y": np.asarray(part.column("y"), np.int32).tobytes(),
-                          "least": float(numbers["w"].min()), "total": numbers["w"].sum(axis=0).tolist()}
+                block |= {"w": w.tobytes(), **{c: _matrix(part.column(c), c).tobytes() for c in ("x", "t")}}
+                block |= {"fold": _matrix(part.column("fold"), "fold").astype(np.int32).tobytes(), "y": np.asarray(part.column("y"), np.int32).tobytes()}
             yield pa.RecordBatch.from_pylist([block], _BLOCK_ARROW)
 
 
