@@ -18,10 +18,11 @@ Documents are dealt with the target ids to chunks of one half, by hash of id.
 A chunk sends its distinct keys in order, with its own counts, by range of
 keys; each range is summed over all chunks, and every chunk gets the other
 half's sums of the keys it sent, in the same order, with which it scores its
-documents.  A word that is in all documents is one entry per chunk.  Chunks and
-ranges become more with the corpus, not larger; nothing of the models passes
-the driver or is broadcast.  What a chunk sends depends on the set of its rows
-only, not on their order, so a task that runs again sends the same.
+documents.  Counting and scoring read one shuffle of the documents.  A word that
+is in all documents is one entry per chunk.  Chunks and ranges become more with
+the corpus, not larger; nothing of the models passes the driver or is broadcast.
+What a chunk sends depends on the set of its rows only, not on their order, so a
+task that runs again sends the same.
 
 Null and empty texts have no words and scores of 0.  Repeated rows count as often
 as they occur.  Target ids that are null or without a document change
@@ -40,7 +41,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_table
 from . import words as W
 
 UNIGRAMS = 1 << 19          # words that smoothing reckons with
@@ -52,7 +52,6 @@ LEAST_RANGES = 256
 _START = np.uint64(0x5851F42D4C957F2D)      # stands before a row's first word
 _PAIR_BASE = np.uint64(0xD6E8FEB86659FD93)
 _TOTALS = -1                # the range of the numbers of words
-_ROWS = 1 << 30             # the range of documents, after all others
 _PACKET = "chunk int, range int, wanted boolean, at binary, target binary, background binary"
 _REPLY = "chunk int, range int, target binary, background binary"
 
@@ -202,36 +201,30 @@ def _reply(batches):
                 yield _rows(_REPLY, [(chunk, r, _numbers(target), _numbers(background))])
 
 
-def _score(batches):
-    for chunk, parts in _groups(batches, "chunk"):
-        place = [np.asarray(p.column("range")) for p in parts]
-        rows = [p.slice(i) for p, i in zip(parts, (int(np.searchsorted(x, _ROWS)) for x in place), strict=True)]
-        sent = [p.slice(0, p.num_rows - r.num_rows) for p, r in zip(parts, rows, strict=True)]
-        rows = [p for p in rows if p.num_rows]
-        if not rows:
-            continue
-        own, loss = Chunk.of(rows), []
-        counts = [np.concatenate([_read(x) for p in sent for x in p.column(c).to_pylist()]) for c in ("target", "background")]
-        if len(counts[0]) != len(own.at) + 1:
-            raise RuntimeError(f"chunk {chunk} has {len(own.at)} keys and sums of {len(counts[0]) - 1}")
-        words = counts[0][0]
-        for n, c in ((x[0], x[1:]) for x in counts):
-            c = c * (words / n if n else 1.0)
-            p = (c[own.word] + 1.0) / (words + UNIGRAMS)
-            p *= K
-            p += c[own.pair]
-            p /= c[own.before] + K
-            loss.append(-np.log(p))
-        first = np.concatenate([[0], np.cumsum(own.sizes)])
-        sums = np.hstack([np.zeros((2, 1)), np.cumsum(loss, axis=1)])
-        means = (sums[:, first[1:]] - sums[:, first[:-1]]) / np.maximum(own.sizes, 1)
-        done = 0
-        for p in rows:
-            a, b = done, done + p.num_rows
-            yield pa.RecordBatch.from_pydict({
-                "id": p.column("id"), "n_tokens": pa.array(own.sizes[a:b], pa.int64()), "target_loss": pa.array(means[0, a:b]),
-                "background_loss": pa.array(means[1, a:b]), "score": pa.array(means[0, a:b] - means[1, a:b])})
-            done = b
+def _score(rows: pa.Table, sent: pa.Table) -> pa.Table:
+    """Documents of a chunk, scored by the sums that were sent to it."""
+    kind = rows.schema.field("id").type
+    rows = [p for p in (x.filter(x.column("scored")) for x in rows.to_batches()) if p.num_rows]
+    if not rows:
+        return pa.schema([("id", kind), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss", "score"))]).empty_table()
+    own, loss = Chunk.of(rows), []
+    sent = sent.sort_by("range")
+    counts = [np.concatenate([_read(x) for x in sent.column(c).to_pylist()]) for c in ("target", "background")]
+    if len(counts[0]) != len(own.at) + 1:
+        raise RuntimeError(f"a chunk has {len(own.at)} keys and sums of {len(counts[0]) - 1}")
+    words = counts[0][0]
+    for n, c in ((x[0], x[1:]) for x in counts):
+        c = c * (words / n if n else 1.0)
+        p = (c[own.word] + 1.0) / (words + UNIGRAMS)
+        p *= K
+        p += c[own.pair]
+        p /= c[own.before] + K
+        loss.append(-np.log(p))
+    first = np.concatenate([[0], np.cumsum(own.sizes)])
+    sums = np.hstack([np.zeros((2, 1)), np.cumsum(loss, axis=1)])
+    means = (sums[:, first[1:]] - sums[:, first[:-1]]) / np.maximum(own.sizes, 1)
+    return pa.table({"id": pa.chunked_array([p.column("id") for p in rows]), "n_tokens": pa.array(own.sizes, pa.int64()),
+                     "target_loss": means[0], "background_loss": means[1], "score": means[0] - means[1]})
 
 
 def _half(id_: Column) -> Column:
@@ -276,12 +269,10 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
 
     ids = models.target.select("id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("counted"), F.lit(False).alias("scored"),
                                F.lit(0).alias("kind"))
-    sent = (dealt(rows.withColumn("kind", F.lit(1)).unionByName(ids), F.col("counted")).repartition(2 * chunks, "chunk").sortWithinPartitions("chunk")
-            .mapInArrow(_count(ranges), _PACKET))
-    got = shared_table(sent.repartition(ranges // 2, "range").sortWithinPartitions("range").mapInArrow(_reply, _REPLY), "lm-counts")
-    both = (dealt(docs, F.lit(same)).select("chunk", F.lit(_ROWS).alias("range"), "id", "text", F.lit(None).cast("binary").alias("target"),
-                               F.lit(None).cast("binary").alias("background"))
-            .unionByName(got.withColumns({"id": F.lit(None).cast(kind), "text": F.lit(None).cast("string")})))
-    return (both.repartition(2 * chunks, "chunk").sortWithinPartitions("chunk", "range")
-            .mapInArrow(_score, f"id {kind.simpleString()}, n_tokens long, target_loss double, background_loss double, score double")
+    # chunks are counted and scored from one shuffle of the documents, as both sides below read all its columns
+    placed = dealt(rows.withColumn("kind", F.lit(1)).unionByName(ids), F.col("counted")).repartition(2 * chunks, "chunk")
+    sent = placed.sortWithinPartitions("chunk").mapInArrow(_count(ranges), _PACKET)
+    got = sent.repartition(ranges // 2, "range").sortWithinPartitions("range").mapInArrow(_reply, _REPLY).repartition(2 * chunks, "chunk")
+    return (placed.groupBy("chunk").cogroup(got.groupBy("chunk"))
+            .applyInArrow(_score, f"id {kind.simpleString()}, n_tokens long, target_loss double, background_loss double, score double")
             .withColumnRenamed("id", id_col))

@@ -80,6 +80,28 @@ def test_lm_edge_rows(spark):
     assert lmscore.score(docs(spark, []), lmscore.fit(docs(spark, []), ids)).count() == 0
 
 
+def test_documents_are_shuffled_once(spark):
+    """Counting and scoring read one shuffle of the texts, and no copy of what chunks get is written."""
+    df = docs(spark, [(i, f"word{i % 7} of a text {i}") for i in range(50)])
+    ids = spark.createDataFrame([(i,) for i in range(0, 50, 3)], "doc_id long")
+    got = lmscore.score(df, lmscore.fit(df, ids))
+    assert len(got.collect()) == 50
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final and "FileScan" not in final
+
+
+def test_chunks_without_scored_documents(spark):
+    """Chunks that are only counted, or hold target ids alone, return no rows."""
+    df = docs(spark, [(i, f"a b c{i % 5}") for i in range(300)])
+    probe = docs(spark, [(5, "a b"), (None, None), (7, "")])
+    ids = spark.createDataFrame([(i,) for i in range(0, 2000, 3)], "doc_id long")
+    got = lmscore.score(probe, lmscore.fit(df, ids)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 0), (5, 2), (7, 0)]
+    text = F.col("doc_id").cast("string")
+    got = lmscore.score(probe.withColumn("doc_id", text), lmscore.fit(df.withColumn("doc_id", text), ids)).collect()
+    assert sorted((r["doc_id"] or "", r["n_tokens"]) for r in got) == [("", 0), ("5", 2), ("7", 0)]
+
+
 def labelled(spark, n, seed):
     rng = random.Random(seed)
     rows, labels = [], []
