@@ -21,6 +21,12 @@ ColumnOrName = Column | str
 WS = (r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^" + WS + r"\p{L}\p{N}]"
+# Java looks letters listed one by one up in a table, but tries ranges in turn, so
+# most characters of a text cost one look-up here
+_KEPT = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+DROPPED = "[[^" + _KEPT + " ]&&[^" + WS + "]]+"
+# what is left beside letters and digits is whitespace: runs of it but a single space, which stays as it is
+WS_RUN = "[^" + _KEPT + "](?:(?<! )|[^" + _KEPT + "])[^" + _KEPT + "]*"
 NGRAM_SEP = " "   # tokens never contain whitespace, so the join is unambiguous
 
 
@@ -32,8 +38,8 @@ def clean_text(text: ColumnOrName) -> Column:
     """P5: lower-case, drop everything outside [a-zA-Z0-9] and whitespace,
     collapse whitespace runs to one space, strip."""
     t = F.lower(_c(text))
-    t = F.regexp_replace(t, F.lit(r"[^a-zA-Z0-9" + WS + "]"), F.lit(""))
-    t = F.regexp_replace(t, F.lit("[" + WS + "]+"), F.lit(" "))
+    t = F.regexp_replace(t, F.lit(DROPPED), F.lit(""))
+    t = F.regexp_replace(t, F.lit(WS_RUN), F.lit(" "))
     # every whitespace run is now one space, so trimming spaces is exact
     return F.trim(t)
 

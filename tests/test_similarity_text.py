@@ -1,5 +1,8 @@
 """Pair-free similarity vs the naive N^2 definition; text edge cases."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +81,31 @@ def test_clean_and_strip(spark):
     assert r.j.startswith(" ")
 
 
+def test_single_spaces_are_left_alone():
+    """Most whitespace of a text needs no replacing, so the pattern must not match there."""
+    assert re.findall(T.WS_RUN, "a b c 1 2") == []
+    assert re.findall(T.WS_RUN, "a  b\nc \n\t d\u3000e f\n g") == ["  ", "\n", " \n\t ", "\u3000", "\n "]
+
+
+def test_clean_text_of_every_character(spark):
+    """Against the definition in plain Python, where whitespace is ``str.isspace``."""
+    kept = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def plain(t):
+        t = "".join(c for c in t.lower() if c in kept or c.isspace())
+        return " ".join(t.split())
+
+    points = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x10000), *range(0x1F300, 0x1F700), 0x10FFFF]]
+    rng = random.Random(3)
+    texts = [f"{c}a{c}B {c} 1{c}{c}2 {c}{c}\n{c}" for c in points]
+    texts += ["".join(rng.choices(["a", "Q", "7", " ", "  ", "\n", "\u00a0", "\u2003", "!", "é", "日", "🙂", "\x1c", "\x85"], k=rng.randrange(40)))
+              for _ in range(3000)]
+    texts += ["日" * 200_000, " " * 200_000, "a " * 100_000, "", "\u0130x", "!"]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "id int, text string")
+    got = [r.c for r in df.select("id", T.clean_text("text").alias("c")).orderBy("id").collect()]
+    assert got == [*map(plain, texts), None]
+
+
 def test_distinct_n_demo(spark):
     texts = ["the cat sat on the mat", "the cat sat on the hat", "a dog"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
