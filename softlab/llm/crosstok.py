@@ -8,9 +8,9 @@ that covers it.  The union of both directions holds every pair of tokens that
 share a byte, each once (equal starts are found twice).  Pairs that end together
 are links, and their ends cut the tokens into groups.
 
-Counts over the corpus: a sub-batch is a chunk, one row of a written table, with
-its links' distinct id pairs in order and, for each document, the places of its
-links among them.  Pairs are summed over chunks (each is one row a chunk, however
+Counts over the corpus: sub-batches that follow each other make a chunk, one row
+of a written table, with its links' distinct id pairs in order and, for each
+document, the places of its links among them.  Pairs are summed over chunks (each is one row a chunk, however
 often it occurs), the highest count of each B id is taken from the sums, and
 every chunk gets the counts of its own pairs back.  The table of the B ids has no
 more rows than the vocabulary and is the only one broadcast.
@@ -18,7 +18,12 @@ more rows than the vocabulary and is the only one broadcast.
 Tokens repeat as words do: a text is cut before single spaces between
 characters that surely aren't blank; neither tokenizer joins what such a cut
 parts (for B this is checked in the vocabulary, and texts are whole otherwise),
-and a segment that a worker has met is not encoded again.
+and a segment that a worker has met is not encoded again until the known ones,
+which are bounded by number and by tokens, are forgotten.
+
+A worker's memory follows the sub-batch, not the chunk, the Arrow batch (these are
+cut by bytes while chunks are made) or the table; places are packed where they are
+made, so that a chunk's row stays small in the JVM.
 
 Texts that are null, empty or whose bytes one side doesn't give back have no
 tokens.  The strings of special tokens are ordinary text.  Texts are whole,
@@ -31,6 +36,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import zlib
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -46,7 +53,11 @@ from .bpe import ByteBpe, binary_rows, byte_alphabet, segments
 
 SPACE = "▁"           # how pieces write a space
 TEXT_SLICE = 1 << 20       # text of a chunk, about
+CHUNK_ROWS = 10_000        # rows of a chunk, about, if they are short
+PIECE = 1 << 18            # text that is aligned at a time, about
+BATCH_BYTES = 4 << 20      # of an Arrow batch of texts, about
 KNOWN = 1 << 18            # segments whose tokens a worker keeps, about
+KNOWN_TOKENS = 1 << 21     # of these segments, about
 
 
 class Side:
@@ -65,24 +76,31 @@ class Side:
         self.known, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.tokens = np.empty(0, np.uint32)
 
+    def _learn(self, place: np.ndarray, h: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Segments of the hashes ``h`` go before the known ones at ``place``."""
+        old = np.ones(len(self.known) + len(h), bool)
+        old[place + np.arange(len(h))] = False
+        new = ~old
+        for name, more in (("known", h), ("at", len(self.tokens) + rows[:-1]), ("size", np.diff(rows))):
+            both = np.empty(len(old), more.dtype)
+            both[old], both[new] = getattr(self, name), more
+            setattr(self, name, both)
+        self.tokens = np.concatenate([self.tokens, ids])
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows (which begin with the space) and the n + 1 offsets of the rows in them."""
         if not self.by_segment:
             return self.fresh(buf, offsets)
         start, end, first = segments(buf, offsets)
         h, one, which = np.unique(W.hash_ranges(buf, start, end), return_index=True, return_inverse=True)
-        if len(self.known) > KNOWN:
+        if len(self.known) > KNOWN or len(self.tokens) > KNOWN_TOKENS:
             self._forget()
         place = np.searchsorted(self.known, h)
         new = np.append(self.known, 0)[place] != h
         new |= place == len(self.known)
         s, size = start[one[new]], (end - start)[one[new]]
         ids, rows = self.fresh(buf[W.ranges(s, size)], np.concatenate([[0], np.cumsum(size)]))
-        at = place[new]
-        self.known = np.insert(self.known, at, h[new])
-        self.at = np.insert(self.at, at, len(self.tokens) + rows[:-1])
-        self.size = np.insert(self.size, at, np.diff(rows))
-        self.tokens = np.concatenate([self.tokens, ids])
+        self._learn(place[new], h[new], ids, rows)
         which = np.searchsorted(self.known, h)[which]
         size = self.size[which]
         return self.tokens[W.ranges(self.at[which], size)], np.concatenate([[0], np.cumsum(size)])[first]
@@ -303,33 +321,59 @@ def _chunk_schema(kind: str) -> str:
     return ", ".join(f"{name} {own or f'array<{kind}>'}" for name, own in CHUNK.items())
 
 
+class _Chunk:
+    """Sub-batches that become one row."""
+
+    def __init__(self):
+        self.bytes, self.ids, self.digests, self.keys = 0, [], [], []
+        self.numbers = {name: [] for name in ("n_a", "n_b", "n_groups", "n_overlaps", "links")}
+
+    def add(self, ids: pa.Array, t: Aligned, size: int) -> None:
+        n = len(ids)
+        self.bytes += size
+        self.ids += ids.to_pylist()
+        text, at = t.written_groups()
+        whole, digests = text.tobytes(), [""] * n
+        for k, i in enumerate(t.rows.tolist()):
+            digests[i] = hashlib.sha256(whole[at[k]:at[k + 1]]).hexdigest()
+        self.digests += digests
+        self.keys.append((t.b[t.y[t.together]] << 32) | t.a[t.x[t.together]])
+        links = t.per_row(t.together.astype(np.int64))
+        for name, v in (("n_a", np.diff(t.a_row)), ("n_b", np.diff(t.b_row)), ("n_groups", links), ("links", links),
+                        ("n_overlaps", t.per_row(np.ones(len(t.x), np.int64)))):
+            full = np.zeros(n, np.int64)
+            full[t.rows] = v
+            self.numbers[name].append(full)
+
+    def full(self) -> bool:
+        return self.bytes >= TEXT_SLICE or len(self.ids) >= CHUNK_ROWS
+
+    def row(self, id_type: pa.DataType) -> pa.RecordBatch:
+        numbers = {name: np.concatenate(v) for name, v in self.numbers.items()}
+        pairs, place, counts = np.unique(np.concatenate(self.keys), return_inverse=True, return_counts=True)
+        # the order of a document's links doesn't matter: places ascend
+        both = np.repeat(np.arange(len(self.ids)), numbers["links"]) * max(len(pairs), 1) + place.astype(np.int64)
+        both.sort()
+        place = both % max(len(pairs), 1)
+        out = {"ids": pa.array([self.ids], pa.list_(id_type)), "groups": pa.array([self.digests], pa.list_(pa.string())),
+               "places": pa.array([zlib.compress(W.planes(np.diff(place, prepend=0).astype(np.int32)), 1)], pa.binary())}
+        for name, v in (numbers | {"pairs": pairs, "counts": counts}).items():
+            out[name] = pa.array([v], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_pydict({name: out[name] for name in CHUNK})
+
+
 def _chunks(one, two, id_type: pa.DataType):
     def run(batches):
+        chunk = _Chunk()
         for batch in batches:
-            for part in W.slices(batch, "_text", TEXT_SLICE):
-                n = part.num_rows
-                t = Aligned(_side(ByteLevel, one.value), _side(Pieces, two.value), part.column("_text"))
-                text, at = t.written_groups()
-                whole, digests = text.tobytes(), [""] * n
-                for k, i in enumerate(t.rows.tolist()):
-                    digests[i] = hashlib.sha256(whole[at[k]:at[k + 1]]).hexdigest()
-                x, y = t.x[t.together], t.y[t.together]
-                pairs, place, counts = np.unique((t.b[y] << 32) | t.a[x], return_inverse=True, return_counts=True)
-                links = t.per_row(t.together.astype(np.int64))
-                # the order of a document's links doesn't matter: places ascend
-                both = np.repeat(np.arange(len(links)), links) * max(len(pairs), 1) + place.astype(np.int64)
-                both.sort()
-                place = both % max(len(pairs), 1)
-                numbers = {"n_a": np.diff(t.a_row), "n_b": np.diff(t.b_row), "n_groups": links, "links": links,
-                           "n_overlaps": t.per_row(np.ones(len(t.x), np.int64))}
-                out = {"ids": pa.array([part.column("_id").to_pylist()], pa.list_(id_type)), "groups": pa.array([digests], pa.list_(pa.string()))}
-                for name, v in numbers.items():
-                    full = np.zeros(n, np.int64)
-                    full[t.rows] = v
-                    out[name] = pa.array([full], pa.list_(pa.int64()))
-                out["places"] = pa.array([W.planes(np.diff(place, prepend=0).astype(np.int32))], pa.binary())
-                out["pairs"], out["counts"] = pa.array([pairs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_pydict({name: out[name] for name in CHUNK})
+            for part in W.slices(batch, "_text", PIECE):
+                text = part.column("_text")
+                chunk.add(part.column("_id"), Aligned(_side(ByteLevel, one.value), _side(Pieces, two.value), text), pc.sum(pc.binary_length(text)).as_py() or 0)
+                if chunk.full():
+                    yield chunk.row(id_type)
+                    chunk = _Chunk()
+        if chunk.ids:
+            yield chunk.row(id_type)
     return run
 
 
@@ -339,7 +383,7 @@ def _counted(id_type: pa.DataType):
         for c in chunk.to_batches():
             for k in range(c.num_rows):
                 own = {name: np.asarray(c.column(name)[k].values) for name in ("n_a", "n_b", "n_groups", "n_overlaps", "links")}
-                place = np.cumsum(W.unplanes(c.column("places")[k].as_py(), np.int32), dtype=np.int64)
+                place = np.cumsum(W.unplanes(zlib.decompress(c.column("places")[k].as_py()), np.int32), dtype=np.int64)
                 order = np.argsort(np.asarray(pairs.column("pair")))
                 total, best = (np.asarray(pairs.column(x)).astype(np.int64)[order] for x in ("total", "best"))
                 at = np.concatenate([[0], np.cumsum(own["links"])])
@@ -352,6 +396,22 @@ def _counted(id_type: pa.DataType):
     return run
 
 
+@contextmanager
+def _batches_by_bytes(spark):
+    """Meanwhile Arrow batches hold about ``BATCH_BYTES`` at most: 10,000 texts of any
+    length would stand in each worker and, while they are written, in its executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def link_counts(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``
     (links whose id pair is the most frequent of its B id over all documents, ties
@@ -362,7 +422,8 @@ def link_counts(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     kind = df.schema[id_col].dataType.simpleString()
     id_type = pa.array([], _arrow(df.schema[id_col].dataType)).type
     chunks = own.mapInArrow(_chunks(one, two, id_type), _chunk_schema(kind)).withColumn("chunk", F.monotonically_increasing_id())
-    chunks = shared_table(chunks, "crosstok-chunks")
+    with _batches_by_bytes(df.sparkSession):
+        chunks = shared_table(chunks, "crosstok-chunks")
     pairs = chunks.select("chunk", F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select(
         F.col("chunk").alias("of"), F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
     totals = shared_table(pairs.groupBy("pair").agg(F.sum("n").alias("total")), "crosstok-pairs")

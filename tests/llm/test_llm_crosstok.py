@@ -121,3 +121,84 @@ def test_string_ids_and_empty_tables(spark):
     assert {r["doc_id"]: r["n_a"] for r in C.link_counts(df, A, B).collect()} == {"x": 2, None: 0}
     assert C.link_counts(docs(spark, []), A, B).count() == 0
     assert C.align(docs(spark, []), A, B).count() == 0
+
+
+class Sent:
+    def __init__(self, path):
+        with open(path, "rb") as f:
+            self.value = f.read()
+
+
+def made(texts, rows_of_a_batch):
+    """Rows of the chunks of ``texts``, which come in batches."""
+    batches = (pa.RecordBatch.from_pydict({"_id": pa.array(range(i, min(i + rows_of_a_batch, len(texts))), pa.int64()),
+                                           "_text": pa.array(texts[i:i + rows_of_a_batch], pa.string())}) for i in range(0, len(texts), rows_of_a_batch))
+    return [r for b in C._chunks(Sent(A), Sent(B), pa.int64())(batches) for r in b.to_pylist()]
+
+
+def test_texts_of_a_chunk_are_aligned_in_pieces(monkeypatch):
+    seen, real = [], C.Aligned
+
+    def aligned(one, two, text):
+        seen.append(sum(len(x) for x in text.to_pylist()))
+        return real(one, two, text)
+
+    monkeypatch.setattr(C, "Aligned", aligned)
+    text = "the quick brown fox jumps over the lazy dog " * 50
+    chunks = made([f"{i} {text}" for i in range(1200)], 10_000)
+    assert len(chunks) <= 4                                     # of 1 MB each, as pairs are counted by chunk
+    assert sum(seen) > 2_600_000 and max(seen) <= 1 << 18       # while a worker's arrays are those of less text
+    for c in chunks:                                            # and a row isn't as long as its links
+        assert len(c["places"]) < sum(c["links"])
+
+
+def test_chunks_cross_pieces_and_batches(monkeypatch, plain_sides):
+    monkeypatch.setattr(C, "PIECE", 100)
+    monkeypatch.setattr(C, "TEXT_SLICE", 700)
+    texts = [t for _, t in corpus(120)] + [None, ""] + TEXTS
+    chunks = made(texts, 7)
+    assert [i for c in chunks for i in c["ids"]] == list(range(len(texts)))
+    assert 5 < len(chunks) < len(texts) / 7
+    for c in chunks:
+        place = C.W.unplanes(C.zlib.decompress(c["places"]), "int32").cumsum()
+        at, total = 0, Counter()
+        for i, n in zip(c["ids"], c["links"], strict=True):
+            a, b = tokens(plain_sides, texts[i])
+            eb = {e: y for y, e in enumerate(ends(b))}
+            want = sorted((b[eb[e]][0] << 32) | a[x][0] for x, e in enumerate(ends(a)) if e in eb)
+            assert [c["pairs"][p] for p in place[at:at + n]] == want
+            at += n
+            total.update(want)
+        assert dict(zip(c["pairs"], c["counts"], strict=True)) == total
+
+
+def test_chunks_of_short_rows_are_bounded_by_rows():
+    assert max(len(c["ids"]) for c in made([None] * 12_000 + ["a"] * 13_000, 500)) <= 10_500
+
+
+def test_known_tokens_are_bounded(monkeypatch):
+    """Texts without spaces are segments as they are: 2^18 of them have any number of tokens."""
+    monkeypatch.setattr(C, "KNOWN_TOKENS", 5_000)
+    rng = random.Random(9)
+    with open(A, "rb") as f, open(B, "rb") as g:
+        sides = C.ByteLevel(f.read()), C.Pieces(g.read())
+    for _ in range(8):
+        texts = ["".join(rng.choices("日本語中文字あいうえお", k=400)) for _ in range(5)]
+        got = C.Aligned(*sides, pa.array(texts))
+        for side, ids in zip(sides, (got.a, got.b), strict=True):
+            assert len(side.tokens) <= 5_000 + len(ids)
+    assert all(len(side.known) < 40 for side in sides)
+
+
+def test_batches_of_texts_are_cut_by_bytes_meanwhile(spark, monkeypatch):
+    key, during, real = "spark.sql.execution.arrow.maxBytesPerBatch", {}, C.shared_table
+
+    def shared(df, name):
+        during[name] = spark.conf.get(key, None)
+        return real(df, name)
+
+    monkeypatch.setattr(C, "shared_table", shared)
+    before = spark.conf.get(key, None)
+    C.link_counts(docs(spark, [(1, "some text")]), A, B)
+    assert int(during["crosstok-chunks"]) <= 8 << 20
+    assert spark.conf.get(key, None) == during["crosstok-pairs"] == before
